@@ -7,7 +7,7 @@ evidence rather than an error.
 
 from dataclasses import dataclass, fields, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 INPUT_DDL = {
     "people": "person_id BIGINT, primary_login STRING",
@@ -57,6 +57,16 @@ EVIDENCE_COLUMNS = [
 EVIDENCE_DDL = ", ".join(f"{n} {t}" for n, t in EVIDENCE_COLUMNS)
 
 
+def empty_table(spark: SparkSession, ddl: str) -> DataFrame:
+    """No rows of a schema, in a form the optimizer knows to be empty.
+
+    Joins and unions with it are removed from a plan, so a table that was not
+    crawled costs nothing.
+    """
+    cols = [c.split() for c in ddl.split(", ")]
+    return spark.range(1).select(*[F.lit(None).cast(t).alias(n) for n, t in cols]).where("false")
+
+
 @dataclass(frozen=True)
 class Inputs:
     """The crawled snapshot: one DataFrame per table of INPUT_DDL."""
@@ -99,7 +109,7 @@ class Inputs:
         full = {}
         for f in fields(cls):
             full[f.name] = (tables[f.name] if f.name in tables
-                            else spark.createDataFrame([], INPUT_DDL[f.name]))
+                            else empty_table(spark, INPUT_DDL[f.name]))
         return cls(**full)
 
     def with_tables(self, **tables: DataFrame) -> "Inputs":
