@@ -39,6 +39,10 @@ class Tables:
         """Number of some supplier, as a function of a number."""
         return F.pmod(number, self.n_suppliers)
 
+    def nth(self, number: Column) -> Column:
+        """The same inside `document_files`, where the number of suppliers is a column."""
+        return F.pmod(number, F.col("n_suppliers"))
+
     @cached_property
     def accounts(self) -> DataFrame:
         k = F.col("s_suppkey")
@@ -188,7 +192,7 @@ class Tables:
         text = F.array_join(F.transform(lines(F.col("text")), lambda x, i: line(
             letters(x), i.cast("bigint"), F.col("doc_id"))), "\n")
         repo = self.part_repos.select(F.col("partkey").alias("doc_id"), "repo")
-        docs = self.documents.select("doc_id", path.alias("path"), text.alias("text"))
+        docs = self.documents.withColumn("n_suppliers", self.n_suppliers).select("doc_id", path.alias("path"), text.alias("text"))
         return docs.join(repo, "doc_id").select(F.lit("github").alias("forge"), "repo", "path", "text")
 
 
