@@ -1,44 +1,59 @@
 """Folding newly crawled rosters into the reverse index, and runs into the log.
 
-State is a table of snapshots: batch n reads snapshot n and writes n + 1.  The
-write is an overwrite keyed by the batch number, so a repeated batch after a
-failure gives the same table.
+State is append-only: batch n writes only what it adds, into its own partition
+`batch=n`.  Nothing is rewritten as the index grows, and a batch repeated after a
+failure overwrites exactly its own partition.
 """
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.index import build_index, fold_log, merge_index
+from ..operators.index import build_index, fold_log
+from ..schemas import empty_table
 
-INDEX_DDL = "login string, repo string, batch bigint"
-LOG_DDL = ("forge string, kind string, target string, repos bigint, contributors bigint, "
-           "created timestamp, updated timestamp")
+INDEX_DDL = "login STRING, repo STRING, batch BIGINT"
+LOG_DDL = ("forge STRING, kind STRING, target STRING, repos BIGINT, contributors BIGINT, "
+           "created TIMESTAMP, updated TIMESTAMP")
 
 
-def snapshot(spark: SparkSession, path: str, n: int, ddl: str) -> DataFrame:
-    """Snapshot n of a state table; snapshot 0 is empty."""
-    if n <= 0:
-        return spark.createDataFrame([], ddl)
-    return spark.read.schema(ddl).parquet(f"{path}/v{n}")
+def _open(spark: SparkSession, path: str, ddl: str) -> None:
+    """An empty first partition, so that the table exists before the first batch."""
+    empty_table(spark, ddl).drop("batch").write.mode("overwrite").parquet(f"{path}/batch=-1")
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """The index: (login, repo, batch), a login's projects ordered by batch, then name."""
+    return spark.read.schema(INDEX_DDL).option("basePath", path).parquet(f"{path}/batch=*")
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """The log: all batches folded; its measures are minima and maxima, so order is free."""
+    runs = spark.read.schema(LOG_DDL + ", batch BIGINT").option("basePath", path).parquet(
+        f"{path}/batch=*").drop("batch")
+    return fold_log(empty_table(spark, LOG_DDL), runs)
 
 
 def fold_rosters(rosters: DataFrame, path: str, checkpoint: str,
                  min_commits: int = 15) -> StreamingQuery:
-    """Stream of roster rows -> index snapshots under `path`."""
+    """Stream of roster rows -> index partitions under `path`."""
+    _open(rosters.sparkSession, path, INDEX_DDL)
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        old = snapshot(batch.sparkSession, path, batch_id, INDEX_DDL)
-        merge_index(old, build_index(batch, min_commits), batch_id) \
-            .write.mode("overwrite").parquet(f"{path}/v{batch_id + 1}")
+        old = read_index(batch.sparkSession, path).where(F.col("batch") < batch_id)
+        new = build_index(batch, min_commits).join(old, ["login", "repo"], "left_anti")
+        new.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return (rosters.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
 def fold_runs(runs: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Stream of refresh runs -> log snapshots; coverage never shrinks."""
+    """Stream of refresh runs -> log partitions; coverage never shrinks."""
+    _open(runs.sparkSession, path, LOG_DDL)
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        old = snapshot(batch.sparkSession, path, batch_id, LOG_DDL)
-        fold_log(old, batch).write.mode("overwrite").parquet(f"{path}/v{batch_id + 1}")
+        none = empty_table(batch.sparkSession, LOG_DDL)
+        fold_log(none, batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return (runs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

@@ -23,10 +23,17 @@ def latest_users(scans: DataFrame, within: str = "1 day") -> DataFrame:
         .dropDuplicatesWithinWatermark(["user_key"])
 
 
-def start_to_table(df: DataFrame, name: str, checkpoint: str, mode: str = "append",
-                   sink: str = "memory") -> StreamingQuery:
-    """Run a streaming query over what is available, then stop."""
-    return (df.writeStream.format(sink).queryName(name).outputMode(mode)
+def write_updates(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keep the current counts of all windows as a table at `path`.
+
+    Complete mode hands over every window, the last open one too; each batch
+    replaces the table, so a repeated batch changes nothing.  The number of windows
+    is bounded by the retention of the counters, not by the number of scans.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    return (df.writeStream.outputMode("complete").foreachBatch(write)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
