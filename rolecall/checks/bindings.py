@@ -170,12 +170,14 @@ class Tables:
     @cached_property
     def candidates(self) -> DataFrame:
         from ..operators import discovery
+        from ..plans.lineage import cut
         from ..sources import packages
         inp = self.inputs
         pkgs = packages.person_packages(inp.package_docs, inp.people, self.keys)
         known = self.known.select("repo").join(self.roster, "repo").join(self.handles, "login")
         hits = known.select("person_id", "forge", "repo").distinct()
-        return discovery.discover(inp, self.keys, pkgs, hits, CFG)
+        # Written once: every evidence operator reads it.
+        return cut(discovery.discover(inp, self.keys, pkgs, hits, CFG))
 
     @cached_property
     def candidate_keys(self) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import report
 from ..plans import run as plan
+from ..plans.lineage import cut
 from . import documents as docs, feeds, rosters
 from .base import check, view
 from .bindings import CFG
@@ -32,7 +33,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY person_id ORDER BY log10(pop + 1
 WHERE position <= 10""")
 def flagship_top_projects(t):
     """Top ten projects of every person, with role, rank and stars."""
-    ev = plan.attribute(t.inputs, t.candidates, t.keys, None, CFG, only=["ownership", "contributors"])
+    ev = cut(plan.attribute(t.inputs, t.candidates, t.keys, None, CFG, only=["ownership", "contributors"]))
     records = plan.standing(ev, t.candidates, t.inputs, CFG)
     return report.highlights(records, ev, 10).select(
         "person_id", F.col("position").cast("bigint").alias("position"), "line")
@@ -44,11 +45,16 @@ def full_inputs(t):
     files, entries = docs.proposals(t)
     parts = t.known.select("repo", F.lit(0).alias("pos"), F.lit("core").alias("path"),
                            F.lit("author").alias("role"), F.lit("Core").alias("label"))
-    return t.inputs.with_tables(
+    i = t.inputs
+    made = dict(
+        people=t.people, accounts=t.accounts, person_orgs=t.person_orgs, repos=i.repos, roster=i.roster,
+        discovery_hits=i.discovery_hits, known=i.known, manual=i.manual, pull_requests=i.pull_requests,
         files=docs.all_files(t), dir_entries=entries, teams=docs.teams(t), releases=rosters.releases(t),
         pages=feeds.pages(t).drop("page_id"), role_sources=feeds.role_sources(t), subcomponents=parts,
         package_docs=feeds.package_docs(t), claims=src.read_claims(feeds.claim_docs(t)),
         articles=feeds.articles(t))
+    # A snapshot is a set of stored tables, not of views over other tables.
+    return i.with_tables(**{name: cut(df) for name, df in made.items()})
 
 
 @check("attribution_run")
