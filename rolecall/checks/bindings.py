@@ -30,7 +30,7 @@ class Tables:
     # -- people -------------------------------------------------------------
     @cached_property
     def n_suppliers(self) -> Column:
-        return self.supplier.agg(F.count(F.lit(1)).alias("n")).scalar()
+        return F.lit(self.supplier.count())     # one number, from file metadata
 
     def login(self, number: Column) -> Column:
         return F.concat(F.lit("s"), number.cast("string"))
@@ -39,10 +39,6 @@ class Tables:
         """Number of some supplier, as a function of a number."""
         return F.pmod(number, self.n_suppliers)
 
-    def nth(self, number: Column) -> Column:
-        """The same inside `document_files`, where the number of suppliers is a column."""
-        return F.pmod(number, F.col("n_suppliers"))
-
     @cached_property
     def accounts(self) -> DataFrame:
         k = F.col("s_suppkey")
@@ -77,18 +73,23 @@ class Tables:
 
     # -- repositories -------------------------------------------------------
     @cached_property
-    def part_repos(self) -> DataFrame:
-        """All repositories with their part key; the owner of every fifth is a person."""
+    def part_names(self) -> DataFrame:
+        """Name and counts of every part's repository; every fifth is owned by a person."""
         k = F.col("p_partkey")
         x, y = k * 7919 % 1009, k * 104729 % 211
         owner = F.when(k % 5 == 0, self.login(self.someone(k * 31))).otherwise(
             F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))))
-        p = self.part.select(
+        return self.part.select(
             k.alias("partkey"), owner.alias("owner"),
             F.concat(owner, F.lit("/part"), k.cast("string")).alias("repo"),
             F.floor(x * x / 500).cast("bigint").alias("stars"),
             F.floor(y * y / 300).cast("bigint").alias("forks"),
             (k % 13 == 0).alias("is_fork"), (k % 17 == 0).alias("is_private"))
+
+    @cached_property
+    def part_repos(self) -> DataFrame:
+        """The same with push date and upstream."""
+        p = self.part_names
         pushed = self.lineitem.groupBy(F.col("l_partkey").alias("partkey")).agg(
             F.max("l_shipdate").cast("timestamp").alias("pushed_at"))
         up = p.select((F.col("partkey") + 1).alias("partkey"), F.col("repo").alias("parent"))
@@ -109,14 +110,14 @@ class Tables:
         """Line items with the repository of their part and the person of their supplier."""
         who = self.accounts.select(F.substring("login", 2, 20).cast("bigint").alias("l_suppkey"),
                                    "person_id", "login")
-        return (self.lineitem.join(self.part_repos.select(F.col("partkey").alias("l_partkey"), "repo"),
+        return (self.lineitem.join(self.part_names.select(F.col("partkey").alias("l_partkey"), "repo"),
                                    "l_partkey").join(who, "l_suppkey"))
 
     @cached_property
     def roster(self) -> DataFrame:
         by_part = self.lineitem.groupBy("l_partkey", "l_suppkey").agg(
             F.sum("l_quantity").cast("bigint").alias("commits"))
-        return by_part.join(self.part_repos.select(F.col("partkey").alias("l_partkey"), "repo"),
+        return by_part.join(self.part_names.select(F.col("partkey").alias("l_partkey"), "repo"),
                             "l_partkey").select(
             F.lit("github").alias("forge"), "repo", self.login(F.col("l_suppkey")).alias("login"),
             "commits")
@@ -132,7 +133,7 @@ class Tables:
             F.when((F.col("l_returnflag") == "R") & (F.col("l_partkey") % 7 == 0), "pkg:npm"),
             F.when(F.col("l_linenumber") == 7, "search:CODEOWNERS"))))
         listed = i.select("person_id", "repo", source.alias("source"))
-        owned = self.part_repos.where("partkey % 5 = 0").join(
+        owned = self.part_names.where("partkey % 5 = 0").join(
             self.accounts.select(F.col("login").alias("owner"), "person_id"), "owner").select(
             "person_id", "repo", F.lit("owned").alias("source"))
         return listed.unionByName(owned).select(
@@ -142,7 +143,7 @@ class Tables:
     def known(self) -> DataFrame:
         k = F.col("partkey")
         null = F.lit(None)
-        return self.part_repos.where("partkey % 97 = 0").select(
+        return self.part_names.where("partkey % 97 = 0").select(
             "repo", F.when(k % 2 == 0, "critical").otherwise("high").alias("importance"),
             null.cast("bigint").alias("stars"), null.cast("bigint").alias("forks"),
             F.when(k % 5 == 0, k + 300).cast("bigint").alias("contributors"),
@@ -193,8 +194,8 @@ class Tables:
         letters = lambda x: F.regexp_replace(F.lower(x), "[^a-z]+", "_")
         text = F.array_join(F.transform(lines(F.col("text")), lambda x, i: line(
             letters(x), i.cast("bigint"), F.col("doc_id"))), "\n")
-        repo = self.part_repos.select(F.col("partkey").alias("doc_id"), "repo")
-        docs = self.documents.withColumn("n_suppliers", self.n_suppliers).select("doc_id", path.alias("path"), text.alias("text"))
+        repo = self.part_names.select(F.col("partkey").alias("doc_id"), "repo")
+        docs = self.documents.select("doc_id", path.alias("path"), text.alias("text"))
         return docs.join(repo, "doc_id").select(F.lit("github").alias("forge"), "repo", "path", "text")
 
 

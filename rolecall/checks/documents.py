@@ -58,9 +58,9 @@ def codeowners_files(t) -> DataFrame:
         return lambda w, i, d: (
             F.when(i % 6 == 0, cat("# ", w))
              .when((i % 6 == 4) & ((d + i) % 2 == 0), "")
-             .when(i % 7 == 3, cat("* @", t.login(t.nth(d + i))))
-             .when(i % 6 == 5, cat("/", w, "/ ", t.login(t.nth(d * 3 + i)), "@example.com # note"))
-             .otherwise(cat("/", w, "/ @", t.login(t.nth(d + i + prio(d))), " @brands/team",
+             .when(i % 7 == 3, cat("* @", t.login(t.someone(d + i))))
+             .when(i % 6 == 5, cat("/", w, "/ ", t.login(t.someone(d * 3 + i)), "@example.com # note"))
+             .otherwise(cat("/", w, "/ @", t.login(t.someone(d + i + prio(d))), " @brands/team",
                             text(i % 3))))
     main = t.document_files(F.element_at(paths, (F.col("doc_id") % 3 + 1).cast("int")),
                             line(lambda d: d % 3))
@@ -139,17 +139,17 @@ UNION ALL SELECT repo, i, 'email', 's' || ((d * 3 + i) % n) || '@example.com' FR
 def owners_files(t) -> DataFrame:
     return t.document_files(F.when(F.col("doc_id") % 2 == 0, "OWNERS"), lambda w, i, d: (
         F.when(i % 8 == 0, "approvers:").when(i % 8 == 4, "reviewers:")
-         .when(i % 8 == 7, cat("# ", w)).otherwise(cat("  - ", t.login(t.nth(d + i)))))) \
+         .when(i % 8 == 7, cat("# ", w)).otherwise(cat("  - ", t.login(t.someone(d + i)))))) \
         .where("path IS NOT NULL")
 
 
 def maintainers_files(t) -> DataFrame:
-    other = lambda d, i: text(t.nth(d * 3 + i))
+    other = lambda d, i: text(t.someone(d * 3 + i))
     return t.document_files(F.when(F.col("doc_id") % 3 < 2, "docs/MAINTAINERS.md"), lambda w, i, d: (
         F.when(i % 5 == 0, cat("# ", w))
-         .when(i % 5 == 1, cat("- Supplier No", other(d, i), " (@", t.login(t.nth(d + i)), ")"))
+         .when(i % 5 == 1, cat("- Supplier No", other(d, i), " (@", t.login(t.someone(d + i)), ")"))
          .when(i % 5 == 2, cat("Supplier No", other(d, i), " <s", other(d, i), "@example.com>"))
-         .when(i % 5 == 3, cat("* ", w, " @", t.login(t.nth(d + i))))
+         .when(i % 5 == 3, cat("* ", w, " @", t.login(t.someone(d + i))))
          .otherwise(cat("| ", w, " |")))).where("path IS NOT NULL")
 
 
@@ -190,8 +190,8 @@ FROM (SELECT repo, i, trim(txt || coalesce(' ' || lead(txt, 1) OVER o, '')
 def governance_files(t) -> DataFrame:
     return t.document_files(F.lit("docs/GOVERNANCE.md"), lambda w, i, d: (
         F.when(i % 9 == 0, "Steering Council").when(i % 9 == 3, cat("Maintainers ", w))
-         .when((i % 9).isin(1, 4), cat("- @", t.login(t.nth(d + i))))
-         .when(i % 9 == 6, cat("Supplier No", text(t.nth(d * 5 + i)), " ", w)).otherwise(w)))
+         .when((i % 9).isin(1, 4), cat("- @", t.login(t.someone(d + i))))
+         .when(i % 9 == 6, cat("Supplier No", text(t.someone(d * 5 + i)), " ", w)).otherwise(w)))
 
 
 @check("governance_windows", """
@@ -251,7 +251,7 @@ def proposals(t):
     is_rst = F.col("partkey") % 2 == 0
     ext = F.when(is_rst, ".rst").otherwise(".md")
     is_dir = d % 10 == 0
-    df = t.documents.join(t.part_repos.select("partkey", "repo"),
+    df = t.documents.join(t.part_names.select("partkey", "repo"),
                           F.floor(d / 40).cast("bigint") == F.col("partkey"))
     name = F.when(is_dir, num).otherwise(cat(num, "-x", ext))
     entries = df.select(F.lit("github").alias("forge"), "repo", F.lit("proposals").alias("dir"),
@@ -322,7 +322,7 @@ FROM (SELECT *, (SELECT count(*) FROM supplier) AS n FROM b_lines)""")
 def credit_files(t) -> DataFrame:
     d_ = F.col("doc_id") % 3
     path = F.when(d_ == 0, "AUTHORS").when(d_ == 1, "THANKS.txt").otherwise("CONTRIBUTORS.md")
-    who = lambda v: text(t.nth(v))
+    who = lambda v: text(t.someone(v))
     return t.document_files(path, lambda w, i, d: (
         F.when(i % 8 == 0, cat("* Supplier No", who(d + i), " for core ", w))
          .when(i % 8 == 4, cat("* Supplier No", who(d * 3 + i), " ", w))
@@ -400,7 +400,7 @@ def manifest_files(t) -> DataFrame:
         cat('{"authors": [{"name": "', nx, '", "email": "', ex, '"}]}'),
     ]
     m = (k % 6 + 1).cast("int")
-    return t.part_repos.select(F.lit("github").alias("forge"), "repo",
+    return t.part_names.select(F.lit("github").alias("forge"), "repo",
                                F.element_at(F.lit(fixed.MANIFEST_PATHS), m).alias("path"),
                                F.element_at(F.array(*texts), m).alias("text"))
 

@@ -44,8 +44,8 @@ def pages(t):
 
 def role_sources(t):
     i = F.floor(F.col("partkey") / 97).cast("bigint")
-    n = t.part_repos.where("partkey % 97 = 0").agg(F.count(F.lit(1)).alias("n")).scalar()
-    known = t.part_repos.where("partkey % 97 = 0").select("repo", i.alias("i"))
+    n = t.part_names.where("partkey % 97 = 0").agg(F.count(F.lit(1)).alias("n")).scalar()
+    known = t.part_names.where("partkey % 97 = 0").select("repo", i.alias("i"))
     m = F.col("page_id") % 3
     return pages(t).withColumn("i", F.pmod("page_id", n)).join(known, "i").select(
         "repo", F.col("page_id").cast("int").alias("pos"), "url",
@@ -91,7 +91,7 @@ def page_roles(t):
     "WHERE r.repo NOT IN (SELECT repo FROM b_rs)", "c.notable"))
 def discovered_page_roles(t):
     p = pages(t)
-    found = t.part_repos.select("repo", F.floor(F.col("partkey") / 8).cast("bigint").alias("page_id")).join(
+    found = t.part_names.select("repo", F.floor(F.col("partkey") / 8).cast("bigint").alias("page_id")).join(
         p, "page_id").select("repo", F.col("page_id").cast("int").alias("pos"), "url", F.when(
             F.col("page_id") % 4 == 0, "Steering group").otherwise("Core team").alias("role"),
         F.lit(None).cast("string").alias("label"))
@@ -121,7 +121,7 @@ def package_docs(t):
     m = k % 4
     pypi_home = F.when(k % 8 == 6, "https://github.com/else/where").otherwise(
         cat("https://github.com/", F.col("repo")))
-    return t.part_repos.select(
+    return t.part_names.select(
         F.when(m.isin(0, 3), "npm").when(m == 1, "crates").otherwise("pypi").alias("registry"),
         t.login(x).alias("login"),
         F.when(m == 0, npm(cat('"repository": {"type": "git", "url": "', git, '"}')))
@@ -169,7 +169,7 @@ def claim_docs(t):
     b = lambda who, prop: cat(
         '{"gh": {"value": "S', text(who), '"}, "prop": {"value": "http://www.wikidata.org/prop/direct/', prop,
         '"}, "item": {"value": "http://www.wikidata.org/entity/Q', text(k), '"}}')
-    return t.part_repos.select("repo", cat(
+    return t.part_names.select("repo", cat(
         '{"results": {"bindings": [', b(t.someone(k * 3), "P170"), ", ",
         b(t.someone(k * 7), F.when(k % 2 == 0, "P178").otherwise("P999")),
         ', {"gh": {"value": "x"}}]}}').alias("payload"))
@@ -207,7 +207,7 @@ def articles(t):
                    who(7), " in 2001; later re-founded by Supplier Q. No", text(t.someone(k * 11)), " again. ",
                    F.coalesce("text", F.lit("")))
     docs = t.documents.select(F.col("doc_id").alias("partkey"), F.regexp_replace("text", "[A-Z]", "x").alias("text"))
-    return t.part_repos.join(docs, "partkey", "left").select(
+    return t.part_names.join(docs, "partkey", "left").select(
         "repo", cat("Part ", text(k), " (software)").alias("title"), wikitext.alias("wikitext"))
 
 
@@ -236,7 +236,7 @@ def article_titles(t):
     k = F.col("partkey")
     url = F.when(k % 5 == 1, "https://example.org/x").otherwise(
         cat("https://en.wikipedia.org/wiki/Part_", text(k), "_(C%2B+)_%C3%A9"))
-    return src.read_article_titles(t.part_repos.select("repo", cat(
+    return src.read_article_titles(t.part_names.select("repo", cat(
         '{"results": {"bindings": [{"article": {"value": "https://x.org/none"}}, {"article": {"value": "', url,
         '"}}]}}').alias("payload")))
 
@@ -255,7 +255,7 @@ def founder_evidence(t):
     claim = lambda pos, handle, name: F.struct(
         F.lit(pos).alias("pos"), handle.alias("handle"), name.alias("name"))
     null = F.lit(None).cast("string")
-    raw = t.part_repos.select("repo", F.explode(F.array(
+    raw = t.part_names.select("repo", F.explode(F.array(
         claim(0, cat("@S", text(t.someone(k * 3))), cat("Supplier No", text(t.someone(k * 5)))),
         claim(1, cat("s", text(t.someone(k * 9))), null))).alias("c")).select(
         "repo", "c.handle", "c.name", null.alias("url"), "c.pos")
@@ -269,7 +269,7 @@ FROM b_cand c JOIN b_repos r USING (repo) JOIN b_acc a ON a.person_id = c.person
  AND a.k = r.partkey * 3 % (SELECT count(*) FROM supplier) WHERE r.partkey % 97 = 0""")
 def curated_evidence(t):
     k = F.col("partkey")
-    rows = t.part_repos.where("partkey % 97 = 0").select(
+    rows = t.part_names.where("partkey % 97 = 0").select(
         "repo", F.lit(0).alias("pos"), cat("@S", text(t.someone(k * 3))).alias("login"),
         F.lit("author").alias("role"), F.lit("").alias("url"), F.lit(None).cast("string").alias("label"))
     return ev.curated(context(t, curated_roles=rows)).select("person_id", "repo", "role", "confidence", "detail")

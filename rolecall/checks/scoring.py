@@ -70,7 +70,7 @@ def evidence(t):
     line = F.col("l_linenumber")
     only = lambda n, v: F.when(line == n, v)
     who = t.accounts.select(F.substring("login", 2, 20).cast("bigint").alias("l_suppkey"), "person_id")
-    i = (t.lineitem.withColumn("partkey", k).join(t.part_repos.select("partkey", "repo"), "partkey")
+    i = (t.lineitem.withColumn("partkey", k).join(t.part_names.select("partkey", "repo"), "partkey")
          .join(who, "l_suppkey"))
     return i.select(
         "person_id", F.lit("github").alias("forge"), "repo",

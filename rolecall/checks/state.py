@@ -25,7 +25,7 @@ SELECT login, repo, CASE WHEN EXISTS (SELECT 1 FROM b_roster r JOIN b_repos p US
          WHERE r.login = i.login AND r.repo = i.repo AND r.commits >= 15 AND p.partkey % 2 = 0) THEN 1 ELSE 2 END AS batch
 FROM b_index i""")
 def index_merge(t):
-    even = t.part_repos.where("partkey % 2 = 0").select("repo")
+    even = t.part_names.where("partkey % 2 = 0").select("repo")
     old = ix.build_index(t.roster.join(even, "repo"), 15).withColumn("batch", F.lit(1).cast("bigint"))
     return ix.merge_index(old, ix.build_index(t.roster, 15), 2).withColumn("batch", F.col("batch").cast("int"))
 
@@ -51,7 +51,7 @@ WHERE n <= 500 AND NOT coalesce(pushed_at > TIMESTAMP '2001-11-04' - INTERVAL 30
 
 @check("crawl_frontier", "SELECT org, repo, stars, position FROM b_due WHERE position <= 50")
 def crawl_frontier(t):
-    return ix.crawl_frontier(t.part_repos, runs(t), AS_OF, days=CFG.refresh_days, budget=CFG.refresh_budget,
+    return ix.crawl_frontier(t.part_names, runs(t), AS_OF, days=CFG.refresh_days, budget=CFG.refresh_budget,
                              considered=CFG.org_refresh_limit).select(
         "org", "repo", "stars", F.col("position").cast("bigint").alias("position"))
 
@@ -156,7 +156,7 @@ FROM (SELECT * FROM b_repos WHERE partkey % 2 = 0) r FULL JOIN b_known k USING (
 WHERE r.repo IS NOT NULL
 UNION ALL SELECT k.repo, NULL, NULL, k.snapshot FROM b_known k JOIN b_repos p USING (repo) WHERE p.partkey % 2 = 1""")
 def popularity_upsert(t):
-    seen = t.part_repos.where("partkey % 2 = 0").select(
+    seen = t.part_names.where("partkey % 2 = 0").select(
         "repo", "stars", "forks", (F.col("partkey") % 4 == 0).alias("capped"),
         (F.col("partkey") + 1).alias("n_contributors"))
     aliases = t.known.select("repo", F.lower("repo").alias("alias"))
@@ -172,7 +172,7 @@ def role_source_merge(t):
     k = F.col("partkey")
     row = lambda pos, url, role: F.struct(F.lit(pos).alias("pos"), url.alias("url"), F.lit(role).alias("role"),
                                           F.lit("x").alias("label"))
-    pick = lambda *rows: t.part_repos.select("repo", F.explode(F.array(*rows)).alias("r")).select("repo", "r.*")
+    pick = lambda *rows: t.part_names.select("repo", F.explode(F.array(*rows)).alias("r")).select("repo", "r.*")
     have = pick(row(0, cat("https://a/", text(k % 5)), "maintainer"))
     found = pick(row(0, cat("https://a/", text(k % 3)), "steering_council"),
                  row(1, cat("https://b/", text(k)), "steering_council"), row(2, F.lit(""), "maintainer"))

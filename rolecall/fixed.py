@@ -120,7 +120,9 @@ USER_OWNER = r"^@([A-Za-z0-9-]+)$"
 EMAIL_OWNER = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
 MENTION = r"@([A-Za-z0-9-]+)"
 WRAPPED_MENTION = r"\(?@([A-Za-z0-9-]+)\)?"
-ANY_EMAIL = r"<([^>]+)>|([^\s<>()]+@[^\s<>()]+\.[^\s<>()]+)"
+# (An address can only start where its run of letters starts; saying so keeps the
+# search linear on long runs without an @.)
+ANY_EMAIL = r"<([^>]+)>|(?<![^\s<>()])([^\s<>()]+@[^\s<>()]+\.[^\s<>()]+)"
 ANGLE_EMAIL = r"<([^>]+)>"
 HEADER_FIELD = r"^:?([A-Za-z][\w\- ]*?):\s*(.*)$"
 PERSON_STRING = r"^([^<(]*?)\s*(?:<([^>]+)>)?\s*(?:\(([^)]*)\))?\s*$"

@@ -9,7 +9,7 @@ from pyspark.sql import Column, functions as F
 
 from .. import fixed
 from .people import from_author_field, from_author_tokens, no_people
-from .text import blank_to_null, drop_blank, lines, matches, strip, unix_lines
+from .text import blank_to_null, drop_blank, let, lines, matches, strip, unix_lines
 
 _BLANK = r"[^\S\n]*"
 
@@ -26,15 +26,17 @@ def codeowner_rules(text: Column) -> Column:
     """
     blocks = F.split(unix_lines(text), rf"\n(?={_BLANK}(?:#|\n|\z))")
 
-    def rules_of(block):
-        ls = F.split(block, "\n")
+    def opened(ls):
         head = strip(F.element_at(ls, 1))
-        section = F.when(head.startswith("#"),
-                         blank_to_null(strip(F.regexp_replace(head, "^#+", ""))))
-        body = F.when(head.startswith("#") | (head == ""), _tail(ls)).otherwise(ls)
-        return F.transform(body, lambda ln: F.struct(
+        return F.struct(
+            F.when(head.startswith("#"), blank_to_null(strip(F.regexp_replace(head, "^#+", ""))))
+             .alias("section"),
+            F.when(head.startswith("#") | (head == ""), _tail(ls)).otherwise(ls).alias("body"))
+
+    def rules_of(block):
+        return let(let(F.split(block, "\n"), opened), lambda b: F.transform(b["body"], lambda ln: F.struct(
             F.split(strip(F.substring_index(ln, "#", 1)), r"(?U)\s+").alias("parts"),
-            section.alias("section")))
+            b["section"].alias("section"))))
 
     rules = F.filter(F.flatten(F.transform(blocks, rules_of)), lambda r: F.size(r["parts"]) >= 2)
     return F.transform(rules, lambda r: F.struct(
@@ -80,8 +82,8 @@ def owners_list(text: Column, key: str) -> Column:
 
 def line_windows(text: Column, size: int = 3) -> Column:
     """Each line joined with the ones after it, so a name and its role may be lines apart."""
-    ls = lines(text)
-    return F.transform(ls, lambda _, i: strip(F.array_join(F.slice(ls, i + 1, size), " ")))
+    return let(lines(text), lambda ls: F.transform(
+        ls, lambda _, i: strip(F.array_join(F.slice(ls, i + 1, size), " "))))
 
 
 def _header_authors(text: Column) -> Column:
@@ -98,10 +100,11 @@ def _header_authors(text: Column) -> Column:
         key = F.lower(strip(F.regexp_extract(first, fixed.HEADER_FIELD, 1)))
         return F.struct(F.when(block.rlike(r"^\S"), key).alias("key"), strip(value).alias("value"))
 
-    fields = F.transform(blocks, field)
-    last = lambda k: blank_to_null(F.try_element_at(
+    last = lambda fields, k: blank_to_null(F.try_element_at(
         F.filter(fields, lambda f: f["key"] == k), F.lit(-1))["value"])
-    return from_author_field(F.coalesce(last("author"), last("authors")))
+    value = let(F.transform(blocks, field),
+                lambda fs: F.coalesce(last(fs, "author"), last(fs, "authors")))
+    return from_author_field(value)
 
 
 def _front_matter_authors(text: Column) -> Column:
@@ -127,11 +130,12 @@ def _front_matter_authors(text: Column) -> Column:
              .when(value != "", F.split(unquote(value), r"[,;\n]+"))
              .otherwise(items).alias("tokens"))
 
-    fields = F.transform(F.filter(blocks, lambda b: b.contains(":")), field)
-    last = lambda k: F.try_element_at(F.filter(
+    last = lambda fields, k: F.try_element_at(F.filter(
         fields, lambda f: (f["key"] == k) & (F.size(drop_blank(f["tokens"])) > 0)),
         F.lit(-1))["tokens"]
-    return from_author_tokens(F.coalesce(last("author"), last("authors")))
+    tokens = let(F.transform(F.filter(blocks, lambda b: b.contains(":")), field),
+                 lambda fs: F.coalesce(last(fs, "author"), last(fs, "authors")))
+    return from_author_tokens(tokens)
 
 
 def proposal_authors(text: Column, header_format: Column) -> Column:

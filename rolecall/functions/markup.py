@@ -3,7 +3,7 @@
 from pyspark.sql import Column, functions as F
 
 from .. import fixed
-from .text import all_matches, first_match, is_full_name, unix_lines
+from .text import all_matches, first_match, is_full_name, let, unix_lines
 
 # Named entities resolved when a page is reduced to text.
 ENTITIES = {
@@ -77,11 +77,10 @@ def infobox_authors(wikitext: Column) -> Column:
 
 def prose_founders(wikitext: Column) -> Column:
     """Names the prose credits with creating the project ("started by X", "X created")."""
-    text = clean_markup(wikitext)
-    by = all_matches(text, rf"(?U)\b{fixed.CREATE_VERB}\s+by\s+({fixed.CAPITALISED_NAME})")
-    subject = all_matches(text, rf"(?U)\b({fixed.CAPITALISED_NAME})\s+{fixed.CREATE_VERB}\b")
-    names = F.transform(F.concat(by, subject), _trim_name)
-    return F.coalesce(F.array_distinct(F.filter(names, is_full_name)),
+    by = rf"(?U)\b{fixed.CREATE_VERB}\s+by\s+({fixed.CAPITALISED_NAME})"
+    subject = rf"(?U)\b({fixed.CAPITALISED_NAME})\s+{fixed.CREATE_VERB}\b"
+    found = let(clean_markup(wikitext), lambda t: F.concat(all_matches(t, by), all_matches(t, subject)))
+    return F.coalesce(F.array_distinct(F.filter(F.transform(found, _trim_name), is_full_name)),
                       F.array().cast("array<string>"))
 
 

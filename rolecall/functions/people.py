@@ -3,7 +3,7 @@
 from pyspark.sql import Column, functions as F
 
 from .. import fixed
-from .text import blank_to_null, first_match, matches, strip
+from .text import blank_to_null, first_match, let, matches, strip
 
 PERSON = "struct<name:string,email:string,handle:string>"
 PEOPLE = f"array<{PERSON}>"
@@ -26,42 +26,53 @@ def is_named(p: Column) -> Column:
 
 def from_person_string(s: Column) -> Column:
     """'Jane Doe <jane@x.org> (https://x)' as a person."""
-    t = strip(s)
-    shaped = matches(t, fixed.PERSON_STRING)
-    name = F.when(shaped, strip(F.regexp_extract(t, fixed.PERSON_STRING, 1))).otherwise(t)
-    email = F.when(shaped, strip(F.regexp_extract(t, fixed.PERSON_STRING, 2)))
-    return person(blank_to_null(name), blank_to_null(email))
+    def read(t):
+        shaped = matches(t, fixed.PERSON_STRING)
+        name = F.when(shaped, strip(F.regexp_extract(t, fixed.PERSON_STRING, 1))).otherwise(t)
+        email = F.when(shaped, strip(F.regexp_extract(t, fixed.PERSON_STRING, 2)))
+        return person(blank_to_null(name), blank_to_null(email))
+    return let(strip(s), read)
 
 
 def from_maintainer_line(raw: Column) -> Column:
     """One line of a free-form maintainer list, or null when it names nobody."""
-    line = strip(raw)
-    is_bullet = matches(line, r"^[-*]\s+\S")
-    is_rule = matches(line, r"^(#|<!--|-->|=|-)") | (line == "")
-    line = F.when(is_rule & is_bullet, F.regexp_replace(line, r"^[-*]\s+", "")).otherwise(line)
-    dropped = (is_rule & ~is_bullet) | matches(line, r"^(\||\+--)") | matches(line, r"^[-=| ]*$")
-
-    email = strip(F.coalesce(first_match(line, fixed.ANY_EMAIL, 1),
-                             first_match(line, fixed.ANY_EMAIL, 2)))
-    rest = F.regexp_replace(line, rf"^(.*?)(?:{fixed.ANY_EMAIL})", "$1 ")
-    handle = first_match(rest, fixed.WRAPPED_MENTION)
-    rest = F.regexp_replace(rest, fixed.WRAPPED_MENTION, " ")
-    name = F.regexp_replace(F.regexp_replace(rest, "[|*`]", " "), r"\s+", " ")
-    name = blank_to_null(F.btrim(name, F.lit(" -|*<>()")))
-    known = handle.isNotNull() | blank_to_null(email).isNotNull() | F.coalesce(
-        name.contains(" "), F.lit(False))
-    return F.when(~dropped & known, person(name, email, handle))
+    def content(line):
+        """The line without its bullet; null for headings, rules, tables and comments."""
+        text = F.when(matches(line, r"^[-*]\s+\S") & matches(line, r"^(#|<!--|-->|=|-)"),
+                      F.regexp_replace(line, r"^[-*]\s+", "")) \
+                .when(~matches(line, r"^(#|<!--|-->|=|-|$)"), line)
+        return let(text, lambda t: F.when(~matches(t, r"^(\||\+--|[-=| ]*$)"), t))
+
+    def read(line):
+        email = strip(F.coalesce(first_match(line, fixed.ANY_EMAIL, 1),
+                                 first_match(line, fixed.ANY_EMAIL, 2)))
+        rest = F.regexp_replace(line, rf"^(.*?)(?:{fixed.ANY_EMAIL})", "$1 ")
+        return F.struct(blank_to_null(email).alias("email"), rest.alias("rest"))
+
+    def named(p):
+        rest = F.regexp_replace(p["rest"], fixed.WRAPPED_MENTION, " ")
+        name = F.regexp_replace(F.regexp_replace(rest, "[|*`]", " "), r"\s+", " ")
+        return person(blank_to_null(F.btrim(name, F.lit(" -|*<>()"))), p["email"],
+                      first_match(p["rest"], fixed.WRAPPED_MENTION))
+
+    somebody = lambda p: (p["handle"].isNotNull() | p["email"].isNotNull()
+                          | F.coalesce(p["name"].contains(" "), F.lit(False)))
+    return let(let(strip(raw), content), lambda line: F.when(
+        line.isNotNull(), let(let(let(line, read), named), lambda p: F.when(somebody(p), p))))
 
 
 def from_author_token(raw: Column) -> Column:
     """One author of a proposal header: 'Jane Doe <j@x.org> (@jane)'."""
-    tok = strip(raw)
-    email = strip(first_match(tok, fixed.ANGLE_EMAIL))
-    tok = F.replace(tok, F.regexp_extract(tok, fixed.ANGLE_EMAIL, 0), F.lit(" "))
-    handle = first_match(tok, fixed.WRAPPED_MENTION)
-    tok = F.regexp_replace(tok, fixed.WRAPPED_MENTION, " ")
-    name = blank_to_null(F.btrim(F.regexp_replace(tok, r"\s+", " "), F.lit(" ()<>")))
-    return person(name, blank_to_null(email), handle)
+    def read(tok):
+        rest = F.replace(tok, F.regexp_extract(tok, fixed.ANGLE_EMAIL, 0), F.lit(" "))
+        return F.struct(blank_to_null(strip(first_match(tok, fixed.ANGLE_EMAIL))).alias("email"),
+                        rest.alias("rest"))
+
+    def named(p):
+        name = F.regexp_replace(F.regexp_replace(p["rest"], fixed.WRAPPED_MENTION, " "), r"\s+", " ")
+        return person(blank_to_null(F.btrim(name, F.lit(" ()<>"))), p["email"],
+                      first_match(p["rest"], fixed.WRAPPED_MENTION))
+    return let(let(strip(raw), read), named)
 
 
 def from_author_field(value: Column) -> Column:

@@ -9,6 +9,15 @@ BLANKS = (" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003
 LINE_BREAK = "\r\n?|[\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate `value` once and use it in `body`, also inside another lambda.
+
+    A column used twice in an expression is otherwise evaluated twice, and nested
+    uses multiply.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(BLANKS))
 

@@ -4,7 +4,7 @@ from pyspark.sql import Column, functions as F
 
 from .. import fixed
 from .roles import choose
-from .text import all_matches, blank_to_null, first_match, strip
+from .text import all_matches, blank_to_null, first_match, let, strip
 
 
 def web_host(forge: Column, host: Column | None = None) -> Column:
@@ -26,11 +26,9 @@ def repo_owner(repo: Column) -> Column:
 
 def github_repo(url: Column) -> Column:
     """owner/repo named by a source URL (https, ssh or git+), or null."""
-    raw = first_match(url, fixed.GITHUB_REPO)
-    trimmed = F.btrim(F.regexp_replace(raw, r"(?i)\.git$", ""), F.lit("/"))
-    ok = (F.size(F.split(trimmed, "/")) >= 2) & ~F.lower(repo_owner(trimmed)).isin(
-        fixed.NON_REPO_OWNERS)
-    return F.when(ok, trimmed)
+    name = F.btrim(F.regexp_replace(first_match(url, fixed.GITHUB_REPO), r"(?i)\.git$", ""), F.lit("/"))
+    return let(name, lambda n: F.when(
+        n.contains("/") & ~F.lower(repo_owner(n)).isin(fixed.NON_REPO_OWNERS), n))
 
 
 def readme_repo_links(text: Column) -> Column:
@@ -48,15 +46,14 @@ def extract_urls(text: Column) -> Column:
 
 def profile_of(url: Column) -> Column:
     """(forge, login) of a profile URL on a known host, or null."""
-    u = strip(url)
-    host = F.regexp_replace(F.lower(F.regexp_extract(u, "^" + fixed.PROFILE_URL, 1)),
-                            r"^www\.", "")
-    login = F.regexp_extract(u, "^" + fixed.PROFILE_URL, 2)
-    forge = choose(host, {h.split("://", 1)[1]: f for f, h in fixed.WEB_HOST.items()},
-                   F.lit(None).cast("string"))
-    ok = (forge.isNotNull() & (login != "") & ~login.contains(".")
-          & ~F.lower(login).isin(fixed.NON_PROFILE))
-    return F.when(ok, F.struct(forge.alias("forge"), login.alias("login")))
+    hosts = {h.split("://", 1)[1]: f for f, h in fixed.WEB_HOST.items()}
+    part = lambda u, group: F.regexp_extract(u, "^" + fixed.PROFILE_URL, group)
+    host = lambda u: F.regexp_replace(F.lower(part(u, 1)), r"^www\.", "")
+    forge = lambda u: let(host(u), lambda h: choose(h, hosts, F.lit(None).cast("string")))
+    profile = lambda u: F.struct(forge(u).alias("forge"), part(u, 2).alias("login"))
+    is_user = lambda p: (p["forge"].isNotNull() & (p["login"] != "") & ~p["login"].contains(".")
+                         & ~F.lower(p["login"]).isin(fixed.NON_PROFILE))
+    return let(let(strip(url), profile), lambda p: F.when(is_user(p), p))
 
 
 def package_name_guesses(repo: Column) -> Column:

@@ -7,62 +7,49 @@ the few surviving pairs verified with `contains`.  The key of a name is
 
 * four words or more: its longest pair of neighbouring inner words, which occur
   whole in any text containing the name;
-* two or three words: the letters on either side of its first space (up to three
-  each), since the text has the end of one word and the start of the next there;
-* one word: its first `min_len` letters, matched against every run of that many
-  letters inside the text's words.
-
-So the number of keys grows with the words of the text, and the result is exact.
+* two or three words: the letters on either side of its first space (three each,
+  or one each if a word is shorter), since there the text has the end of one word
+  and the start of the next;
+* one word: its first `min_len` letters, looked up among all runs of that many
+  letters in the text.
+
+Each family of keys is one overlapping regular-expression match over the text, so
+keys grow with the text and not with the number of names, and the result is exact.
 """
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.text import all_matches, let
 
-def _edge(u: Column, v: Column, a: int, b: int) -> Column:
-    return F.xxhash64(F.lit("e"), F.right(u, F.lit(a)), F.left(v, F.lit(b)))
-
-
-def _pair(u: Column, v: Column) -> Column:
-    return F.xxhash64(F.lit("p"), u, v)
-
-
-def _gram(token: Column, at, n: int) -> Column:
-    return F.xxhash64(F.lit("g"), F.substring(token, at, n))
+# Overlapping matches: a look-ahead captures without consuming.
+_WORD_PAIRS = r"(?<![^ ])(?=([^ ]+ [^ ]+))"
+_EDGES = r"(?=([^ ]{3} [^ ]{3}))"
+_SHORT_EDGES = r"(?=([^ ] [^ ]?))"
 
 
 def name_key(name: Column, min_len: int) -> Column:
-    toks = F.split(name, " ")
-    n = F.size(toks)
-    t0, t1 = F.get(toks, F.lit(0)), F.get(toks, F.lit(1))
-    a = F.when(F.length(t0) >= 3, 3).otherwise(1)
-    b = F.when(F.length(t1) >= 3, 3).when(F.length(t1) >= 1, 1).otherwise(0)
-    edge = F.xxhash64(F.lit("e"), F.right(t0, a), F.left(t1, b))
-
-    inner = F.filter(F.transform(F.slice(toks, 2, F.greatest(n - 3, F.lit(0))), lambda u, i: F.struct(
-        (F.length(u) + F.length(F.get(toks, i + 2))).alias("len"),
-        u.alias("u"), F.get(toks, i + 2).alias("v"))), lambda p: p["u"] != "")
-    best = F.array_max(inner)
-    return (F.when(n == 1, _gram(name, 1, min_len))
-             .when((n >= 4) & best.isNotNull(), _pair(best["u"], best["v"]))
-             .otherwise(edge))
+    def key(toks):
+        n = F.size(toks)
+        t0, t1 = F.get(toks, F.lit(0)), F.get(toks, F.lit(1))
+        width = F.when((F.length(t0) >= 3) & (F.length(t1) >= 3), 3).otherwise(1)
+        edge = F.concat(F.right(t0, width), F.lit(" "), F.left(t1, width))
+        # Neighbours among the inner words: second to last but one.
+        first = F.slice(toks, F.lit(2), F.greatest(n - 3, F.lit(0)))
+        pairs = F.filter(
+            F.transform(first, lambda u, i: F.struct(u.alias("u"), F.get(toks, i + 2).alias("v"))),
+            lambda p: (p["u"] != "") & (p["v"] != ""))
+        longest = F.array_max(F.transform(pairs, lambda p: F.struct(
+            (F.length(p["u"]) + F.length(p["v"])).alias("len"),
+            F.concat_ws(" ", p["u"], p["v"]).alias("pair"))))
+        return F.when(n > 1, F.coalesce(longest["pair"], edge))
+    return F.coalesce(let(F.split(name, " "), key), F.left(name, F.lit(min_len)))
 
 
 def text_keys(text: Column, min_len: int) -> Column:
     """All keys a (lower-cased) text answers to, distinct."""
-    toks = F.split(text, " ")
-    n = F.size(toks)
-    gaps = F.flatten(F.zip_with(
-        F.slice(toks, F.lit(1), n - 1), F.slice(toks, F.lit(2), F.greatest(n - 1, F.lit(0))),
-        lambda u, v: F.when(u != "", F.array_distinct(F.array(
-            _pair(u, v),
-            F.when(v == "", _edge(u, v, 1, 0)).otherwise(_edge(u, v, 1, 1)),
-            F.when(v == "", _edge(u, v, 3, 0)).otherwise(_edge(u, v, 3, 1)),
-            _edge(u, v, 1, 3), _edge(u, v, 3, 3)))).otherwise(F.array().cast("array<bigint>"))))
-    words = F.array_distinct(F.filter(toks, lambda t: F.length(t) >= min_len))
-    grams = F.flatten(F.transform(words, lambda t: F.transform(
-        F.sequence(F.lit(1), F.length(t) - (min_len - 1)), lambda i: _gram(t, i, min_len))))
-    return F.array_distinct(F.concat(F.when(n > 1, gaps).otherwise(
-        F.array().cast("array<bigint>")), grams))
+    grams = rf"(?=([^ ]{{{min_len}}}))"
+    return F.array_distinct(F.concat(*[
+        all_matches(text, p) for p in (_WORD_PAIRS, _EDGES, _SHORT_EDGES, grams)]))
 
 
 def contains_join(texts: DataFrame, names: DataFrame, ids: list[str], text: str = "text",
@@ -77,8 +64,9 @@ def contains_join(texts: DataFrame, names: DataFrame, ids: list[str], text: str
     """
     on, keep = on or [], keep or []
     keyed_names = (names.where(F.length(name) >= min_len).select(*on, name).distinct()
-                   .withColumn("_key", name_key(F.col(name), min_len)))
-    keyed_texts = texts.select(*ids, F.explode(text_keys(F.col(text), min_len)).alias("_key"))
+                   .withColumn("_key", F.xxhash64(name_key(F.col(name), min_len))))
+    keyed_texts = texts.select(*ids, F.explode(text_keys(F.col(text), min_len)).alias("_key")) \
+        .withColumn("_key", F.xxhash64("_key"))
     pairs = keyed_texts.join(keyed_names, [*on, "_key"]).select(*ids, name).distinct()
     return (pairs.join(texts.select(*ids, F.col(text).alias("_text"), *keep), ids)
             .where(F.col("_text").contains(F.col(name))).select(*ids, name, *keep))
