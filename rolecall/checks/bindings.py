@@ -27,6 +27,12 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def spread(self, name: str) -> DataFrame:
+        """A text table on all cores: a small one arrives as one scan task."""
+        df = getattr(self, name)
+        cores = self.spark.sparkContext.defaultParallelism
+        return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
     # -- people -------------------------------------------------------------
     @cached_property
     def n_suppliers(self) -> Column:
@@ -186,16 +192,17 @@ class Tables:
         return candidate_keys(self.candidates, self.keys)
 
     # -- role files: one text per document, made line by line ---------------
-    def document_files(self, path: Column, line) -> DataFrame:
+    def document_files(self, path: Column, line, blank: str = " ") -> DataFrame:
         """(forge, repo, path, text) with each line of a document rewritten.
 
-        `line(letters, i, doc_id)` gives the new line from the letters of the old.
+        `line(letters, i, doc_id)` gives the new line from the letters of the old,
+        everything between letters being one `blank`.
         """
-        letters = lambda x: F.regexp_replace(F.lower(x), "[^a-z]+", "_")
+        letters = lambda x: F.regexp_replace(F.lower(x), "[^a-z]+", blank)
         text = F.array_join(F.transform(lines(F.col("text")), lambda x, i: line(
             letters(x), i.cast("bigint"), F.col("doc_id"))), "\n")
         repo = self.part_names.select(F.col("partkey").alias("doc_id"), "repo")
-        docs = self.documents.select("doc_id", path.alias("path"), text.alias("text"))
+        docs = self.spread("documents").select("doc_id", path.alias("path"), text.alias("text"))
         return docs.join(repo, "doc_id").select(F.lit("github").alias("forge"), "repo", "path", "text")
 
 

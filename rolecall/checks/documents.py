@@ -27,6 +27,8 @@ FROM (SELECT doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS x FROM (
           '\r\n?|[\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]', chr(10), 'g'), chr(10)) AS ls
         FROM documents)) JOIN b_repos r ON r.partkey = doc_id""")
 
+view("b_wlines", "SELECT repo, d, i, replace(w, '_', ' ') AS w FROM b_lines")
+
 # --- CODEOWNERS ------------------------------------------------------------
 view("b_co_lines", """
 SELECT repo, i, prio, CASE
@@ -63,9 +65,9 @@ def codeowners_files(t) -> DataFrame:
              .otherwise(cat("/", w, "/ @", t.login(t.someone(d + i + prio(d))), " @brands/team",
                             text(i % 3))))
     main = t.document_files(F.element_at(paths, (F.col("doc_id") % 3 + 1).cast("int")),
-                            line(lambda d: d % 3))
+                            line(lambda d: d % 3), "_")
     more = t.document_files(F.when((F.col("doc_id") % 4 == 0) & (F.col("doc_id") % 3 != 2),
-                                   F.element_at(paths, 3)), line(lambda d: F.lit(2)))
+                                   F.element_at(paths, 3)), line(lambda d: F.lit(2)), "_")
     return main.unionByName(more.where("path IS NOT NULL"))
 
 
@@ -116,7 +118,7 @@ def codeowners_evidence(t):
 view("b_owners_lines", """
 SELECT repo, i, CASE WHEN i % 8 = 0 THEN 'approvers:' WHEN i % 8 = 4 THEN 'reviewers:'
   WHEN i % 8 = 7 THEN '# ' || w ELSE '  - s' || ((d + i) % (SELECT count(*) FROM supplier)) END AS txt
-FROM b_lines WHERE d % 2 = 0""")
+FROM b_wlines WHERE d % 2 = 0""")
 view("b_owners", """
 SELECT DISTINCT repo, key, login FROM (
   SELECT repo, txt, key, blk, max(blk) OVER (PARTITION BY repo, key) AS last, regexp_extract(txt, 's[0-9]+') AS login
@@ -129,7 +131,7 @@ SELECT o.person_id, o.repo, CASE WHEN o.approver THEN 'maintainer' ELSE 'code_ow
 FROM (SELECT a.person_id, w.repo, bool_or(w.key = 'approvers:') AS approver
       FROM b_owners w JOIN b_acc a USING (login) GROUP BY a.person_id, w.repo) o
 JOIN b_cand c USING (person_id, repo)""")
-view("b_maint0", "SELECT *, (SELECT count(*) FROM supplier) AS n FROM b_lines WHERE d % 3 < 2")
+view("b_maint0", "SELECT *, (SELECT count(*) FROM supplier) AS n FROM b_wlines WHERE d % 3 < 2")
 view("b_maint", """
 SELECT repo, i, 'handle' AS kind, 's' || ((d + i) % n) AS key FROM b_maint0 WHERE i % 5 IN (1, 3)
 UNION ALL SELECT repo, i, 'name', 'supplier no' || ((d * 3 + i) % n) FROM b_maint0 WHERE i % 5 IN (1, 2)
@@ -178,7 +180,7 @@ view("b_gov_lines", """
 SELECT repo, i, CASE WHEN i % 9 = 0 THEN 'Steering Council' WHEN i % 9 = 3 THEN 'Maintainers ' || w
   WHEN i % 9 IN (1, 4) THEN '- @s' || ((d + i) % (SELECT count(*) FROM supplier))
   WHEN i % 9 = 6 THEN 'Supplier No' || ((d * 5 + i) % (SELECT count(*) FROM supplier)) || ' ' || w
-  ELSE w END AS txt FROM b_lines""")
+  ELSE w END AS txt FROM b_wlines""")
 view("b_gov_windows", r"""
 SELECT repo, i, w, regexp_matches(w, '(?i)steering council|steering committee|technical (?:steering )?committee|\btsc\b|core team|council member|governing board|bdfl|project lead') AS council,
        regexp_matches(w, '(?i)maintainer|core developer|core contributor|lead') AS maint
@@ -251,7 +253,7 @@ def proposals(t):
     is_rst = F.col("partkey") % 2 == 0
     ext = F.when(is_rst, ".rst").otherwise(".md")
     is_dir = d % 10 == 0
-    df = t.documents.join(t.part_names.select("partkey", "repo"),
+    df = t.spread("documents").join(t.part_names.select("partkey", "repo"),
                           F.floor(d / 40).cast("bigint") == F.col("partkey"))
     name = F.when(is_dir, num).otherwise(cat(num, "-x", ext))
     entries = df.select(F.lit("github").alias("forge"), "repo", F.lit("proposals").alias("dir"),
@@ -316,7 +318,7 @@ SELECT repo, i, CASE d % 3 WHEN 0 THEN 1 WHEN 1 THEN 6 ELSE 11 END AS prio, CASE
   WHEN i % 8 = 0 THEN '* Supplier No' || ((d + i) % n) || ' for core ' || w
   WHEN i % 8 = 4 THEN '* Supplier No' || ((d * 3 + i) % n) || ' ' || w
   WHEN i % 4 = 1 THEN '@s' || ((d * 5 + i) % n) || ' for core, ' || w ELSE w END AS txt
-FROM (SELECT *, (SELECT count(*) FROM supplier) AS n FROM b_lines)""")
+FROM (SELECT *, (SELECT count(*) FROM supplier) AS n FROM b_wlines)""")
 
 
 def credit_files(t) -> DataFrame:
@@ -368,7 +370,7 @@ ON length(n.name) >= 6 AND contains(lower(d.text), n.name)""")
 def contained_passages(t):
     names = t.benchmark.select(F.explode(F.split(F.lower("text"), r"\.")).alias("name")).select(
         F.trim("name").alias("name"))
-    texts = t.documents.select("doc_id", F.lower("text").alias("text"))
+    texts = t.spread("documents").select("doc_id", F.lower("text").alias("text"))
     return contains_join(texts, names, ["doc_id"])
 
 

@@ -38,7 +38,7 @@ def pages(t):
     k = F.col("page_id")
     extra = cat('<ul><li><a href="https://GitHub.com/S', text(t.someone(k * 7)),
                 '">x</a></li><li>Supplier&nbsp;No', text(t.someone(k * 11)), " &amp; co</li></ul>")
-    return t.pages.select("page_id", cat(F.col("url"), "#", text(k)).alias("url"),
+    return t.spread("pages").select("page_id", cat(F.col("url"), "#", text(k)).alias("url"),
                           cat(F.col("html"), extra).alias("html"))
 
 
@@ -206,7 +206,7 @@ def articles(t):
                    "]]<ref name=a>r, s</ref><br/>The Dev Team\n| genre = x\n}}\n'''Part''' was initially created by ",
                    who(7), " in 2001; later re-founded by Supplier Q. No", text(t.someone(k * 11)), " again. ",
                    F.coalesce("text", F.lit("")))
-    docs = t.documents.select(F.col("doc_id").alias("partkey"), F.regexp_replace("text", "[A-Z]", "x").alias("text"))
+    docs = t.spread("documents").select(F.col("doc_id").alias("partkey"), F.regexp_replace("text", "[A-Z]", "x").alias("text"))
     return t.part_names.join(docs, "partkey", "left").select(
         "repo", cat("Part ", text(k), " (software)").alias("title"), wikitext.alias("wikitext"))
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions import display
 from ..operators import report, scoring
+from ..plans.lineage import cut
 from .base import check, view
 from .bindings import CFG
 from .documents import cat, text
@@ -223,7 +224,7 @@ SELECT person_id, repo, string_agg(txt, ', ' ORDER BY o) || CASE WHEN bool_or(ro
 
 @check("role_texts", "SELECT person_id, repo, role, txt AS text FROM b_role_text")
 def role_texts(t):
-    ev = evidence(t)
+    ev = cut(evidence(t))
     return report.role_texts(ev, records(t, ev)).select("person_id", "repo", "role", "text")
 
 
@@ -233,7 +234,7 @@ SELECT person_id, position, '- ' || repo || ' (' || CASE WHEN stars >= 1000 THEN
 FROM (SELECT *, row_number() OVER (PARTITION BY person_id ORDER BY score DESC, repo) AS position
       FROM b_tier WHERE tier = 'primary') JOIN b_label USING (person_id, repo) WHERE position <= 5""")
 def report_lines(t):
-    ev = evidence(t)
+    ev = cut(evidence(t))
     return report.highlights(records(t, ev), ev, 5).select(
         "person_id", F.col("position").cast("bigint").alias("position"), "line")
 
@@ -254,13 +255,13 @@ def report_footer(t):
 
 @check("report_json")
 def report_json(t):
-    ev = evidence(t)
+    ev = cut(evidence(t))
     return report.report_json(records(t, ev), ev, t.people)
 
 
 @check("report_markdown")
 def report_markdown(t):
-    ev = evidence(t)
+    ev = cut(evidence(t))
     return report.report_markdown(records(t, ev), ev, t.people)
 
 

@@ -22,17 +22,22 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.text import all_matches, let
 
 # Overlapping matches: a look-ahead captures without consuming.
-_WORD_PAIRS = r"(?<![^ ])(?=([^ ]+ [^ ]+))"
-_EDGES = r"(?=([^ ]{3} [^ ]{3}))"
-_SHORT_EDGES = r"(?=([^ ] [^ ]?))"
+PATTERNS = {
+    "pair": r"(?<![^ ])(?=([^ ]+ [^ ]+))",
+    "edge": r"(?=([^ ]{3} [^ ]{3}))",
+    "short": r"(?=([^ ] [^ ]?))",
+    "word": r"(?=([^ ]{%d}))",
+}
 
 
 def name_key(name: Column, min_len: int) -> Column:
+    """(kind, key) of a name; the kinds are those of PATTERNS."""
+    tagged = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))
+
     def key(toks):
         n = F.size(toks)
         t0, t1 = F.get(toks, F.lit(0)), F.get(toks, F.lit(1))
-        width = F.when((F.length(t0) >= 3) & (F.length(t1) >= 3), 3).otherwise(1)
-        edge = F.concat(F.right(t0, width), F.lit(" "), F.left(t1, width))
+        around = lambda width: F.concat(F.right(t0, F.lit(width)), F.lit(" "), F.left(t1, F.lit(width)))
         # Neighbours among the inner words: second to last but one.
         first = F.slice(toks, F.lit(2), F.greatest(n - 3, F.lit(0)))
         pairs = F.filter(
@@ -40,16 +45,18 @@ def name_key(name: Column, min_len: int) -> Column:
             lambda p: (p["u"] != "") & (p["v"] != ""))
         longest = F.array_max(F.transform(pairs, lambda p: F.struct(
             (F.length(p["u"]) + F.length(p["v"])).alias("len"),
-            F.concat_ws(" ", p["u"], p["v"]).alias("pair"))))
-        return F.when(n > 1, F.coalesce(longest["pair"], edge))
-    return F.coalesce(let(F.split(name, " "), key), F.left(name, F.lit(min_len)))
+            F.concat_ws(" ", p["u"], p["v"]).alias("pair"))))["pair"]
+        return (F.when(n == 1, tagged("word", F.left(name, F.lit(min_len))))
+                 .when(longest.isNotNull(), tagged("pair", longest))
+                 .when((F.length(t0) >= 3) & (F.length(t1) >= 3), tagged("edge", around(3)))
+                 .otherwise(tagged("short", around(1))))
+    return let(F.split(name, " "), key)
 
 
-def text_keys(text: Column, min_len: int) -> Column:
-    """All keys a (lower-cased) text answers to, distinct."""
-    grams = rf"(?=([^ ]{{{min_len}}}))"
-    return F.array_distinct(F.concat(*[
-        all_matches(text, p) for p in (_WORD_PAIRS, _EDGES, _SHORT_EDGES, grams)]))
+def text_keys(text: Column, min_len: int, kinds=tuple(PATTERNS)) -> Column:
+    """All keys of these kinds a (lower-cased) text answers to, distinct."""
+    patterns = [PATTERNS[k] % min_len if k == "word" else PATTERNS[k] for k in kinds]
+    return F.array_distinct(F.concat(*[all_matches(text, p) for p in patterns]))
 
 
 def contains_join(texts: DataFrame, names: DataFrame, ids: list[str], text: str = "text",
@@ -60,13 +67,17 @@ def contains_join(texts: DataFrame, names: DataFrame, ids: list[str], text: str
     `ids` identify a text; `on` (columns of both sides, part of the ids) restricts
     which names are looked for in it.  Both sides are expected lower-cased; names
     shorter than `min_len` never match.  `keep` names further columns of the texts
-    to return.
+    to return.  Building the plan reads the names once, to learn which of the four
+    kinds of keys occur.
     """
     on, keep = on or [], keep or []
     keyed_names = (names.where(F.length(name) >= min_len).select(*on, name).distinct()
-                   .withColumn("_key", F.xxhash64(name_key(F.col(name), min_len))))
-    keyed_texts = texts.select(*ids, F.explode(text_keys(F.col(text), min_len)).alias("_key")) \
-        .withColumn("_key", F.xxhash64("_key"))
+                   .withColumn("_k", name_key(F.col(name), min_len)))
+    # Only the kinds of keys that some name has are worth taking from the texts.
+    kinds = sorted(r[0] for r in keyed_names.select("_k.kind").distinct().collect())
+    keyed_names = keyed_names.select(*on, name, F.xxhash64("_k.key").alias("_key"))
+    keyed_texts = texts.select(*ids, F.explode(text_keys(F.col(text), min_len, kinds or ["edge"]))
+                               .alias("_key")).withColumn("_key", F.xxhash64("_key"))
     pairs = keyed_texts.join(keyed_names, [*on, "_key"]).select(*ids, name).distinct()
     return (pairs.join(texts.select(*ids, F.col(text).alias("_text"), *keep), ids)
             .where(F.col("_text").contains(F.col(name))).select(*ids, name, *keep))
