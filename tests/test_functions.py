@@ -82,15 +82,15 @@ def test_readme_links_and_guesses(one):
 
 
 def test_page_text_and_handles(one):
-    html = '<p>Pearu&nbsp;Peterson &amp; <a href="https://GitHub.com/Pearu">x</a>&#233;&#x1F600;&lt;</p>'
-    assert one(markup.page_text, html) == " pearu peterson & x é\U0001F600< "
-    assert one(markup.page_handles, html) == ["pearu"]
+    html = '<p>Ronja&nbsp;Weberson &amp; <a href="https://GitHub.com/Ronja">x</a>&#233;&#x1F600;&lt;</p>'
+    assert one(markup.page_text, html) == " ronja weberson & x é\U0001F600< "
+    assert one(markup.page_handles, html) == ["ronja"]
 
 
 def test_infobox_authors(one):
-    t = ("{{Infobox software\n| name = X\n| author = [[Travis Oliphant]], [[A|Pearu Peterson]]<br/>"
+    t = ("{{Infobox software\n| name = X\n| author = [[Travis Oliphant]], [[A|Ronja Weberson]]<br/>"
          "Eric Jones<ref name=a>z, y</ref> and The Community Project\n| genre = y\n}}")
-    assert one(markup.infobox_authors, t) == ["Travis Oliphant", "Pearu Peterson", "Eric Jones"]
+    assert one(markup.infobox_authors, t) == ["Travis Oliphant", "Ronja Weberson", "Eric Jones"]
     assert one(markup.infobox_authors, "no box") == []
 
 
@@ -100,8 +100,8 @@ def test_prose_founders(one):
 
 
 CODEOWNERS = """# Sparse Tensors
-/aten/sparse/ @pearu @org/sparse-team
-/torch/sparse/ pearu@example.com  # inline
+/aten/sparse/ @ronja @org/sparse-team
+/torch/sparse/ ronja@example.com  # inline
 \t
 * @lead
 # Docs
@@ -114,8 +114,8 @@ def test_codeowner_rules(one, spark):
     rules = spark.createDataFrame([(CODEOWNERS,)], "t string").select(
         F.inline(doc.codeowner_rules(F.col("t")))).collect()
     assert [(r.pattern, r.owners, r.section) for r in rules] == [
-        ("/aten/sparse/", ["@pearu", "@org/sparse-team"], "Sparse Tensors"),
-        ("/torch/sparse/", ["pearu@example.com"], "Sparse Tensors"),
+        ("/aten/sparse/", ["@ronja", "@org/sparse-team"], "Sparse Tensors"),
+        ("/torch/sparse/", ["ronja@example.com"], "Sparse Tensors"),
         ("*", ["@lead"], None), ("docs2/", ["@Doc-Writer"], "Docs")]
     assert one(lambda t: doc.all_owners(doc.codeowner_rules(t)), "a @x @y\nb @y @z") == ["@x", "@y", "@z"]
     assert one(doc.rule_scope, "*", None) is None
