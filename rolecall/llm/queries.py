@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, toxicity
+from . import jaccard, language, toxicity
 from .stages import fold_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,13 @@ def held_out(folds: int, left: int):
     return F.coalesce(fold_of(F.col("doc_id"), folds) == left, F.lit(False))
 
 
+@query
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies by 3-word shingles at a Jaccard similarity of 0.9 and more."""
+    settings = jaccard.JaccardSettings(width=3, numerator=9, denominator=10, thin=2)
+    return jaccard.near_copies(table(spark, sf_dir, "documents"), settings, "op2")
+
+
 @query
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learnt from labelled rows outside the held fold; null ids are scored, not learnt."""
