@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, language, toxicity
+from . import jaccard, language, toxicity, winnowing
 from .stages import fold_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,18 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_copies(table(spark, sf_dir, "documents"), settings, "op2")
 
 
+@query
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Winnowing fingerprints of every document and of its edited text, and how alike they are."""
+    rows = winnowing.edits(table(spark, sf_dir, "documents")).withColumns(
+        {"own": winnowing.hashes(F.col("packed")), "changed": winnowing.hashes(F.col("edited_packed"))})
+    return rows.select(
+        "doc_id", "n_chars", "edited_sha256", winnowing.digest(F.col("packed")).alias("fingerprint"),
+        winnowing.digest(F.col("edited_packed")).alias("edited_fingerprint"),
+        winnowing.likeness(F.col("own"), F.col("changed")).alias("near_edited"),
+        winnowing.likeness(F.col("own"), F.col("next_hashes")).alias("near_next"))
+
+
 @query
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learnt from labelled rows outside the held fold; null ids are scored, not learnt."""
