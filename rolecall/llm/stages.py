@@ -77,3 +77,8 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         labels = moved.select("node", "label")
         if moved.filter("before <> label").isEmpty():
             return labels.withColumnRenamed("label", "component")
+
+
+def small(staged: DataFrame, rows: int) -> DataFrame:
+    """A staged table, marked for broadcast if it has at most `rows` rows; beyond that Spark joins by shuffling."""
+    return F.broadcast(staged) if staged.limit(rows + 1).count() <= rows else staged
