@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, jaccard, language, toxicity, winnowing
+from . import contamination, jaccard, language, pieces, toxicity, winnowing
 from .stages import fold_of
 
+#: The vocabulary file of the tokenizer query and of the last pipeline stage.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -71,3 +74,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs.select("doc_id", "text"), model).select(
         "doc_id", held_out(3, 1).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"),
         F.col("lang_rejected").alias("rejected"))
+
+
+@query
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token ids of every document, and whether they decode to its text."""
+    return pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES).select(
+        "doc_id", "n_tokens", "round_trip", "token_ids")
