@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, jaccard, language, pieces, toxicity, winnowing
+from . import contamination, jaccard, language, lattice, pieces, toxicity, winnowing
 from .stages import fold_of
 
 #: The vocabulary file of the tokenizer query and of the last pipeline stage.
@@ -38,6 +38,14 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_copies(table(spark, sf_dir, "documents"), settings, "op2")
 
 
+@query
+def op3_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subword lattice likelihood of every document beside a smoothed word unigram."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = lattice.score(docs, fold_of(F.col("doc_id"), 5) != 1, PIECES, name="op3")
+    return scored.select("doc_id", held_out(5, 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Winnowing fingerprints of every document and of its edited text, and how alike they are."""
