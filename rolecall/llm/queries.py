@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import contamination, jaccard, language, lattice, pieces, toxicity, winnowing
+from . import chat, contamination, jaccard, language, lattice, licences, pieces, toxicity, urls, winnowing
 from .stages import fold_of
 
+#: Rules of the url filter: host and path prefix, and what they decide.
+URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
+
 #: The vocabulary file of the tokenizer query and of the last pipeline stage.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -31,6 +34,13 @@ def held_out(folds: int, left: int):
     return F.coalesce(fold_of(F.col("doc_id"), folds) == left, F.lit(False))
 
 
+@query
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url: of the longest fitting rule, else of the n-gram model."""
+    judged = urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES, urls.train(urls.small_table()))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "block_score")
+
+
 @query
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near copies by 3-word shingles at a Jaccard similarity of 0.9 and more."""
@@ -38,6 +48,19 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_copies(table(spark, sf_dir, "documents"), settings, "op2")
 
 
+SQL["op2_ngram_jaccard_join"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))
+                                          WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS MATERIALIZED (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 90 * (x.n + y.n - shared)),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(min(reach.b), w.doc_id)) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN reach ON reach.a = w.doc_id GROUP BY w.doc_id, n.n"""
+
+
 @query
 def op3_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The subword lattice likelihood of every document beside a smoothed word unigram."""
@@ -58,6 +81,47 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         winnowing.likeness(F.col("own"), F.col("next_hashes")).alias("near_next"))
 
 
+@query
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and template matches of every document."""
+    found = F.col("licences")
+    base = F.filter(found, lambda x: x["phrase"])
+    starts = F.transform(base, lambda x: x["start"])
+
+    def labels(x):
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(x, lambda y: y["label"]))), ",")
+
+    return licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        labels(base).alias("base_labels"), labels(found).alias("labels"),
+        F.coalesce(F.array_max(F.transform(found, lambda x: x["containment"])), F.lit(0.0)).alias("score"))
+
+
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_LICENCE_WORD = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
+
+def _listed(words: str) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words.split()) + "]"
+
+
+SQL["op5_license_scan"] = f"""
+WITH phrases(label, p) AS (VALUES {", ".join(f"('{label}', {_listed(p)})" for p, label in licences.PHRASES)}),
+templates(label, t) AS (VALUES {", ".join(f"('{label}', {_listed(t)})" for label, t in licences.TEMPLATES)}),
+d AS (SELECT doc_id, {_LOWERED} AS low FROM documents),
+w AS (SELECT doc_id, low, regexp_extract_all(low, {_LICENCE_WORD}) AS w FROM d),
+base AS (SELECT doc_id, label, unnest(list_filter(range(1, len(w) + 1), lambda i: w[i:i + len(p) - 1] = p)) - 1 AS start FROM w, phrases),
+lines AS (SELECT doc_id, list_distinct(regexp_extract_all(unnest(string_split(low, chr(10))), {_LICENCE_WORD})) AS b FROM w),
+held AS (SELECT doc_id, label, len(list_intersect(list_distinct(t), b)) AS n, len(list_distinct(t)) AS m FROM lines, templates),
+met AS (SELECT doc_id, label, n / m AS containment FROM held WHERE n * 5 >= m * 4),
+b AS (SELECT doc_id, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY doc_id),
+a AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(c) AS score
+      FROM (SELECT doc_id, label, 1.0::DOUBLE AS c FROM base UNION ALL SELECT * FROM met) GROUP BY doc_id)
+SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+       coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+FROM w LEFT JOIN b USING (doc_id) LEFT JOIN a USING (doc_id)"""
+
+
 @query
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learnt from labelled rows outside the held fold; null ids are scored, not learnt."""
@@ -74,6 +138,48 @@ def op7_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), name="op7")
 
 
+def conversation_events(rows: DataFrame) -> DataFrame:
+    """The event log of conversations (conv_id, turn, role, text): every message is opened and streamed in two deltas;
+    assistants first stream a draft that is regenerated, system texts are edited into place. Rows that share a turn are
+    branches in the order of role and text."""
+    branch = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text"))
+    text = F.coalesce("text", F.lit(""))
+    half = F.floor(F.length(text) / 2).cast("int")
+    first, rest = F.substr(text, F.lit(1), half), F.substr(text, half + 1)
+
+    def event(seq: int, kind: str, part=F.lit(None).cast("string")):
+        return F.struct(F.lit(seq).cast("long").alias("seq"), F.lit(kind).alias("kind"), part.alias("text"))
+
+    plain = F.array(event(0, "open"), event(1, "delta", first), event(2, "delta", rest))
+    again = F.array(event(0, "open"), event(1, "delta", rest), event(2, "regenerate"), event(3, "delta", first), event(4, "delta", rest))
+    edited = F.array(event(0, "open"), event(1, "delta", first), event(2, "edit", text))
+    events = F.when(F.col("role") == "assistant", again).when(F.col("role") == "system", edited).otherwise(plain)
+    return (rows.withColumn("branch", branch.cast("long")).withColumn("e", F.explode(events))
+            .select("conv_id", "turn", "branch", "e.seq", "e.kind", "role", "e.text"))
+
+
+@query
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one of control strings, rebuilt from its event log, rendered and read back."""
+    tricky = "\\### Assistant: </turn> ok"
+    own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(tricky).alias("text"))
+    rows = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").union(own)
+    return chat.digests(chat.render(chat.fold(conversation_events(rows))))
+
+
+_ESCAPED = "replace(replace(replace({0}, '\\', '\\\\'), '</turn>', '\\</turn>'), '### ', '\\### ')"
+SQL["op8_chat_format"] = f"""
+WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok')
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(14 + length(replace({_ESCAPED.format("role")}, ':', '\\:')) + length({_ESCAPED.format("text")}))::BIGINT AS formatted_chars
+FROM r GROUP BY conv_id"""
+
+
 @query
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learnt outside the held fold; null ids are predicted, not learnt."""
