@@ -107,7 +107,7 @@ def shingle_sets(words: Words, width: int) -> Iterator[np.ndarray]:
     h, n = words.hash, len(words.hash)
     rolled = np.zeros(n, np.uint64)
     for k in range(width):
-        rolled[: n - k] += mix(h[k:], k + 2)
+        rolled[: max(0, n - k)] += mix(h[k:], k + 2)
     rolled = mix(rolled)
     for a, b in zip(words.first[:-1], words.first[1:]):
         if b - a >= width:

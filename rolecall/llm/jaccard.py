@@ -13,7 +13,8 @@ does not hold, the thin subsets stay.
 
 Equal sets are one class before anything is compared. Within a signature, every class is first compared with the
 smallest one (linear in the group); groups that then still span several components are compared in blocks of
-bounded size, each block pair in one task, which reports a spanning forest and never all pairs.
+bounded size, each block pair in one task, which reports a spanning forest and never all pairs. Tallies of 256 cells
+rule out most partners beforehand, so only sets that may link are moved.
 """
 
 from __future__ import annotations
@@ -136,7 +137,7 @@ def _pairs(sigs: list[np.ndarray], keys: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def _fetched(settings: JaccardSettings):
-    kinds = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+    kinds = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("tally", pa.binary()), ("shingles", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
@@ -158,10 +159,77 @@ def _fetched(settings: JaccardSettings):
 def _listed(ids, values, kinds) -> pa.RecordBatch:
     lengths = np.array([len(v) for v in values], np.int64)
     places = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)), pa.array(lengths),
+    return pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)), pa.array(lengths), pa.array([tally(v) for v in values], pa.binary()),
                                        pa.ListArray.from_arrays(pa.array(places), pa.array(np.concatenate(values)))], schema=kinds)
 
 
+def tally(shingles: np.ndarray) -> bytes:
+    """How many elements fall into each of 256 cells (255 at most): two sets differ in at least as many elements as
+    their tallies do, which rules most pairs out before any set is moved."""
+    cells = (mix(shingles.view(np.uint64), 9) & np.uint64(255)).astype(np.int64)
+    return np.minimum(np.bincount(cells, minlength=256), 255).astype(np.uint8).tobytes()
+
+
+def _may_differ(a: np.ndarray, b: np.ndarray, settings: JaccardSettings) -> np.ndarray:
+    """In how many elements sets of the sizes `a` and `b` within the threshold may differ."""
+    return (a + b) * (settings.denominator - settings.numerator) // (settings.denominator + settings.numerator)
+
+
+def _tallies(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 256).astype(np.int16)
+
+
+def _plausible(settings: JaccardSettings):
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n_a, n_b = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
+            apart = np.abs(_tallies(batch.column("t_a")) - _tallies(batch.column("t_b"))).sum(axis=1)
+            yield batch.select(["a", "b"]).filter(pa.array(apart <= _may_differ(n_a, n_b, settings)))
+    return run
+
+
+def _partnered(settings: JaccardSettings):
+    """Of each block pair, the members with a partner of another component whose tally is near enough."""
+    names = ["sig", "low", "high", "rep", "comp", "side"]
+
+    def kept(group: pa.Table) -> pa.RecordBatch | None:
+        group = group.combine_chunks()
+        n, comp, side = (group.column(c).to_numpy() for c in ("n", "comp", "side"))
+        t = _tallies(group.column("tally").combine_chunks())
+        good = np.zeros(len(n), bool)
+        for i in range(len(n) - 1):
+            other = (comp[i + 1 :] != comp[i]) & ((side[i] < 0) | (side[i + 1 :] != side[i]))
+            if good[i] and not (other & ~good[i + 1 :]).any():
+                continue
+            at = np.flatnonzero(other)
+            near = np.abs(t[i + 1 + at] - t[i]).sum(axis=1) <= _may_differ(n[i], n[i + 1 + at], settings)
+            good[i + 1 + at[near]] = True
+            good[i] |= near.any()
+        out = group.select(names).filter(pa.array(good)).to_batches()
+        return out[0] if out else None
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []  # of the block pair at hand; a block bounds it
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy() for c in names[:3]], axis=1)
+            edges = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(keys)]])
+            for a, b in zip(edges[:-1], edges[1:]):
+                if held and tuple(keys[a]) != last:
+                    if (out := kept(pa.Table.from_batches(held))) is not None:
+                        yield out
+                    held = []
+                held.append(batch.slice(a, b - a))
+                last = tuple(keys[a])
+        if held and (out := kept(pa.Table.from_batches(held))) is not None:
+            yield out
+    return run
+
+
 class _Forest:
     def __init__(self):
         self.up: dict[int, int] = {}
@@ -263,14 +331,17 @@ def near_copies(docs: DataFrame, settings: JaccardSettings = JaccardSettings(),
                     .filter("leader < last").select("sig", "k1", "leader"), f"{name}-members")
     wanted = stage(classes.join(members.select("k1").distinct(), "k1"), f"{name}-wanted")
     sets = stage(text.join(wanted.select(F.col("rep").alias("doc_id"), "k1", "k2"), "doc_id")
-                 .mapInArrow(_fetched(settings), "rep long, n long, shingles array<bigint>")
+                 .mapInArrow(_fetched(settings), "rep long, n long, tally binary, shingles array<bigint>")
                  .dropDuplicates(["rep", "shingles"]), f"{name}-sets")
 
     pairs = members.filter("k1 <> leader").select("leader", "k1").distinct()
     to = wanted.select("k1", "rep", "n")
     pairs = (pairs.join(to.toDF("k1", "b", "n_b"), "k1").join(to.toDF("leader", "a", "n_a"), "leader")
              .filter(F.least("n_a", "n_b") * settings.denominator >= F.greatest("n_a", "n_b") * settings.numerator)
-             .filter("a <> b").select("a", "b"))
+             .filter("a <> b").select("a", "b", "n_a", "n_b"))
+    tallies = sets.select("rep", "tally")
+    pairs = stage(pairs.join(tallies.toDF("b", "t_b"), "b").join(tallies.toDF("a", "t_a"), "a").mapInArrow(_plausible(settings), "a long, b long"),
+                  f"{name}-pairs")
     shared = F.size(F.array_intersect("s_a", "s_b"))
     star = stage(pairs.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("s_b")), "b")
                  .join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("s_a")), "a")
@@ -290,14 +361,25 @@ def near_copies(docs: DataFrame, settings: JaccardSettings = JaccardSettings(),
              .groupBy("m", "x", "s", "total").agg(F.min("sig").alias("sig")).select("sig", "total"))
     blocks = F.ceil(F.col("total") / settings.block).cast("int")
     own = F.pmod(F.xxhash64("rep", F.lit(3)), F.col("blocks")).cast("int")
+    side = F.when(F.col("own") == F.col("with"), -1).when(F.col("own") < F.col("with"), 0).otherwise(1)
     placed = (left.join(alike, "sig").withColumn("blocks", blocks).withColumn("own", own)
               .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
               .select("sig", "rep", "comp", F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high"),
-                      F.when(F.col("own") == F.col("with"), -1).otherwise(F.when(F.col("own") < F.col("with"), 0).otherwise(1)).alias("side")))
-    rest = stage(placed.join(sets.select("rep", "shingles"), "rep")
-                 .select("sig", "low", "high", "rep", "comp", "side", "shingles")
-                 .repartition("sig", "low", "high").sortWithinPartitions("sig", "low", "high", "rep")
-                 .mapInArrow(_blocked(settings), "a long, b long"), f"{name}-rest")
+                      side.alias("side")))
+    groups = ["sig", "low", "high"]
+    placed = stage(placed.join(sets.select("rep", "n", "tally"), "rep").repartition(*groups).sortWithinPartitions(*groups, "rep")
+                   .mapInArrow(_partnered(settings), "sig long, low int, high int, rep long, comp long, side int"), f"{name}-placed")
+    # a set is moved once for its cluster of possible partners, not once for each signature
+    linked = placed.select("rep", F.min("rep").over(Window.partitionBy(*groups)).alias("with")).distinct()
+    cluster = stage(components(linked.select(F.col("rep").alias("a"), F.col("with").alias("b")), f"{name}-near")
+                    .join(placed.select("rep", "comp").distinct().withColumnRenamed("rep", "node"), "node")
+                    .join(wanted.groupBy(F.col("rep").alias("node")).agg(F.max("n").alias("n")), "node"), f"{name}-cluster")
+    sizes = cluster.groupBy("component").agg(F.sum("n").alias("total"))
+    dealt = (cluster.join(sizes, "component").select(F.col("component").alias("sig"), F.col("node").alias("rep"), "comp", blocks.alias("blocks"))
+             .withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .select("sig", "rep", "comp", F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high"), side.alias("side")))
+    rest = stage(dealt.join(sets.select("rep", "shingles"), "rep").select(*groups, "rep", "comp", "side", "shingles")
+                 .repartition(*groups).sortWithinPartitions(*groups, "rep").mapInArrow(_blocked(settings), "a long, b long"), f"{name}-rest")
 
     final = components(star.union(rest).distinct(), f"{name}-all")
     return (keys.join(classes.select("k1", "k2", "rep"), ["k1", "k2"], "left")
