@@ -113,7 +113,7 @@ def _merges(model: Model) -> list[tuple[str, str]]:
 
 def build(model: Model, whole: bool = True):
     """The model as a Tokenizer: of whole texts, or (`whole=False`) of units that already carry their leading space."""
-    from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers
+    from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
     if model.kind == UNIGRAM:
         core = models.Unigram([(p, s) for p, s, _ in model.pieces], model.unk_id, model.byte_fallback)
@@ -133,6 +133,10 @@ def build(model: Model, whole: bool = True):
         steps.append(normalizers.Replace(" ", MARK))
     if steps:
         tokenizer.normalizer = normalizers.Sequence(steps)
+    names = [p for p, _, t in model.pieces if t not in (_NORMAL, _USER) and len(p) > 1]
+    if model.kind == UNIGRAM and names:  # a text that spells the name of a control or byte piece does not mean it
+        inside = "|".join(f"{re.escape(p[0])}(?={re.escape(p[1:])})" for p in names)
+        tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(inside), "isolated")
     back = [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
     tokenizer.decoder = decoders.Sequence(back + ([decoders.Strip(" ", 1, 0)] if whole and model.prefix else []))
     own = [AddedToken(p, normalized=False) for p, _, t in model.pieces if t == _USER]
@@ -236,9 +240,15 @@ class Codec:
         result = [np.zeros(0, np.int32)] * len(rows)
         for r, a, b in zip(full, edge[:-1], edge[1:]):
             result[r] = out[a:b]
+        mark = MARK.encode()
+        if mark in raw:  # a text's own marker stands beside spaces like another space: such a text is encoded whole
+            for r, a, b in zip(full, begin, np.append(begin[1:], len(data))):
+                if mark in (text := raw[a + 1 : b]):
+                    result[r] = self._batch(self.whole, [text.decode()])[0]
+                    same[r] = False
         if self.wrong:
             bad = np.isin(unique, np.fromiter(self.wrong, np.uint64))[which]
-            same[full] = ~np.logical_or.reduceat(bad, np.searchsorted(places, begin))
+            same[full] &= ~np.logical_or.reduceat(bad, np.searchsorted(places, begin))
         return result, same
 
     def _remember(self, keys: np.ndarray, ids: list[np.ndarray]) -> None:

@@ -42,7 +42,7 @@ class UrlSettings:
     steps: int = 1500
     rate: float = 3.0
     penalty: float = 1e-4
-    prior: float = 0.35  # of urls to block, whatever the table holds
+    prior: float = 0.3  # of urls to block, whatever the table holds
     threshold: float = 0.35
 
 
