@@ -29,18 +29,24 @@ class WinnowSettings:
     window: int = 16
 
 
-def _packed(value: Column, place: Column) -> Column:
-    return F.shiftleft(F.shiftrightunsigned(F.xxhash64(value), 29), _PLACE).bitwiseOR((F.lit(_LAST) - place).cast("long"))
+_HASH = ((1 << 35) - 1) << _PLACE
+
+
+def _packed(value: Column, reversed_place: Column) -> Column:
+    return F.xxhash64(value).bitwiseAND(F.lit(_HASH)).bitwiseOR(reversed_place)
 
 
 def _least_of(values: Column, window: int) -> Column:
-    """The minimum of every `window` consecutive values, by minima of runs that double in length."""
+    """The minimum of every `window` consecutive values: minima of up to four runs that cover a longer one, again."""
+    def one_pass(shifts: list[int]):
+        return lambda v: F.transform(F.sequence(F.lit(0), F.size(v) - (shifts[-1] + 1)),
+                                     lambda i: F.least(*[F.get(v, i + k) if k else F.get(v, i) for k in shifts]))
+
     done = 1
     while done < window:
-        shift = min(done, window - done)
-        values = let(values, lambda v, s=shift: let(F.greatest(F.size(v) - s, F.lit(0)), lambda n: F.zip_with(
-            F.slice(v, F.lit(1), n), F.slice(v, F.lit(s + 1), n), lambda a, b: F.least(a, b))))
-        done += shift
+        shifts = sorted({min(done * j, window - done) for j in range(4)})
+        values = let(values, one_pass(shifts))
+        done += shifts[-1]
     return values
 
 
@@ -54,10 +60,11 @@ def minima(text: Column, offset: Column, settings: WinnowSettings) -> Column:
 
     def of(t: Column) -> Column:
         grams = F.length(t) - (g - 1)
+        reversed_places = F.sequence((F.lit(_LAST - 1) - offset).cast("long"), (F.lit(_LAST) - offset - grams).cast("long"), F.lit(-1).cast("long"))
         hashes = let(F.encode(t, "UTF-32"), lambda b: F.transform(
-            F.sequence(F.lit(1), grams), lambda i: _packed(F.substr(b, i * 4 - 3, F.lit(4 * g)), i + offset)))
+            reversed_places, lambda p, i: _packed(F.substr(b, i * 4 + 1, F.lit(4 * g)), p)))
         few = (F.when((grams >= 1) & (offset == 0), F.array(F.array_min(hashes)))
-               .when((F.length(t) > 0) & (offset == 0), F.array(_packed(F.encode(t, "UTF-32"), F.lit(1)))).otherwise(empty))
+               .when((F.length(t) > 0) & (offset == 0), F.array(_packed(F.encode(t, "UTF-32"), F.lit(_LAST - 1).cast("long")))).otherwise(empty))
         return F.when(grams >= w, _least_of(hashes, w)).otherwise(few)
 
     return let(text, of)
@@ -87,7 +94,8 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def digest(packed: Column) -> Column:
-    return F.sha2(F.array_join(packed.cast("array<string>"), ",").cast("binary"), 256)
+    """128 bits of a fingerprint, in hex."""
+    return F.lower(F.concat(*[F.lpad(F.hex(F.xxhash64(packed, F.lit(k))), 16, "0") for k in (1, 2)]))
 
 
 def _buckets(docs: DataFrame, parts: int) -> tuple[list[list[int]], list[int]]:
