@@ -28,7 +28,7 @@ def profile_links(t):
     src, dst = F.col("o_custkey"), F.pmod(F.col("o_orderkey") * 7919 + 13, n)
     direct = t.orders.select(_host(src).alias("forge"), cat("C", text(src)).alias("login"),
                              cat("https://", _host(dst, WEB), "/C", text(dst)).alias("url"))
-    own = t.orders.where("o_orderkey % 3 = 0").select(
+    own = t.orders.select(
         _host(src).alias("forge"), cat("c", text(src)).alias("login"),
         cat("https://site.example/", text(_site())).alias("url"))
     return direct.unionByName(own).distinct()
@@ -71,9 +71,9 @@ def mutual_links(t):
 
 @check("hub_accounts", f"""
 SELECT 'https://site.example/' || site AS url, ({HOSTS})[k % 5 + 1] AS forge, 'c' || k AS login FROM b_sites
-WHERE site IN (SELECT site FROM b_sites GROUP BY site HAVING count(*) <= 6)""")
+""")
 def hub_accounts(t):
-    return ac.hub_accounts(site_pages(t), 6).select("url", F.explode("accounts").alias("a")).select(
+    return ac.hub_accounts(site_pages(t)).select("url", F.explode("accounts").alias("a")).select(
         "url", "a.forge", "a.login")
 
 
@@ -83,10 +83,10 @@ SELECT ({HOSTS})[c_custkey % 5 + 1] AS forge, 'c' || c_custkey AS login,
        lower('Customer ' || c_mktsegment || ' N' || (c_custkey % 200)) AS name FROM customer""")
 view("b_onsite", """
 SELECT 'https://site.example/' || s.site AS url, s.site, ({h})[s.k % 5 + 1] AS forge, 'c' || s.k AS login
-FROM b_sites s WHERE site IN (SELECT site FROM b_sites GROUP BY site HAVING count(*) <= 6)""".replace("{h}", str(HOSTS)))
+FROM b_sites s""".replace("{h}", str(HOSTS)))
 view("b_mysites", f"""
 SELECT DISTINCT o_custkey AS person_id, CASE WHEN o_orderkey // 40 % 2 = 0 THEN o_orderkey // 5
-  ELSE 1000000000 + o_orderkey // 8 END AS site FROM orders WHERE o_orderkey % 3 = 0""")
+  ELSE 1000000000 + o_orderkey // 8 END AS site FROM orders""")
 
 
 @check("identity_round", """
@@ -101,12 +101,12 @@ JOIN b_named x ON x.login = s.login JOIN b_named y ON y.login = c.login AND y.na
 WHERE s.login <> c.login""")
 def identity_round(t):
     links, pages = profile_links(t), site_pages(t)
-    hubs = ac.hub_accounts(pages, 6)
+    hubs = ac.hub_accounts(pages)
     listed = hubs.select("url", F.explode("accounts").alias("a")).select("url", "a.forge", "a.login")
     anchors = customer_accounts(t).select(
         F.substring("login", 2, 20).cast("bigint").alias("person_id"), "forge", "login")
     return ac.closure_round(anchors, ac.profile_edges(links), ac.hub_links(links, hubs), listed,
-                            customer_accounts(t), 8)
+                            customer_accounts(t))
 
 
 @check("identity_closure")
@@ -118,8 +118,8 @@ def identity_closure(t):
 
 # --- names -----------------------------------------------------------------
 view("b_queries", """
-SELECT DISTINCT c_mktsegment || ' n' || (c_custkey % 200) AS query FROM customer WHERE c_custkey % 3 = 0
-UNION SELECT 'Ghost N' || c_custkey FROM customer WHERE c_custkey % 7 = 0""")
+SELECT DISTINCT c_mktsegment || ' n' || (c_custkey % 200) AS query FROM customer
+UNION SELECT 'Ghost N' || c_custkey FROM customer""")
 view("b_search", """
 SELECT q.query, 'c' || c.c_custkey AS login FROM b_queries q JOIN customer c
 ON lower(q.query) = lower(c.c_mktsegment) || ' n' || (c.c_custkey % 200)""")
@@ -127,25 +127,30 @@ ON lower(q.query) = lower(c.c_mktsegment) || ' n' || (c.c_custkey % 200)""")
 
 def queries(t):
     k = F.col("c_custkey")
-    known = t.customer.where("c_custkey % 3 = 0").select(cat(F.col("c_mktsegment"), " n", text(k % 200)).alias("query"))
-    ghosts = t.customer.where("c_custkey % 7 = 0").select(cat("Ghost N", text(k)).alias("query"))
+    known = t.customer.select(cat(F.col("c_mktsegment"), " n", text(k % 200)).alias("query"))
+    ghosts = t.customer.select(cat("Ghost N", text(k)).alias("query"))
     return known.unionByName(ghosts).distinct()
 
 
-@check("search_accounts", """
-SELECT query, login FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY login) AS n FROM b_search)
-WHERE n <= 8""")
+@check("search_accounts", "SELECT query, login FROM b_search")
 def search_accounts(t):
-    return ac.search_accounts(queries(t), customer_accounts(t), 8).select("query", "login")
+    return ac.search_accounts(queries(t), customer_accounts(t)).select("query", "login")
+
+
+@check("first_accounts", """
+SELECT query, login FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY login) AS n FROM b_search)
+WHERE n <= 2""")
+def first_accounts(t):
+    return ac.search_accounts(queries(t), customer_accounts(t), 2).select("query", "login")
 
 
 @check("resolve_names", """
 SELECT q.query, CASE WHEN n = 1 THEN one WHEN n IS NULL AND q.query LIKE 'Ghost%' AND k % 2 = 0 THEN 'g' || k END AS login,
        coalesce(n, CASE WHEN k % 2 = 0 THEN 1 ELSE 2 END) AS n_candidates
 FROM (SELECT *, CAST(regexp_extract(query, '([0-9]+)$', 1) AS BIGINT) AS k FROM b_queries) q
-LEFT JOIN (SELECT query, least(count(*), 8) AS n, min(login) AS one FROM b_search GROUP BY query) s USING (query)""")
+LEFT JOIN (SELECT query, count(*) AS n, min(login) AS one FROM b_search GROUP BY query) s USING (query)""")
 def resolve_names(t):
     k = F.col("c_custkey")
     claims = t.customer.select(cat("ghost n", text(k)).alias("name"), F.explode(F.array(
         cat("g", text(k)), cat("g", text(F.when(k % 2 == 0, k).otherwise(k + 1))))).alias("login"))
-    return ac.resolve_names(queries(t), customer_accounts(t), claims, 8)
+    return ac.resolve_names(queries(t), customer_accounts(t), claims)

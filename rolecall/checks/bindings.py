@@ -250,9 +250,7 @@ UNION ALL SELECT person_id, repo, 'pkg:npm' FROM b_items WHERE l_returnflag = 'R
 UNION ALL SELECT person_id, repo, 'search:CODEOWNERS' FROM b_items WHERE l_linenumber = 7
 UNION ALL SELECT a.person_id, r.repo, 'owned' FROM b_repos r JOIN b_acc a ON a.login = r.owner
  WHERE r.partkey % 5 = 0""")
-view("b_orgtop", """
-SELECT org, repo FROM (SELECT lower(owner) AS org, repo, row_number() OVER (
-  PARTITION BY lower(owner) ORDER BY stars DESC NULLS LAST, repo) AS n FROM b_meta) WHERE n <= 30""")
+view("b_orgtop", "SELECT lower(owner) AS org, repo FROM b_meta")
 view("b_parents", """
 SELECT l.person_id, m.parent AS repo FROM b_listed l JOIN b_meta m ON m.repo = l.repo
 WHERE l.source = 'owned' AND m.is_fork AND m.parent IS NOT NULL""")
@@ -274,14 +272,12 @@ SELECT c.*, coalesce(m.stars, 0) AS stars, coalesce(m.forks, 0) AS forks,
        coalesce(m.is_private, FALSE) AS is_private, m.pushed_at,
        k.repo IS NOT NULL AS known, k.importance, coalesce(k.override, FALSE) AS override
 FROM b_merged c LEFT JOIN b_meta m USING (repo) LEFT JOIN b_known k USING (repo)""")
-view("b_capped", """
+view("b_ranked", """
 SELECT repo, login, commits, rank() OVER (PARTITION BY repo ORDER BY commits DESC) AS rank,
-       count(*) OVER (PARTITION BY repo) AS n FROM (
-  SELECT *, row_number() OVER (PARTITION BY repo ORDER BY commits DESC, login) AS i FROM b_roster)
-WHERE i <= 200""")
+       count(*) OVER (PARTITION BY repo) AS n FROM b_roster""")
 view("b_standing", """
 SELECT a.person_id, r.repo, max(r.commits) AS commits, min(r.rank) AS rank, max(r.n) AS n_fetched
-FROM b_capped r JOIN b_acc a USING (login) GROUP BY a.person_id, r.repo""")
+FROM b_ranked r JOIN b_acc a USING (login) GROUP BY a.person_id, r.repo""")
 view("b_cand", """
 SELECT c.*, split_part(c.repo, '/', 1) AS owner, s.commits, s.rank, s.n_fetched,
        EXISTS (SELECT 1 FROM b_acc a WHERE a.person_id = c.person_id

@@ -28,7 +28,7 @@ SELECT * FROM (SELECT person_id, repo, commits, rank, CAST(
        WHEN commits >= 10 AND rank <= 10 THEN 0.8 END AS DOUBLE) AS confidence FROM b_standing)
 WHERE confidence IS NOT NULL""")
 def classify_contributor(t):
-    return roster.standings(t.roster, t.handles, 2).select(
+    return roster.standings(t.roster, t.handles, CFG.contributor_pages).select(
         "person_id", "repo", "commits", "rank",
         roles.contributor_confidence(F.col("commits"), F.col("rank")).alias("confidence")).where(
         "confidence IS NOT NULL")
@@ -41,7 +41,7 @@ SELECT lower(replace(p.p_brand, '#', '')) || '/all' AS repo, 'c' || o.o_custkey
        CAST(substr(p.p_brand, 7) AS BIGINT) AS brand
 FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN part p ON p.p_partkey = l.l_partkey""")
 view("b_brand_roster", """
-SELECT repo, login, count(*) AS commits FROM b_brand_commits WHERE login NOT LIKE '%7' GROUP BY 1, 2""")
+SELECT repo, login, count(*) AS commits FROM b_brand_commits GROUP BY 1, 2""")
 
 
 def brand_commits(t):
@@ -57,7 +57,7 @@ def brand_commits(t):
 
 
 def brand_roster(t):
-    return brand_commits(t).where("login NOT LIKE '%7'").groupBy("forge", "repo", "login").agg(
+    return brand_commits(t).groupBy("forge", "repo", "login").agg(
         F.count(F.lit(1)).alias("commits"))
 
 
@@ -144,9 +144,9 @@ def ownership_evidence(t):
     return ev.ownership(context(t)).select("person_id", "repo", "role", "confidence", "url")
 
 
-# Commits that touch files below a type directory, by a quarter of the suppliers' logins.
+# Commits that touch files below a type directory.
 view("b_touched", """
-SELECT lower(replace(p.p_brand, '#', '')) || '/mono' AS repo, 's' || (l.l_suppkey % 25) AS login,
+SELECT lower(replace(p.p_brand, '#', '')) || '/mono' AS repo, 's' || l.l_suppkey AS login,
        l.l_orderkey || '-' || l.l_linenumber || '-' || l.l_suppkey AS sha,
        lower(p.p_type) AS dir, lower(p.p_type) || '/' || replace(p.p_name, ' ', '/') || '/' || p.p_size
          AS path FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey""")
@@ -157,7 +157,7 @@ def touched(t):
     text = lambda c: F.col(c).cast("string")
     return t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(
         F.lit("github").alias("forge"), F.concat(brand, F.lit("/mono")).alias("repo"),
-        t.login(F.col("l_suppkey") % 25).alias("login"),
+        t.login(F.col("l_suppkey")).alias("login"),
         F.concat_ws("-", text("l_orderkey"), text("l_linenumber"), text("l_suppkey")).alias("sha"),
         F.concat_ws("/", F.lower("p_type"), F.replace("p_name", F.lit(" "), F.lit("/")),
                     text("p_size")).alias("path"))
@@ -166,7 +166,7 @@ def touched(t):
 @check("path_commits", """
 SELECT person_id, repo, path, n, CAST(
   CASE WHEN n >= 50 THEN 0.85 WHEN n >= 15 THEN 0.7 WHEN n >= 5 THEN 0.55 END AS DOUBLE) AS confidence
-FROM (SELECT a.person_id, repo, path, max(least(n, 500)) AS n FROM (
+FROM (SELECT a.person_id, repo, path, max(n) AS n FROM (
         SELECT repo, dir AS path, login, count(DISTINCT sha) AS n FROM b_touched GROUP BY 1, 2, 3
         UNION ALL
         SELECT repo, dir || '/red', login, count(DISTINCT sha) FROM b_touched
@@ -186,14 +186,13 @@ view("b_releases", """
 SELECT lower(replace(p.p_brand, '#', '')) || '/all' AS repo,
        's' || l.l_suppkey || CASE WHEN l.l_suppkey % 10 = 0 THEN '[bot]' ELSE '' END AS author,
        o.o_orderdate AS published, (o.o_orderkey * 10 + l.l_linenumber) * 100000 + l.l_suppkey AS seq
-FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey AND l.l_linenumber = 1
+FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey
 JOIN part p ON p.p_partkey = l.l_partkey""")
 
 
 def releases(t):
     login = t.login(F.col("l_suppkey"))
-    return (t.orders.join(t.lineitem.where("l_linenumber = 1"),
-                          F.col("l_orderkey") == F.col("o_orderkey"))
+    return (t.orders.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey"))
             .join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(
         F.lit("github").alias("forge"),
         F.concat(F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))), F.lit("/all")).alias("repo"),
@@ -208,8 +207,7 @@ SELECT a.person_id, h.repo, CAST(sum(h.n) AS BIGINT) AS mine, CAST(max(h.total)
        CASE WHEN sum(h.n) >= 2 THEN round(least(CAST(0.9 AS DOUBLE), CAST(0.55 AS DOUBLE)
          + CAST(0.35 AS DOUBLE) * (CAST(sum(h.n) AS DOUBLE) / max(h.total))), 2) END AS confidence
 FROM (SELECT repo, author AS login, count(*) AS n, sum(count(*)) OVER (PARTITION BY repo) AS total
-      FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY published DESC, seq DESC) AS i
-            FROM b_releases) WHERE i <= 100 AND NOT regexp_matches(author, '(?i)\\[bot\\]$')
+      FROM b_releases WHERE NOT regexp_matches(author, '(?i)\\[bot\\]$')
       GROUP BY repo, author) h JOIN b_acc a USING (login) GROUP BY a.person_id, h.repo""")
 def release_standing(t):
     s = roster.release_standings(releases(t), t.handles, CFG.last_releases)

@@ -1,4 +1,7 @@
-"""Run options.  Every threshold an operator uses is a field here."""
+"""Run options.  Every threshold an operator uses is a field here.
+
+Limits are off (None) unless a caller asks for the top of something.
+"""
 
 from dataclasses import dataclass
 
@@ -10,7 +13,7 @@ class Config:
     as_of: str = "2003-08-01 00:00:00"
     min_stars: int = 50
     # A host lists contributors in pages of 100; None means rosters are whole.
-    contributor_pages: int | None = 2
+    contributor_pages: int | None = None
     canonical_stars: int = 1000
     canonical_forks: int = 100
     role_discovery_floor: int = 1000
@@ -18,15 +21,16 @@ class Config:
     min_ranked_commits: int = 10
     min_merged_prs: int = 5
     min_index_commits: int = 15
-    path_commit_cap: int = 500
-    last_releases: int = 100
-    org_repo_limit: int = 30
-    packages_per_registry: int = 100
+    path_commit_cap: int | None = None
+    last_releases: int | None = None
+    org_repo_limit: int | None = None
+    packages_per_registry: int | None = None
+    proposals_per_series: int | None = None
     include_private: bool = False
-    max_accounts: int = 8
-    max_hub_accounts: int = 6
-    name_search_limit: int = 8
+    max_accounts: int | None = None
+    max_hub_accounts: int | None = None
+    name_search_limit: int | None = None
     refresh_days: int = 30
-    refresh_budget: int = 50
-    org_refresh_limit: int = 500
+    refresh_budget: int | None = None
+    org_refresh_limit: int | None = None
     result_version: int = 6

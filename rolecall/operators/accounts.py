@@ -1,5 +1,7 @@
 """One person's accounts across hosts, and full names to logins."""
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import text as tx, urls
@@ -22,18 +24,18 @@ def mutual_links(edges: DataFrame) -> DataFrame:
     return edges.join(back, edges.columns, "left_semi")
 
 
-def hub_accounts(pages: DataFrame, max_accounts: int) -> DataFrame:
-    """(url, accounts): pages that list a few profiles; link farms are left out.
+def hub_accounts(pages: DataFrame, max_accounts: int | None = None) -> DataFrame:
+    """(url, accounts): pages that list profiles; with `max_accounts`, those that list no more.
 
-    The list is cut off by its size inside the row, so at most `max_accounts`
-    profiles per page go on.
+    A page vouches for nobody by its size: `closure_round` asks that it lists a
+    confirmed account and that login or name agree.
     """
     found = F.array_distinct(F.transform(
         F.filter(F.transform(urls.extract_urls(F.col("html")), urls.profile_of),
                  lambda p: p.isNotNull()),
         lambda p: F.struct(p["forge"].alias("forge"), p["login"].alias("login"))))
-    return (pages.select("url", found.alias("accounts"))
-            .where((F.size("accounts") > 0) & (F.size("accounts") <= max_accounts)))
+    listed = pages.select("url", found.alias("accounts")).where(F.size("accounts") > 0)
+    return listed if max_accounts is None else listed.where(F.size("accounts") <= max_accounts)
 
 
 def hub_links(links: DataFrame, hubs: DataFrame) -> DataFrame:
@@ -45,17 +47,19 @@ def hub_links(links: DataFrame, hubs: DataFrame) -> DataFrame:
 
 
 def closure_round(confirmed: DataFrame, edges: DataFrame, sites: DataFrame, listed: DataFrame,
-                  accounts: DataFrame, max_accounts: int) -> DataFrame:
-    """Accounts one more round confirms, for persons still below the cap.
+                  accounts: DataFrame, max_accounts: int | None = None) -> DataFrame:
+    """Accounts one more round confirms, with `max_accounts` for persons still below it.
 
     Direct: a confirmed account links to it and it links to a confirmed account.
     Hub: a site linked from a confirmed account lists a confirmed account and this
     one, which shares a login or a display name with the person.
     """
     mine = ["person_id", *ACCOUNT]
-    open_ = confirmed.groupBy("person_id").agg(F.count(F.lit(1)).alias("n")).where(
-        F.col("n") < max_accounts).select("person_id")
-    active = confirmed.join(open_, "person_id", "left_semi").select(mine)
+    active = confirmed.select(mine)
+    if max_accounts is not None:
+        open_ = confirmed.groupBy("person_id").agg(F.count(F.lit(1)).alias("n")).where(
+            F.col("n") < max_accounts).select("person_id")
+        active = confirmed.join(open_, "person_id", "left_semi").select(mine)
     out = active.join(edges, ACCOUNT).select(
         "person_id", F.col("to_forge").alias("forge"), F.col("to_login").alias("login")).distinct()
     into = active.select("person_id", F.col("forge").alias("to_forge"),
@@ -78,13 +82,12 @@ def closure_round(confirmed: DataFrame, edges: DataFrame, sites: DataFrame, list
 
 
 def resolve_accounts(anchors: DataFrame, links: DataFrame, pages: DataFrame, accounts: DataFrame,
-                     *, max_accounts: int = 8, max_hub_accounts: int = 6) -> DataFrame:
+                     *, max_accounts: int | None = None, max_hub_accounts: int | None = None) -> DataFrame:
     """(person_id, forge, login, round): all confirmed accounts of each anchor.
 
     A round confirms everything the accounts known so far vouch for, whatever the
-    order of links; a person with `max_accounts` accounts stops growing.  Every
-    round of an open person adds an account, so `max_accounts` rounds suffice.
-    Each round is checkpointed: lineage stays flat and a lost executor costs one
+    order of links, until a round confirms nothing; with `max_accounts`, a person
+    who has that many stops growing.  Each round is checkpointed: lineage stays flat and a lost executor costs one
     round at most.
     """
     from ..plans.lineage import cut
@@ -96,18 +99,19 @@ def resolve_accounts(anchors: DataFrame, links: DataFrame, pages: DataFrame, acc
         "url", "a.forge", F.lower("a.login").alias("login")).distinct())
     confirmed = cut(anchors.select("person_id", "forge", F.lower("login").alias("login"),
                                    F.lit(0).alias("round")).distinct())
-    for r in range(1, max_accounts + 1):
+    for r in count(1):
         new = cut(closure_round(confirmed, edges, sites, listed, accounts, max_accounts)
                   .withColumn("round", F.lit(r)))
         if new.isEmpty():
             break
-        confirmed = confirmed.unionByName(new)
+        confirmed = cut(confirmed.unionByName(new))
     return confirmed
 
 
 # --- full names ------------------------------------------------------------
-def search_accounts(queries: DataFrame, accounts: DataFrame, limit: int) -> DataFrame:
-    """(query, login, name, bio, position): accounts whose name has every query word.
+def search_accounts(queries: DataFrame, accounts: DataFrame, limit: int | None = None) -> DataFrame:
+    """(query, login, name, bio, position): accounts whose name has every query word, the
+    first `limit` of each query if one is given.
 
     Each query is looked up by its rarest word only, and the other words are
     checked on the hits, so a common first name does not blow up the join.
@@ -125,11 +129,12 @@ def search_accounts(queries: DataFrame, accounts: DataFrame, limit: int) -> Data
             .where(F.size(F.array_except("toks", "name_toks")) == 0)
             .select("query", "login", "name", "bio").distinct())
     w = W.partitionBy("query").orderBy("login", "name")
-    return hits.withColumn("position", F.row_number().over(w)).where(F.col("position") <= limit)
+    placed = hits.withColumn("position", F.row_number().over(w))
+    return placed if limit is None else placed.where(F.col("position") <= limit)
 
 
 def resolve_names(queries: DataFrame, accounts: DataFrame, name_claims: DataFrame,
-                  limit: int = 8) -> DataFrame:
+                  limit: int | None = None) -> DataFrame:
     """(query, login, n_candidates): a login only when it is safe without asking.
 
     That is the case for a single search hit, or, without any hit, for claims that

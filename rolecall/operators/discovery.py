@@ -1,5 +1,6 @@
 """Candidate projects of every person: union of sources, metadata, gates."""
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -30,8 +31,10 @@ def fork_parents(owned: DataFrame, repos: DataFrame) -> DataFrame:
         "person_id", "forge", F.col("parent").alias("repo"))
 
 
-def top_org_repos(repos: DataFrame, limit: int) -> DataFrame:
-    """The most-starred repositories of each owner."""
+def top_org_repos(repos: DataFrame, limit: int | None = None) -> DataFrame:
+    """The most-starred repositories of each owner, all of them without a limit."""
+    if limit is None:
+        return repos.select(F.lower("owner").alias("org"), *REPO)
     w = W.partitionBy("forge", "org").orderBy(F.desc_nulls_last("stars"), "repo")
     return (repos.select(*REPO, F.lower("owner").alias("org"), "stars")
             .withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit)
@@ -195,6 +198,7 @@ def with_gates(candidates: DataFrame, keys: DataFrame, inputs: Inputs, standing:
 def discover(inputs: Inputs, keys: DataFrame, packages: DataFrame, registry_hits: DataFrame,
              cfg: Config) -> DataFrame:
     """Candidates worth scanning, with gates."""
+    inputs = replace(inputs, repos=merge_metadata(inputs.repos))
     merged = merge_hits(discovery_union(inputs, keys, packages, registry_hits, cfg))
     meta = resolve_metadata(merged, inputs.repos)
     known = registry.with_known(meta, inputs.known, inputs.known_aliases)

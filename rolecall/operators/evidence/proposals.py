@@ -50,8 +50,8 @@ def proposal_plans(entries: DataFrame, conventions: DataFrame) -> DataFrame:
     return curated.unionByName(detected)
 
 
-def proposal_docs(plans: DataFrame, entries: DataFrame) -> DataFrame:
-    """(…, n, path): documents of each series in listing order, at most the fixed number."""
+def proposal_docs(plans: DataFrame, entries: DataFrame, limit: int | None = None) -> DataFrame:
+    """(…, n, path): documents of each series in listing order, the first `limit` if one is given."""
     prefix = F.when(F.col("dir").isin("", "."), "").otherwise(F.concat("dir", F.lit("/")))
     inside = F.transform(F.lit(fixed.PROPOSAL_INDEX_FILES),
                          lambda f: F.concat(F.col("name"), F.lit("/"), f))
@@ -63,8 +63,8 @@ def proposal_docs(plans: DataFrame, entries: DataFrame) -> DataFrame:
               .select(*REPO, "pos", "header_format", "name", "i",
                       F.concat(prefix, "rel").alias("path")))
     w = W.partitionBy(*REPO, "pos").orderBy("name", "i")
-    return listed.withColumn("n", F.row_number().over(w)).where(
-        F.col("n") <= fixed.MAX_PROPOSAL_DOCS).drop("name", "i")
+    placed = listed.withColumn("n", F.row_number().over(w)).drop("name", "i")
+    return placed if limit is None else placed.where(F.col("n") <= limit)
 
 
 def proposal_authorship(docs: DataFrame, files: DataFrame, keys: DataFrame) -> DataFrame:
@@ -76,11 +76,13 @@ def proposal_authorship(docs: DataFrame, files: DataFrame, keys: DataFrame) -> D
             .join(keys, [*REPO, "kind", "key"])
             .groupBy("person_id", *REPO, "project_url", "pos", "n", "path")
             .agg(F.min(F.when(F.col("kind") == "name", 1).otherwise(0)).alias("weak")))
-    # A series lists at most MAX_PROPOSAL_DOCS documents, which bounds this list.
-    listed = F.array_sort(F.collect_list(F.struct("n", "path")))
-    series = (hits.groupBy("person_id", *REPO, "project_url", "pos")
-              .agg(F.count(F.lit(1)).alias("docs"), F.max("weak").alias("weak"),
-                   listed.alias("listed")))
+    group = ["person_id", *REPO, "project_url", "pos"]
+    # Only the first five are named, whatever the length of a series.
+    first = (hits.withColumn("_n", F.row_number().over(W.partitionBy(*group).orderBy("n", "path")))
+             .where("_n <= 5").groupBy(*group)
+             .agg(F.array_sort(F.collect_list(F.struct("n", "path"))).alias("listed")))
+    series = (hits.groupBy(*group).agg(F.count(F.lit(1)).alias("docs"), F.max("weak").alias("weak"))
+              .join(first, group))
     return (series.groupBy("person_id", *REPO, "project_url")
             .agg(F.min_by(F.struct("docs", "weak", "listed"), "pos").alias("s"))
             .select("person_id", *REPO, "project_url", "s.*")
@@ -104,7 +106,8 @@ def enhancement_proposals(ctx: Context):
     conv = registry.for_candidates(
         ctx.inputs.role_conventions.where("extractor = 'enhancement_proposals'"),
         ctx.inputs.known, ctx.inputs.known_aliases)
-    docs = proposal_docs(proposal_plans(ctx.inputs.dir_entries, conv), ctx.inputs.dir_entries)
+    docs = proposal_docs(proposal_plans(ctx.inputs.dir_entries, conv), ctx.inputs.dir_entries,
+                         ctx.cfg.proposals_per_series)
     found = proposal_authorship(docs, ctx.inputs.files, ctx.keys)
     return emit(found, "enhancement_proposals", role="standards_author",
                 url=urls.file_url(F.col("project_url"), F.col("path")),

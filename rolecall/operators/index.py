@@ -39,15 +39,18 @@ def due_repos(repos: DataFrame, runs: DataFrame, as_of: str, days: int) -> DataF
 
 
 def crawl_frontier(repos: DataFrame, runs: DataFrame, as_of: str, *, days: int = 30,
-                   budget: int = 50, considered: int = 500) -> DataFrame:
-    """Per organisation, the due ones of its most-starred repositories, within budget."""
+                   budget: int | None = None, considered: int | None = None) -> DataFrame:
+    """Per organisation, its due repositories, the most-starred first.
+
+    `considered` looks only at that many of an organisation, `budget` takes only so many.
+    """
     stars_first = W.partitionBy("org").orderBy(F.desc_nulls_last("stars"), "repo")
-    top = (repos.select(F.lower("owner").alias("org"), "repo", "stars")
-           .withColumn("_n", F.row_number().over(stars_first)).where(F.col("_n") <= considered)
-           .drop("_n"))
-    due = due_repos(top, runs, as_of, days)
-    return (due.withColumn("position", F.row_number().over(stars_first))
-            .where(F.col("position") <= budget))
+    top = repos.select(F.lower("owner").alias("org"), "repo", "stars")
+    if considered is not None:
+        top = (top.withColumn("_n", F.row_number().over(stars_first))
+               .where(F.col("_n") <= considered).drop("_n"))
+    due = due_repos(top, runs, as_of, days).withColumn("position", F.row_number().over(stars_first))
+    return due if budget is None else due.where(F.col("position") <= budget)
 
 
 def coverage(runs: DataFrame, roster: DataFrame, min_commits: int = 15) -> DataFrame:

@@ -97,16 +97,23 @@ def path_commits(commits: DataFrame, targets: DataFrame) -> DataFrame:
     parts = F.split("path", "/")
     parents = F.transform(F.sequence(F.lit(1), F.size(parts)),
                           lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
-    touched = commits.where("path IS NOT NULL AND login <> ''").select(
-        *REPO, F.lower("login").alias("login"), "sha", F.explode(parents).alias("path"))
-    return (touched.join(targets.select("repo", "path").distinct(), ["repo", "path"])
+    wanted = targets.select("repo", "path").distinct()
+    # Only projects and depths that have a target are listed out.
+    depths = wanted.groupBy("repo").agg(F.collect_set(F.size(F.split("path", "/"))).alias("depths"))
+    own = F.filter(F.transform(parents, lambda p, i: F.struct(p.alias("p"), (i + 1).alias("d"))),
+                   lambda s: F.array_contains("depths", s["d"]))
+    touched = commits.where("path IS NOT NULL AND login <> ''").join(depths, "repo").select(
+        *REPO, F.lower("login").alias("login"), "sha", F.explode(own).alias("s")).select(
+        *REPO, "login", "sha", F.col("s.p").alias("path"))
+    return (touched.join(wanted, ["repo", "path"])
             .groupBy(*REPO, "path", "login").agg(F.countDistinct("sha").alias("n")))
 
 
-def path_standings(counts: DataFrame, handles: DataFrame, cap: int) -> DataFrame:
-    """Commits of a person to a path: largest of their logins, capped per login."""
+def path_standings(counts: DataFrame, handles: DataFrame, cap: int | None = None) -> DataFrame:
+    """Commits of a person to a path: largest of their logins, up to `cap` if one is given."""
+    n = F.col("n") if cap is None else F.least(F.col("n"), F.lit(cap))
     return (counts.join(handles, "login").groupBy("person_id", *REPO, "path")
-            .agg(F.max(F.least(F.col("n"), F.lit(cap))).cast("bigint").alias("n")))
+            .agg(F.max(n).cast("bigint").alias("n")))
 
 
 def merged_pull_requests(pull_requests: DataFrame) -> DataFrame:
@@ -115,23 +122,26 @@ def merged_pull_requests(pull_requests: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("prs")))
 
 
-def last_releases(releases: DataFrame, last: int) -> DataFrame:
+def last_releases(releases: DataFrame, last: int | None = None) -> DataFrame:
+    """The newest releases of each project, all of them without a number."""
+    if last is None:
+        return releases
     w = W.partitionBy(*REPO).orderBy(F.desc("published_at"), F.desc("seq"))
     return releases.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= last)
 
 
-def release_counts(releases: DataFrame, last: int) -> DataFrame:
+def release_counts(releases: DataFrame, last: int | None = None) -> DataFrame:
     """(forge, repo, login, n, total): human releases among the last ones."""
     from ..functions.roles import is_bot
     human = (last_releases(releases, last)
              .where(F.col("author_login").isNotNull() & (F.col("author_login") != "")
                     & ~is_bot(F.col("author_login")))
              .groupBy(*REPO, F.lower("author_login").alias("login"))
-             .agg(F.count(F.lit(1)).alias("n")))            # at most `last` rows per project
-    return human.withColumn("total", F.sum("n").over(W.partitionBy(*REPO)))
+             .agg(F.count(F.lit(1)).alias("n")))
+    return human.join(human.groupBy(*REPO).agg(F.sum("n").alias("total")), REPO)
 
 
-def release_standings(releases: DataFrame, handles: DataFrame, last: int) -> DataFrame:
+def release_standings(releases: DataFrame, handles: DataFrame, last: int | None = None) -> DataFrame:
     """(person_id, forge, repo, mine, total) over the last releases, bots left out."""
     return (release_counts(releases, last).join(handles, "login").groupBy("person_id", *REPO)
             .agg(F.sum("n").alias("mine"), F.max("total").alias("total")))

@@ -5,6 +5,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 _DISTINCT = ("people", "repos", "orgs")
+SKETCH_BITS = 14        # a standard error of about 0.8 %
 
 
 def user_key() -> Column:
@@ -49,26 +50,32 @@ def usage_totals(scans: DataFrame) -> DataFrame:
 
 
 def usage_sketches(scans: DataFrame) -> DataFrame:
-    """Mergeable sketches of the distinct people and projects of each day."""
-    people = scans.groupBy(F.to_date("ts").alias("day")).agg(
-        F.hll_sketch_agg(user_key()).alias("people"))
-    repos = (scans.select(F.to_date("ts").alias("day"), F.explode("repos").alias("repo"))
-             .groupBy("day").agg(F.hll_sketch_agg(F.lower("repo")).alias("repos")))
-    return people.join(repos, "day", "left")
+    """Mergeable sketches of the distinct people, projects and communities of each day."""
+    day = F.to_date("ts").alias("day")
+    people = scans.groupBy(day).agg(F.hll_sketch_agg(user_key(), SKETCH_BITS).alias("people"))
+    seen = scans.select(day, F.lower("username").alias("self"), F.explode("repos").alias("repo")).select(
+        "day", "self", F.lower("repo").alias("repo"))
+    repos = seen.groupBy("day").agg(F.hll_sketch_agg("repo", SKETCH_BITS).alias("repos"))
+    owner = F.substring_index("repo", "/", 1)
+    orgs = (seen.where(F.col("repo").contains("/") & (owner != F.col("self")))
+            .groupBy("day").agg(F.hll_sketch_agg(owner, SKETCH_BITS).alias("orgs")))
+    return people.join(repos, "day", "left").join(orgs, "day", "left")
 
 
 def merge_sketches(sketches: DataFrame) -> DataFrame:
     """Estimates over all days, from the sketches alone."""
     return sketches.agg(
         F.hll_sketch_estimate(F.hll_union_agg("people")).alias("people"),
-        F.hll_sketch_estimate(F.hll_union_agg("repos")).alias("repos"))
+        F.hll_sketch_estimate(F.hll_union_agg("repos")).alias("repos"),
+        F.hll_sketch_estimate(F.hll_union_agg("orgs")).alias("orgs"))
 
 
-def recent_scans(scans: DataFrame, limit: int = 1000) -> DataFrame:
-    """Most recently scanned users, one row each, newest first."""
-    return (scans.groupBy(F.lower("forge").alias("forge"), F.lower("username").alias("username"))
+def recent_scans(scans: DataFrame, limit: int | None = None) -> DataFrame:
+    """Most recently scanned users, one row each, newest first; the first `limit` if one is given."""
+    rows = (scans.groupBy(F.lower("forge").alias("forge"), F.lower("username").alias("username"))
             .agg(F.max("ts").alias("created"), F.count(F.lit(1)).alias("scans"))
-            .orderBy(F.desc("created"), "forge", "username").limit(limit))
+            .orderBy(F.desc("created"), "forge", "username"))
+    return rows if limit is None else rows.limit(limit)
 
 
 def latest_snapshots(results: DataFrame, version: int) -> DataFrame:

@@ -1,16 +1,21 @@
 """Cutting lineage where a result is read many times or a loop would grow it."""
 
-import tempfile
+import os
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names; a temporary one only where none is set."""
+    """Use the folder the cluster names; a session on one machine may go without.
+
+    On a cluster executors share no local folder, so a missing setting is an error.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="rolecall-"))
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(shared or f"/tmp/checkpoints/{os.getuid()}")
 
 
 def cut(df: DataFrame) -> DataFrame:

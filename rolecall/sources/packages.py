@@ -17,11 +17,12 @@ def _repository_url(c: Column) -> Column:
     return F.when(c.startswith("{"), F.get_json_object(c, "$.url")).otherwise(c)
 
 
-def listed_packages(docs: DataFrame, limit: int = 100) -> DataFrame:
+def listed_packages(docs: DataFrame, limit: int | None = None) -> DataFrame:
     """(login, registry, name, url, repo, author_name, author_email, pos): packages a
-    registry lists for a login; at most `limit` per listing."""
+    registry lists for a login; the first `limit` of a listing if one is given."""
+    first = (lambda c: c) if limit is None else (lambda c: F.slice(c, 1, limit))
     npm = docs.where("registry = 'npm'").select(
-        "login", F.posexplode(F.slice(F.from_json("payload", NPM)["objects"], 1, limit))
+        "login", F.posexplode(first(F.from_json("payload", NPM)["objects"]))
         .alias("pos", "o")).select("login", "pos", "o.package.*").where("name <> ''").select(
         "login", F.lit("npm").alias("registry"), "name",
         F.concat(F.lit("https://www.npmjs.com/package/"), "name").alias("url"),
@@ -29,7 +30,7 @@ def listed_packages(docs: DataFrame, limit: int = 100) -> DataFrame:
                                     _repository_url(F.col("repository")))).alias("repo"),
         F.col("author.name").alias("author_name"), F.col("author.email").alias("author_email"), "pos")
     crates = docs.where("registry = 'crates'").select(
-        "login", F.posexplode(F.slice(F.from_json("payload", CRATES)["crates"], 1, limit))
+        "login", F.posexplode(first(F.from_json("payload", CRATES)["crates"]))
         .alias("pos", "c")).select("login", "pos", "c.*").where("name <> ''").select(
         "login", F.lit("crates").alias("registry"), "name",
         F.concat(F.lit("https://crates.io/crates/"), "name").alias("url"),
@@ -40,7 +41,7 @@ def listed_packages(docs: DataFrame, limit: int = 100) -> DataFrame:
 
 
 def person_packages(docs: DataFrame, people: DataFrame, keys: DataFrame,
-                    limit: int = 100) -> DataFrame:
+                    limit: int | None = None) -> DataFrame:
     """(person_id, registry, name, url, repo, author_match, pos) of each person."""
     own = (listed_packages(docs, limit).withColumn("login", handle_key(F.col("login")))
            .join(people.select("person_id", handle_key(F.col("primary_login")).alias("login")),

@@ -1,6 +1,6 @@
 """Usage counters over a stream of scans."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.usage import user_key
@@ -13,14 +13,28 @@ def windowed_scans(scans: DataFrame, width: str, late: str = "1 hour") -> DataFr
     """
     return (scans.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"))
             .agg(F.count(F.lit(1)).alias("scans"),
-                 F.approx_count_distinct(user_key()).alias("users"))
+                 F.approx_count_distinct(user_key(), 0.008).alias("users"))
             .select(F.col("w.start").alias("start"), "scans", "users"))
 
 
-def latest_users(scans: DataFrame, within: str = "1 day") -> DataFrame:
-    """Scans with re-scans of a user inside the watermark dropped."""
-    return scans.withWatermark("ts", within).withColumn("user_key", user_key()) \
-        .dropDuplicatesWithinWatermark(["user_key"])
+def fold_latest(scans: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append the newest scan of each user in a micro-batch to `path`.
+
+    A batch that is run again overwrites its own partition; late scans only lose
+    against newer ones, so order and repetition change nothing.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        (batch.groupBy(user_key().alias("user_key")).agg(F.max("ts").alias("ts"))
+         .write.mode("overwrite").parquet(f"{path}/batch={batch_id}"))
+
+    return (scans.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
+def read_latest(spark: SparkSession, path: str) -> DataFrame:
+    """(user_key, ts): the newest scan of each user over all batches."""
+    rows = spark.read.schema("user_key STRING, ts TIMESTAMP, batch BIGINT").option("basePath", path)
+    return rows.parquet(f"{path}/batch=*").groupBy("user_key").agg(F.max("ts").alias("ts"))
 
 
 def write_updates(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
