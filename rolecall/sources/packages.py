@@ -74,7 +74,3 @@ def pypi_authors(docs: DataFrame) -> DataFrame:
             key("email", "i.maintainer_email"))).alias("k")).select(
         "name", "url", "repo", "k.*").where("key IS NOT NULL").distinct()
 
-
-def package_index(packages: DataFrame) -> DataFrame:
-    """Package references keyed by the lower-cased repository they ship from."""
-    return packages.where("repo IS NOT NULL").withColumn("key", F.lower("repo"))

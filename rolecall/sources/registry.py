@@ -62,18 +62,18 @@ def tables(projects: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def conventions_for(conventions: DataFrame, extractor: str) -> DataFrame:
-    return conventions.where(F.col("extractor") == extractor)
-
-
 def registry_lines(projects: DataFrame) -> DataFrame:
     """(repo, json): one JSON object per project, unset fields left out, sorted by name."""
     fields = [c for c in projects.columns if c != "repo"]
-    body = F.to_json(F.struct(*[_or_null(c, projects).alias(c) for c in fields]))
+    body = F.to_json(F.struct("repo", *[_or_null(c, projects).alias(c) for c in fields]))
     return projects.select("repo", body.alias("json")).orderBy("repo")
 
 
 def save_registry(projects: DataFrame, path: str) -> None:
-    """Write one JSON line per project, in name order across the part files."""
-    registry_lines(projects).select(F.to_json(F.struct("repo", "json")).alias("value")) \
-        .write.mode("overwrite").text(path)
+    """Write each project as one line, a JSON object, in name order across the part files."""
+    registry_lines(projects).select(F.col("json").alias("value")).write.mode("overwrite").text(path)
+
+
+def read_saved(spark: SparkSession, path: str) -> DataFrame:
+    """(repo, …fields): the projects that `save_registry` wrote."""
+    return spark.read.text(path).select(F.from_json("value", f"struct<repo:string,{PROJECT[len('struct<'):]}").alias("p")).select("p.*")

@@ -48,11 +48,12 @@ def test_hub_accepts_same_login_or_same_name(spark):
     assert resolve(spark, links, page((G, "jane"), (C, "other")), names) == {(G, "jane"), (C, "other")}
 
 
-def test_hub_must_list_a_confirmed_account_and_be_small(spark):
+def test_hub_must_list_a_confirmed_account(spark):
     links = [(G, "jane", HUB, "")]
     assert resolve(spark, links, page((L, "jane"), (C, "jane"))) == {(G, "jane")}
-    farm = page((G, "jane"), (L, "jane"), *[(C, f"u{i}") for i in range(5)])
-    assert resolve(spark, links, farm) == {(G, "jane")}
+    farm = page((G, "jane"), (L, "jane"), *[(C, f"u{i}") for i in range(9)])
+    assert resolve(spark, links, farm) == {(G, "jane"), (L, "jane")}
+    assert resolve(spark, links, farm, max_hub_accounts=6) == {(G, "jane")}
 
 
 def test_cap_stops_a_chain(spark):
@@ -62,7 +63,7 @@ def test_cap_stops_a_chain(spark):
         nxt = (L, f"u{i}")
         chain += [(*prev, *nxt), (*nxt, *prev)]
         prev = nxt
-    assert len(resolve(spark, chain)) == 8
+    assert len(resolve(spark, chain)) == 13
     assert len(resolve(spark, chain, max_accounts=3)) == 3
 
 

@@ -31,8 +31,10 @@ def test_registry_round_trip_and_overlay(spark, tmp_path):
     reg.save_registry(merged, str(tmp_path / "out"))
     rows = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "out")).collect()]
     assert sorted(r["repo"] for r in rows) == ["o/a", "o/b", "o/c"]
-    body = json.loads(next(r["json"] for r in rows if r["repo"] == "o/b"))
-    assert body == {"importance": "high"}
+    assert next(r for r in rows if r["repo"] == "o/b") == {"repo": "o/b", "importance": "high"}
+    back = reg.read_saved(spark, str(tmp_path / "out"))
+    whole = lambda df: sorted((r.json for r in reg.registry_lines(df).collect()))
+    assert whole(back) == whole(merged) and set(back.columns) == set(merged.columns)
 
 
 def test_read_text_files(spark, tmp_path):
