@@ -113,7 +113,8 @@ def identity_round(t):
 def identity_closure(t):
     anchors = customer_accounts(t).select(
         F.substring("login", 2, 20).cast("bigint").alias("person_id"), "forge", "login")
-    return ac.resolve_accounts(anchors, profile_links(t), site_pages(t), customer_accounts(t))
+    # Random links join nearly all accounts, so a whole closure has customers x customers rows here.
+    return ac.resolve_accounts(anchors, profile_links(t), site_pages(t), customer_accounts(t), max_accounts=8, max_hub_accounts=6)
 
 
 # --- names -----------------------------------------------------------------

@@ -16,6 +16,7 @@ ROLE_WEIGHT = {
     "org_member": 0.40,
     "contributor": 0.10,
 }
+# Weight of a role not listed.
 UNKNOWN_ROLE_WEIGHT = 0.1
 
 # Order in which several roles of one project are listed.
@@ -47,6 +48,9 @@ ROLE_LABEL = {
     "contributor": "Contributor",
 }
 
+# Report line of a person without a shown project, after the login.
+NO_ROLES = ": no elevated roles found."
+
 # --- hosts -----------------------------------------------------------------
 # Web host of each known code host.
 DEFAULT_FORGE = "github"
@@ -79,6 +83,7 @@ SOURCES = [
     "commit-search", "registry", "pkg:npm", "pkg:crates", "pkg:pypi",
     "reverse-index", "manual",
 ]
+# Sources that alone prove little, and sources that prove a contribution.
 SPECULATIVE_SOURCES = ["org-repo", "registry"]
 GENUINE_SOURCES = ["contributed", "history"]
 
@@ -111,8 +116,6 @@ MANIFEST_PATHS = [
 ]
 PROPOSAL_DIRS = ["peps", "doc/neps", "neps", "proposals", "."]
 PROPOSAL_INDEX_FILES = ["index.md", "README.md", "index.rst", "readme.md"]
-MAX_PROPOSAL_DOCS = 800
-HEADER_LINES = 150
 
 # Patterns.
 TEAM_OWNER = r"^@([A-Za-z0-9-]+)/([A-Za-z0-9._-]+)$"
@@ -160,11 +163,11 @@ CLAIM_ROLE = {
     "P112": ("author", "founder", 0.9),
     "P178": ("maintainer", "developer", 0.75),
 }
-# Roles a page grants on a handle match only.
+# Roles a page grants on a handle match only, and roles that count most.
 HANDLE_REQUIRED_ROLES = ["steering_council"]
 HIGH_SIGNAL_ROLES = ["steering_council", "standards_author", "maintainer"]
 
-# Evidence operators in the order that breaks ties between equal evidence.
+# Evidence operators in the order that breaks ties between equal evidence.
 EVIDENCE_ORDER = [
     "ownership", "codeowners", "maintainers", "manifests", "enhancement_proposals",
     "governance", "contributors", "subcomponents", "authors", "web_roles",

@@ -86,9 +86,23 @@ def line_windows(text: Column, size: int = 3) -> Column:
         ls, lambda _, i: strip(F.array_join(F.slice(ls, i + 1, size), " "))))
 
 
+def _header(text: Column) -> Column:
+    """The header of a document: the first paragraphs that hold fields, up to one without."""
+    paragraphs = F.split(unix_lines(text), rf"\n(?:{_BLANK}\n)+")
+
+    def fields(ps):
+        held = F.transform(ps, lambda p: p.rlike(r"(?m)^:?[A-Za-z][\w\- ]*?:(?:\s|$)"))
+        return let(held, lambda hs: let(F.array_position(hs, True).cast("int"), lambda first: F.when(first > 0, let(
+            F.array_position(F.slice(hs, first, F.size(hs)), False).cast("int"),
+            lambda end: F.slice(ps, first, F.when(end > 0, end - 1).otherwise(F.size(ps))))).otherwise(
+                F.array().cast("array<string>"))))
+
+    return F.array_join(let(paragraphs, fields), "\n\n")
+
+
 def _header_authors(text: Column) -> Column:
     """Author value of a field-list or mail-style header, continuation lines joined."""
-    head = F.array_join(F.slice(lines(text), 1, fixed.HEADER_LINES), "\n")
+    head = _header(text)
     blocks = F.split(head, rf"\n(?=\S|{_BLANK}(?:\n|\z))")
 
     def field(block):

@@ -47,7 +47,8 @@ def find_credits(credit: DataFrame, keys: DataFrame) -> DataFrame:
 
 def names_part(line: Column, label: Column) -> Column:
     """The line names the part as a whole word."""
-    pattern = F.concat(F.lit(r"(?iU)(?<![\w.])\Q"), label, F.lit(r"\E(?![\w.])"))
+    quoted = F.replace(label, F.lit(r"\E"), F.lit(r"\E\\E\Q"))      # a label may end the quoting itself
+    pattern = F.concat(F.lit(r"(?iU)(?<![\w.])\Q"), quoted, F.lit(r"\E(?![\w.])"))
     return F.regexp_like(line, pattern)
 
 

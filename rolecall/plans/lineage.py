@@ -1,6 +1,7 @@
 """Cutting lineage where a result is read many times or a loop would grow it."""
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +20,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: the result is written once and read from then on."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the result once as Parquet in the shared folder and read it from then on.
+
+    Unlike a checkpoint it keeps column pruning, pushed filters and statistics.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -204,7 +204,10 @@ def test_proposal_authors(one):
     assert authors(one, "no header", "rst") == [] and authors(one, "x: y", "yaml") == []
     assert authors(one, "Author:\nAuthors: Z Y\n", "rst") == [("Z Y", None, None)]
     assert authors(one, "Author: A A\nAuthor: B B\n", "rst") == [("B B", None, None)]
-    assert authors(one, "\n" * 150 + "Author: A A\n", "rst") == []
+    assert authors(one, "\n" * 150 + "Author: A A\n", "rst") == [("A A", None, None)]
+    long = "".join(f"Field {i}: x\n" for i in range(200))
+    assert authors(one, long + "Author: A A\n\nProse begins here.\n\nAuthor: B B\n", "rst") == [("A A", None, None)]
+    assert authors(one, "Number: 1\n\nAuthor: A A\n", "rst") == [("A A", None, None)]
 
 
 def test_line_windows(one):
