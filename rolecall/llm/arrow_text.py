@@ -90,8 +90,8 @@ class Words:
         if not len(self.start):
             self.hash = self.prefix_hash = np.zeros(0, np.uint64)
             return
-        place = np.arange(n)
-        latest = np.zeros(n, np.int64)
+        place = np.arange(n, dtype=np.int32 if n < 2**31 else np.int64)
+        latest = np.zeros(n, place.dtype)
         latest[self.start] = self.start
         within = place - np.maximum.accumulate(latest)
         value = _BYTE[data] * _powers(int((self.end - self.start).max()) + 1)[np.minimum(within, (self.end - self.start).max())]

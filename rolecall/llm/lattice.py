@@ -5,8 +5,14 @@ of an existing vocabulary, drawn independently: its own scores start the model (
 1 / rank), and rounds of expectation maximisation over all distinct training words fit the probabilities. A training
 word is also one arc from end to end, with its count less a discount (n1 / (n1 + 2 n2), of the words that occur once
 and twice); what the discounts leave is the weight of the piece paths. So all words' probabilities and that of the
-end of a text sum to one. A log-space forward recursion gives a word's marginal; a text's is the product over its
-words and its end. A character outside the vocabulary is spelt by its bytes.
+end of a text sum to one. A log-space forward recursion gives a word's marginal. A character outside the vocabulary is
+spelt by its bytes.
+
+Texts come in kinds: the most frequent values of `lang` among the training rows, and a rest. A kind's words have arcs
+by their counts in that kind, and what their discounts leave goes to the words of all texts, each counted once for
+every kind that has it. A text's probability
+given a kind is the product over its words and its end, and its marginal the sum over all kinds by their shares of the
+training texts, so a text's own `lang` is never asked for.
 
 Words are counted by a 64-bit hash. The `head` most frequent ones, a bounded table, are looked up where the texts
 are read; all others, which no longer hold a hot key, meet their counts in a shuffle join.
@@ -34,6 +40,7 @@ class LatticeSettings:
     rounds: int = 2
     head: int = 100_000
     smoothing: float = 0.1
+    kinds: int = 6
 
 
 class Vocabulary:
@@ -180,24 +187,32 @@ def _runs(words: list[str]):
         yield first, len(words)
 
 
-_COUNTS = pa.schema([("h", pa.int64()), ("word", pa.string()), ("c", pa.int64())])
-
+def _counted(kinds: int):
+    """The distinct words of each batch with their training counts in each kind."""
+    names = ["h", "word", *[f"c{k}" for k in range(kinds)]]
 
-def _counted(batches):
-    for batch in batches:
-        learn = np.array(batch.column("learn").to_pylist(), bool)
-        hashes, strings, counts = [], [], []
-        for first, last, data, offsets in chunks(batch.column("text"), 8 << 20):
-            w = Words(data, offsets, NOT_SPACE)
-            if not len(w.hash):
-                continue
-            unique, at, which = np.unique(w.hash, return_index=True, return_inverse=True)
-            raw = w.data.tobytes()
-            hashes.append(unique.view(np.int64))
-            counts.append(np.bincount(which, learn[first:last][w.row], len(unique)).astype(np.int64))
-            strings += [raw[a:b].decode() for a, b in zip(w.start[at], w.end[at])]
-        if hashes:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), pa.array(strings, pa.string()), pa.array(np.concatenate(counts))], schema=_COUNTS)
+    def run(batches):
+        for batch in batches:
+            learn, kind = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("learn", "kind"))
+            hashes, counts, strings = [], [], []
+            for first, last, data, offsets in chunks(batch.column("text")):
+                w = Words(data, offsets, NOT_SPACE)
+                if not len(w.hash):
+                    continue
+                unique, at, which = np.unique(w.hash, return_index=True, return_inverse=True)
+                row = first + w.row
+                cell = which * kinds + kind[row]
+                hashes.append(unique)
+                counts.append(np.bincount(cell, learn[row], len(unique) * kinds).astype(np.int64).reshape(-1, kinds))
+                raw = w.data.tobytes()
+                strings.append(np.array([raw[a:b] for a, b in zip(w.start[at], w.end[at])], object))
+            if hashes:
+                unique, at, which = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+                counts = np.concatenate(counts)
+                columns = [np.bincount(which, counts[:, k], len(unique)).astype(np.int64) for k in range(kinds)]
+                words = pa.array(np.concatenate(strings)[at], pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(unique.view(np.int64)), words, *[pa.array(c) for c in columns]], names)
+    return run
 
 
 def _expectation(data: bytes, log_p: np.ndarray):
@@ -237,23 +252,27 @@ class Shares:
         return np.logaddexp(own, np.log((self.discount * self.types + 1) / self.all) + pieces)
 
 
-def _marginal(data: bytes, log_p: np.ndarray, shares: Shares):
+def _marginal(data: bytes, log_p: np.ndarray, all_: Shares, own: list[Shares]):
+    names = ["h", "c", *[f"lp{k}" for k in range(len(own))]]
+
     def run(batches):
         vocabulary = Vocabulary(data)
         for batch in batches:
             words = batch.column("word").to_pylist()
+            counts = [batch.column(f"c{k}").to_numpy() for k in range(len(own))]
             out = [Lattice(words[a:b], vocabulary).marginals(log_p) for a, b in _runs(words)]
-            lp = shares.word(batch.column("c").to_numpy(), np.concatenate(out) if out else np.zeros(0))
-            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("c"), pa.array(lp)], ["h", "c", "lp"])
+            c = np.sum(counts, axis=0)
+            general = all_.word(np.sum([n > 0 for n in counts], axis=0), np.concatenate(out) if out else np.zeros(0)) - np.log1p(-np.exp(all_.end))
+            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(c), *[pa.array(s.word(n, general)) for s, n in zip(own, counts)]], names)
     return run
 
 
 def fit(words: DataFrame, data: bytes, settings: LatticeSettings = LatticeSettings()) -> np.ndarray:
-    """Log probabilities of the vocabulary's pieces, from the distinct training words (word, c > 0), each once."""
+    """Log probabilities of the vocabulary's pieces, from distinct training words, each once."""
     log_p = Vocabulary(data).initial
     usable = np.isfinite(log_p)
     for _ in range(settings.rounds):
-        found = (words.filter("c > 0").select("word").mapInArrow(_expectation(data, log_p), "piece long, count double")
+        found = (words.select("word").mapInArrow(_expectation(data, log_p), "piece long, count double")
                  .groupBy("piece").agg(F.sum("count").alias("count"))).collect()  # a row for each piece of the vocabulary
         count = np.where(usable, settings.smoothing, 0.0)
         for r in found:
@@ -263,40 +282,45 @@ def fit(words: DataFrame, data: bytes, settings: LatticeSettings = LatticeSettin
     return log_p
 
 
-_ROWS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("h", pa.int64()), ("tf", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
-                   ("logs", pa.float64()), ("lp", pa.float64())])
-
-
 def _looked_up(head: tuple[np.ndarray, np.ndarray, np.ndarray]):
+    keys, c, lp = head
+    kinds = lp.shape[1]
+    schema = pa.schema([(x, pa.int64()) for x in ("row", "doc_id", "h", "tf", "n_tokens", "n_known")]
+                       + [(x, pa.float64()) for x in ("logs", *[f"lp{k}" for k in range(kinds)])])
+
     def run(batches):
-        keys, c, lp = head
         logs = np.log10(c + 0.5)
         for batch in batches:
             ids = batch.column("row").to_numpy()
-            documents = batch.column("doc_id")
-            for first, last, data, offsets in chunks(batch.column("text"), 4 << 20):
+            for first, last, data, offsets in chunks(batch.column("text")):
                 w = Words(data, offsets, NOT_SPACE)
                 rows = last - first
                 place = np.minimum(np.searchsorted(keys, w.hash), max(0, len(keys) - 1))
                 hit = keys[place] == w.hash if len(keys) else np.zeros(len(w.hash), bool)
                 row, at = w.row[hit], place[hit]
-                own = [ids[first:last], np.zeros(rows, np.int64), np.zeros(rows, np.int64), np.bincount(w.row, minlength=rows),
-                       np.bincount(row, c[at] > 0, rows).astype(np.int64), np.bincount(row, logs[at], rows), np.bincount(row, lp[at], rows)]
-                yield pa.RecordBatch.from_arrays([pa.array(own[0]), documents.slice(first, rows), pa.nulls(rows, pa.int64()), *[pa.array(x) for x in own[2:]]], schema=_ROWS)
+                none = pa.nulls(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[first:last]), batch.column("doc_id").slice(first, rows), none, none,
+                     pa.array(np.bincount(w.row, minlength=rows)), pa.array(np.bincount(row, c[at] > 0, rows).astype(np.int64)),
+                     pa.array(np.bincount(row, logs[at], rows)), *[pa.array(np.bincount(row, lp[at, k], rows)) for k in range(kinds)]], schema=schema)
                 row, rest = w.row[~hit], w.hash[~hit]
                 order = np.lexsort((rest, row))
                 row, rest = row[order], rest[order]
                 if len(row):
                     edge = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (rest[1:] != rest[:-1])))
-                    m = len(edge)
-                    none = pa.nulls(m, pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[first + row[edge]]), none, pa.array(rest[edge].view(np.int64)), pa.array(np.diff(np.append(edge, len(row)))),
-                                                      none, none, pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64())], schema=_ROWS)
+                    none, nothing = pa.nulls(len(edge), pa.int64()), pa.nulls(len(edge), pa.float64())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ids[first + row[edge]]), none, pa.array(rest[edge].view(np.int64)),
+                         pa.array(np.diff(np.append(edge, len(row)))), none, none, nothing, *[nothing] * kinds], schema=schema)
     return run
 
 
+def _shares(texts: int, tokens: int | None, types: int, once: int, twice: int) -> Shares:
+    return Shares(texts, tokens or 0, types, once / (once + 2 * twice) if once and twice else 0.5)
+
+
 def score(docs: DataFrame, learn: Column, model_path: str, settings: LatticeSettings = LatticeSettings(), name: str = "lattice") -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of each row of `docs` (doc_id, text).
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of each row of `docs` (doc_id, text, maybe lang).
 
     The model learns from the rows for which `learn` holds. Tokens are the words between ASCII white space, A-Z
     lower-cased, and one end; a null or empty text is an end alone. base_score is the smoothed word unigram, score
@@ -304,32 +328,52 @@ def score(docs: DataFrame, learn: Column, model_path: str, settings: LatticeSett
     """
     with open(model_path, "rb") as file:
         data = file.read()
-    learnt = F.coalesce(learn, F.lit(False))
-    rows = docs.select("doc_id", "text", learnt.alias("learn"))
-    words = stage(rows.select("text", "learn").mapInArrow(_counted, "h long, word string, c long")
-                  .groupBy("h").agg(F.min("word").alias("word"), F.sum("c").alias("c")), f"{name}-words")
-    texts = rows.filter("learn").count()
-    seen = words.agg(F.sum("c").alias("n"), *[F.count(F.when(c, 1)).alias(k) for k, c in (
-        ("v", F.col("c") > 0), ("once", F.col("c") == 1), ("twice", F.col("c") == 2))]).first()
-    n, v = (seen.n or 0) + texts, seen.v + (texts > 0)
-    shares = Shares(texts, seen.n or 0, seen.v, seen.once / (seen.once + 2 * seen.twice) if 0 < seen.twice and seen.once else 0.5)
-    log_p = fit(words, data, settings)
-    valued = stage(words.mapInArrow(_marginal(data, log_p, shares), "h long, c long, lp double"), f"{name}-valued")
-    top = valued.orderBy(F.desc("c"), "h").limit(settings.head).collect()
-    order = np.argsort(np.array([r.h for r in top], np.int64).view(np.uint64), kind="stable")
-    head = (np.array([r.h for r in top], np.int64).view(np.uint64)[order], np.array([r.c for r in top], float)[order],
-            np.array([r.lp for r in top], float)[order])
-    parts = stage(rows.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-                  .mapInArrow(_looked_up(head), "row long, doc_id long, h long, tf long, n_tokens long, n_known long, logs double, lp double"), f"{name}-parts")
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(learn, F.lit(False)).alias("learn"), lang.alias("lang"))
+    found = rows.filter("learn and lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(settings.kinds).collect()
+    of = F.lit(len(found))
+    for k, r in enumerate(found):
+        of = F.when(F.col("lang") == r.lang, k).otherwise(of)
+    kinds = len(found) + 1
+    rows = rows.withColumn("kind", F.coalesce(of, F.lit(len(found))))
+    counts = [f"c{k}" for k in range(kinds)]
+    words = stage(rows.select("text", "learn", "kind").mapInArrow(_counted(kinds), "h long, word string, " + ", ".join(f"{c} long" for c in counts))
+                  .groupBy("h").agg(F.min("word").alias("word"), *[F.sum(c).alias(c) for c in counts]), f"{name}-words")
+    texts = {r.kind: r["count"] for r in rows.filter("learn").groupBy("kind").count().collect()}
+    holds = [(F.col(c) > 0).cast("long") for c in counts]
+    words = words.withColumns({"c": sum((F.col(c) for c in counts[1:]), F.col(counts[0])), "held": sum(holds[1:], holds[0])})
+
+    def facts(c: str) -> list[Column]:
+        return [F.sum(c).alias(f"{c}_n"), *[F.count(F.when(when, 1)).alias(f"{c}_{x}") for x, when in (
+            ("v", F.col(c) > 0), ("1", F.col(c) == 1), ("2", F.col(c) == 2))]]
+
+    seen = words.agg(*[x for c in ("c", "held", *counts) for x in facts(c)]).first()
+    all_texts = sum(texts.values())
+    n, v = (seen.c_n or 0) + all_texts, seen.c_v + (all_texts > 0)
+    # a word that is new to a kind is likely new to all: the words of all texts count once for each kind that has them
+    general = Shares(0, seen.held_n or 0, seen.held_v, seen.held_1 / (seen.held_1 + 2 * seen.held_2) if seen.held_1 else 0.5)
+    log_p = fit(words.filter("c > 0"), data, settings)
+    own = [_shares(texts.get(k, 0), *[seen[f"{c}_{x}"] for x in "nv12"]) for k, c in enumerate(counts)]
+    lps = [f"lp{k}" for k in range(kinds)]
+    valued = stage(words.select("h", "word", *counts).mapInArrow(_marginal(data, log_p, general, own), "h long, c long, " + ", ".join(f"{x} double" for x in lps)),
+                   f"{name}-valued")
+    top = valued.orderBy(F.desc("c"), "h").limit(settings.head).toPandas()
+    top = top.iloc[np.argsort(top["h"].to_numpy(np.int64).view(np.uint64), kind="stable")]
+    head = (top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(float), top[lps].to_numpy(float))
+    parts = stage(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(
+        _looked_up(head), "row long, doc_id long, h long, tf long, n_tokens long, n_known long, logs double, " + ", ".join(f"{x} double" for x in lps)), f"{name}-parts")
     known = F.when(F.col("c") > 0, F.col("tf")).otherwise(F.lit(0))
     none = F.lit(None).cast("long")
     tail = parts.filter("h is not null").select("row", "h", "tf").join(valued, "h").select(
         "row", none.alias("doc_id"), none.alias("n_tokens"), known.alias("n_known"),
-        (F.col("tf") * F.log10(F.col("c") + 0.5)).alias("logs"), (F.col("tf") * F.col("lp")).alias("lp"))
-    sums = (parts.filter("h is null").select("row", "doc_id", "n_tokens", "n_known", "logs", "lp").union(tail)
-            .groupBy("row").agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "logs", "lp")]))
+        (F.col("tf") * F.log10(F.col("c") + 0.5)).alias("logs"), *[(F.col("tf") * F.col(x)).alias(x) for x in lps])
+    sums = (parts.filter("h is null").select("row", "doc_id", "n_tokens", "n_known", "logs", *lps).union(tail)
+            .groupBy("row").agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "logs", *lps)]))
     tokens = F.col("n_tokens") + 1
-    return sums.select(
-        "doc_id", tokens.alias("n_tokens"), (F.col("n_known") + int(texts > 0)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("logs") + float(np.log10(texts + 0.5)) - tokens * float(np.log10(n + 0.5 * (v + 1)))).alias("base_score"),
-        ((F.col("lp") + shares.end) / float(np.log(10))).alias("score"))
+    prior = [float(np.log((texts.get(k, 0) + 0.5) / (all_texts + 0.5 * kinds))) for k in range(kinds)]
+    joint = F.array(*[F.col(x) + s.end + p for x, s, p in zip(lps, own, prior)])
+    best = F.array_max("joint")
+    return sums.withColumn("joint", joint).select(
+        "doc_id", tokens.alias("n_tokens"), (F.col("n_known") + int(all_texts > 0)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+        (F.col("logs") + float(np.log10(all_texts + 0.5)) - tokens * float(np.log10(n + 0.5 * (v + 1)))).alias("base_score"),
+        ((best + F.log(F.aggregate("joint", F.lit(0.0), lambda a, x: a + F.exp(x - best)))) / float(np.log(10))).alias("score"))
