@@ -277,9 +277,8 @@ def scratch(t) -> str:
 
 def _windows(t, width: str, fmt: str):
     out = scratch(t)
-    counted = su.windowed_scans(scans(t, stream(t, "events")), width)
-    su.write_updates(counted, f"{out}/table", f"{out}/ckpt").awaitTermination()
-    return t.spark.read.parquet(f"{out}/table").select(F.date_format("start", fmt).alias("bucket"), "scans")
+    su.fold_counts(scans(t, stream(t, "events")), width, f"{out}/table", f"{out}/ckpt").awaitTermination()
+    return su.read_counts(t.spark, f"{out}/table").select(F.date_format("start", fmt).alias("bucket"), "scans")
 
 
 @check("daily_scans", "SELECT strftime(ts, '%Y-%m-%d') AS bucket, count(*) AS scans FROM events GROUP BY 1")

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.usage import user_key
+from ..operators.usage import SKETCH_BITS, user_key
 
 
 def windowed_scans(scans: DataFrame, width: str, late: str = "1 hour") -> DataFrame:
@@ -37,18 +37,34 @@ def read_latest(spark: SparkSession, path: str) -> DataFrame:
     return rows.parquet(f"{path}/batch=*").groupBy("user_key").agg(F.max("ts").alias("ts"))
 
 
-def write_updates(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep the current counts of all windows as a table at `path`.
+def fold_counts(scans: DataFrame, width: str, path: str, checkpoint: str) -> StreamingQuery:
+    """Append what each micro-batch adds to the windows ('1 day' or '1 hour') it touches to `path`.
 
-    Complete mode hands over every window, the last open one too; each batch
-    replaces the table, so a repeated batch changes nothing.  The number of windows
-    is bounded by the retention of the counters, not by the number of scans.
+    An increment is a count and a mergeable sketch of users, so nothing is kept in
+    state or rewritten, late scans still count, and a batch that is run again
+    overwrites its own partition.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+        (batch.groupBy(F.window("ts", width).alias("w"))
+         .agg(F.count(F.lit(1)).alias("scans"), F.hll_sketch_agg(user_key(), SKETCH_BITS).alias("users"))
+         .select(F.col("w.start").alias("start"), "scans", "users")
+         .write.mode("overwrite").parquet(f"{path}/batch={batch_id}"))
+
+    return (scans.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
 
-    return (df.writeStream.outputMode("complete").foreachBatch(write)
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+def read_counts(spark: SparkSession, path: str, since: str | None = None) -> DataFrame:
+    """(start, scans, users) of each window; with `since`, of those that begin no earlier.
+
+    The retention of the counters is the caller's: 120 days of days, 3 hours of hours.
+    """
+    rows = spark.read.schema("start TIMESTAMP, scans BIGINT, users BINARY, batch BIGINT").option("basePath", path)
+    found = rows.parquet(f"{path}/batch=*")
+    if since is not None:
+        found = found.where(F.col("start") >= F.lit(since).cast("timestamp"))
+    return found.groupBy("start").agg(F.sum("scans").alias("scans"),
+                                      F.hll_sketch_estimate(F.hll_union_agg("users")).alias("users"))
 
 
 def fold_sketches(scans: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

@@ -43,3 +43,28 @@ def test_late_scans_are_dropped_once_their_window_is_closed(spark, tmp_path):
     add("2024-01-01 00:30:00", "2024-01-01 09:00:00")      # the first hour is closed by now
     got = spark.read.parquet(table).selectExpr("date_format(start, 'HH') AS h", "scans")
     assert rows(got) == [("00", 2), ("05", 1)]
+
+
+def scan_stream(spark, src, *rows_):
+    ddl = "ts timestamp, forge string, username string, repos array<string>"
+    (spark.createDataFrame([(x, "github", u, []) for x, u in rows_], "ts string, forge string, username string, repos array<string>")
+     .selectExpr("CAST(ts AS timestamp) AS ts", "forge", "username", "repos").coalesce(1).write.mode("append").parquet(src))
+    return spark.readStream.schema(ddl).parquet(src)
+
+
+def test_counts_add_up_over_batches_late_rows_and_retention(spark, tmp_path):
+    src, table, ckpt = (str(tmp_path / n) for n in ("s", "t", "c"))
+    for batch in ([("2024-01-01 00:10:00", "a"), ("2024-01-01 00:20:00", "b")], [("2024-01-01 05:00:00", "a")],
+                  [("2024-01-01 00:30:00", "a"), ("2024-01-01 09:00:00", "c")]):
+        su.fold_counts(scan_stream(spark, src, *batch), "1 hour", table, ckpt).awaitTermination()
+    hours = lambda df: rows(df.selectExpr("date_format(start, 'HH') AS h", "scans", "users"))
+    assert hours(su.read_counts(spark, table)) == [("00", 3, 2), ("05", 1, 1), ("09", 1, 1)]
+    assert hours(su.read_counts(spark, table, "2024-01-01 05:00:00")) == [("05", 1, 1), ("09", 1, 1)]
+
+
+def test_latest_scan_of_each_user_whatever_the_order(spark, tmp_path):
+    src, table, ckpt = (str(tmp_path / n) for n in ("s", "t", "c"))
+    for batch in ([("2024-01-02 00:00:00", "a"), ("2024-01-01 00:00:00", "A")], [("2024-01-01 12:00:00", "a"), ("2024-01-05 00:00:00", "b")]):
+        su.fold_latest(scan_stream(spark, src, *batch), table, ckpt).awaitTermination()
+    got = su.read_latest(spark, table).selectExpr("user_key", "date_format(ts, 'dd') AS day")
+    assert rows(got) == [("github:a", "02"), ("github:b", "05")]
