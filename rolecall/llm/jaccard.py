@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow_text import NOT_SPACE, Words, chunks, mix, shingle_sets
-from .stages import components, stage
+from .stages import components, small, stage
 
 
 @dataclass(frozen=True)
@@ -42,6 +42,7 @@ class JaccardSettings:
     thin: int = 1
     spare: float = 0.08
     block: int = 400_000  # shingles of one side of a block pair
+    broadcast_rows: int = 1_000_000
 
 
 @lru_cache
@@ -330,7 +331,7 @@ def near_copies(docs: DataFrame, settings: JaccardSettings = JaccardSettings(),
                     .select("sig", "k1", F.min("k1").over(sig).alias("leader"), F.max("k1").over(sig).alias("last"))
                     .filter("leader < last").select("sig", "k1", "leader"), f"{name}-members")
     wanted = stage(classes.join(members.select("k1").distinct(), "k1"), f"{name}-wanted")
-    sets = stage(text.join(wanted.select(F.col("rep").alias("doc_id"), "k1", "k2"), "doc_id")
+    sets = stage(text.join(small(wanted.select(F.col("rep").alias("doc_id"), "k1", "k2"), settings.broadcast_rows), "doc_id")
                  .mapInArrow(_fetched(settings), "rep long, n long, tally binary, shingles array<bigint>")
                  .dropDuplicates(["rep", "shingles"]), f"{name}-sets")
 
