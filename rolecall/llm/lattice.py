@@ -357,7 +357,14 @@ def score(docs: DataFrame, learn: Column, model_path: str, settings: LatticeSett
     lps = [f"lp{k}" for k in range(kinds)]
     valued = stage(words.select("h", "word", *counts).mapInArrow(_marginal(data, log_p, general, own), "h long, c long, " + ", ".join(f"{x} double" for x in lps)),
                    f"{name}-valued")
-    top = valued.orderBy(F.desc("c"), "h").limit(settings.head).toPandas()
+    # counts by eighths of a doubling: as many of the highest as fit into the table, known before any row is sent
+    level = F.floor(F.log2(F.col("c")) * 8)
+    room, lowest = settings.head, None
+    for r in sorted(valued.filter("c > 0").groupBy(level.alias("level")).count().collect(), reverse=True):
+        if (room := room - r["count"]) < 0:
+            break
+        lowest = r.level
+    top = valued.filter((F.col("c") > 0) & (level >= lowest) if lowest is not None else F.lit(False)).toPandas()
     top = top.iloc[np.argsort(top["h"].to_numpy(np.int64).view(np.uint64), kind="stable")]
     head = (top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(float), top[lps].to_numpy(float))
     parts = stage(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(
