@@ -216,9 +216,11 @@ _CLOSE = "SELECT TRUE AS people, TRUE AS repos, TRUE AS orgs FROM (SELECT count(
 
 
 def _close(t, estimates):
-    exact = us.usage_totals(scans(t)).select(*[F.col(c).alias(f"{c}_exact") for c in ("people", "repos", "orgs")], F.lit(1).alias("one"))
-    return estimates.withColumn("one", F.lit(1)).join(exact, "one").select(*[
-        (F.abs(F.coalesce(c, F.lit(0)) - F.col(f"{c}_exact")) <= 0.04 * F.col(f"{c}_exact")).alias(c) for c in ("people", "repos", "orgs")])
+    names, none = ("people", "repos", "orgs"), F.lit(None).cast("bigint")
+    exact = us.usage_totals(scans(t)).select(*[F.col(c).alias(f"{c}_exact") for c in names], *[none.alias(c) for c in names])
+    both = exact.unionByName(estimates.select(*names, *[none.alias(f"{c}_exact") for c in names])).agg(
+        *[F.coalesce(F.max(x), F.lit(0)).alias(x) for c in names for x in (c, f"{c}_exact")])
+    return both.select(*[(F.abs(F.col(c) - F.col(f"{c}_exact")) <= 0.04 * F.col(f"{c}_exact")).alias(c) for c in names])
 
 
 @check("approx_users", _CLOSE)
