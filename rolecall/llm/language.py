@@ -168,27 +168,24 @@ def fit(docs: DataFrame, learn: Column, settings: LanguageSettings = LanguageSet
     return train([(r.label, bytes(r.ids), bytes(r.counts)) for r in sample.collect()], settings)
 
 
-def _predict(model: LanguageModel | None, buckets: int):
-    def run(batches):
-        for batch in batches:
-            n = batch.num_rows
-            best, score = np.zeros(n, np.int64), np.zeros(n)
-            if model:
-                for first, last, data, offsets in chunks(batch.column("_text")):
-                    row, ids = grams(data, offsets, buckets)
-                    total = np.maximum(np.bincount(row, minlength=last - first), 1)
-                    z = np.stack([np.bincount(row, model.table[:, k][ids], last - first) / total + model.bias[k]
-                                  for k in range(len(model.languages))], axis=1)
-                    p = _softmax(z / model.temperature)
-                    best[first:last], score[first:last] = p.argmax(axis=1), p.max(axis=1)
-            lettered = np.array(batch.column("_lettered").to_pylist(), bool) if model else np.zeros(n, bool)
-            names = [model.languages[b] if ok else "und" for b, ok in zip(best, lettered)] if model else ["und"] * n
-            score = np.where(lettered, np.clip(score, 0, 1), 0.0)
-            rejected = ~lettered | (score < (model.threshold if model else 1.0))
-            own = [batch.column(i) for i, f in enumerate(batch.schema) if f.name not in ("_text", "_lettered")]
-            own_names = [f.name for f in batch.schema if f.name not in ("_text", "_lettered")]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())],
-                                             [*own_names, "lang_pred", "lang_score", "lang_rejected"])
+_GUESS = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
+
+
+def _predicted(model: LanguageModel, buckets: int):
+    def run(text: pa.Array, lettered: pa.Array) -> pa.Array:
+        n = len(text)
+        best, score = np.zeros(n, np.int64), np.zeros(n)
+        for first, last, data, offsets in chunks(text):
+            row, ids = grams(data, offsets, buckets)
+            total = np.maximum(np.bincount(row, minlength=last - first), 1)
+            z = np.stack([np.bincount(row, model.table[:, k][ids], last - first) / total + model.bias[k]
+                          for k in range(len(model.languages))], axis=1)
+            p = _softmax(z / model.temperature)
+            best[first:last], score[first:last] = p.argmax(axis=1), p.max(axis=1)
+        known = lettered.to_numpy(zero_copy_only=False).astype(bool)
+        score = np.where(known, np.clip(score, 0, 1), 0.0)
+        names = [model.languages[b] if ok else "und" for b, ok in zip(best, known)]
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(score), pa.array(~known | (score < model.threshold))], fields=list(_GUESS))
     return run
 
 
@@ -198,6 +195,11 @@ def identify(docs: DataFrame, model: LanguageModel | None, settings: LanguageSet
     without a model everything is `und` and rejected. Only the text decides.
     """
     kept = docs.drop("lang_pred", "lang_score", "lang_rejected")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    rows = kept.withColumns({"_text": F.lower("text"), "_lettered": F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))})
-    return rows.mapInArrow(_predict(model, settings.buckets), f"{fields}, lang_pred string, lang_score double, lang_rejected boolean")
+    if model is None:
+        return kept.withColumns({"lang_pred": F.lit("und"), "lang_score": F.lit(0.0), "lang_rejected": F.lit(True)})
+    # only the text travels to Python, the row waits in the JVM
+    guess = F.arrow_udf(_predicted(model, settings.buckets), "lang string, score double, rejected boolean")
+    lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    rows = kept.withColumn("_guess", guess(F.lower("text"), lettered))
+    return rows.select(*kept.columns, F.col("_guess.lang").alias("lang_pred"), F.col("_guess.score").alias("lang_score"),
+                       F.col("_guess.rejected").alias("lang_rejected"))

@@ -20,14 +20,15 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .arrow_text import _BYTE, _powers, chunks, mix
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE_PIECE = 1, 2, 3, 4, 6
-_RUN = 4 << 20  # bytes of text in one run
-_KEPT = 150_000  # units whose ids a worker remembers
+_RUN = 1 << 20  # bytes of text in one run
+_KEPT = 120_000  # units whose ids a worker remembers
 
 #: Strings on which a rebuilt model must agree with the original library.
 PROBES = ("", " ", "  ", "a", " a", "a ", "Hello world", "  two  spaces   and more ", "line\nbreak\n\n\tand tab", "\n", " \n ",
@@ -192,8 +193,8 @@ class Codec:
     @staticmethod
     def _batch(tokenizer, texts: list[str]) -> list[np.ndarray]:
         out = []
-        for at in range(0, len(texts), 20_000):
-            out += [np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast(texts[at : at + 20_000], add_special_tokens=False)]
+        for at in range(0, len(texts), 5_000):
+            out += [np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast(texts[at : at + 5_000], add_special_tokens=False)]
         return out
 
     def _by_units(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
@@ -274,19 +275,16 @@ def codec(data: bytes) -> Codec:
     return _CODECS[key]
 
 
-def _encoded(data: bytes, names: list[str]):
-    def run(batches):
-        own = codec(data)
-        for batch in batches:
-            text = batch.column("text")
-            for first in range(0, batch.num_rows, 1000):
-                part = text.slice(first, 1000)
-                ids, same = own.encode(part)
-                places = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                rows = batch.slice(first, 1000)
-                yield pa.RecordBatch.from_arrays(
-                    [*[rows.column(n) for n in names], pa.ListArray.from_arrays(pa.array(places), pa.array(np.concatenate(ids).astype(np.int32))),
-                     pa.array(np.diff(places).astype(np.int64)), pa.array(same, pa.bool_())], [*names, "token_ids", "n_tokens", "round_trip"])
+_TOKENS = pa.struct([("token_ids", pa.list_(pa.int32())), ("n_tokens", pa.int64()), ("round_trip", pa.bool_())])
+
+
+def _encoded(data: bytes):
+    def run(text: pa.Array) -> pa.Array:
+        ids, same = codec(data).encode(text)
+        places = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+        flat = np.concatenate([*ids, np.zeros(0, np.int32)]).astype(np.int32)
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(places), pa.array(flat)), pa.array(np.diff(places).astype(np.int64)),
+                                           pa.array(same, pa.bool_())], fields=list(_TOKENS))
     return run
 
 
@@ -300,8 +298,9 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
         data = file.read()
     parse(data)
     kept = docs.drop("token_ids", "n_tokens", "round_trip")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.mapInArrow(_encoded(data, kept.columns), f"{fields}, token_ids array<int>, n_tokens long, round_trip boolean")
+    # only the text travels to Python, the row waits in the JVM
+    rows = kept.withColumn("_tokens", F.arrow_udf(_encoded(data), "token_ids array<int>, n_tokens long, round_trip boolean")(F.col("text")))
+    return rows.select(*kept.columns, *[F.col(f"_tokens.{c}").alias(c) for c in _TOKENS.names])
 
 
 def _decoded(data: bytes, names: list[str]):
