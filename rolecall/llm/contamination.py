@@ -6,9 +6,10 @@ words is one shingle of its own length). The weight of a shingle is how often it
 window and an item is the sum of the smaller weights over the sum of the larger ones.
 
 A window of an item's size can only be similar if few of the item's shingle occurrences are missing, so one of any
-(missing + 1) must be there: the item's rarest ones are its anchors. Where an anchor occurs in a text, the windows
-of the item's size are fingerprinted at each start that edits within the threshold can shift it to; a text shorter
-than the item is one window. Windows with the same shingles are fingerprinted once, however many texts hold them.
+(missing + 1) must be there: the item's rarest ones are its anchors. There are some more of them than a window of the
+full size can miss, so such a window holds several. Every window of a text that holds so many is fingerprinted, at
+whichever places they stand, as shingles count without their order; a text shorter than the item is one window with
+one anchor or more. Windows with the same shingles are fingerprinted once, however many texts hold them.
 Fingerprints are 64-bit SimHashes; cut into radius + 1 blocks, any two of distance `radius` or less agree in a block,
 so joining on (size, block) finds all of them. With radius 20 a pair at similarity 0.8 lies within it in more than
 99.9 % of cases (binomial, 64 bits at an angle of 0.15 pi), pairs of higher similarity more often.
@@ -21,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stages import small, stage
+from .stages import let, small, stage
 
 _SPACE = " \t\n\x0b\x0c\r"
 
@@ -33,6 +34,7 @@ class ContaminationSettings:
     denominator: int = 5
     radius: int = 20
     broadcast_rows: int = 500_000
+    run: int = 64  # starts whose shingles are hashed together
 
 
 def words(text: Column) -> Column:
@@ -88,12 +90,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, settings: ContaminationSettings
     """
     num, den = settings.numerator, settings.denominator
     items = stage(_items(benchmark, settings), f"{name}-items")
-    single = items.select("item_id", "n", "k", F.size("grams").alias("m"), F.posexplode("grams").alias("o", "h"))
+    own = [F.xxhash64("grams", F.lit(1)).alias("i1"), F.xxhash64("grams", F.lit(2)).alias("i2")]  # ids may repeat
+    single = items.select("n", "k", *own, F.size("grams").alias("m"), F.posexplode("grams").alias("o", "h")).distinct()
     seen = single.withColumn("holders", F.count("*").over(Window.partitionBy("h", "k")))
-    place = F.row_number().over(Window.partitionBy("item_id", "n", "k").orderBy("holders", "h", "o"))
+    place = F.row_number().over(Window.partitionBy("i1", "i2", "n", "k").orderBy("holders", "h", "o"))
     # a window with as many shingles misses at most m * (den - num) / (den + num); a shorter text m * (den - num) / den
-    anchors = stage(seen.withColumn("place", place).filter(F.col("place") <= F.floor(F.col("m") * (den - num) / den) + 1)
-                    .select("h", "k", "n", "o", F.floor(F.col("m") * (den - num) / (den + num)).cast("int").alias("slack")).distinct(), f"{name}-anchors")
+    chosen, missing = (lambda m: F.floor(m * (den - num) / den) + 1), (lambda m: F.floor(m * (den - num) / (den + num)))
+    anchors = stage(seen.withColumn("place", place).filter(F.col("place") <= chosen(F.col("m"))).select("h", "k", "n").distinct(), f"{name}-anchors")
     widths = sorted(r.k for r in anchors.select("k").distinct().collect())  # at most `width` of them
     keyed = docs.filter("text is not null").select(*text_keys(), words(F.col("text")).alias("w"))
     parts = [keyed.select("text_1", "text_2", F.size("w").alias("size"), F.lit(k).alias("k"), F.posexplode(shingles(F.col("w"), k)).alias("p", "h"))
@@ -104,21 +107,36 @@ def leaks(docs: DataFrame, benchmark: DataFrame, settings: ContaminationSettings
     for p in parts[1:]:
         hits = hits.union(p)
     hits = hits.join(small(anchors, settings.broadcast_rows), ["h", "k"])
-    base = F.when(F.col("size") < F.col("n"), F.lit(0)).otherwise(F.col("p") - F.col("o"))
-    hits = stage(hits.select("text_1", "text_2", "size", "n", "k", base.alias("base"), "slack").distinct(), f"{name}-hits")
-
-    starts = F.sequence(F.greatest(F.col("base") - F.col("slack"), F.lit(0)), F.least(F.col("base") + F.col("slack"), F.greatest(F.col("size") - F.col("n"), F.lit(0))))
-    last = F.greatest(F.col("size") - F.col("n"), F.lit(0))
-    spots = (hits.filter((F.col("base") - F.col("slack") <= last) & (F.col("base") + F.col("slack") >= 0))
-             .select("text_1", "text_2", "n", "k", F.explode(starts).alias("start")).distinct())
-    holders = stage(hits.select("text_1", "text_2").distinct(), f"{name}-holders")
+    hits = stage(hits.select("text_1", "text_2", "size", "n", "k", "p").distinct(), f"{name}-hits")
+
+    # windows with hits i to i + least - 1, but without hit i - 1, start after hit i - 1 and at hit i at the latest
+    m, last = F.col("n") - F.col("k") + 1, F.greatest(F.col("size") - F.col("n"), F.lit(0))
+    least = F.when(F.col("size") < F.col("n"), 1).otherwise(chosen(m) - missing(m)).cast("int")
+    begin = F.when(F.col("size") < F.col("n"), F.lit(0)).otherwise(
+        F.greatest(F.get("ps", F.col("i") + F.col("least") - 1) - m + 1, F.coalesce(F.get("ps", F.col("i") - 1) + 1, F.lit(0)), F.lit(0)))
+    end = F.when(F.col("size") < F.col("n"), F.lit(0)).otherwise(F.least("p", last))
+    spots = (hits.groupBy("text_1", "text_2", "size", "n", "k").agg(F.array_sort(F.collect_list("p")).alias("ps"))
+             .select("*", least.alias("least"), F.posexplode("ps").alias("i", "p"))
+             .filter((F.col("i") + F.col("least") <= F.size("ps")) & ((F.col("size") >= F.col("n")) | (F.col("i") == 0)))
+             .select("text_1", "text_2", "n", "k", begin.alias("begin"), end.alias("end")).filter("begin <= end")
+             .select("text_1", "text_2", "n", "k", F.explode(F.sequence("begin", "end")).alias("start")))
+    runs = stage(spots.groupBy("text_1", "text_2", "n", "k", F.floor(F.col("start") / settings.run).alias("run"))
+                 .agg(F.array_sort(F.collect_list("start")).alias("starts")).drop("run"), f"{name}-runs")
+    holders = stage(runs.select("text_1", "text_2").distinct(), f"{name}-holders")
     held = (docs.filter("text is not null").select(*text_keys(), "text").join(small(holders, settings.broadcast_rows), ["text_1", "text_2"])
             .dropDuplicates(["text_1", "text_2"]).withColumn("w", words(F.col("text"))))
-    grams = F.lit(None).cast("array<bigint>")
-    for k in widths:
-        grams = F.when(F.col("k") == k, shingles(F.slice("w", F.col("start") + 1, F.col("n")), k)).otherwise(grams)
-    windows = stage(spots.join(held.select("text_1", "text_2", "w"), ["text_1", "text_2"])
-                    .select("text_1", "text_2", "start", "n", "k", grams.alias("grams")).filter(F.size("grams") > 0)
+
+    def grams_of(w: Column) -> Column:
+        grams = F.lit(None).cast("array<bigint>")
+        for k in widths:
+            grams = F.when(F.col("k") == k, shingles(w, k)).otherwise(grams)
+        return grams
+
+    first, final = F.get("starts", F.lit(0)), F.element_at("starts", -1)
+    windows = stage(runs.join(held.select("text_1", "text_2", "w"), ["text_1", "text_2"])
+                    .select("text_1", "text_2", "n", "k", "starts", first.alias("first"), let(F.slice("w", first + 1, final - first + F.col("n")), grams_of).alias("all"))
+                    .select("text_1", "text_2", "n", "k", "first", "all", F.explode("starts").alias("start"))
+                    .select("text_1", "text_2", "start", "n", "k", F.slice("all", F.col("start") - F.col("first") + 1, m).alias("grams")).filter(F.size("grams") > 0)
                     .withColumns({"g1": F.xxhash64("grams", F.lit(1)), "g2": F.xxhash64("grams", F.lit(2))}), f"{name}-windows")
 
     kinds = ["n", "k", "g1", "g2"]

@@ -218,6 +218,29 @@ def test_leaks_match_brute_force(spark):
     assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in got.collect()} == brute_leaks(docs, items)
 
 
+def test_leaks_with_moved_parts_match_brute_force(spark):
+    rng = np.random.default_rng(8)
+    text = lambda n: " ".join(rng.choice([f"w{i}" for i in range(300)], n))
+    items = [(k, text(n)) for k, n in enumerate([59, 45, 59, 45, 40, 80])]
+    cut = [10, 22, 30, 15, 20, 27]
+    moved = [w[c:] + w[:c] for (_, t), c in zip(items, cut) for w in [t.split()]]
+    docs = [(10 * i + j, " ".join([text(a), *w, text(b)])) for i, w in enumerate(moved) for j, (a, b) in enumerate([(70, 90), (0, 50), (50, 0), (0, 1)])]
+    docs += [(100 + i, " ".join(w)) for i, w in enumerate(moved)] + [(200, " ".join([text(20), *moved[1], *moved[0], text(20)])), (201, text(150))]
+    got = contamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), name="t")
+    want = brute_leaks(docs, items)
+    assert {(0, 0), (10, 1)} <= set(want)
+    assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in got.collect()} == want
+
+
+def test_leaks_of_items_with_one_id(spark):
+    rng = np.random.default_rng(9)
+    text = lambda n: " ".join(rng.choice([f"w{i}" for i in range(300)], n))
+    items = [(None, text(30)) for _ in range(12)]
+    docs = [(i, f"{text(20)} {t} {text(20)}") for i, (_, t) in enumerate(items)]
+    got = contamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), name="t")
+    assert ids(got) == list(range(12))
+
+
 def test_leaks_of_odd_rows(spark, odd, none):
     items = spark.createDataFrame([(1, "same text as another row"), (2, None)], "item_id long, text string")
     assert ids(contamination.contaminated(odd, items, name="t")) == [6, 6, 7]
