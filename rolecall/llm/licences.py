@@ -1,11 +1,12 @@
 """License scans: exact set-similarity join of text blocks with license templates.
 
-A block is a line; its tokens are runs of digits, letters and everything beyond ASCII, A-Z lower-cased. A block
+A block is a line, or a window of a template's length and a quarter that crosses line ends, as long notices are
+wrapped; its tokens are runs of digits, letters and everything beyond ASCII, A-Z lower-cased. A block
 meets a template if it holds at least `numerator / denominator` of the template's distinct tokens. Template tokens
 are ordered by their frequency in all texts, rarest first; if o tokens must be shared, one of the first
 (size - o + 1) is, so only blocks with such a prefix token are looked at (prefix filter), only if they have o
 distinct tokens of any template (length filter), and only while the tokens after the match could still make up o
-(positional filter). Beside the templates, phrases are found wherever their words stand consecutively.
+(positional filter). Windows are looked at around prefix tokens only. Beside the templates, phrases are found wherever their words stand consecutively.
 
 Templates and phrases are a short hand-written list, so they travel with the code; frequencies are counted over all
 texts, for template tokens only.
@@ -57,6 +58,7 @@ class Index:
         rank[np.lexsort((self.tokens, often))] = np.arange(len(self.tokens))
         self.rank = rank
         self.templates = []
+        self.spans: list[tuple[np.ndarray, np.ndarray, int]] = []
         self.by_token: dict[int, list[tuple[int, int]]] = {}
         for (label, _), h in zip(settings.templates, own):
             ordered = np.sort(rank[np.searchsorted(self.tokens, np.unique(h))])
@@ -65,6 +67,10 @@ class Index:
                 for place in range(len(ordered) - need + 1):
                     self.by_token.setdefault(int(ordered[place]), []).append((len(self.templates), place))
                 self.templates.append((label, ordered, need))
+                held, rare = np.zeros(len(self.tokens) + 1, bool), np.zeros(len(self.tokens) + 1, bool)
+                held[ordered] = True
+                rare[ordered[: len(ordered) - need + 1]] = True
+                self.spans.append((held, rare, -(-len(h) * settings.denominator // settings.numerator)))
         self.prefix = np.zeros(len(self.tokens) + 1, bool)
         self.prefix[list(self.by_token)] = True
         self.phrases = [(label, h) for (_, label), h in zip(settings.phrases, word_hashes([p for p, _ in settings.phrases], ALNUM))]
@@ -76,6 +82,35 @@ class Index:
         place = np.minimum(np.searchsorted(self.tokens, hashes), len(self.tokens) - 1)
         return np.where(self.tokens[place] == hashes, self.rank[place], len(self.tokens))
 
+    def windows(self, numbers: np.ndarray, row: np.ndarray) -> list[tuple[int, int, str, float]]:
+        """(first word, word after the last, label, containment) of each place where a window meets a template.
+
+        A window has denominator / numerator as many words as the template and ends with its row; of a run of starts
+        that meet the template, the first of the best is given.
+        """
+        out = []
+        for (label, ordered, need), (held, rare, width) in zip(self.templates, self.spans):
+            prefix = np.flatnonzero(rare[numbers])
+            if not len(prefix):
+                continue
+            at = np.flatnonzero(held[numbers])
+            near = np.searchsorted(prefix, at - width, side="right")
+            at = at[(near < len(prefix)) & (prefix[np.minimum(near, len(prefix) - 1)] < at + width)]
+            order = np.lexsort((at, numbers[at]))
+            before = np.full(len(at), -1)
+            same = numbers[at[order[1:]]] == numbers[at[order[:-1]]]
+            before[order[1:][same]] = at[order[:-1][same]]
+            # a word counts in each window that holds it but not the same word before it
+            begin = np.maximum(np.maximum(at - width, before) + 1, np.searchsorted(row, row[at]))
+            edge, place = np.unique(np.concatenate([begin, at + 1]), return_inverse=True)
+            count = np.cumsum(np.bincount(place[: len(at)], minlength=len(edge)) - np.bincount(place[len(at) :], minlength=len(edge)))
+            good = np.flatnonzero(count >= need)
+            for part in np.split(good, np.flatnonzero((np.diff(good) > 1) | (np.diff(row[edge[good]]) > 0)) + 1) if len(good) else ():
+                best = part[np.argmax(count[part])]
+                a = int(edge[best])
+                out.append((a, int(min(a + width, np.searchsorted(row, row[a], side="right"))), label, float(count[best] / len(ordered))))
+        return out
+
     def met(self, numbers: np.ndarray) -> list[tuple[str, float]]:
         """(label, containment) of each template that a block with these token numbers meets."""
         block = np.unique(numbers)
@@ -136,6 +171,10 @@ def _scanned(settings: LicenceSettings, frequency: dict[int, int], names: list[s
                     r = w.row[a]
                     for label, containment in index.met(numbers[a:b]):
                         found[r].append({"label": label, "start": int(a - base[r]), "end": int(b - base[r]), "containment": containment, "phrase": False})
+                for a, b, label, containment in index.windows(numbers, w.row):
+                    r = w.row[a]
+                    if lines[a] != lines[b - 1] and not any(x["label"] == label and x["containment"] >= containment and not x["phrase"] and x["start"] < b - base[r] and x["end"] > a - base[r] for x in found[r]):
+                        found[r].append({"label": label, "start": int(a - base[r]), "end": int(b - base[r]), "containment": containment, "phrase": False})
                 rows = batch.slice(first, last - first)
                 yield pa.RecordBatch.from_arrays([*[rows.column(x) for x in names], pa.array(np.diff(base).astype(np.int64)), pa.array(found, pa.list_(_FOUND))],
                                                  [*names, "n_words", "licences"])
@@ -145,7 +184,7 @@ def _scanned(settings: LicenceSettings, frequency: dict[int, int], names: list[s
 def scan(docs: DataFrame, settings: LicenceSettings = LicenceSettings()) -> DataFrame:
     """`docs` with `n_words` and `licences`: array of (label, start, end, containment, phrase), words counted from 0.
 
-    Phrases give their place, templates the words of the line that meets them. Null and empty texts have no words.
+    Phrases give their place, templates the words of the line or window that meets them. Null and empty texts have no words.
     Columns of these names are replaced, all others kept.
     """
     kept = docs.drop("n_words", "licences")

@@ -407,6 +407,33 @@ def test_licences_find_lines_and_phrases(spark, none):
     assert licences.scan(none.select("doc_id", "text")).isEmpty()
 
 
+def test_wrapped_notices_are_found(spark):
+    wrap = lambda t, n: "\n * ".join(" ".join(t.split()[k : k + n]) for k in range(0, len(t.split()), n))
+    rows = [(100 * i + n, f"Some file\n\n * {wrap(t, n)}\nand more of it") for i, (_, t) in enumerate(licences.TEMPLATES) for n in (3, 8, 11, 14)]
+    rows += [(9000, "redistribution and use in source\n" + "filler\n" * 40 + "and binary forms with or without modification are permitted"), (9001, "redistribution and use in source and binary")]
+    got = {r.doc_id: {x.label for x in r.licences} for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(1)).collect()}
+    assert got == {i: {licences.TEMPLATES[i // 100][0]} if i < 9000 else set() for i, _ in rows}
+
+
+def test_windows_match_brute_force():
+    rng = np.random.default_rng(2)
+    own = licences.LicenceSettings(templates=(("a", "one two three four five six"), ("b", "two three seven two nine"), ("c", "one")))
+    vocabulary = "one two three four five six seven eight nine ten".split()
+    index = licences.Index(own)
+    for _ in range(300):
+        texts = [list(rng.choice(vocabulary, int(rng.integers(0, 25)))) for _ in range(3)]
+        hashes = licences.word_hashes([" ".join(t) for t in texts], licences.ALNUM)
+        row, first = np.repeat(np.arange(3), [len(t) for t in texts]), np.cumsum([0] + [len(t) for t in texts])
+        got = index.windows(index.numbers(np.concatenate(hashes)), row)
+        for label, t in own.templates:
+            held, width = set(t.split()), -(-len(t.split()) * 5 // 4)
+            for r, words in enumerate(texts):
+                share = [len(held & set(words[s : s + width])) / len(held) for s in range(len(words))]
+                mine = [(a - first[r], c) for a, _, x, c in got if x == label and first[r] <= a < first[r + 1]]
+                assert all(abs(share[a] - c) < 1e-9 for a, c in mine)
+                assert max([c for _, c in mine], default=0) == pytest.approx(max([s for s in share if s >= 0.8], default=0))
+
+
 def test_templates_do_not_meet_each_other():
     index = licences.Index(licences.LicenceSettings())
     for label, text in licences.TEMPLATES:
