@@ -2,6 +2,8 @@
 
 import pytest
 
+import rolecall.checks.accounts  # registers its queries
+from rolecall.checks.base import QUERIES
 from rolecall.operators import accounts as ac
 
 URL = {"github": "https://github.com/", "gitlab": "https://gitlab.com/", "codeberg": "https://codeberg.org/"}
@@ -67,6 +69,31 @@ def test_cap_stops_a_chain(spark):
     assert len(resolve(spark, chain, max_accounts=3)) == 3
 
 
+def test_registered_closure_is_the_fixpoint(spark, tmp_path):
+    n, hosts = 30, ["github", "gitlab", "codeberg", "gitee", "bitbucket"]
+    orders = [(o, o * 37 % 101 % n + 1) for o in range(1, 160)]
+    segment = {k: "ABC"[k % 3] if k > 4 else "SAME" for k in range(1, n + 1)}
+    spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame(list(segment.items()), "c_custkey bigint, c_mktsegment string").write.parquet(str(tmp_path / "customer.parquet"))
+    edges = {(k, (o * 7919 + 13) % n) for o, k in orders}
+    sites = {}
+    for o, k in orders:
+        sites.setdefault(o // 5 if o // 40 % 2 == 0 else 10**9 + o // 8, set()).add(k)
+    name = {k: (s, k % 200) for k, s in segment.items()}
+    want = set()
+    for person in segment:
+        mine, new, r = set(), {person}, 0
+        while new:
+            want |= {(person, hosts[k % 5], f"c{k}", r) for k in new}
+            mine, r = mine | new, r + 1
+            out, into = {b for a, b in edges if a in mine}, {a for a, b in edges if b in mine}
+            named = {k for s in sites.values() if s & mine for k in s if name[k] in {name[m] for m in mine if m in name}}
+            new = ((out & into) | named) - mine
+    got = {tuple(x) for x in QUERIES["identity_closure"](spark, str(tmp_path)).select("person_id", "forge", "login", "round").collect()}
+    assert max(sum(w[0] == p for w in want) for p in segment) > 8
+    assert got == want
+
+
 @pytest.mark.parametrize("query, login, n", [
     ("Jane Roe", "jroe", 1), ("john smith", None, 2), ("No Body", None, 0), ("Wiki Person", "wp", 1),
     ("Two Wikis", None, 2)])
