@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import chat, contamination, jaccard, language, lattice, licences, pieces, toxicity, urls, winnowing
+from . import anchors, centroids, chat, contamination, jaccard, language, lattice, licences, manifest, pieces, toxicity, urls, winnowing
 from .stages import fold_of
 
 #: Rules of the url filter: host and path prefix, and what they decide.
@@ -195,3 +195,97 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The token ids of every document, and whether they decode to its text."""
     return pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES).select(
         "doc_id", "n_tokens", "round_trip", "token_ids")
+
+
+@query
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of every vector after five rounds from forty hashed starts, with inertias and centroid digests."""
+    found = centroids.cluster(table(spark, sf_dir, "embeddings"), centroids.CentroidSettings(), "op11")
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia",
+                        F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256).alias("centroid_sha256"))
+
+
+def _cluster_sql(clusters: int = 40, rounds: int = 5, dimensions: int = 64) -> str:
+    apart = f"list_sum(list_transform(generate_series(1, {dimensions}), lambda i: (k.v[i] - c.v[i]) * (k.v[i] - c.v[i])))::BIGINT"
+    parts = [f"""
+kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = {dimensions} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT r, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM kept),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, vec_id, v) - 1 AS c, v FROM (SELECT sha256('2:' || vec_id) AS h, vec_id, v FROM kept ORDER BY ALL LIMIT {clusters}))"""]
+    for n in range(rounds + 1):
+        parts.append(f"""
+d{n} AS MATERIALIZED (SELECT r, arg_min(c, d * 1000 + c) AS c, min(d) AS d FROM (SELECT r, c, {apart} AS d FROM kept k, c{n} c) GROUP BY r)""")
+        if n < rounds:
+            parts.append(f"""
+m{n} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM (SELECT c, i, sum(x)::BIGINT AS s, count(*) AS n FROM d{n} JOIN parts USING (r) GROUP BY c, i) GROUP BY c),
+c{n + 1} AS MATERIALIZED (SELECT c{n}.c, coalesce(m{n}.v, c{n}.v) AS v FROM c{n} LEFT JOIN m{n} USING (c))""")
+    return f"""WITH {",".join(parts)}
+SELECT vec_id, c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(c{rounds}.v, ',')) AS centroid_sha256
+FROM d{rounds} JOIN kept USING (r) JOIN c{rounds} USING (c)"""
+
+
+SQL["op11_centroid_clusters"] = _cluster_sql()
+
+
+@query
+def op12_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies by 3-word shingles: fingerprints of 64 bits that differ in two bits at most."""
+    found = anchors.near_copies(table(spark, sf_dir, "documents"), anchors.AnchorSettings(), "op12")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op13_dataset_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf and proof in the manifest of all, and whether it still verifies after tampering."""
+    settings = manifest.ManifestSettings()
+    changed = (fold_of(F.col("doc_id"), 2) == 0) & F.contains("text", F.lit("\n"))
+    after = [F.replace("text", F.lit("\n"), F.lit("")) if c == "text" else F.col(c) for c in settings.fields]
+    items = F.struct("doc_id", F.when(changed, manifest.leaf(after)).alias("tampered"))
+    built = manifest.build(table(spark, sf_dir, "documents"), items, settings, "op13")
+    root = F.lit(built.root).cast("string")
+    rows = manifest.proofs(built, settings, "op13").withColumn("folded_root", manifest.fold(F.coalesce("item.tampered", "leaf"), F.col("path")))
+    return rows.select("item.doc_id", "leaf", "subroot", root.alias("root"), manifest.siblings(F.col("path")).alias("proof_sha256"),
+                       "folded_root", (F.col("folded_root") == root).alias("verified"))
+
+
+_FIELD = "coalesce(strlen({0}::VARCHAR) || ':' || {0}, '-')"
+
+
+def _leaf_sql(text: str) -> str:
+    return f"sha256({' || '.join(_FIELD.format(c) for c in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
+
+def _tree_sql(name: str, rows: str) -> str:
+    """`name`: all nodes (lvl, grp, pos, d, n) of the trees over `rows` (grp, pos, d, n), n being the nodes of the level."""
+    return f"""{name} AS (SELECT 0 AS lvl, * FROM ({rows}) UNION ALL
+  SELECT lvl + 1, grp, pos // 3, sha256(string_agg(d, '' ORDER BY pos)), any_value((n + 2) // 3) FROM {name} WHERE n > 1 GROUP BY lvl, grp, pos // 3)"""
+
+
+def _steps_sql(name: str, tree: str) -> str:
+    """`name`: of every node (lvl, grp, pos) below a top, its siblings left and right."""
+    return f"""{name} AS MATERIALIZED (SELECT a.lvl, a.grp, a.pos, coalesce(string_agg(b.d, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l,
+  coalesce(string_agg(b.d, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+  FROM {tree} a JOIN {tree} b ON a.lvl = b.lvl AND a.grp IS NOT DISTINCT FROM b.grp AND a.pos // 3 = b.pos // 3 WHERE a.n > 1 GROUP BY a.lvl, a.grp, a.pos)"""
+
+
+SQL["op13_dataset_manifest"] = f"""
+WITH RECURSIVE crc AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+docs AS (SELECT *, list_reduce([4294967295] || list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])) AS x FROM documents, crc),
+leaves AS MATERIALIZED (SELECT doc_id, source, {_leaf_sql("text")} AS leaf,
+  CASE WHEN xor(x, 4294967295) % 2 = 0 THEN {_leaf_sql("replace(text, chr(10), '')")} ELSE {_leaf_sql("text")} END AS after,
+  row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, {_leaf_sql("text")}) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM docs),
+{_tree_sql("low", "SELECT source AS grp, pos, leaf AS d, n FROM leaves")},
+tops AS MATERIALIZED (SELECT grp, d AS subroot, row_number() OVER (ORDER BY grp NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM low WHERE n = 1),
+{_tree_sql("high", "SELECT '' AS grp, pos, subroot AS d, n FROM tops")},
+{_steps_sql("a", "low")},
+{_steps_sql("b", "high")},
+path AS MATERIALIZED (
+  SELECT doc_id, leaf, lvl, l, r FROM leaves JOIN a ON a.grp IS NOT DISTINCT FROM leaves.source AND a.pos = leaves.pos // (3 ** a.lvl)::BIGINT
+  UNION ALL SELECT doc_id, leaf, 1000 + lvl, l, r FROM leaves JOIN tops t ON t.grp IS NOT DISTINCT FROM leaves.source JOIN b ON b.pos = t.pos // (3 ** b.lvl)::BIGINT),
+whole AS (SELECT doc_id, leaf, string_agg(l || r, '' ORDER BY lvl) AS s, list({{'l': l, 'r': r}} ORDER BY lvl) AS p FROM path GROUP BY doc_id, leaf),
+folded AS (SELECT doc_id, leaf, 1 AS k, after AS d, p FROM leaves LEFT JOIN whole USING (doc_id, leaf)
+  UNION ALL SELECT doc_id, leaf, k + 1, sha256(p[k].l || d || p[k].r), p FROM folded WHERE k <= coalesce(len(p), 0))
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(s, '')) AS proof_sha256, folded.d AS folded_root, folded.d = root AS verified
+FROM leaves JOIN tops t ON t.grp IS NOT DISTINCT FROM leaves.source LEFT JOIN whole USING (doc_id, leaf) JOIN folded USING (doc_id, leaf), (SELECT d AS root FROM high WHERE n = 1)
+WHERE k = coalesce(len(folded.p), 0) + 1"""

@@ -45,6 +45,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def text_batches(spark: SparkSession, limit: str = "4m") -> None:
+    """From now on Arrow batches of the session end at `limit` bytes, so that long texts do not travel by thousands.
+
+    A text longer than that is a batch of its own."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", limit)
+
+
 def let(value: Column, body) -> Column:
     """`body(value)` with `value` worked out once, also where `body` uses it inside a lambda."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -13,7 +13,7 @@ from rolecall.llm import queries
 from .test_operators import ODD, DOCS, brute_components, brute_leaks, tokens
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("documents", "benchmark", "labels", "pages", "conversations")
+TABLES = ("documents", "benchmark", "labels", "pages", "conversations", "embeddings")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
 
 
