@@ -9,7 +9,8 @@ A window of an item's size can only be similar if few of the item's shingle occu
 (missing + 1) must be there: the item's rarest ones are its anchors. There are some more of them than a window of the
 full size can miss, so such a window holds several. Every window of a text that holds so many is fingerprinted, at
 whichever places they stand, as shingles count without their order; a text shorter than the item is one window with
-one anchor or more. Windows with the same shingles are fingerprinted once, however many texts hold them.
+one anchor or more. Windows with the same shingles are fingerprinted once, however many texts hold them, and meet the
+items whose anchors they hold, no others.
 Fingerprints are 64-bit SimHashes; cut into radius + 1 blocks, any two of distance `radius` or less agree in a block,
 so joining on (size, block) finds all of them. With radius 20 a pair at similarity 0.8 lies within it in more than
 99.9 % of cases (binomial, 64 bits at an angle of 0.15 pi), pairs of higher similarity more often.
@@ -89,14 +90,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, settings: ContaminationSettings
     nothing; items with a null id count as any other.
     """
     num, den = settings.numerator, settings.denominator
-    items = stage(_items(benchmark, settings), f"{name}-items")
-    own = [F.xxhash64("grams", F.lit(1)).alias("i1"), F.xxhash64("grams", F.lit(2)).alias("i2")]  # ids may repeat
-    single = items.select("n", "k", *own, F.size("grams").alias("m"), F.posexplode("grams").alias("o", "h")).distinct()
+    item = ["n", "k", "i1", "i2"]  # ids may repeat, and one id may have several texts
+    items = stage(_items(benchmark, settings).withColumns({"i1": F.xxhash64("grams", F.lit(1)), "i2": F.xxhash64("grams", F.lit(2))}), f"{name}-items")
+    single = items.select(*item, F.size("grams").alias("m"), F.posexplode("grams").alias("o", "h")).distinct()
     seen = single.withColumn("holders", F.count("*").over(Window.partitionBy("h", "k")))
     place = F.row_number().over(Window.partitionBy("i1", "i2", "n", "k").orderBy("holders", "h", "o"))
     # a window with as many shingles misses at most m * (den - num) / (den + num); a shorter text m * (den - num) / den
     chosen, missing = (lambda m: F.floor(m * (den - num) / den) + 1), (lambda m: F.floor(m * (den - num) / (den + num)))
-    anchors = stage(seen.withColumn("place", place).filter(F.col("place") <= chosen(F.col("m"))).select("h", "k", "n").distinct(), f"{name}-anchors")
+    anchors = stage(seen.withColumn("place", place).filter(F.col("place") <= chosen(F.col("m"))).select("h", *item).distinct(), f"{name}-anchors")
     widths = sorted(r.k for r in anchors.select("k").distinct().collect())  # at most `width` of them
     keyed = docs.filter("text is not null").select(*text_keys(), words(F.col("text")).alias("w"))
     parts = [keyed.select("text_1", "text_2", F.size("w").alias("size"), F.lit(k).alias("k"), F.posexplode(shingles(F.col("w"), k)).alias("p", "h"))
@@ -107,7 +108,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, settings: ContaminationSettings
     for p in parts[1:]:
         hits = hits.union(p)
     hits = hits.join(small(anchors, settings.broadcast_rows), ["h", "k"])
-    hits = stage(hits.select("text_1", "text_2", "size", "n", "k", "p").distinct(), f"{name}-hits")
+    hits = stage(hits.select("text_1", "text_2", "size", *item, "p").distinct(), f"{name}-hits")
 
     # windows with hits i to i + least - 1, but without hit i - 1, start after hit i - 1 and at hit i at the latest
     m, last = F.col("n") - F.col("k") + 1, F.greatest(F.col("size") - F.col("n"), F.lit(0))
@@ -115,12 +116,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, settings: ContaminationSettings
     begin = F.when(F.col("size") < F.col("n"), F.lit(0)).otherwise(
         F.greatest(F.get("ps", F.col("i") + F.col("least") - 1) - m + 1, F.coalesce(F.get("ps", F.col("i") - 1) + 1, F.lit(0)), F.lit(0)))
     end = F.when(F.col("size") < F.col("n"), F.lit(0)).otherwise(F.least("p", last))
-    spots = (hits.groupBy("text_1", "text_2", "size", "n", "k").agg(F.array_sort(F.collect_list("p")).alias("ps"))
+    spots = (hits.groupBy("text_1", "text_2", "size", *item).agg(F.array_sort(F.collect_list("p")).alias("ps"))
              .select("*", least.alias("least"), F.posexplode("ps").alias("i", "p"))
              .filter((F.col("i") + F.col("least") <= F.size("ps")) & ((F.col("size") >= F.col("n")) | (F.col("i") == 0)))
-             .select("text_1", "text_2", "n", "k", begin.alias("begin"), end.alias("end")).filter("begin <= end")
-             .select("text_1", "text_2", "n", "k", F.explode(F.sequence("begin", "end")).alias("start")))
-    runs = stage(spots.groupBy("text_1", "text_2", "n", "k", F.floor(F.col("start") / settings.run).alias("run"))
+             .select("text_1", "text_2", *item, begin.alias("begin"), end.alias("end")).filter("begin <= end")
+             .select("text_1", "text_2", *item, F.explode(F.sequence("begin", "end")).alias("start")))
+    runs = stage(spots.groupBy("text_1", "text_2", *item, F.floor(F.col("start") / settings.run).alias("run"))
                  .agg(F.array_sort(F.collect_list("start")).alias("starts")).drop("run"), f"{name}-runs")
     holders = stage(runs.select("text_1", "text_2").distinct(), f"{name}-holders")
     held = (docs.filter("text is not null").select(*text_keys(), "text").join(small(holders, settings.broadcast_rows), ["text_1", "text_2"])
@@ -134,29 +135,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame, settings: ContaminationSettings
 
     first, final = F.get("starts", F.lit(0)), F.element_at("starts", -1)
     windows = stage(runs.join(held.select("text_1", "text_2", "w"), ["text_1", "text_2"])
-                    .select("text_1", "text_2", "n", "k", "starts", first.alias("first"), let(F.slice("w", first + 1, final - first + F.col("n")), grams_of).alias("all"))
-                    .select("text_1", "text_2", "n", "k", "first", "all", F.explode("starts").alias("start"))
-                    .select("text_1", "text_2", "start", "n", "k", F.slice("all", F.col("start") - F.col("first") + 1, m).alias("grams")).filter(F.size("grams") > 0)
+                    .select("text_1", "text_2", *item, "starts", first.alias("first"), let(F.slice("w", first + 1, final - first + F.col("n")), grams_of).alias("all"))
+                    .select("text_1", "text_2", *item, "first", "all", F.explode("starts").alias("start"))
+                    .select("text_1", "text_2", "start", *item, F.slice("all", F.col("start") - F.col("first") + 1, m).alias("grams")).filter(F.size("grams") > 0)
                     .withColumns({"g1": F.xxhash64("grams", F.lit(1)), "g2": F.xxhash64("grams", F.lit(2))}), f"{name}-windows")
 
     kinds = ["n", "k", "g1", "g2"]
     prints = stage(windows.select(*kinds, "grams").dropDuplicates(kinds).withColumn("print", simhash(F.col("grams"))), f"{name}-prints")
-    item_prints = stage(items.withColumn("item_print", simhash(F.col("grams"))), f"{name}-item-prints")
     cut = blocks(F.col("print"), settings.radius), blocks(F.col("item_print"), settings.radius)
-    near = (prints.select(*kinds, "print", F.explode(cut[0]).alias("b")).select(*kinds, "print", "b.block", "b.value")
-            .join(item_prints.select("item_id", "n", "k", "item_print", F.explode(cut[1]).alias("b")).select("item_id", "n", "k", "item_print", "b.block", "b.value"),
-                  ["n", "k", "block", "value"])
+    theirs = stage(items.select(*item, "grams").dropDuplicates(item).select(*item, simhash(F.col("grams")).alias("item_print")), f"{name}-item-prints")
+    # only windows with anchors of an item meet its blocks
+    mine = windows.select(*item, "g1", "g2").distinct().join(prints.select(*kinds, "print"), kinds)
+    near = (mine.select(*item, "g1", "g2", "print", F.explode(cut[0]).alias("b")).select(*item, "g1", "g2", "print", "b.block", "b.value")
+            .join(theirs.select(*item, "item_print", F.explode(cut[1]).alias("b")).select(*item, "item_print", "b.block", "b.value"), [*item, "block", "value"])
             .filter(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= settings.radius)
-            .select(*kinds, "item_id", "item_print").distinct())
+            .select(*item, "g1", "g2").distinct())
     shared = shared_weight(F.col("grams"), F.col("item_grams"))
     both = F.size("grams") + F.size("item_grams")
     exact = (near.join(prints.select(*kinds, "grams"), kinds)
-             .join(item_prints.select(F.col("item_id").alias("other"), "n", "k", "item_print", F.col("grams").alias("item_grams")).withColumnRenamed("n", "n2").withColumnRenamed("k", "k2").withColumnRenamed("item_print", "print2"),
-                   (F.col("item_id").eqNullSafe(F.col("other"))) & (F.col("n") == F.col("n2")) & (F.col("k") == F.col("k2")) & (F.col("item_print") == F.col("print2")))
+             .join(items.select("item_id", *item, F.col("grams").alias("item_grams")), item)
              .select(*kinds, "item_id", both.alias("both"), shared.alias("shared"))
              .filter(F.col("shared") * den >= num * (F.col("both") - F.col("shared")))
              .select(*kinds, "item_id", (F.col("shared") / (F.col("both") - F.col("shared"))).alias("similarity")))
-    found = exact.join(windows.select("text_1", "text_2", "start", *kinds), kinds)
+    found = exact.distinct().join(windows.select("text_1", "text_2", "start", *kinds).distinct(), kinds)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("before"), "n"))
     return (found.groupBy("text_1", "text_2", "item_id").agg(best.alias("best"))
             .select("text_1", "text_2", "item_id", (-F.col("best.before")).alias("start"), F.col("best.n").alias("n_words"), "best.similarity"))
