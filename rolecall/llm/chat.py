@@ -2,9 +2,10 @@
 
 Logs hold events (conv_id, turn, branch, seq, kind, role, text) of messages, which (conv_id, turn, branch) name:
 `open` gives the role, `delta` appends its text, `edit` puts its text in place of all before, `regenerate` drops all
-before. Events of a message are sorted by `seq`; an event delivered again (same seq) counts once, the least by kind,
-role and text. Logs are partitioned by message, so that a long conversation is spread, and folded as a sorted
-stream, one message in memory at a time.
+before. Logs are partitioned by conversation, in ranges of conversation, turn and branch, so that a conversation's
+messages stand together in their order and only one beyond a task's share is cut, between messages. There they are
+sorted by `seq` and folded as a stream, one message in memory at a time; an event delivered again (same seq) counts
+once, the least by kind, role and text.
 
 A rendered message is `### role: text</turn>` and a line end. A backslash stands before each backslash, `### ` and
 `</turn>` of a text, and before each of these and each colon of a role; reading back removes it.
@@ -19,23 +20,27 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .stages import text_batches
+
 HEAD, TAIL = "### ", "</turn>"
 LEARNT = "assistant"
 
 _MESSAGE = ["conv_id", "turn", "branch"]
-_TEXT = re.compile(r"\\(\\|### |</turn>)")
-_TURN = re.compile(r"### ((?:\\.|[^\\:])*): ((?:\\.|[^\\<]|<(?!/turn>))*)</turn>\n", re.DOTALL)
+_ESCAPED = re.compile(r"\\(.)", re.DOTALL)
+_CHUNK = 1 << 20  # characters unescaped at once
 
 
 def _folded(batches):
     kinds = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("branch", pa.int64()), ("role", pa.string()), ("text", pa.string())])
     key, role, parts, last = None, "", [], object()
     out: list[tuple] = []
+    size = 0
     for batch in batches:
         for *own, seq, kind, who, text in zip(*[batch.column(c).to_pylist() for c in (*_MESSAGE, "seq", "kind", "role", "text")]):
             if own != key:
                 if key is not None:
                     out.append((*key, role, "".join(parts)))
+                    size += len(out[-1][-1])
                 key, role, parts, last = own, "", [], object()
             if seq == last:
                 continue
@@ -48,9 +53,9 @@ def _folded(batches):
                 parts = [text or ""]
             elif kind == "regenerate":
                 parts = []
-            if len(out) >= 2000:
+            if size > 4 << 20 or len(out) >= 2000:
                 yield _rows(out, kinds)
-                out = []
+                out, size = [], 0
     if key is not None:
         out.append((*key, role, "".join(parts)))
     yield _rows(out, kinds)
@@ -64,10 +69,12 @@ def _rows(rows: list[tuple], kinds: pa.Schema) -> pa.RecordBatch:
 def fold(events: DataFrame) -> DataFrame:
     """The final messages (conv_id, turn, branch, role, text) of event logs; other kinds of events change nothing.
 
-    A null text is empty, a null or missing role the empty role. Null ids and turns name messages like any other.
+    A null text is empty, a null or missing role the empty role. Null ids and turns name messages like any other;
+    other columns are not looked at.
     """
     own = events.select(*[F.col(c).cast("long").alias(c) for c in (*_MESSAGE, "seq")], "kind", "role", "text")
-    return (own.repartition(*_MESSAGE).sortWithinPartitions(*_MESSAGE, "seq", "kind", "role", "text")
+    text_batches(events.sparkSession)
+    return (own.repartitionByRange(*_MESSAGE).sortWithinPartitions(*_MESSAGE, "seq", "kind", "role", "text")
             .mapInArrow(_folded, "conv_id long, turn long, branch long, role string, text string"))
 
 
@@ -85,13 +92,44 @@ def render(messages: DataFrame) -> DataFrame:
                                  "loss_chars": F.when(learnt, F.length(text)).otherwise(0)})
 
 
+def _escaped(text: str, at: int, start: int) -> bool:
+    """Whether an odd number of backslashes, counted back to `start`, stands before `at`."""
+    back = at
+    while back > start and text[back - 1] == "\\":
+        back -= 1
+    return bool((at - back) % 2)
+
+
+def _find(text: str, mark: str, start: int) -> int:
+    """The first place of `mark` from `start` on that no backslash escapes."""
+    at = text.find(mark, start)
+    while at >= 0 and _escaped(text, at, start):
+        at = text.find(mark, at + 1)
+    if at < 0:
+        raise ValueError(f"a rendered turn without {mark!r}")
+    return at
+
+
 def unescape(text: str) -> str:
-    return _TEXT.sub(r"\1", text)
+    parts, at = [], 0
+    while at < len(text):
+        end = min(at + _CHUNK, len(text))
+        end += _escaped(text, end, at)
+        parts.append(_ESCAPED.sub(r"\1", text[at:end]))
+        at = end
+    return "".join(parts)
 
 
 def read_back(rendered: str) -> list[tuple[str, str]]:
-    """(role, text) of each turn of a rendered conversation."""
-    return [(re.sub(r"\\(\\|### |</turn>|:)", r"\1", role), unescape(text)) for role, text in _TURN.findall(rendered)]
+    """(role, text) of each turn of a rendered conversation. Texts are searched for their end, once, and copied."""
+    out, at = [], 0
+    while at < len(rendered):
+        start = at + len(HEAD)
+        colon = _find(rendered, ": ", start)
+        end = _find(rendered, TAIL, colon + 2)
+        out.append((unescape(rendered[start:colon]), unescape(rendered[colon + 2 : end])))
+        at = end + len(TAIL) + 1
+    return out
 
 
 def _digested(batches):
@@ -132,6 +170,7 @@ def digests(rendered: DataFrame) -> DataFrame:
 
     A conversation is the stream of its segments by turn and branch: it is hashed as it passes, never held.
     """
+    text_batches(rendered.sparkSession)
     return (rendered.select(*_MESSAGE, "segment", "loss_start", "loss_chars").repartition("conv_id").sortWithinPartitions(*_MESSAGE)
             .mapInArrow(_digested, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"))
 
