@@ -1,18 +1,16 @@
 """Language-model scores of texts: subword lattice likelihood.
 
 A word, with the white-space marker before it, is the sum over all paths through its lattice. The arcs are the pieces
-of an existing vocabulary, drawn independently: its own scores start the model (ranks of a BPE vocabulary as
-1 / rank), and rounds of expectation maximisation over all distinct training words fit the probabilities. A training
-word is also one arc from end to end, with its count less a discount (n1 / (n1 + 2 n2), of the words that occur once
-and twice); what the discounts leave is the weight of the piece paths. So all words' probabilities and that of the
-end of a text sum to one. A log-space forward recursion gives a word's marginal. A character outside the vocabulary is
-spelt by its bytes.
-
-Texts come in kinds: the most frequent values of `lang` among the training rows, and a rest. A kind's words have arcs
-by their counts in that kind, and what their discounts leave goes to the words of all texts, each counted once for
-every kind that has it. A text's probability
-given a kind is the product over its words and its end, and its marginal the sum over all kinds by their shares of the
-training texts, so a text's own `lang` is never asked for.
+of an existing vocabulary, drawn independently, and a log-space forward recursion gives the word's marginal. A
+character outside the vocabulary is spelt by its bytes. The vocabulary's own scores (of a BPE vocabulary, 1 / rank)
+start the model; one round of expectation maximisation over all distinct training words (`rounds`) refits them, as the
+only public vocabularies at hand are ranks and no probabilities. Nothing else is learnt but the chance of an end. A text
+is its words and its end, all independent: the product of the words' marginals, of the chance of no end for each of
+them, and of the end.
+
+A word's forward recursion is vectorised over words of all lengths; a word of more than `_LONG` characters is passed
+over in blocks instead, and only the prefixes that a piece can still reach are carried from one to the next. For the
+refit such a word is cut into parts of `_LONG` characters.
 
 Words are counted by a 64-bit hash. The `head` most frequent ones, a bounded table, are looked up where the texts
 are read; all others, which no longer hold a hot key, meet their counts in a shuffle join.
@@ -20,6 +18,7 @@ are read; all others, which no longer hold a hot key, meet their counts in a shu
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,18 +28,18 @@ from pyspark.sql import functions as F
 
 from .arrow_text import NOT_SPACE, Words, chunks
 from .pieces import MARK, UNIGRAM, parse
-from .stages import stage
+from .stages import stage, text_batches
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _LIMIT = 150_000  # characters of words in one run
+_LONG = 2_000  # characters of a word that is worked out together with others
 
 
 @dataclass(frozen=True)
 class LatticeSettings:
-    rounds: int = 2
+    rounds: int = 1
     head: int = 100_000
     smoothing: float = 0.1
-    kinds: int = 6
 
 
 class Vocabulary:
@@ -86,14 +85,14 @@ def _hashes(codes: np.ndarray) -> np.ndarray:
 
 
 class Lattice:
-    """The arcs of a run of words: for each piece length, the piece that begins at each character (or -1)."""
+    """The arcs of a run of strings: for each piece length, the piece that begins at each character (or -1)."""
 
-    def __init__(self, words: list[str], vocabulary: Vocabulary):
-        n = np.array([len(w) + 1 for w in words])
+    def __init__(self, strings: list[str], vocabulary: Vocabulary):
+        n = np.array([len(s) for s in strings], np.int64)
         self.order = np.argsort(-n, kind="stable")
         self.n = n[self.order]
         self.start = np.concatenate([[0], np.cumsum(self.n)])[:-1]
-        text = "".join(MARK + words[i] for i in self.order)
+        text = "".join(strings[i] for i in self.order)
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         left = np.repeat(self.n, self.n) - (np.arange(len(codes)) - np.repeat(self.start, self.n))
         self.arcs: dict[int, np.ndarray] = {}
@@ -124,7 +123,7 @@ class Lattice:
         return out
 
     def forward(self, scores: dict[int, np.ndarray]) -> np.ndarray:
-        """Log-space marginals of all prefixes: word w's prefix of e characters at start[w] + w + e."""
+        """Log-space marginals of all prefixes: string w's prefix of e characters at start[w] + w + e."""
         base = self.start + np.arange(len(self.n))
         alpha = np.full(int(self.n.sum()) + len(self.n), -np.inf)
         alpha[base] = 0.0
@@ -138,7 +137,7 @@ class Lattice:
         return alpha
 
     def expected(self, log_p: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Expected piece counts of the words, weighted."""
+        """Expected piece counts of the strings, weighted."""
         scores = self.scores(log_p)
         alpha = self.forward(scores)
         base = self.start + np.arange(len(self.n))
@@ -169,13 +168,50 @@ class Lattice:
         return count
 
     def marginals(self, log_p: np.ndarray) -> np.ndarray:
-        """The log probability of each word, in the order given."""
+        """The log probability of each string, in the order given."""
         alpha = self.forward(self.scores(log_p))
         out = np.zeros(len(self.n))
         out[self.order] = alpha[self.start + np.arange(len(self.n)) + self.n]
         return out
 
 
+def long_marginal(string: str, vocabulary: Vocabulary, log_p: np.ndarray, block: int = 20_000) -> float:
+    """The log probability of one string, worked out in blocks of characters."""
+    reach = max(vocabulary.lengths + [1])
+    alpha = [0.0] + [-math.inf] * (block + reach)
+    for first in range(0, len(string), block):
+        own = Lattice([string[first : first + block + reach - 1]], vocabulary).scores(log_p)
+        here = min(block, len(string) - first)
+        arcs = [(k, np.flatnonzero(np.isfinite(score[:here]))) for k, score in own.items()]
+        place = np.concatenate([at for _, at in arcs])
+        order = np.argsort(place, kind="stable")
+        steps = np.concatenate([np.full(len(at), k) for k, at in arcs])[order].tolist()
+        value = np.concatenate([own[k][at] for k, at in arcs])[order].tolist()
+        for at, k, v in zip(place[order].tolist(), steps, value):
+            a, b = alpha[at] + v, alpha[at + k]
+            alpha[at + k] = a if b == -math.inf else max(a, b) + math.log1p(math.exp(-abs(a - b)))
+        alpha[: reach + 1] = alpha[here : here + reach + 1]
+        alpha[reach + 1 :] = [-math.inf] * block
+    return alpha[0]
+
+
+def word_marginals(words: list[str], vocabulary: Vocabulary, log_p: np.ndarray) -> np.ndarray:
+    """The log probability of each word with its marker."""
+    out = np.zeros(len(words))
+    short = [i for i, w in enumerate(words) if len(w) < _LONG]
+    for a, b in _runs([words[i] for i in short]):
+        out[short[a:b]] = Lattice([MARK + words[i] for i in short[a:b]], vocabulary).marginals(log_p)
+    for i, w in enumerate(words):
+        if len(w) >= _LONG:
+            out[i] = long_marginal(MARK + w, vocabulary, log_p)
+    return out
+
+
+def _parts(word: str) -> list[str]:
+    marked = MARK + word
+    return [marked[a : a + _LONG] for a in range(0, len(marked), _LONG)]
+
+
 def _runs(words: list[str]):
     first = size = 0
     for i, w in enumerate(words):
@@ -187,32 +223,25 @@ def _runs(words: list[str]):
         yield first, len(words)
 
 
-def _counted(kinds: int):
-    """The distinct words of each batch with their training counts in each kind."""
-    names = ["h", "word", *[f"c{k}" for k in range(kinds)]]
-
-    def run(batches):
-        for batch in batches:
-            learn, kind = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("learn", "kind"))
-            hashes, counts, strings = [], [], []
-            for first, last, data, offsets in chunks(batch.column("text")):
-                w = Words(data, offsets, NOT_SPACE)
-                if not len(w.hash):
-                    continue
-                unique, at, which = np.unique(w.hash, return_index=True, return_inverse=True)
-                row = first + w.row
-                cell = which * kinds + kind[row]
-                hashes.append(unique)
-                counts.append(np.bincount(cell, learn[row], len(unique) * kinds).astype(np.int64).reshape(-1, kinds))
-                raw = w.data.tobytes()
-                strings.append(np.array([raw[a:b] for a, b in zip(w.start[at], w.end[at])], object))
-            if hashes:
-                unique, at, which = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-                counts = np.concatenate(counts)
-                columns = [np.bincount(which, counts[:, k], len(unique)).astype(np.int64) for k in range(kinds)]
-                words = pa.array(np.concatenate(strings)[at], pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(unique.view(np.int64)), words, *[pa.array(c) for c in columns]], names)
-    return run
+def _counted(batches):
+    """The distinct words of each batch with their training counts."""
+    for batch in batches:
+        learn = batch.column("learn").to_numpy(zero_copy_only=False)
+        hashes, counts, strings = [], [], []
+        for first, last, data, offsets in chunks(batch.column("text")):
+            w = Words(data, offsets, NOT_SPACE)
+            if not len(w.hash):
+                continue
+            unique, at, which = np.unique(w.hash, return_index=True, return_inverse=True)
+            hashes.append(unique)
+            counts.append(np.bincount(which, learn[first + w.row], len(unique)).astype(np.int64))
+            raw = w.data.tobytes()
+            strings.append(np.array([raw[a:b] for a, b in zip(w.start[at], w.end[at])], object))
+        if hashes:
+            unique, at, which = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+            total = np.bincount(which, np.concatenate(counts), len(unique)).astype(np.int64)
+            words = pa.array(np.concatenate(strings)[at], pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(unique.view(np.int64)), words, pa.array(total)], ["h", "word", "c"])
 
 
 def _expectation(data: bytes, log_p: np.ndarray):
@@ -220,55 +249,25 @@ def _expectation(data: bytes, log_p: np.ndarray):
         vocabulary = Vocabulary(data)
         total = np.zeros(vocabulary.size)
         for batch in batches:
-            words = batch.column("word").to_pylist()
-            for a, b in _runs(words):
-                total += Lattice(words[a:b], vocabulary).expected(log_p, np.ones(b - a))
+            strings = [p for w in batch.column("word").to_pylist() for p in _parts(w)]
+            for a, b in _runs(strings):
+                total += Lattice(strings[a:b], vocabulary).expected(log_p, np.ones(b - a))
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(total[ids])], ["piece", "count"])
     return run
 
 
-@dataclass(frozen=True)
-class Shares:
-    """How the probability of one token is dealt out: to `texts` ends and `tokens` words of `types` kinds."""
-
-    texts: int
-    tokens: int
-    types: int
-    discount: float
-
-    @property
-    def all(self) -> float:
-        return self.texts + self.tokens + 1.5
-
-    @property
-    def end(self) -> float:
-        return float(np.log((self.texts + 0.5) / self.all))
-
-    def word(self, c: np.ndarray, pieces: np.ndarray) -> np.ndarray:
-        """Log probability of words with the counts `c` and the log marginals `pieces` over piece paths."""
-        with np.errstate(divide="ignore"):
-            own = np.log(np.where(c > 0, c - self.discount, 0) / self.all)
-        return np.logaddexp(own, np.log((self.discount * self.types + 1) / self.all) + pieces)
-
-
-def _marginal(data: bytes, log_p: np.ndarray, all_: Shares, own: list[Shares]):
-    names = ["h", "c", *[f"lp{k}" for k in range(len(own))]]
-
+def _marginal(data: bytes, log_p: np.ndarray):
     def run(batches):
         vocabulary = Vocabulary(data)
         for batch in batches:
-            words = batch.column("word").to_pylist()
-            counts = [batch.column(f"c{k}").to_numpy() for k in range(len(own))]
-            out = [Lattice(words[a:b], vocabulary).marginals(log_p) for a, b in _runs(words)]
-            c = np.sum(counts, axis=0)
-            general = all_.word(np.sum([n > 0 for n in counts], axis=0), np.concatenate(out) if out else np.zeros(0)) - np.log1p(-np.exp(all_.end))
-            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(c), *[pa.array(s.word(n, general)) for s, n in zip(own, counts)]], names)
+            lp = word_marginals(batch.column("word").to_pylist(), vocabulary, log_p)
+            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("c"), pa.array(lp)], ["h", "c", "lp"])
     return run
 
 
 def fit(words: DataFrame, data: bytes, settings: LatticeSettings = LatticeSettings()) -> np.ndarray:
-    """Log probabilities of the vocabulary's pieces, from distinct training words, each once."""
+    """Log probabilities of the vocabulary's pieces, refitted to distinct training words, each once."""
     log_p = Vocabulary(data).initial
     usable = np.isfinite(log_p)
     for _ in range(settings.rounds):
@@ -282,12 +281,10 @@ def fit(words: DataFrame, data: bytes, settings: LatticeSettings = LatticeSettin
     return log_p
 
 
-def _looked_up(head: tuple[np.ndarray, np.ndarray, np.ndarray]):
-    keys, c, lp = head
-    kinds = lp.shape[1]
-    schema = pa.schema([(x, pa.int64()) for x in ("row", "doc_id", "h", "tf", "n_tokens", "n_known")]
-                       + [(x, pa.float64()) for x in ("logs", *[f"lp{k}" for k in range(kinds)])])
+_LOOKED_UP = pa.schema([(x, pa.int64()) for x in ("row", "doc_id", "h", "tf", "n_tokens", "n_known")] + [("logs", pa.float64()), ("lp", pa.float64())])
 
+
+def _looked_up(keys: np.ndarray, c: np.ndarray, lp: np.ndarray):
     def run(batches):
         logs = np.log10(c + 0.5)
         for batch in batches:
@@ -302,7 +299,7 @@ def _looked_up(head: tuple[np.ndarray, np.ndarray, np.ndarray]):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[first:last]), batch.column("doc_id").slice(first, rows), none, none,
                      pa.array(np.bincount(w.row, minlength=rows)), pa.array(np.bincount(row, c[at] > 0, rows).astype(np.int64)),
-                     pa.array(np.bincount(row, logs[at], rows)), *[pa.array(np.bincount(row, lp[at, k], rows)) for k in range(kinds)]], schema=schema)
+                     pa.array(np.bincount(row, logs[at], rows)), pa.array(np.bincount(row, lp[at], rows))], schema=_LOOKED_UP)
                 row, rest = w.row[~hit], w.hash[~hit]
                 order = np.lexsort((rest, row))
                 row, rest = row[order], rest[order]
@@ -311,52 +308,30 @@ def _looked_up(head: tuple[np.ndarray, np.ndarray, np.ndarray]):
                     none, nothing = pa.nulls(len(edge), pa.int64()), pa.nulls(len(edge), pa.float64())
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(ids[first + row[edge]]), none, pa.array(rest[edge].view(np.int64)),
-                         pa.array(np.diff(np.append(edge, len(row)))), none, none, nothing, *[nothing] * kinds], schema=schema)
+                         pa.array(np.diff(np.append(edge, len(row)))), none, none, nothing, nothing], schema=_LOOKED_UP)
     return run
 
 
-def _shares(texts: int, tokens: int | None, types: int, once: int, twice: int) -> Shares:
-    return Shares(texts, tokens or 0, types, once / (once + 2 * twice) if once and twice else 0.5)
-
-
 def score(docs: DataFrame, learn: Column, model_path: str, settings: LatticeSettings = LatticeSettings(), name: str = "lattice") -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of each row of `docs` (doc_id, text, maybe lang).
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of each row of `docs` (doc_id, text).
 
     The model learns from the rows for which `learn` holds. Tokens are the words between ASCII white space, A-Z
     lower-cased, and one end; a null or empty text is an end alone. base_score is the smoothed word unigram, score
-    the lattice model, both log10 probabilities. Repeated rows are scored, and counted, each; null ids as well.
+    the lattice model, both log10 probabilities. Repeated rows are scored, and counted, each; null ids as well. Words of
+    any length are scored whole. Other columns are not looked at.
     """
     with open(model_path, "rb") as file:
         data = file.read()
-    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(learn, F.lit(False)).alias("learn"), lang.alias("lang"))
-    found = rows.filter("learn and lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(settings.kinds).collect()
-    of = F.lit(len(found))
-    for k, r in enumerate(found):
-        of = F.when(F.col("lang") == r.lang, k).otherwise(of)
-    kinds = len(found) + 1
-    rows = rows.withColumn("kind", F.coalesce(of, F.lit(len(found))))
-    counts = [f"c{k}" for k in range(kinds)]
-    words = stage(rows.select("text", "learn", "kind").mapInArrow(_counted(kinds), "h long, word string, " + ", ".join(f"{c} long" for c in counts))
-                  .groupBy("h").agg(F.min("word").alias("word"), *[F.sum(c).alias(c) for c in counts]), f"{name}-words")
-    texts = {r.kind: r["count"] for r in rows.filter("learn").groupBy("kind").count().collect()}
-    holds = [(F.col(c) > 0).cast("long") for c in counts]
-    words = words.withColumns({"c": sum((F.col(c) for c in counts[1:]), F.col(counts[0])), "held": sum(holds[1:], holds[0])})
-
-    def facts(c: str) -> list[Column]:
-        return [F.sum(c).alias(f"{c}_n"), *[F.count(F.when(when, 1)).alias(f"{c}_{x}") for x, when in (
-            ("v", F.col(c) > 0), ("1", F.col(c) == 1), ("2", F.col(c) == 2))]]
-
-    seen = words.agg(*[x for c in ("c", "held", *counts) for x in facts(c)]).first()
-    all_texts = sum(texts.values())
-    n, v = (seen.c_n or 0) + all_texts, seen.c_v + (all_texts > 0)
-    # a word that is new to a kind is likely new to all: the words of all texts count once for each kind that has them
-    general = Shares(0, seen.held_n or 0, seen.held_v, seen.held_1 / (seen.held_1 + 2 * seen.held_2) if seen.held_1 else 0.5)
+    text_batches(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(learn, F.lit(False)).alias("learn"))
+    words = stage(rows.select("text", "learn").mapInArrow(_counted, "h long, word string, c long")
+                  .groupBy("h").agg(F.min("word").alias("word"), F.sum("c").alias("c")), f"{name}-words")
+    texts = rows.filter("learn").count()
+    seen = words.agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
+    n, v = (seen.n or 0) + texts, seen.v + (texts > 0)
+    stop = (texts + 0.5) / (n + 1.0)  # the chance that a token is an end
     log_p = fit(words.filter("c > 0"), data, settings)
-    own = [_shares(texts.get(k, 0), *[seen[f"{c}_{x}"] for x in "nv12"]) for k, c in enumerate(counts)]
-    lps = [f"lp{k}" for k in range(kinds)]
-    valued = stage(words.select("h", "word", *counts).mapInArrow(_marginal(data, log_p, general, own), "h long, c long, " + ", ".join(f"{x} double" for x in lps)),
-                   f"{name}-valued")
+    valued = stage(words.mapInArrow(_marginal(data, log_p), "h long, c long, lp double"), f"{name}-valued")
     # counts by eighths of a doubling: as many of the highest as fit into the table, known before any row is sent
     level = F.floor(F.log2(F.col("c")) * 8)
     room, lowest = settings.head, None
@@ -366,21 +341,18 @@ def score(docs: DataFrame, learn: Column, model_path: str, settings: LatticeSett
         lowest = r.level
     top = valued.filter((F.col("c") > 0) & (level >= lowest) if lowest is not None else F.lit(False)).toPandas()
     top = top.iloc[np.argsort(top["h"].to_numpy(np.int64).view(np.uint64), kind="stable")]
-    head = (top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(float), top[lps].to_numpy(float))
+    head = top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(float), top["lp"].to_numpy(float)
     parts = stage(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(
-        _looked_up(head), "row long, doc_id long, h long, tf long, n_tokens long, n_known long, logs double, " + ", ".join(f"{x} double" for x in lps)), f"{name}-parts")
+        _looked_up(*head), "row long, doc_id long, h long, tf long, n_tokens long, n_known long, logs double, lp double"), f"{name}-parts")
     known = F.when(F.col("c") > 0, F.col("tf")).otherwise(F.lit(0))
     none = F.lit(None).cast("long")
     tail = parts.filter("h is not null").select("row", "h", "tf").join(valued, "h").select(
         "row", none.alias("doc_id"), none.alias("n_tokens"), known.alias("n_known"),
-        (F.col("tf") * F.log10(F.col("c") + 0.5)).alias("logs"), *[(F.col("tf") * F.col(x)).alias(x) for x in lps])
-    sums = (parts.filter("h is null").select("row", "doc_id", "n_tokens", "n_known", "logs", *lps).union(tail)
-            .groupBy("row").agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "logs", *lps)]))
+        (F.col("tf") * F.log10(F.col("c") + 0.5)).alias("logs"), (F.col("tf") * F.col("lp")).alias("lp"))
+    sums = (parts.filter("h is null").select("row", "doc_id", "n_tokens", "n_known", "logs", "lp").union(tail)
+            .groupBy("row").agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "logs", "lp")]))
     tokens = F.col("n_tokens") + 1
-    prior = [float(np.log((texts.get(k, 0) + 0.5) / (all_texts + 0.5 * kinds))) for k in range(kinds)]
-    joint = F.array(*[F.col(x) + s.end + p for x, s, p in zip(lps, own, prior)])
-    best = F.array_max("joint")
-    return sums.withColumn("joint", joint).select(
-        "doc_id", tokens.alias("n_tokens"), (F.col("n_known") + int(all_texts > 0)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("logs") + float(np.log10(all_texts + 0.5)) - tokens * float(np.log10(n + 0.5 * (v + 1)))).alias("base_score"),
-        ((best + F.log(F.aggregate("joint", F.lit(0.0), lambda a, x: a + F.exp(x - best)))) / float(np.log(10))).alias("score"))
+    return sums.select(
+        "doc_id", tokens.alias("n_tokens"), (F.col("n_known") + int(texts > 0)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+        (F.col("logs") + math.log10(texts + 0.5) - tokens * math.log10(n + 0.5 * (v + 1))).alias("base_score"),
+        (F.col("lp") / math.log(10) + F.col("n_tokens") * math.log10(1 - stop) + math.log10(stop)).alias("score"))

@@ -1,12 +1,13 @@
 """License scans: exact set-similarity join of text blocks with license templates.
 
-A block is a line, or a window of a template's length and a quarter that crosses line ends, as long notices are
-wrapped; its tokens are runs of digits, letters and everything beyond ASCII, A-Z lower-cased. A block
-meets a template if it holds at least `numerator / denominator` of the template's distinct tokens. Template tokens
-are ordered by their frequency in all texts, rarest first; if o tokens must be shared, one of the first
-(size - o + 1) is, so only blocks with such a prefix token are looked at (prefix filter), only if they have o
-distinct tokens of any template (length filter), and only while the tokens after the match could still make up o
-(positional filter). Windows are looked at around prefix tokens only. Beside the templates, phrases are found wherever their words stand consecutively.
+A block is a window of a template's length and a quarter, as words stand in the text: it crosses line ends, as long
+notices are wrapped, and ends with the text. Its tokens are runs of digits, letters and everything beyond ASCII, A-Z
+lower-cased. A block meets a template if it holds at least `numerator / denominator` of the template's distinct tokens.
+Template tokens are ordered by their frequency in all texts, rarest first; if o tokens must be shared, one of the first
+(size - o + 1) is, so only blocks with such a prefix token are looked at (prefix filter). Of these tokens the rarest
+shared one decides: a place of the token of order i is left out unless o words around it have order i or later
+(positional filter), and a run of template words of which no block holds o (length filter). Beside the templates,
+phrases are found wherever their words stand consecutively.
 
 Templates and phrases are a short hand-written list, so they travel with the code; frequencies are counted over all
 texts, for template tokens only.
@@ -26,16 +27,36 @@ from .arrow_text import ALNUM, Words, chunks, word_hashes
 # Phrases and labels that results must agree with.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-#: Usual notices of public licenses.
+#: Usual notices of public licenses, short forms and whole ones.
 TEMPLATES = (
     ("mit", "released under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software "
+            "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or "
+            "sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above "
+            "copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
     ("apache-2", "licensed under the apache license version 2 0"),
+    ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy "
+                 "of the license at unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is "
+                 "basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and "
+                 "limitations under the license"),
     ("gpl-3", "this work is licensed under the gnu general public license version 3"),
     ("gpl-3", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
+    ("gpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free "
+              "software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be "
+              "useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
+    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+            "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary "
+            "form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials "
+            "provided with the distribution"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above "
+            "copyright notice and this permission notice appear in all copies"),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can "
+              "obtain one at"),
 )
 
 
@@ -58,21 +79,13 @@ class Index:
         rank[np.lexsort((self.tokens, often))] = np.arange(len(self.tokens))
         self.rank = rank
         self.templates = []
-        self.spans: list[tuple[np.ndarray, np.ndarray, int]] = []
-        self.by_token: dict[int, list[tuple[int, int]]] = {}
         for (label, _), h in zip(settings.templates, own):
             ordered = np.sort(rank[np.searchsorted(self.tokens, np.unique(h))])
             need = -(-len(ordered) * settings.numerator // settings.denominator)
             if len(ordered):
-                for place in range(len(ordered) - need + 1):
-                    self.by_token.setdefault(int(ordered[place]), []).append((len(self.templates), place))
-                self.templates.append((label, ordered, need))
-                held, rare = np.zeros(len(self.tokens) + 1, bool), np.zeros(len(self.tokens) + 1, bool)
-                held[ordered] = True
-                rare[ordered[: len(ordered) - need + 1]] = True
-                self.spans.append((held, rare, -(-len(h) * settings.denominator // settings.numerator)))
-        self.prefix = np.zeros(len(self.tokens) + 1, bool)
-        self.prefix[list(self.by_token)] = True
+                order = np.full(len(self.tokens) + 1, -1)  # of each token number in the template, -1: not in it
+                order[ordered] = np.arange(len(ordered))
+                self.templates.append((label, order, len(ordered), need, -(-len(h) * settings.denominator // settings.numerator)))
         self.phrases = [(label, h) for (_, label), h in zip(settings.phrases, word_hashes([p for p, _ in settings.phrases], ALNUM))]
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
@@ -85,48 +98,48 @@ class Index:
     def windows(self, numbers: np.ndarray, row: np.ndarray) -> list[tuple[int, int, str, float]]:
         """(first word, word after the last, label, containment) of each place where a window meets a template.
 
-        A window has denominator / numerator as many words as the template and ends with its row; of a run of starts
-        that meet the template, the first of the best is given.
+        Of a run of starts that meet the template, the first of the best is given.
         """
         out = []
-        for (label, ordered, need), (held, rare, width) in zip(self.templates, self.spans):
-            prefix = np.flatnonzero(rare[numbers])
-            if not len(prefix):
+        n = len(numbers)
+        for label, order, size, need, width in self.templates:
+            place = order[numbers]
+            at = np.flatnonzero(place >= 0)
+            if len(at) < need:
                 continue
-            at = np.flatnonzero(held[numbers])
-            near = np.searchsorted(prefix, at - width, side="right")
-            at = at[(near < len(prefix)) & (prefix[np.minimum(near, len(prefix) - 1)] < at + width)]
-            order = np.lexsort((at, numbers[at]))
+            own, rows = place[at], row[at]
+            near = np.zeros(len(at), bool)  # beside a place that may be a window's rarest shared token
+            for i in range(size - need + 1):
+                later = np.cumsum(np.append(0, own >= i))
+                spot = np.flatnonzero(own == i)
+                low = np.maximum(np.searchsorted(at, at[spot] - width, side="right"), np.searchsorted(rows, rows[spot]))
+                high = np.minimum(np.searchsorted(at, at[spot] + width), np.searchsorted(rows, rows[spot], side="right"))
+                fits = later[high] - later[low] >= need
+                cover = np.bincount(low[fits], minlength=len(at) + 1) - np.bincount(high[fits], minlength=len(at) + 1)
+                near |= np.cumsum(cover)[:-1] > 0
+            at = at[near]
+            if len(at) < need:
+                continue
+            # `need` neighbouring words that no window holds together say nothing
+            within = np.flatnonzero((at[need - 1 :] - at[: len(at) - need + 1] < width) & (row[at[need - 1 :]] == row[at[: len(at) - need + 1]]))
+            cover = np.bincount(within, minlength=len(at) + 1) - np.bincount(within + need, minlength=len(at) + 1)
+            close = np.cumsum(cover)[:-1] > 0
+            at = at[close]
+            if not len(at):
+                continue
+            sort = np.lexsort((at, numbers[at]))
             before = np.full(len(at), -1)
-            same = numbers[at[order[1:]]] == numbers[at[order[:-1]]]
-            before[order[1:][same]] = at[order[:-1][same]]
+            same = numbers[at[sort[1:]]] == numbers[at[sort[:-1]]]
+            before[sort[1:][same]] = at[sort[:-1][same]]
             # a word counts in each window that holds it but not the same word before it
             begin = np.maximum(np.maximum(at - width, before) + 1, np.searchsorted(row, row[at]))
-            edge, place = np.unique(np.concatenate([begin, at + 1]), return_inverse=True)
-            count = np.cumsum(np.bincount(place[: len(at)], minlength=len(edge)) - np.bincount(place[len(at) :], minlength=len(edge)))
+            edge, spot = np.unique(np.concatenate([begin, at + 1]), return_inverse=True)
+            count = np.cumsum(np.bincount(spot[: len(at)], minlength=len(edge)) - np.bincount(spot[len(at) :], minlength=len(edge)))
             good = np.flatnonzero(count >= need)
             for part in np.split(good, np.flatnonzero((np.diff(good) > 1) | (np.diff(row[edge[good]]) > 0)) + 1) if len(good) else ():
                 best = part[np.argmax(count[part])]
                 a = int(edge[best])
-                out.append((a, int(min(a + width, np.searchsorted(row, row[a], side="right"))), label, float(count[best] / len(ordered))))
-        return out
-
-    def met(self, numbers: np.ndarray) -> list[tuple[str, float]]:
-        """(label, containment) of each template that a block with these token numbers meets."""
-        block = np.unique(numbers)
-        block = block[block < len(self.tokens)]
-        seen, out = set(), []
-        for j, token in enumerate(block):
-            for template, i in self.by_token.get(int(token), ()):
-                if template in seen:
-                    continue
-                seen.add(template)  # its rarest shared token: all others come later in both orders
-                label, ordered, need = self.templates[template]
-                if len(block) < need or min(len(ordered) - i, len(block) - j) < need:
-                    continue
-                shared = len(np.intersect1d(ordered[i:], block[j:], assume_unique=True))
-                if shared >= need:
-                    out.append((label, shared / len(ordered)))
+                out.append((a, int(min(a + width, np.searchsorted(row, row[a], side="right"), n)), label, float(count[best] / size)))
         return out
 
 
@@ -165,16 +178,9 @@ def _scanned(settings: LicenceSettings, frequency: dict[int, int], names: list[s
                         at = int(i - base[w.row[i]])
                         found[w.row[i]].append({"label": label, "start": at, "end": at + k, "containment": 1.0, "phrase": True})
                 numbers = index.numbers(w.hash)
-                lines = np.searchsorted(np.flatnonzero(w.data == 10), w.start) + w.row  # grows with each line and row
-                for line in np.unique(lines[index.prefix[numbers]]):
-                    a, b = np.searchsorted(lines, [line, line + 1])
-                    r = w.row[a]
-                    for label, containment in index.met(numbers[a:b]):
-                        found[r].append({"label": label, "start": int(a - base[r]), "end": int(b - base[r]), "containment": containment, "phrase": False})
                 for a, b, label, containment in index.windows(numbers, w.row):
                     r = w.row[a]
-                    if lines[a] != lines[b - 1] and not any(x["label"] == label and x["containment"] >= containment and not x["phrase"] and x["start"] < b - base[r] and x["end"] > a - base[r] for x in found[r]):
-                        found[r].append({"label": label, "start": int(a - base[r]), "end": int(b - base[r]), "containment": containment, "phrase": False})
+                    found[r].append({"label": label, "start": int(a - base[r]), "end": int(b - base[r]), "containment": containment, "phrase": False})
                 rows = batch.slice(first, last - first)
                 yield pa.RecordBatch.from_arrays([*[rows.column(x) for x in names], pa.array(np.diff(base).astype(np.int64)), pa.array(found, pa.list_(_FOUND))],
                                                  [*names, "n_words", "licences"])
@@ -184,7 +190,8 @@ def _scanned(settings: LicenceSettings, frequency: dict[int, int], names: list[s
 def scan(docs: DataFrame, settings: LicenceSettings = LicenceSettings()) -> DataFrame:
     """`docs` with `n_words` and `licences`: array of (label, start, end, containment, phrase), words counted from 0.
 
-    Phrases give their place, templates the words of the line or window that meets them. Null and empty texts have no words.
+    Phrases give their place, templates the words of the window that meets them. Null and empty texts have no words; rows
+    with a null id and rows that repeat one are scanned like any other.
     Columns of these names are replaced, all others kept.
     """
     kept = docs.drop("n_words", "licences")

@@ -64,7 +64,7 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN reach ON reach.a = w.doc_id GROUP BY
 @query
 def op3_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The subword lattice likelihood of every document beside a smoothed word unigram."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = lattice.score(docs, fold_of(F.col("doc_id"), 5) != 1, PIECES, name="op3")
     return scored.select("doc_id", held_out(5, 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
@@ -111,12 +111,13 @@ templates(label, t) AS (VALUES {", ".join(f"('{label}', {_listed(t)})" for label
 d AS (SELECT doc_id, {_LOWERED} AS low FROM documents),
 w AS (SELECT doc_id, low, regexp_extract_all(low, {_LICENCE_WORD}) AS w FROM d),
 base AS (SELECT doc_id, label, unnest(list_filter(range(1, len(w) + 1), lambda i: w[i:i + len(p) - 1] = p)) - 1 AS start FROM w, phrases),
-lines AS (SELECT doc_id, list_distinct(regexp_extract_all(unnest(string_split(low, chr(10))), {_LICENCE_WORD})) AS b FROM w),
-held AS (SELECT doc_id, label, len(list_intersect(list_distinct(t), b)) AS n, len(list_distinct(t)) AS m FROM lines, templates),
-met AS (SELECT doc_id, label, n / m AS containment FROM held WHERE n * 5 >= m * 4),
+sized AS (SELECT label, list_distinct(t) AS t, len(list_distinct(t)) AS m, (len(t) * 5 + 3) // 4 AS width FROM templates),
+held AS (SELECT doc_id, w, label, t, m, width FROM w, sized WHERE 5 * len(list_intersect(list_distinct(w), t)) >= 4 * m),
+met AS (SELECT doc_id, label, max(len(list_intersect(list_distinct(w[i:i + width - 1]), t))) / any_value(m) AS containment
+  FROM (SELECT *, unnest(list_filter(range(1, len(w) + 1), lambda i: list_contains(t, w[i]))) AS i FROM held) GROUP BY doc_id, label, t HAVING max(5 * len(list_intersect(list_distinct(w[i:i + width - 1]), t))) >= 4 * any_value(m)),
 b AS (SELECT doc_id, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY doc_id),
 a AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(c) AS score
-      FROM (SELECT doc_id, label, 1.0::DOUBLE AS c FROM base UNION ALL SELECT * FROM met) GROUP BY doc_id)
+      FROM (SELECT doc_id, label, 1.0::DOUBLE AS c FROM base UNION ALL SELECT doc_id, label, containment FROM met) GROUP BY doc_id)
 SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
        coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
 FROM w LEFT JOIN b USING (doc_id) LEFT JOIN a USING (doc_id)"""
@@ -141,7 +142,8 @@ def op7_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def conversation_events(rows: DataFrame) -> DataFrame:
     """The event log of conversations (conv_id, turn, role, text): every message is opened and streamed in two deltas;
     assistants first stream a draft that is regenerated, system texts are edited into place. Rows that share a turn are
-    branches in the order of role and text."""
+    branches in the order of role and text, null first; repeated rows are branches of their own. Null ids and turns are
+    ids and turns like any other."""
     branch = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text"))
     text = F.coalesce("text", F.lit(""))
     half = F.floor(F.length(text) / 2).cast("int")

@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import math
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from rolecall.llm import chat, contamination, jaccard, language, lattice, licences, pieces, toxicity, urls, winnowing
 from rolecall.llm.arrow_text import NOT_SPACE, Words, chunks, shingle_sets
+from rolecall.llm import queries
 from rolecall.llm.queries import PIECES
 from rolecall.llm.stages import components
 
@@ -322,7 +324,7 @@ def test_lattice_sums_all_segmentations():
                 for p, c in paths(s[n:]):
                     yield p * math.exp(sum(log_p[a] for a in arcs)), c + collections.Counter(int(a) for a in arcs)
 
-    own = lattice.Lattice(words, vocabulary)
+    own = lattice.Lattice(["▁" + w for w in words], vocabulary)
     total = np.zeros(len(log_p))
     for word, lp in zip(words, own.marginals(log_p)):
         found = list(paths("▁" + word))
@@ -335,12 +337,65 @@ def test_lattice_sums_all_segmentations():
     assert np.exp(log_p[np.isfinite(log_p)]).sum() == pytest.approx(1)
 
 
-def test_shares_deal_out_all_probability():
-    shares = lattice.Shares(texts=4, tokens=30, types=7, discount=0.6)
-    counts = np.array([3, 1, 1, 5, 10, 2, 8])
-    pieces_ = np.log(np.full(7, 0.05))  # and 0.65 for all words never seen
-    unseen = math.exp(shares.word(np.array([0]), np.log(np.array([0.65])))[0])
-    assert np.exp(shares.word(counts, pieces_)).sum() + unseen + math.exp(shares.end) == pytest.approx(1)
+def plain_pieces(vocabulary):
+    """The arcs that begin a string, by dictionary."""
+    known = {p: i for i, (p, _, t) in enumerate(pieces.parse(open(PIECES, "rb").read()).pieces) if t in (1, 4)}
+    longest = max(map(len, known))
+
+    def arcs(s, at):
+        found = [(n, [known[s[at : at + n]]]) for n in range(1, min(longest, len(s) - at) + 1) if s[at : at + n] in known]
+        return found if s[at] in known else [(1, list(vocabulary.bytes[np.frombuffer(s[at].encode(), np.uint8)])), *found]
+    return arcs
+
+
+def plain_forward(s, arcs, log_p, back=False):
+    """Linear-space sums over the paths of all prefixes, or of all suffixes."""
+    n = len(s)
+    out = [0.0] * n + [1.0] if back else [1.0] + [0.0] * n
+    for at in range(n - 1, -1, -1) if back else range(n):
+        for k, ids in arcs(s, at):
+            p = math.exp(sum(log_p[i] for i in ids))
+            if back:
+                out[at] += p * out[at + k]
+            else:
+                out[at + k] += out[at] * p
+    return out
+
+
+def test_score_matches_brute_force(spark):
+    texts = [(1, "the garden the Garden"), (2, "thorreou éêodd"), (3, None), (4, "龘漢 hello, world"), (5, "unheard of"), (None, "the"), (5, "unheard of"), (7, "")]
+    learn = lambda i: i is not None and i % 3 != 1
+    docs = spark.createDataFrame([(*t, 1.0, "clash") for t in texts], "doc_id long, text string, score double, h string")
+    vocabulary = lattice.Vocabulary(open(PIECES, "rb").read())
+    arcs, log_p = plain_pieces(vocabulary), vocabulary.initial
+    words = {t for i, text in texts if learn(i) for t in tokens(text)}
+    count = np.where(np.isfinite(log_p), 0.1, 0.0)
+    for w in words:
+        s = "▁" + w
+        before, after = plain_forward(s, arcs, log_p), plain_forward(s, arcs, log_p, back=True)
+        for at in range(len(s)):
+            for k, ids in arcs(s, at):
+                for i in ids:
+                    count[i] += before[at] * math.exp(sum(log_p[j] for j in ids)) * after[at + k] / before[-1]
+    with np.errstate(divide="ignore"):
+        refit = np.log(count / count.sum())
+    ends, n = sum(learn(i) for i, _ in texts), sum(learn(i) * len(tokens(t)) for i, t in texts)
+    stop = (ends + 0.5) / (ends + n + 1)
+    want = [(i, math.log10(stop) + sum(math.log10(1 - stop) + math.log10(plain_forward("▁" + w, arcs, refit)[-1]) for w in tokens(t))) for i, t in texts]
+    got = lattice.score(docs, F.col("doc_id") % 3 != 1, PIECES, name="t").collect()
+    assert sorted(((r.doc_id, round(r.score, 8)) for r in got), key=str) == sorted(((i, round(x, 8)) for i, x in want), key=str)
+
+
+def test_long_words_carry_their_state():
+    vocabulary = lattice.Vocabulary(open(PIECES, "rb").read())
+    rng = np.random.default_rng(5)
+    word = "▁" + "".join(rng.choice(list("theinganr日😀"), 1500))
+    whole = lattice.Lattice([word], vocabulary).marginals(vocabulary.initial)[0]
+    for block in (1, 7, 64, 1499, 5000):
+        assert lattice.long_marginal(word, vocabulary, vocabulary.initial, block) == pytest.approx(whole, rel=1e-12)
+    words = ["the", "x" * 5000, "", "ing" * 900]
+    each = [lattice.Lattice(["▁" + w], vocabulary).marginals(vocabulary.initial)[0] for w in words]
+    assert lattice.word_marginals(words, vocabulary, vocabulary.initial) == pytest.approx(each)
 
 
 @pytest.mark.parametrize("head", [0, 3, 1000])
@@ -350,7 +405,7 @@ def test_base_score_matches_brute_force(spark, head):
     learn = lambda i: i is not None and i % 3 != 1
     count = collections.Counter(t for i, text in rows if learn(i) for t in [*tokens(text), None])
     n, v = sum(count.values()), len(count)
-    got = lattice.score(docs, F.col("doc_id") % 3 != 1, PIECES, lattice.LatticeSettings(head=head, rounds=1), "t").collect()
+    got = lattice.score(docs, F.col("doc_id") % 3 != 1, PIECES, lattice.LatticeSettings(head=head), "t").collect()
     want = [(i, len(tokens(t)) + 1, sum(count[x] > 0 for x in [*tokens(t), None]), n,
              round(sum(math.log10((count[x] + 0.5) / (n + 0.5 * (v + 1))) for x in [*tokens(t), None]), 6)) for i, t in rows]
     assert sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got), key=str) == sorted(want, key=str)
@@ -398,10 +453,11 @@ def test_edits_of_odd_rows(spark, odd, none):
 def test_licences_find_lines_and_phrases(spark, none):
     rows = [(1, "Released under the MIT License."), (2, "MIT License, under: the mit\nlicense"), (3, None), (4, "x " * 5000 + "CC-BY-NC cc by nc"),
             (5, "text\nThis work is licensed under the GNU General Public License version 3\nmore"), (6, "under the mit license under the MIT license"),
-            (7, "the license of this garden"), (8, "licensed under the apache license, version 2.0 or later")]
+            (7, "the license of this garden"), (8, "licensed under the apache license, version 2.0 or later"),
+            (9, " ".join(f"released{' a b c' * 60} under{' d e' * 90} the{' f' * 200} mit{' g' * 150} license".split()) + " h" * 200), (None, "released under the MIT"), (7, "the license of this garden")]
     got = {r.doc_id: r for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_words", F.lit("clash"))).collect()}
     labels = {i: sorted({x.label for x in r.licences}) for i, r in got.items()}
-    assert labels == {1: ["mit"], 2: ["mit"], 3: [], 4: ["cc-by-nc"], 5: ["gpl-3"], 6: ["mit"], 7: [], 8: ["apache-2"]}
+    assert labels == {1: ["mit"], 2: ["mit"], 3: [], 4: ["cc-by-nc"], 5: ["gpl-3"], 6: ["mit"], 7: [], 8: ["apache-2"], 9: [], None: ["mit"]}
     assert [(x.start, x.end) for x in got[2].licences if x.phrase] == [(2, 6)] and got[3].n_words == 0
     assert [x.start for x in got[4].licences if x.phrase] == [5000, 5003]
     assert licences.scan(none.select("doc_id", "text")).isEmpty()
@@ -437,19 +493,8 @@ def test_windows_match_brute_force():
 def test_templates_do_not_meet_each_other():
     index = licences.Index(licences.LicenceSettings())
     for label, text in licences.TEMPLATES:
-        assert {x for x, _ in index.met(index.numbers(licences.word_hashes([text], licences.ALNUM)[0]))} == {label}
-
-
-def test_filters_lose_no_block():
-    rng = np.random.default_rng(1)
-    own = licences.LicenceSettings(templates=(("a", "one two three four five six"), ("b", "two three seven eight nine"), ("c", "one")))
-    vocabulary = "one two three four five six seven eight nine ten".split()
-    index = licences.Index(own)
-    for _ in range(500):
-        block = list(rng.choice(vocabulary, int(rng.integers(0, 12))))
-        want = {(label, len(set(t.split()) & set(block)) / len(set(t.split()))) for label, t in own.templates}
-        got = index.met(index.numbers(licences.word_hashes([" ".join(block)], licences.ALNUM)[0]))
-        assert set(got) == {(x, c) for x, c in want if c >= 0.8}
+        own = index.numbers(licences.word_hashes([text], licences.ALNUM)[0])
+        assert {x for _, _, x, _ in index.windows(own, np.zeros(len(own), np.int64))} == {label}
 
 
 # chat
@@ -471,6 +516,31 @@ def test_fold_of_deltas_edits_and_regenerations(spark):
     assert chat.fold(spark.createDataFrame([], EVENTS)).isEmpty()
 
 
+def test_a_long_message_is_read_back_in_little_memory():
+    for unit in ("word <b> and \\ ", "\\<", "### </turn>\\"):
+        text = unit * (4_000_000 // len(unit))
+        rendered = f"### assistant: {re.sub(r'(\\|### |</turn>)', lambda m: chr(92) + m[1], unit) * (4_000_000 // len(unit))}</turn>\n"
+        tracemalloc.start()
+        assert chat.read_back(rendered) == [("assistant", text)]
+        assert tracemalloc.get_traced_memory()[1] < 60_000_000
+        tracemalloc.stop()
+    with pytest.raises(ValueError):
+        chat.read_back("### user: no end")
+
+
+def test_odd_rows_through_the_query(spark, tmp_path):
+    rows = [(1, 0, None, "a"), (1, 0, "user", None), (1, 0, "user", "b"), (1, 0, "user", "b"), (1, None, "assistant", "c" * 300_000), (None, 0, "assistant", "d"), (2, 5, "assistant", "")]
+    spark.createDataFrame([(*r, 1, "clash") for r in rows], "conv_id long, turn long, role string, text string, branch int, segment string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.conv_id: r for r in queries.QUERIES["op8_chat_format"](spark, str(tmp_path)).collect()}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    turns = lambda own: sha("".join(f"{a}\n{b}\n" for a, b in own))
+    order = [("assistant", "c" * 300_000), ("", "a"), ("user", ""), ("user", "b"), ("user", "b")]
+    assert (got[1].n_turns, got[1].turns_sha256, got[1].loss_chars, got[1].loss_sha256) == (5, turns(order), 300_000, sha("c" * 300_000))
+    assert (got[None].n_turns, got[None].turns_sha256, got[None].loss_sha256) == (1, turns([("assistant", "d")]), sha("d"))
+    assert (got[2].n_turns, got[2].loss_chars, got[2].formatted_chars) == (1, 0, len("### assistant: </turn>\n"))
+    assert set(got) == {1, 2, None, -7}
+
+
 def test_rendered_turns_read_back(spark):
     texts = ["", "plain", "\\### Assistant: </turn> ok", "### user: </turn>\n### ", "\\\\", "a\\", "</turn", "x\n\n### y: z</turn>\n", "日本😀" * 3000]
     roles = ["user", "assistant", "a: b", "### ", "\\"]
