@@ -98,3 +98,19 @@ def test_pipeline_runs_on_empty_documents(spark, tmp_path):
         df = spark.read.parquet(f"{SF}/{t}.parquet")
         (df.limit(0) if t == "documents" else df).write.parquet(str(tmp_path / f"{t}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_copies_are_judged_by_text_not_by_id(spark):
+    text = lambda n: " ".join(f"w{n}x{k}" for k in range(40))
+    rows = [(5, text(1)), (5, text(2)), (7, text(1)), (None, text(1)), (None, text(3)), (None, text(3)), (3, text(2)), (9, None), (9, None), (8, ""), (8, text(4)), (8, text(4))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = collections.Counter((r.doc_id, r.text) for r in corpus_pipeline.keep_one_of_near_copies(spark, docs, SF).collect())
+    assert got == collections.Counter([(5, text(1)), (3, text(2)), (None, text(3)), (9, None), (9, None), (8, ""), (8, text(4))])
+
+
+def test_a_run_leaves_only_its_results(spark, tmp_path):
+    from rolecall.llm import stages
+    before = set(os.listdir(stages.shared_folder(spark).removeprefix("file:")))
+    out = stages.finished(lambda: stages.stage(spark.range(5), "inner").filter("id > 1"), "outer")
+    assert [r.id for r in out.orderBy("id").collect()] == [2, 3, 4]
+    assert [x.split("-")[1] for x in set(os.listdir(stages.shared_folder(spark).removeprefix("file:"))) - before] == ["outer"]
