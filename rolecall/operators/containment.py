@@ -1,62 +1,107 @@
 """Which names occur as substrings of which texts, without comparing all pairs.
 
 A substring test is no equi-join, and comparing every name with every text of a
-project would emit all pairs of the group.  Instead each name gets one blocking
-key that every text containing the name must also have; keys are equi-joined and
-the few surviving pairs verified with `contains`.  The key of a name is
-
-* four words or more: its longest pair of neighbouring inner words, which occur
-  whole in any text containing the name;
-* two or three words: the letters on either side of its first space (three each,
-  or one each if a word is shorter), since there the text has the end of one word
-  and the start of the next;
-* one word: its first `min_len` letters, looked up among all runs of that many
-  letters in the text.
-
-Each family of keys is one overlapping regular-expression match over the text, so
-keys grow with the text and not with the number of names, and the result is exact.
+project would emit all pairs of the group.  Instead a name stands for one short gram
+that every text containing it must hold, and grams are equi-joined:
+
+* around each blank of a name, up to three characters on either side;
+* of a name without blanks, each run of `min_len` characters.
+
+Any of a name's grams would do, so their postings in the texts are counted first, in one
+hash aggregate, and each name takes its rarest; a name with a gram no text holds is
+nowhere.  Grams of texts never leave their stage unless some name wants them: the wanted
+ones are a bit table of fixed size, which is what bounds its broadcast.  A posting carries
+as many characters around its gram as the longest name has, so a pair is verified where it
+meets and the text is not looked up again.  Adaptive execution splits the postings of a
+gram that stays frequent.  The result is exact.
 """
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import all_matches, let
 
-# Overlapping matches: a look-ahead captures without consuming.
-PATTERNS = {
-    "pair": r"(?<![^ ])(?=([^ ]+ [^ ]+))",
-    "edge": r"(?=([^ ]{3} [^ ]{3}))",
-    "short": r"(?=([^ ] [^ ]?))",
-    "word": r"(?=([^ ]{%d}))",
-}
-
-
-def name_key(name: Column, min_len: int) -> Column:
-    """(kind, key) of a name; the kinds are those of PATTERNS."""
-    tagged = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))
-
-    def key(toks):
-        n = F.size(toks)
-        t0, t1 = F.get(toks, F.lit(0)), F.get(toks, F.lit(1))
-        around = lambda width: F.concat(F.right(t0, F.lit(width)), F.lit(" "), F.left(t1, F.lit(width)))
-        # Neighbours among the inner words: second to last but one.
-        first = F.slice(toks, F.lit(2), F.greatest(n - 3, F.lit(0)))
-        pairs = F.filter(
-            F.transform(first, lambda u, i: F.struct(u.alias("u"), F.get(toks, i + 2).alias("v"))),
-            lambda p: (p["u"] != "") & (p["v"] != ""))
-        longest = F.array_max(F.transform(pairs, lambda p: F.struct(
-            (F.length(p["u"]) + F.length(p["v"])).alias("len"),
-            F.concat_ws(" ", p["u"], p["v"]).alias("pair"))))["pair"]
-        return (F.when(n == 1, tagged("word", F.left(name, F.lit(min_len))))
-                 .when(longest.isNotNull(), tagged("pair", longest))
-                 .when((F.length(t0) >= 3) & (F.length(t1) >= 3), tagged("edge", around(3)))
-                 .otherwise(tagged("short", around(1))))
-    return let(F.split(name, " "), key)
-
-
-def text_keys(text: Column, min_len: int, kinds=tuple(PATTERNS)) -> Column:
-    """All keys of these kinds a (lower-cased) text answers to, distinct."""
-    patterns = [PATTERNS[k] % min_len if k == "word" else PATTERNS[k] for k in kinds]
-    return F.array_distinct(F.concat(*[all_matches(text, p) for p in patterns]))
+_SIDE = 3
+#: Bits of the table of wanted grams, as a power of two: 131,072 rows of 64 at most.
+_BITS = 23
+
+
+def _joined(words: Column, first: Column, n: Column) -> Column:
+    return F.concat_ws(" ", F.slice(words, first, n))
+
+
+def _gram_key(on: list[Column], kind: str, *parts: Column) -> Column:
+    return F.xxhash64(*on, F.lit(kind), *parts)
+
+
+def name_grams(name: Column, min_len: int, on: list[Column]) -> Column:
+    """array<struct<key, before, after>>: each gram of a name, and the name around it."""
+    tagged = lambda key, before, after: F.struct(
+        key.alias("key"), before.alias("before"), after.alias("after"))
+
+    def at_blank(toks, k):
+        before, after = _joined(toks, F.lit(1), k), _joined(toks, k + 1, F.size(toks))
+        return tagged(_gram_key(on, "blank", F.least(F.length(before), F.lit(_SIDE)),
+                                F.right(before, F.lit(_SIDE)), F.left(after, F.lit(_SIDE))),
+                      before, after)
+
+    blanks = let(F.split(name, " "), lambda toks: F.when(
+        F.size(toks) > 1, F.transform(F.sequence(F.lit(1), F.size(toks) - 1),
+                                      lambda k: at_blank(toks, k))))
+    runs = F.transform(all_matches(name, r"(?=([^ ]{%d}))" % min_len), lambda gram, o: tagged(
+        _gram_key(on, "run", gram), F.substring(name, F.lit(1), o), F.substring(name, o + 1, F.length(name))))
+    return F.when(name.contains(" "), blanks).otherwise(runs)
+
+
+def _places(words: Column, min_len: int) -> Column:
+    """array<struct<k, o, left, right>>: the blanks after word k (o < 0), and the runs that
+    begin o characters into word k."""
+    blank = lambda k: F.struct(
+        k.alias("k"), F.lit(-1).alias("o"),
+        F.right(_joined(words, F.greatest(k - _SIDE, F.lit(1)), F.least(k, F.lit(_SIDE + 1))),
+                F.lit(_SIDE)).alias("left"),
+        F.left(_joined(words, k + 1, F.lit(_SIDE + 1)), F.lit(_SIDE)).alias("right"))
+    run = lambda w, k: F.transform(all_matches(w, r"(?=([^ ]{%d}))" % min_len), lambda gram, o: F.struct(
+        (k + 1).alias("k"), o.alias("o"), gram.alias("left"), F.lit("").alias("right")))
+    blanks = F.transform(F.slice(F.sequence(F.lit(1), F.size(words)), F.lit(1), F.size(words) - 1), blank)
+    return F.concat(blanks, F.flatten(F.transform(words, run)))
+
+
+def only_wanted(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose `key` (a hash) may be a key of `wanted`; all that are, and few others.
+
+    The wanted keys are bits of a table of fixed size, which bounds what is broadcast.
+    """
+    slot = F.col("key").bitwiseAND(F.lit((1 << _BITS) - 1))
+    one = F.expr("shiftleft(1L, cast(slot & 63 AS int))")
+    bits = (wanted.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("_word"))
+            .agg(F.bit_or(one).alias("_bits")))
+    return (rows.withColumn("_word", F.shiftright(slot, 6)).join(F.broadcast(bits), "_word")
+            .where(F.getbit("_bits", slot.bitwiseAND(F.lit(63)).cast("int")) == 1).drop("_word", "_bits"))
+
+
+def postings(texts: DataFrame, wanted: DataFrame, ids: list[str], text: str, min_len: int,
+             on: list[str], reach: Column | None = None) -> DataFrame:
+    """(ids, key) of every wanted gram of the texts; with `reach`, so many characters of the
+    text `before` and `after` it as well.  `wanted` has the column key."""
+    own = [F.col(c) for c in on]
+    placed = (texts.select(*ids, F.split(F.col(text), " ").alias("_w"))
+              .select(*ids, "_w", F.explode(_places(F.col("_w"), min_len)).alias("_p")))
+    left, right = F.col("_p.left"), F.col("_p.right")
+    around = F.array(*[F.when((F.length(left) >= a) & (F.length(right) >= b), _gram_key(
+        own, "blank", F.lit(a), F.right(left, F.lit(a)), F.left(right, F.lit(b))))
+        for a in range(1, _SIDE + 1) for b in range(1, _SIDE + 1)])
+    keys = F.when(F.col("_p.o") < 0, around).otherwise(F.array(_gram_key(own, "run", left)))
+    found = only_wanted(placed.select(*ids, "_w", "_p", F.explode(keys).alias("key")), wanted)
+    if reach is None:
+        return found.select(*ids, "key")
+    k, o = F.col("_p.k"), F.col("_p.o")
+    word = F.get("_w", k - 1)
+    before = F.when(o < 0, F.right(_joined(F.col("_w"), F.greatest(k - reach, F.lit(1)),
+                                           F.least(k, reach + 1)), reach)
+                    ).otherwise(F.right(F.substring(word, F.lit(1), o), reach))
+    after = F.when(o < 0, F.left(_joined(F.col("_w"), k + 1, reach + 1), reach)
+                   ).otherwise(F.substring(word, o + 1, reach))
+    return found.select(*ids, "key", before.alias("_before"), after.alias("_after")).distinct()
 
 
 def contains_join(texts: DataFrame, names: DataFrame, ids: list[str], text: str = "text",
@@ -65,19 +110,23 @@ def contains_join(texts: DataFrame, names: DataFrame, ids: list[str], text: str
     """Pairs (ids, name) where the name occurs in the text.
 
     `ids` identify a text; `on` (columns of both sides, part of the ids) restricts
-    which names are looked for in it.  Both sides are expected lower-cased; names
-    shorter than `min_len` never match.  `keep` names further columns of the texts
-    to return.  Building the plan reads the names once, to learn which of the four
-    kinds of keys occur.
+    which names are looked for in it.  Both sides are expected lower-cased, names
+    stripped as well; names shorter than `min_len` never match.  `keep` names further
+    columns of the texts to return.
     """
     on, keep = on or [], keep or []
-    keyed_names = (names.where(F.length(name) >= min_len).select(*on, name).distinct()
-                   .withColumn("_k", name_key(F.col(name), min_len)))
-    # Only the kinds of keys that some name has are worth taking from the texts.
-    kinds = sorted(r[0] for r in keyed_names.select("_k.kind").distinct().collect())
-    keyed_names = keyed_names.select(*on, name, F.xxhash64("_k.key").alias("_key"))
-    keyed_texts = texts.select(*ids, F.explode(text_keys(F.col(text), min_len, kinds or ["edge"]))
-                               .alias("_key")).withColumn("_key", F.xxhash64("_key"))
-    pairs = keyed_texts.join(keyed_names, [*on, "_key"]).select(*ids, name).distinct()
-    return (pairs.join(texts.select(*ids, F.col(text).alias("_text"), *keep), ids)
-            .where(F.col("_text").contains(F.col(name))).select(*ids, name, *keep))
+    grams = (names.where(F.length(name) >= min_len).select(*on, name).distinct()
+             .select(*on, name, F.explode(name_grams(F.col(name), min_len, [F.col(c) for c in on])).alias("_g"))
+             .select(*on, name, "_g.key", "_g.before", "_g.after"))
+    often = (postings(texts, grams, ids, text, min_len, on).groupBy("key")
+             .agg(F.count(F.lit(1)).alias("_n")))
+    rarest = (grams.join(often, "key", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+              .groupBy(*on, name).agg(F.min_by(F.struct("key", "before", "after"), F.struct("_n", "key")).alias("_g"),
+                                      F.min("_n").alias("_n"))
+              .where(F.col("_n") > 0).select(*on, name, "_g.key", "_g.before", "_g.after"))
+    longest = names.agg(F.max(F.length(name))).scalar()
+    rows = texts.select(*dict.fromkeys([*ids, *keep, text]))
+    found = postings(rows, rarest, [*ids, *[c for c in keep if c not in ids]], text, min_len, on, longest)
+    return (found.join(rarest, [*on, "key"])
+            .where(F.endswith("_before", F.col("before")) & F.startswith("_after", F.col("after")))
+            .select(*ids, name, *keep).distinct())

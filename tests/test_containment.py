@@ -2,7 +2,9 @@
 
 import random
 
-from rolecall.operators.containment import contains_join
+from pyspark.sql import functions as F
+
+from rolecall.operators.containment import contains_join, name_grams, postings
 
 WORDS = ["ann", "lee", "li", "x", "o", "jean", "paul", "marie", "de", "la", "smith", "smithson", "ronja",
          "weberson", "annabel", "joann", "é", ""]
@@ -41,6 +43,29 @@ def test_only_one_kind_of_name(spark):
     assert run("short") == set()
 
 
+def test_short_words_and_a_key_that_a_third_of_the_texts_hold(spark):
+    """Two-letter words everywhere, and one name whose grams are frequent."""
+    rnd = random.Random(3)
+    two = ["al", "bo", "li", "wu", "xi", "o", "a b"]
+    phrase = lambda n: " ".join(rnd.choice(two + WORDS) for _ in range(n))
+    texts = [(0, i, phrase(12) + (" wu xi al" if i % 3 == 0 else "")) for i in range(240)]
+    names = sorted({(0, phrase(rnd.randrange(2, 4)).strip()) for _ in range(250)} | {(0, "wu xi"), (0, "wu xi al"), (0, "u x")})
+    tdf = spark.createDataFrame(texts, "k bigint, id bigint, text string")
+    ndf = spark.createDataFrame(names, "k bigint, name string")
+    joined = contains_join(tdf, ndf, ["id"], min_len=3)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == jobs and "Cartesian" not in plan
+    got = joined.collect()
+    assert len(got) == len(set(got)) and {(0, r.id, r.name) for r in got} == brute(texts, names, 3)
+
+
+def test_postings_are_only_those_of_wanted_grams(spark):
+    tdf = spark.createDataFrame([(i, "lorem ipsum dolor sit amet consectetur " * 20) for i in range(50)] + [(50, "by ann lee")], "id bigint, text string")
+    wanted = spark.createDataFrame([("ann lee",)], "name string").select(F.explode(name_grams(F.col("name"), 6, [])).alias("g")).select("g.key")
+    assert postings(tdf, wanted, ["id"], "text", 6, []).select("id").collect() == [(50,)]
+
+
 def test_extra_columns_are_kept(spark):
     tdf = spark.createDataFrame([(1, "ann lee", "Ann Lee")], "id bigint, text string, raw string")
     ndf = spark.createDataFrame([("ann lee",)], "name string")
