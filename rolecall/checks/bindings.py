@@ -17,6 +17,9 @@ from .base import view
 
 CFG = Config()
 
+#: Candidates by session and folder.
+_CANDIDATES: dict[tuple[str, str], DataFrame] = {}
+
 
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
@@ -177,14 +180,18 @@ class Tables:
     @cached_property
     def candidates(self) -> DataFrame:
         from ..operators import discovery
+        from ..operators.postings import Postings
         from ..plans.lineage import cut
         from ..sources import packages
         inp = self.inputs
         pkgs = packages.person_packages(inp.package_docs, inp.people, self.keys)
         known = self.known.select("repo").join(self.roster, "repo").join(self.handles, "login")
         hits = known.select("person_id", "forge", "repo").distinct()
-        # Written once: every evidence operator reads it.
-        return cut(discovery.discover(inp, self.keys, pkgs, hits, CFG))
+        # Written once a session: every evidence operator of every check reads it.
+        made = (self.spark.sparkContext.applicationId, self.dir)
+        if made not in _CANDIDATES:
+            _CANDIDATES[made] = cut(discovery.discover(inp, self.keys, pkgs, hits, CFG, Postings.empty(self.spark)))
+        return _CANDIDATES[made]
 
     @cached_property
     def candidate_keys(self) -> DataFrame:

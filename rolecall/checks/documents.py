@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import fixed
 from ..operators.containment import contains_join
+from ..operators.postings import index_files
 from ..operators.evidence import credits, documents as ev, manifests as mf, proposals as pr
 from ..functions import documents as doc
 from .base import check, view
@@ -20,6 +21,10 @@ def cat(*parts):
     return F.concat(*[p if hasattr(p, "cast") else F.lit(p) for p in parts])
 
 
+def posted(t, files):
+    return index_files(t.inputs.with_tables(files=files))
+
+
 view("b_lines", r"""
 SELECT r.repo, doc_id AS d, CAST(i - 1 AS BIGINT) AS i, regexp_replace(lower(x), '[^a-z]+', '_', 'g') AS w
 FROM (SELECT doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS x FROM (
@@ -199,7 +204,7 @@ def governance_files(t) -> DataFrame:
 @check("governance_windows", """
 SELECT repo, i AS line, w AS "window", council, maint FROM b_gov_windows""")
 def governance_windows(t):
-    return ev.governance_windows(governance_files(t)).select(
+    return ev.governance_windows(posted(t, governance_files(t))).select(
         "repo", F.col("line").cast("bigint").alias("line"), "window", "council", "maint")
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import discovery, people
 from ..sources import files as src
 from .base import check
-from .documents import cat, credit_files, maintainers_files, owners_files, text
+from .documents import cat, credit_files, maintainers_files, owners_files, posted, text
 
 
 @check("handle_mentions", """
@@ -16,7 +16,7 @@ SELECT DISTINCT p.person_id, m.repo, m.source FROM (
 JOIN b_people p ON p.primary_login = m.login""")
 def handle_mentions(t):
     files = owners_files(t).unionByName(maintainers_files(t))
-    return discovery.handle_mentions(files, t.people).select("person_id", "repo", "source").distinct()
+    return discovery.handle_mentions(posted(t, files), t.people).select("person_id", "repo", "source").distinct()
 
 
 @check("name_mentions", """
@@ -24,7 +24,7 @@ SELECT DISTINCT a.person_id, l.repo, CASE prio WHEN 1 THEN 'namesearch:AUTHORS'
   ELSE 'namesearch:CONTRIBUTORS' END AS source
 FROM b_credit_lines l JOIN b_acc a ON contains(lower(l.txt), a.name)""")
 def name_mentions(t):
-    return discovery.name_mentions(credit_files(t), people.names(t.keys)).select("person_id", "repo", "source")
+    return discovery.name_mentions(posted(t, credit_files(t)), people.names(t.keys)).select("person_id", "repo", "source")
 
 
 @check("commit_search", """

@@ -12,6 +12,7 @@ from ..functions.text import all_matches, fold
 from ..schemas import Inputs
 from . import people, registry, roster
 from .containment import contains_join
+from .postings import Postings, base_name, index_files
 
 REPO = ["forge", "repo"]
 
@@ -54,29 +55,22 @@ def commits_by_name(commits: DataFrame, names: DataFrame) -> DataFrame:
         "person_id", *REPO).distinct()
 
 
-def _base_name(path: Column) -> Column:
-    """File name without directory and extension, upper case."""
-    return F.upper(F.substring_index(F.element_at(F.split(path, "/"), -1), ".", 1))
-
-
-def handle_mentions(files: DataFrame, people_: DataFrame) -> DataFrame:
+def handle_mentions(posted: Postings, people_: DataFrame) -> DataFrame:
     """Role files that mention a primary login as a word."""
-    role_files = files.withColumn("base", _base_name(F.col("path"))).where(
-        F.col("base").isin(fixed.HANDLE_SEARCH_FILES))
-    words = F.array_distinct(all_matches(F.lower("text"), r"[a-z0-9-]+", 0))
-    mentioned = role_files.select(*REPO, "base", F.explode(words).alias("login")).distinct()
+    mentioned = posted.rows("words").select(
+        *REPO, base_name(F.col("path")).alias("base"), F.col("key").alias("login")).distinct()
     return mentioned.join(people_.select("person_id", F.lower("primary_login").alias("login")),
                           "login").select("person_id", *REPO,
                                           F.concat(F.lit("search:"), "base").alias("source"))
 
 
-def name_mentions(files: DataFrame, names: DataFrame) -> DataFrame:
-    """Credit files that contain a person's full name."""
-    credit = files.withColumn("base", _base_name(F.col("path"))).where(
+def name_mentions(posted: Postings, names: DataFrame) -> DataFrame:
+    """Credit files that contain a person's full name, which never spans lines."""
+    credit = posted.rows("credits").withColumn("base", base_name(F.col("path"))).where(
         F.col("base").isin(fixed.NAME_SEARCH_FILES)).select(
-        *REPO, "path", "base", F.lower("text").alias("text"))
-    found = contains_join(credit, names, [*REPO, "path", "base"], min_len=5)
-    return found.join(names, "name").select(
+        *REPO, "path", "line", "base", F.lower("text").alias("text"))
+    found = contains_join(credit, names, [*REPO, "path", "line", "base"], min_len=5)
+    return found.select(*REPO, "base", "name").distinct().join(names, "name").select(
         "person_id", *REPO, F.concat(F.lit("namesearch:"), "base").alias("source")).distinct()
 
 
@@ -90,7 +84,7 @@ def profile_readme_links(files: DataFrame, people_: DataFrame) -> DataFrame:
 
 
 def discovery_union(inputs: Inputs, keys: DataFrame, packages: DataFrame,
-                    registry_hits: DataFrame, cfg: Config) -> DataFrame:
+                    registry_hits: DataFrame, cfg: Config, posted: Postings) -> DataFrame:
     """All sources, one row per (person, forge, repo, source occurrence)."""
     handles, names = people.handles(keys), people.names(keys)
     listed = inputs.discovery_hits
@@ -109,9 +103,9 @@ def discovery_union(inputs: Inputs, keys: DataFrame, packages: DataFrame,
         hits(registry_hits, "registry"),
         hits(inputs.manual.where("repo LIKE '%/%'"), "manual"),
     ]
-    mentioned = handle_mentions(inputs.files, inputs.people)
+    mentioned = handle_mentions(posted, inputs.people)
     branches.append(hits(mentioned, roles.source_bit(F.col("source"))))
-    credited = name_mentions(inputs.files, names)
+    credited = name_mentions(posted, names)
     branches.append(hits(credited, roles.source_bit(F.col("source"))))
     return reduce(DataFrame.unionByName, branches)
 
@@ -196,10 +190,11 @@ def with_gates(candidates: DataFrame, keys: DataFrame, inputs: Inputs, standing:
 
 
 def discover(inputs: Inputs, keys: DataFrame, packages: DataFrame, registry_hits: DataFrame,
-             cfg: Config) -> DataFrame:
+             cfg: Config, posted: Postings | None = None) -> DataFrame:
     """Candidates worth scanning, with gates."""
+    posted = posted or index_files(inputs, cfg.proposals_per_series)
     inputs = replace(inputs, repos=merge_metadata(inputs.repos))
-    merged = merge_hits(discovery_union(inputs, keys, packages, registry_hits, cfg))
+    merged = merge_hits(discovery_union(inputs, keys, packages, registry_hits, cfg, posted))
     meta = resolve_metadata(merged, inputs.repos)
     known = registry.with_known(meta, inputs.known, inputs.known_aliases)
     kept = known.where(keep_candidate(

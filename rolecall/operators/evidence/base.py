@@ -6,12 +6,14 @@ rows.  `register` adds one; user code may register its own.
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ... import fixed
 from ...config import Config
 from ...schemas import EVIDENCE_COLUMNS, Inputs
+from ..postings import Postings, index_files
 
 REPO = ["forge", "repo"]
 
@@ -25,6 +27,12 @@ class Context:
     candidates: DataFrame       # gated candidates
     keys: DataFrame             # gated candidates x keys of their person
     packages: DataFrame         # package references of persons
+    index: Postings | None = None
+
+    @cached_property
+    def postings(self) -> Postings:
+        """What the role files say: the run's index, or one of these inputs."""
+        return self.index or index_files(self.inputs, self.cfg.proposals_per_series)
 
 
 Operator = Callable[[Context], DataFrame]
@@ -71,14 +79,3 @@ def check_schema(df: DataFrame, name: str) -> DataFrame:
     if got != EVIDENCE_COLUMNS:
         raise ValueError(f"evidence operator {name} returned {got}")
     return df
-
-
-def first_existing(files: DataFrame, paths: list[str]) -> DataFrame:
-    """(forge, repo, path) of the first existing path in priority order.
-
-    Reads only the key columns, so no file text is shuffled to decide it.
-    """
-    prio = F.array_position(F.lit(paths), F.col("path"))
-    return (files.where(F.col("path").isin(paths)).groupBy(*REPO)
-            .agg(F.min(prio).alias("_p"))
-            .select(*REPO, F.element_at(F.lit(paths), F.col("_p").cast("int")).alias("path")))

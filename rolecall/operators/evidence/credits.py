@@ -4,20 +4,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ... import fixed
 from ...functions import display, urls
-from ...functions.text import all_matches, lines, strip
-from .. import registry
+from ...functions.text import all_matches
 from ..containment import contains_join
+from ..postings import Postings
 from .base import REPO, Context, emit, register
 
 
-def credit_lines(files: DataFrame) -> DataFrame:
+def credit_lines(posted: Postings) -> DataFrame:
     """(forge, repo, prio, path, line, credit, text): lines of all credit files."""
     prio = F.array_position(F.lit(fixed.CREDIT_PATHS), F.col("path"))
-    return (files.where(F.col("path").isin(fixed.CREDIT_PATHS))
-            .select(*REPO, prio.alias("prio"), "path",
-                    F.posexplode(lines(F.col("text"))).alias("line", "raw"))
-            .select(*REPO, "prio", "path", "line", strip(F.col("raw")).alias("credit"),
-                    F.lower("raw").alias("text")).where("credit <> ''"))
+    return posted.rows("credits").where(F.col("path").isin(fixed.CREDIT_PATHS)).select(
+        *REPO, prio.alias("prio"), "path", "line", F.col("text").alias("credit"),
+        F.lower("text").alias("text"))
 
 
 def find_credits(credit: DataFrame, keys: DataFrame) -> DataFrame:
@@ -45,17 +43,33 @@ def find_credits(credit: DataFrame, keys: DataFrame) -> DataFrame:
                     "b.path", "b.credit", "b.strong"))
 
 
-def names_part(line: Column, label: Column) -> Column:
-    """The line names the part as a whole word."""
-    quoted = F.replace(label, F.lit(r"\E"), F.lit(r"\E\\E\Q"))      # a label may end the quoting itself
-    pattern = F.concat(F.lit(r"(?iU)(?<![\w.])\Q"), quoted, F.lit(r"\E(?![\w.])"))
-    return F.regexp_like(line, pattern)
+def _atoms(c: Column) -> Column:
+    """A text as its words (letters, digits, underscores and dots) and single other characters."""
+    return all_matches(F.lower(c), r"(?U)[\w.]+|[^\w.]", 0)
+
+
+def label_credits(found: DataFrame, parts: DataFrame) -> DataFrame:
+    """Credits (known_repo, credit, …) with each part of the project whose label they name as a whole word.
+
+    A line's atoms are looked up by the first atom of the labels, and the atoms that follow
+    compared; a label that begins or ends with another character than a word's may not
+    touch a word there.
+    """
+    word = lambda atom: F.coalesce(atom.rlike(r"(?U)^[\w.]"), F.lit(False))
+    labels = parts.withColumn("_label", _atoms(F.col("label"))).withColumn("_first", F.get("_label", F.lit(0)))
+    n = F.size("_label")
+    lines_ = found.withColumn("_line", _atoms(F.col("credit")))
+    before, after = F.get("_line", F.col("_at") - 1), F.get("_line", F.col("_at") + n)
+    return (lines_.select("*", F.posexplode("_line").alias("_at", "_first"))
+            .join(labels, ["known_repo", "_first"])
+            .where((F.slice("_line", F.col("_at") + 1, n) == F.col("_label")) & ~word(before) & ~word(after))
+            .drop("_line", "_label", "_first", "_at").distinct())
 
 
 @register("authors")
 def authors(ctx: Context):
     """A bare listing needs commits behind it; a credit for a named part stands alone."""
-    found = find_credits(credit_lines(ctx.inputs.files), ctx.keys).where("strong OR trusted")
+    found = find_credits(credit_lines(ctx.postings), ctx.keys).where("strong OR trusted")
     quoted = F.concat(F.lit("“"), display.snippet(F.col("credit")), F.lit("”"))
     url = urls.file_url(F.col("project_url"), F.col("path"))
     bare = emit(found.where(F.col("commits") >= ctx.cfg.min_ranked_commits), "authors",
@@ -64,7 +78,7 @@ def authors(ctx: Context):
                 detail=F.concat(F.lit("credited in "), "path", F.lit(": "), quoted))
     parts = ctx.inputs.subcomponents.where("label <> ''").select(
         F.col("repo").alias("known_repo"), "role", "label", "pos")
-    named = found.join(parts, "known_repo").where(names_part(F.col("credit"), F.col("label")))
+    named = label_credits(found, parts)
     part = emit(named, "authors", role=F.col("role"), url=url, seq=F.col("pos") + 1,
                 confidence=F.when(F.col("strong"), F.lit(0.8)).otherwise(0.65),
                 detail=F.concat(F.lit("credited for "), "label", F.lit(" in "), "path",

@@ -3,23 +3,21 @@
 from pyspark.sql import DataFrame, functions as F
 
 from ... import fixed
-from ...functions import documents as doc, people as ppl, urls
-from ...functions.text import all_matches, fold, handle_key, lines, matches
+from ...functions import urls
+from ...functions.text import all_matches, fold, handle_key
+from ...schemas import Inputs
 from ..containment import contains_join
-from .base import REPO, Context, emit, first_existing, register
+from ..postings import COUNCIL, MAINTAINER, Postings, first_existing, listed_keys  # noqa: F401
+from .base import REPO, Context, emit, register
 
 
 # --- CODEOWNERS ------------------------------------------------------------
-def codeowner_entries(files: DataFrame) -> DataFrame:
+def codeowner_entries(posted: Postings) -> DataFrame:
     """(forge, repo, path, line, pos, scope, owner, kind): every owner of every rule of
     the CODEOWNERS file that counts in each project."""
-    rules = files.where(F.col("path").isin(fixed.CODEOWNERS_PATHS)).select(
-        *REPO, "path", F.posexplode(doc.codeowner_rules(F.col("text"))).alias("line", "r"))
-    rules = rules.where(~doc.owns_ownership_file(F.col("r.pattern"))).select(
-        *REPO, "path", "line", doc.rule_scope(F.col("r.pattern"), F.col("r.section")).alias("scope"),
-        F.posexplode("r.owners").alias("pos", "owner"))
-    return (rules.withColumn("kind", doc.owner_kind(F.col("owner")))
-            .join(first_existing(files, fixed.CODEOWNERS_PATHS), [*REPO, "path"]))
+    return (posted.rows("codeowners").select(
+        *REPO, "path", "line", "pos", "scope", F.col("key").alias("owner"), "kind")
+        .join(first_existing(posted.places, fixed.CODEOWNERS_PATHS), [*REPO, "path"]))
 
 
 def scoped_owners(entries: DataFrame) -> DataFrame:
@@ -61,7 +59,7 @@ def codeowner_matches(owners: DataFrame, teams: DataFrame, keys: DataFrame) -> D
 @register("codeowners")
 def codeowners(ctx: Context):
     """One row per owned scope; a copied, untrusted file counts for nothing."""
-    owners = scoped_owners(codeowner_entries(ctx.inputs.files))
+    owners = scoped_owners(codeowner_entries(ctx.postings))
     found = codeowner_matches(owners, ctx.inputs.teams, ctx.keys.where("trusted"))
     return emit(found, "codeowners", role="code_owner", seq=F.col("at"),
                 url=urls.file_url(F.col("project_url"), F.col("path")), confidence=0.9,
@@ -69,28 +67,22 @@ def codeowners(ctx: Context):
 
 
 # --- OWNERS and MAINTAINERS ------------------------------------------------
-def owners_entries(files: DataFrame, targets: DataFrame) -> DataFrame:
+def owners_entries(posted: Postings, targets: DataFrame) -> DataFrame:
     """(forge, repo, path, prio, role, login): approvers and reviewers of OWNERS files.
 
     `targets` says which path, in which order, is an OWNERS file of a project.
     """
-    both = F.array(
-        F.struct(F.lit("maintainer").alias("role"),
-                 doc.owners_list(F.col("text"), "approvers").alias("logins")),
-        F.struct(F.lit("code_owner").alias("role"),
-                 doc.owners_list(F.col("text"), "reviewers").alias("logins")))
-    return (files.join(targets, [*REPO, "path"]).select(*REPO, "path", "prio", F.explode(both).alias("b"))
-            .select(*REPO, "path", "prio", "b.role", F.explode("b.logins").alias("login"))
-            .withColumn("login", handle_key(F.col("login"))).where("login IS NOT NULL").distinct())
+    return posted.rows("owners").join(targets, [*REPO, "path"]).select(
+        *REPO, "path", "prio", "role", F.col("key").alias("login"))
 
 
-def owners_targets(ctx: Context) -> DataFrame:
+def owners_targets(inputs: Inputs) -> DataFrame:
     """Paths of OWNERS files: those a curated convention names, else the root file."""
     from .. import registry
     conv = registry.for_candidates(
-        ctx.inputs.role_conventions.where("extractor = 'maintainers' AND path <> ''"),
-        ctx.inputs.known, ctx.inputs.known_aliases).select("key", "path", F.col("pos").alias("prio"))
-    repos = ctx.inputs.files.select(*REPO, "path").withColumn("key", F.lower("repo"))
+        inputs.role_conventions.where("extractor = 'maintainers' AND path <> ''"),
+        inputs.known, inputs.known_aliases).select("key", "path", F.col("pos").alias("prio"))
+    repos = inputs.files.select(*REPO, "path").withColumn("key", F.lower("repo"))
     curated = repos.join(conv, ["key", "path"]).select(*REPO, "path", "prio")
     root = (repos.where(F.col("path").isin(fixed.OWNERS_PATHS))
             .join(conv.select("key").distinct(), "key", "left_anti")
@@ -108,28 +100,16 @@ def owners_roles(entries: DataFrame, keys: DataFrame) -> DataFrame:
             .select("person_id", *REPO, "project_url", "b.path", "b.role"))
 
 
-def maintainer_entries(files: DataFrame) -> DataFrame:
-    """(forge, repo, path, line, kind, key, strong): people of the first MAINTAINERS file."""
-    people_ = files.where(F.col("path").isin(fixed.MAINTAINERS_PATHS)).select(
-        *REPO, "path", F.posexplode(F.transform(lines(F.col("text")), ppl.from_maintainer_line))
-        .alias("line", "p")).where("p IS NOT NULL")
-    return listed_keys(people_, [*REPO, "path", "line"]).join(
-        first_existing(files, fixed.MAINTAINERS_PATHS), [*REPO, "path"])
-
-
-def listed_keys(people_: DataFrame, ids: list[str]) -> DataFrame:
-    """One row per handle, e-mail and name of listed people (struct column `p`)."""
-    return people_.select(*ids, F.explode(F.array(
-        F.struct(F.lit("handle").alias("kind"), handle_key(F.col("p.handle")).alias("key")),
-        F.struct(F.lit("email").alias("kind"), fold(F.col("p.email")).alias("key")),
-        F.struct(F.lit("name").alias("kind"), fold(F.col("p.name")).alias("key")),
-    )).alias("k")).select(*ids, "k.kind", "k.key").where("key IS NOT NULL")
+def maintainer_entries(posted: Postings) -> DataFrame:
+    """(forge, repo, path, line, kind, key): people of the first MAINTAINERS file."""
+    return (posted.rows("maintainers").select(*REPO, "path", "line", "kind", "key")
+            .join(first_existing(posted.places, fixed.MAINTAINERS_PATHS), [*REPO, "path"]))
 
 
 @register("maintainers")
 def maintainers(ctx: Context):
     """OWNERS approvers and reviewers; only without those, the MAINTAINERS file."""
-    owned = owners_roles(owners_entries(ctx.inputs.files, owners_targets(ctx)), ctx.keys)
+    owned = owners_roles(owners_entries(ctx.postings, owners_targets(ctx.inputs)), ctx.keys)
     first = F.col("role") == "maintainer"
     from_owners = emit(
         owned, "maintainers", role=F.col("role"),
@@ -138,7 +118,7 @@ def maintainers(ctx: Context):
         detail=F.concat(F.when(first, "approver in ").otherwise("reviewer in "), "path"))
     # The first listed person that matches decides, by handle or e-mail before name.
     order = F.col("line").cast("bigint") * 2 + F.when(F.col("kind") == "name", 1).otherwise(0)
-    listed = (maintainer_entries(ctx.inputs.files).join(ctx.keys, [*REPO, "kind", "key"])
+    listed = (maintainer_entries(ctx.postings).join(ctx.keys, [*REPO, "kind", "key"])
               .groupBy("person_id", *REPO, "project_url", "path").agg(F.min(order).alias("o"))
               .join(owned, ["person_id", *REPO], "left_anti"))
     by_name = F.col("o") % 2 == 1
@@ -151,15 +131,14 @@ def maintainers(ctx: Context):
 
 
 # --- governance ------------------------------------------------------------
-def governance_windows(files: DataFrame) -> DataFrame:
+def governance_windows(posted: Postings) -> DataFrame:
     """(forge, repo, path, line, window, council, maint): sliding windows of the first
     governance file of each project."""
-    w = files.where(F.col("path").isin(fixed.GOVERNANCE_PATHS)).select(
-        *REPO, "path", F.posexplode(doc.line_windows(F.col("text"))).alias("line", "window"))
-    return (w.where("window <> ''")
-            .withColumn("council", matches(F.col("window"), "(?U)" + fixed.COUNCIL_WORDS))
-            .withColumn("maint", matches(F.col("window"), fixed.MAINTAINER_WORDS))
-            .join(first_existing(files, fixed.GOVERNANCE_PATHS), [*REPO, "path"]))
+    near = lambda bit: F.col("flags").bitwiseAND(F.lit(bit)) > 0
+    return posted.rows("governance").select(
+        *REPO, "path", "line", F.col("text").alias("window"), near(COUNCIL).alias("council"),
+        near(MAINTAINER).alias("maint")).join(
+        first_existing(posted.places, fixed.GOVERNANCE_PATHS), [*REPO, "path"])
 
 
 def governance_matches(windows: DataFrame, keys: DataFrame) -> DataFrame:
@@ -190,7 +169,7 @@ def governance_matches(windows: DataFrame, keys: DataFrame) -> DataFrame:
 
 @register("governance")
 def governance(ctx: Context):
-    found = governance_matches(governance_windows(ctx.inputs.files), ctx.keys)
+    found = governance_matches(governance_windows(ctx.postings), ctx.keys)
     g = F.col("grade")
     text = (F.when(g == 70, "handle near council keyword").when(g == 65, "handle near maintainer keyword")
              .when((g == 45) & F.col("by_name"), "name near council keyword")

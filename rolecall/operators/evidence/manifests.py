@@ -8,13 +8,16 @@ from ... import fixed
 from ...functions import people as ppl, urls
 from ...functions.text import first_match, strip, unix_lines
 from .base import REPO, Context, emit, register
-from .documents import listed_keys
 
-_TOML_OUT = "forge string, repo string, path string, role string, raw string, name string, email string"
 
-
-def _toml_people(batches):
+def _toml_people(ids):
     """People fields of TOML manifests, batch by batch (Spark has no TOML reader)."""
+    def run(batches):
+        return _toml_batches(batches, ids)
+    return run
+
+
+def _toml_batches(batches, ids):
     import tomllib
 
     import pandas as pd
@@ -36,12 +39,12 @@ def _toml_people(batches):
             except (tomllib.TOMLDecodeError, AttributeError, TypeError):
                 continue
             for role, e in found:
-                key = (row.forge, row.repo, row.path, role)
+                key = (*[getattr(row, c) for c in ids], row.path, role)
                 if isinstance(e, str):
                     out.append((*key, e, None, None))
                 elif isinstance(e, dict):
                     out.append((*key, None, e.get("name"), e.get("email")))
-        yield pd.DataFrame(out, columns=["forge", "repo", "path", "role", "raw", "name", "email"])
+        yield pd.DataFrame(out, columns=[*ids, "path", "role", "raw", "name", "email"])
 
 
 def _from_json_entry(entry: Column) -> Column:
@@ -68,14 +71,14 @@ def config_value(text: Column, key: str) -> Column:
     return strip(first_match(section, rf"(?im)^{key}[ \t]*[=:]([^\n]*(?:\n[ \t]+\S[^\n]*)*)"))
 
 
-def manifest_people(files: DataFrame) -> DataFrame:
-    """(forge, repo, path, role, p): people of the author and maintainer fields."""
-    f = files.where(F.col("path").isin(fixed.MANIFEST_PATHS)).select(*REPO, "path", "text")
+def manifest_people(files: DataFrame, ids: list[str] = REPO) -> DataFrame:
+    """(ids, path, role, p): people of the author and maintainer fields."""
+    f = files.where(F.col("path").isin(fixed.MANIFEST_PATHS)).select(*ids, "path", "text")
     text = F.col("text")
 
     def listed(path, role, people_):
         return f.where(F.col("path") == path).select(
-            *REPO, "path", F.lit(role).alias("role"), F.explode(people_).alias("p"))
+            *ids, "path", F.lit(role).alias("role"), F.explode(people_).alias("p"))
 
     zipped = lambda get, who: ppl.zip_names_emails(get(text, who), get(text, who + "_email"))
     dunder = ppl.zip_names_emails(
@@ -92,18 +95,19 @@ def manifest_people(files: DataFrame) -> DataFrame:
         listed("package.json", "maintainer", _json_list(text, "maintainers")),
         listed("composer.json", "author", _json_list(text, "authors")),
     ]
+    own = ", ".join(f"{n} {t}" for n, t in f.select(*ids).dtypes)
     toml = f.where(F.col("path").isin("pyproject.toml", "Cargo.toml")).mapInPandas(
-        _toml_people, _TOML_OUT)
+        _toml_people(ids), f"{own}, path string, role string, raw string, name string, email string")
     given = ppl.person(F.nullif(strip(F.col("name")), F.lit("")),
                        F.nullif(strip(F.col("email")), F.lit("")))
-    branches.append(toml.select(*REPO, "path", "role", F.when(
+    branches.append(toml.select(*ids, "path", "role", F.when(
         F.col("raw").isNotNull(), ppl.from_person_string(F.col("raw"))).otherwise(given).alias("p")))
     return reduce(DataFrame.unionByName, branches).where(ppl.is_named(F.col("p")))
 
 
 def manifest_matches(listed: DataFrame, keys: DataFrame) -> DataFrame:
     """One row per (person, project, path, role); an e-mail match beats a name match."""
-    return (listed_keys(listed, [*REPO, "path", "role"]).where("kind <> 'handle'").distinct()
+    return (listed.where("kind <> 'handle'").select(*REPO, "path", "role", "kind", "key").distinct()
             .join(keys, [*REPO, "kind", "key"])
             .groupBy("person_id", *REPO, "project_url", "path", "role", "commits")
             .agg(F.min("kind").alias("how")))
@@ -112,7 +116,7 @@ def manifest_matches(listed: DataFrame, keys: DataFrame) -> DataFrame:
 @register("manifests")
 def manifests(ctx: Context):
     """A manifest field can be copied; with commits behind it, it is strong."""
-    found = manifest_matches(manifest_people(ctx.inputs.files), ctx.keys)
+    found = manifest_matches(ctx.postings.manifests(), ctx.keys)
     commits = F.col("commits").isNotNull()
     seq = (F.array_position(F.lit(fixed.MANIFEST_PATHS), F.col("path")) * 2
            + F.when(F.col("role") == "author", 0).otherwise(1))

@@ -3,10 +3,11 @@
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ... import fixed
-from ...functions import documents as doc, urls
+from ...functions import urls
 from ...functions.text import blank_to_null, matches
+from ...schemas import Inputs
+from ..postings import Postings
 from .base import REPO, Context, emit, register
-from .documents import listed_keys
 
 
 def is_markup_name(name: Column) -> Column:
@@ -67,12 +68,21 @@ def proposal_docs(plans: DataFrame, entries: DataFrame, limit: int | None = None
     return placed if limit is None else placed.where(F.col("n") <= limit)
 
 
-def proposal_authorship(docs: DataFrame, files: DataFrame, keys: DataFrame) -> DataFrame:
+def series_docs(inputs: Inputs, limit: int | None = None) -> DataFrame:
+    """`proposal_docs` of every series of the snapshot."""
+    from .. import registry
+    conv = registry.for_candidates(
+        inputs.role_conventions.where("extractor = 'enhancement_proposals'"),
+        inputs.known, inputs.known_aliases)
+    return proposal_docs(proposal_plans(inputs.dir_entries, conv), inputs.dir_entries, limit)
+
+
+def proposal_authorship(docs: DataFrame, posted: Postings, keys: DataFrame) -> DataFrame:
     """Per person and project, the first series with proposals of that person."""
-    authors = (docs.join(files, [*REPO, "path"])
-               .select(*REPO, "pos", "n", "path", F.explode(
-                   doc.proposal_authors(F.col("text"), F.col("header_format"))).alias("p")))
-    hits = (listed_keys(authors, [*REPO, "pos", "n", "path"])
+    read = posted.rows("proposal rst", "proposal yaml").select(
+        *REPO, "path", F.substring_index("parser", " ", -1).alias("header_format"), "kind", "key")
+    hits = (docs.join(read, [*REPO, "path", "header_format"])
+            .select(*REPO, "pos", "n", "path", "kind", "key")
             .join(keys, [*REPO, "kind", "key"])
             .groupBy("person_id", *REPO, "project_url", "pos", "n", "path")
             .agg(F.min(F.when(F.col("kind") == "name", 1).otherwise(0)).alias("weak")))
@@ -102,13 +112,7 @@ def authorship_detail(docs: Column, listed: Column) -> Column:
 
 @register("enhancement_proposals")
 def enhancement_proposals(ctx: Context):
-    from .. import registry
-    conv = registry.for_candidates(
-        ctx.inputs.role_conventions.where("extractor = 'enhancement_proposals'"),
-        ctx.inputs.known, ctx.inputs.known_aliases)
-    docs = proposal_docs(proposal_plans(ctx.inputs.dir_entries, conv), ctx.inputs.dir_entries,
-                         ctx.cfg.proposals_per_series)
-    found = proposal_authorship(docs, ctx.inputs.files, ctx.keys)
+    found = proposal_authorship(series_docs(ctx.inputs, ctx.cfg.proposals_per_series), ctx.postings, ctx.keys)
     return emit(found, "enhancement_proposals", role="standards_author",
                 url=urls.file_url(F.col("project_url"), F.col("path")),
                 confidence=F.col("confidence"), detail=F.col("detail"))

@@ -70,8 +70,13 @@ def to_records(scored: DataFrame, candidates: DataFrame) -> DataFrame:
     """Scored rows with the standing of their project."""
     c = candidates.select(*KEY, F.col("project_url").alias("url"), "stars", "forks", "pushed_at",
                           "has_stars", "importance", "override", "manual")
+    return with_score(scored.join(c, KEY))
+
+
+def with_score(records: DataFrame) -> DataFrame:
+    """Records with the popularity of their project and their score."""
     pop = roles.popularity(F.col("stars"), F.col("forks"), F.col("has_stars"))
-    return (scored.join(c, KEY).withColumn("popularity", pop)
+    return (records.withColumn("popularity", pop)
             .withColumn("score", record_score(F.col("popularity"), F.col("role"),
                                               F.col("confidence"))))
 
