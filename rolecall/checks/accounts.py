@@ -109,7 +109,28 @@ def identity_round(t):
                             customer_accounts(t))
 
 
-@check("identity_closure")
+def _closure_sql(rounds: int = 24) -> str:
+    """The rounds one after the other, each over all accounts confirmed before it.
+
+    Of numbers: an account is its customer's, a person the customer it began with.
+    """
+    parts = ["""links AS MATERIALIZED (SELECT DISTINCT o_custkey AS a, (o_orderkey * 7919 + 13) % (SELECT count(*) FROM customer) AS b FROM orders),
+sites AS MATERIALIZED (SELECT DISTINCT CASE WHEN o_orderkey // 40 % 2 = 0 THEN o_orderkey // 5 ELSE 1000000000 + o_orderkey // 8 END AS site, o_custkey AS k FROM orders),
+named AS MATERIALIZED (SELECT c_custkey AS k, c_mktsegment || (c_custkey % 200) AS name FROM customer),
+c0 AS MATERIALIZED (SELECT c_custkey AS p, c_custkey AS k, 0 AS round FROM customer)"""]
+    for r in range(1, rounds + 1):
+        c = f"c{r - 1}"
+        # A site names all its customers' accounts, and all of them link to it.
+        parts.append(f"""c{r} AS MATERIALIZED (SELECT * FROM {c} UNION ALL SELECT p, k, {r} FROM (
+  SELECT * FROM (SELECT c.p, l.b AS k FROM {c} c JOIN links l ON l.a = c.k INTERSECT SELECT c.p, l.a FROM {c} c JOIN links l ON l.b = c.k)
+  UNION SELECT DISTINCT o.p, o.k FROM (SELECT DISTINCT c.p, t.k, n.name FROM {c} c JOIN sites s ON s.k = c.k JOIN sites t ON t.site = s.site JOIN named n ON n.k = t.k) o
+    JOIN (SELECT DISTINCT c.p, n.name FROM {c} c JOIN named n ON n.k = c.k) m ON m.p = o.p AND m.name = o.name
+  EXCEPT SELECT p, k FROM {c}))""")
+    return f"""WITH {", ".join(parts)}
+SELECT p AS person_id, ({HOSTS})[k % 5 + 1] AS forge, 'c' || k AS login, round::INTEGER AS round FROM c{rounds}"""
+
+
+@check("identity_closure", _closure_sql())
 def identity_closure(t):
     anchors = customer_accounts(t).select(
         F.substring("login", 2, 20).cast("bigint").alias("person_id"), "forge", "login")

@@ -5,6 +5,7 @@ from itertools import count
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import text as tx, urls
+from .containment import only_wanted
 
 ACCOUNT = ["forge", "login"]
 
@@ -81,52 +82,124 @@ def closure_round(confirmed: DataFrame, edges: DataFrame, sites: DataFrame, list
     return new.join(confirmed.select(mine), mine, "left_anti")
 
 
+#: What a confirmed account contributes, and what must meet for a confirmation or a vouching
+#: site: two facts of one person with the same pair and keys, one of each side.
+FACTS = ("pair STRING, side INT, person_id BIGINT, k1 STRING, k2 STRING, forge STRING, login STRING")
+_MEET = ["pair", "person_id", "k1", "k2"]
+
+
+def _fact(pair: str, side: int, k1: str, k2=None, forge=None, login=None) -> list:
+    named = lambda c, a: (F.lit(None).cast("string") if c is None else F.col(c)).alias(a)
+    return [F.lit(pair).alias("pair"), F.lit(side).alias("side"), F.col(k1).alias("k1"),
+            (F.lit("") if k2 is None else F.col(k2)).alias("k2"), named(forge, "forge2"), named(login, "login2")]
+
+
+def _account_facts(edges: DataFrame, sites: DataFrame, listed: DataFrame, names: DataFrame) -> DataFrame:
+    """(forge, login, pair, side, k1, k2, forge2, login2): the facts each account contributes.
+
+    `out` and `into` meet at an account that is linked and links back, a site's link and
+    listing at a site; own logins and names meet those of accounts on vouching sites.
+    """
+    back = edges.select(F.col("to_forge").alias("forge"), F.col("to_login").alias("login"),
+                        F.col("forge").alias("from_forge"), F.col("login").alias("from_login"))
+    return (edges.select(*ACCOUNT, *_fact("link", 0, "to_forge", "to_login", "to_forge", "to_login"))
+            .unionByName(back.select(*ACCOUNT, *_fact("link", 1, "from_forge", "from_login", "from_forge", "from_login")))
+            .unionByName(sites.select(*ACCOUNT, *_fact("site", 0, "url")))
+            .unionByName(listed.select(*ACCOUNT, *_fact("site", 1, "url")))
+            .unionByName(names.select(*ACCOUNT, *_fact("name", 1, "name"))))
+
+
+def _site_facts(listed: DataFrame, names: DataFrame) -> DataFrame:
+    """(url, pair, side, k1, k2, forge2, login2): the facts a vouching site contributes."""
+    return (listed.select("url", *_fact("login", 0, "login", None, "forge", "login"))
+            .unionByName(listed.join(names, ACCOUNT).select("url", *_fact("name", 0, "name", None, "forge", "login"))))
+
+
+def _meetings(new: DataFrame, all_: DataFrame) -> DataFrame:
+    """Facts of side 0 that met side 1, at least one of the two being new."""
+    first = new.where("side = 0").join(all_.where("side = 1").select(_MEET), _MEET, "left_semi")
+    second = all_.where("side = 0").join(new.where("side = 1").select(_MEET), _MEET, "left_semi")
+    return first.unionByName(second)
+
+
 def resolve_accounts(anchors: DataFrame, links: DataFrame, pages: DataFrame, accounts: DataFrame,
                      *, max_accounts: int | None = None, max_hub_accounts: int | None = None) -> DataFrame:
     """(person_id, forge, login, round): all confirmed accounts of each anchor.
 
     A round confirms everything the accounts known so far vouch for, whatever the
     order of links, until a round confirms nothing; with `max_accounts`, a person
-    who has that many stops growing.  Each round is checkpointed: lineage stays flat and a lost executor costs one
-    round at most.
+    who has that many stops growing.  The rows are those of `closure_round` repeated, but
+    a round joins only what the round before confirmed: its accounts contribute facts, a
+    new fact meets all facts, and each round appends its facts and accounts as one part.
+    A lost executor costs one round at most; the facts are deleted at the end.
     """
-    from ..plans.lineage import cut
-    edges = cut(profile_edges(links))
-    hubs = hub_accounts(pages, max_hub_accounts)
-    sites = cut(hub_links(links, hubs))
-    listed = cut(hubs.join(sites.select("url").distinct(), "url", "left_semi").select(
-        "url", F.explode("accounts").alias("a")).select(
-        "url", "a.forge", F.lower("a.login").alias("login")).distinct())
-    confirmed = cut(anchors.select("person_id", "forge", F.lower("login").alias("login"),
-                                   F.lit(0).alias("round")).distinct())
-    for r in count(1):
-        new = cut(closure_round(confirmed, edges, sites, listed, accounts, max_accounts)
-                  .withColumn("round", F.lit(r)))
-        if new.isEmpty():
-            break
-        confirmed = cut(confirmed.unionByName(new))
-    return confirmed
+    from ..plans.lineage import Growing, cut, kept, scratch
+    spark = anchors.sparkSession
+    with scratch(spark):
+        hubs = hub_accounts(pages, max_hub_accounts)
+        edges, sites = cut(profile_edges(links)), cut(hub_links(links, hubs))
+        listed = cut(hubs.join(sites.select("url").distinct(), "url", "left_semi").select(
+            "url", F.explode("accounts").alias("a")).select(
+            "url", "a.forge", F.lower("a.login").alias("login")).distinct())
+        names = accounts.select("forge", F.lower("login").alias("login"),
+                                tx.fold(F.col("name")).alias("name")).where("name IS NOT NULL").distinct()
+        of_account, of_site = cut(_account_facts(edges, sites, listed, names)), cut(_site_facts(listed, names))
+        confirmed = Growing(spark, "person_id BIGINT, forge STRING, login STRING, round INT")
+        facts, vouching = Growing(spark, FACTS), Growing(spark, "person_id BIGINT, url STRING")
+        new = confirmed.append(anchors.select("person_id", "forge", F.lower("login").alias("login"),
+                                              F.lit(0).alias("round")).distinct())
+        as_fact = ["pair", "side", "person_id", "k1", "k2", F.col("forge2").alias("forge"), F.col("login2").alias("login")]
+        for r in count(1):
+            own = new.select("person_id", *ACCOUNT, *_fact("login", 1, "login"))
+            gained = facts.append(new.select("person_id", *ACCOUNT).join(of_account, ACCOUNT)
+                                  .unionByName(own, allowMissingColumns=True).select(as_fact).distinct())
+            at_site = "pair = 'site'"
+            sites_now = (_meetings(gained.where(at_site), facts.all().where(at_site))
+                         .select("person_id", F.col("k1").alias("url")).distinct())
+            if r > 1:
+                sites_now = sites_now.join(vouching.all(), ["person_id", "url"], "left_anti")
+            on_sites = facts.append(vouching.append(sites_now).join(of_site, "url").select(as_fact).distinct())
+            person = "pair <> 'site'"
+            met = (_meetings(gained.unionByName(on_sites).where(person), facts.all().where(person))
+                   .select("person_id", *ACCOUNT).distinct())
+            known = confirmed.all()
+            if max_accounts is not None:
+                met = met.join(known.groupBy("person_id").count().where(F.col("count") < max_accounts), "person_id", "left_semi")
+            new = confirmed.append(met.join(known, ["person_id", *ACCOUNT], "left_anti").withColumn("round", F.lit(r)))
+            if new.isEmpty():
+                break
+        return kept(confirmed.all())
 
 
 # --- full names ------------------------------------------------------------
+def _pair_key(a, b):
+    return F.xxhash64(F.least(a, b), F.greatest(a, b))
+
+
 def search_accounts(queries: DataFrame, accounts: DataFrame, limit: int | None = None) -> DataFrame:
     """(query, login, name, bio, position): accounts whose name has every query word, the
     first `limit` of each query if one is given.
 
-    Each query is looked up by its rarest word only, and the other words are
-    checked on the hits, so a common first name does not blow up the join.
+    Each query is looked up by its two rarest words together, so names of two common words
+    meet only the accounts that have both, and the other words are checked on the hits.
+    Pairs of an account's words leave their stage only if some query wants them.
     """
     q = queries.where(tx.looks_like_name(F.col("query"))).select(
         "query", tx.name_tokens(F.col("query")).alias("toks")).where(F.size("toks") > 0).distinct()
     a = accounts.where("login <> '' AND name IS NOT NULL").select(
         "login", "name", "bio", tx.name_tokens(F.col("name")).alias("name_toks"))
-    words = a.select("login", "name", "bio", "name_toks", F.explode("name_toks").alias("tok"))
-    freq = words.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
+    freq = a.select(F.explode("name_toks").alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
     rarest = (q.select("query", "toks", F.explode("toks").alias("tok")).join(freq, "tok", "left")
-              .groupBy("query", "toks").agg(F.min_by("tok", F.struct(
-                  F.coalesce("df", F.lit(0)), "tok")).alias("tok")))
-    hits = (rarest.join(words, "tok")
-            .where(F.size(F.array_except("toks", "name_toks")) == 0)
+              .groupBy("query", "toks").agg(F.array_sort(F.collect_list(F.struct(
+                  F.coalesce("df", F.lit(0)).alias("df"), "tok"))).alias("by")))
+    first, second = F.element_at("by", 1), F.try_element_at("by", F.lit(2))
+    # A word that no account has finds nothing.
+    wanted = rarest.where(first["df"] > 0).select(
+        "query", "toks", _pair_key(first["tok"], F.coalesce(second["tok"], first["tok"])).alias("key"))
+    pairs = F.flatten(F.transform("name_toks", lambda x, i: F.transform(
+        F.slice("name_toks", i + 1, F.size("name_toks")), lambda y: _pair_key(x, y))))
+    words = only_wanted(a.select("login", "name", "bio", "name_toks", F.explode(pairs).alias("key")), wanted)
+    hits = (wanted.join(words, "key").where(F.size(F.array_except("toks", "name_toks")) == 0)
             .select("query", "login", "name", "bio").distinct())
     w = W.partitionBy("query").orderBy("login", "name")
     placed = hits.withColumn("position", F.row_number().over(w))

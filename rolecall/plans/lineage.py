@@ -2,9 +2,13 @@
 
 import os
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Tables written since each open `scratch` began.
+_scratch: list[list[str]] = []
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder the cluster names; a session on one machine may go without.
@@ -19,13 +23,65 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(shared or f"/tmp/checkpoints/{os.getuid()}")
 
 
+def new_path(spark: SparkSession, kind: str) -> str:
+    """A path of its own in the shared folder; it goes with the innermost open `scratch`."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{kind}-{uuid.uuid4().hex}"
+    if _scratch:
+        _scratch[-1].append(path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables written inside are deleted at the end: what leaves it must be read by then, or `kept`."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            delete(spark, path)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """`df` written outside the innermost open `scratch`."""
+    inner = _scratch.pop()
+    try:
+        return cut(df)
+    finally:
+        _scratch.append(inner)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write the result once as Parquet in the shared folder and read it from then on.
 
     Unlike a checkpoint it keeps column pruning, pushed filters and statistics.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
+    path = new_path(spark, "cut")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Growing:
+    """A table that grows by whole parts: nothing written is ever rewritten."""
+
+    def __init__(self, spark: SparkSession, ddl: str):
+        from ..schemas import empty_table
+        self.spark, self.schema = spark, empty_table(spark, ddl).schema
+        self.path, self.parts = new_path(spark, "growing"), 0
+
+    def append(self, df: DataFrame) -> DataFrame:
+        """Write `df` as one more part, and read that part."""
+        part = f"{self.path}/part-{self.parts:06d}"
+        df.select(self.schema.names).write.parquet(part)
+        self.parts += 1
+        return self.spark.read.schema(self.schema).parquet(part)
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/part-*")
