@@ -258,8 +258,11 @@ def latest_snapshot(t):
 SELECT count(*) AS kept, count(*) FILTER (WHERE event_type = 'signup') AS protected FROM events
 WHERE ts >= TIMESTAMP '2024-01-31' - INTERVAL 10 DAYS OR event_type = 'signup'""")
 def retention(t):
-    kept = us.expire(t.events.withColumn("ts", F.col("ts").cast("timestamp")).withColumn(
-        "namespace", F.col("event_type")), "ts", "2024-01-31 00:00:00", 10, "signup")
+    out = scratch(t)
+    rows = t.events.withColumn("ts", F.col("ts").cast("timestamp"))
+    su.write_days(rows.select("event_id", "ts", F.col("event_type").alias("namespace")), "ts", out)
+    su.expire_days(t.spark, out, "2024-01-31 00:00:00", 10, "signup")
+    kept = t.spark.read.schema("event_id BIGINT, ts TIMESTAMP, namespace STRING, day STRING").parquet(out)
     return kept.agg(F.count(F.lit(1)).alias("kept"), F.count_if(F.col("namespace") == "signup").alias("protected"))
 
 
@@ -271,10 +274,21 @@ def stream(t, name: str, schema=None):
 
 def scratch(t) -> str:
     """A new folder under the checkpoint folder the session names."""
-    import uuid
-    from ..plans.lineage import ensure_checkpoint_dir
-    ensure_checkpoint_dir(t.spark)
-    return f"{t.spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    from ..plans.lineage import new_path
+    return new_path(t.spark, "stream")
+
+
+def batches(t, *parts):
+    """A stream whose batches are these tables, one after the other."""
+    out = scratch(t)
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(out)
+    return t.spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(out)
+
+
+def dealt(df, key: str, n: int = 5):
+    """The rows of a table in n parts by a key."""
+    return [df.where(F.pmod(F.xxhash64(key), F.lit(n)) == i) for i in range(n)]
 
 
 def _windows(t, width: str, fmt: str):
@@ -297,7 +311,7 @@ def hourly_scans(t):
 SELECT DISTINCT 's' || l_suppkey AS login, 'part' || l_partkey AS repo FROM lineitem WHERE l_quantity >= 15""")
 def index_stream(t):
     out = scratch(t)
-    rows = stream(t, "lineitem").select(
+    rows = batches(t, *dealt(t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity"), "l_orderkey")).select(
         F.lit("github").alias("forge"), cat("part", text(F.col("l_partkey"))).alias("repo"),
         cat("S", text(F.col("l_suppkey"))).alias("login"), F.col("l_quantity").cast("bigint").alias("commits"))
     sx.fold_rosters(rows, f"{out}/table", f"{out}/ckpt", CFG.min_index_commits).awaitTermination()
@@ -310,7 +324,7 @@ SELECT 'u' || user_id AS target, max(event_id) AS repos, strftime(min(ts), '%Y-%
 def refresh_log_stream(t):
     out = scratch(t)
     ts = F.col("ts").cast("timestamp")
-    rows = stream(t, "events").select(
+    rows = batches(t, *dealt(t.events.select("event_id", "user_id", "ts"), "event_id")).select(
         F.lit("github").alias("forge"), F.lit("org").alias("kind"), cat("u", text(F.col("user_id"))).alias("target"),
         F.col("event_id").alias("repos"), F.lit(0).cast("bigint").alias("contributors"),
         ts.alias("created"), ts.alias("updated"))
@@ -331,4 +345,34 @@ def user_dedup_stream(t):
 def sketch_stream(t):
     out = scratch(t)
     su.fold_sketches(scans(t, stream(t, "events")), f"{out}/table", f"{out}/ckpt").awaitTermination()
-    return _close(t, us.merge_sketches(t.spark.read.parquet(f"{out}/table")))
+    return _close(t, us.merge_sketches(su.sketch_table(t.spark, f"{out}/table").read()))
+
+
+def _with_late(t):
+    """Batches in the order of time, and then one of rows that the last day but one makes late.
+
+    (A batch drops what was late by the batch before.)
+    """
+    rows = scans(t)
+    day = lambda back: rows.agg((F.date_trunc("day", F.max("ts")) - F.expr(f"INTERVAL {back} DAYS")).alias("day")).scalar()
+    old = rows.where(F.col("ts") < day(1))
+    return batches(t, old.where(F.col("ts") < day(12)), old.where(F.col("ts") >= day(12)), rows.where(F.col("ts").between(day(1), day(0) - F.expr("INTERVAL 1 MICROSECOND"))),
+                   rows.where(F.col("ts") >= day(0)), old.withColumn("username", F.lit("ghost")))
+
+
+@check("window_state_stream", "SELECT strftime(ts, '%Y-%m-%d-%H') AS bucket, count(*) AS scans FROM events GROUP BY 1")
+def window_state_stream(t):
+    """Windows from a state that expires: rows of closed windows come too late to count."""
+    out = scratch(t)
+    su.count_windows(_with_late(t), "1 hour", f"{out}/table", f"{out}/ckpt").awaitTermination()
+    return su.window_table(t.spark, f"{out}/table").read().select(F.date_format("start", "yyyy-MM-dd-HH").alias("bucket"), "scans")
+
+
+@check("user_state_stream", """
+SELECT event_type || ':u' || user_id AS user_key, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS latest FROM events GROUP BY 1""")
+def user_state_stream(t):
+    """The newest scan of each user from a state that expires; users of late rows only are unknown."""
+    out = scratch(t)
+    su.track_users(_with_late(t), "1 day", f"{out}/table", f"{out}/ckpt").awaitTermination()
+    return su.user_table(t.spark, f"{out}/table").read().select(
+        "user_key", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("latest"))

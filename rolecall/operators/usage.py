@@ -84,10 +84,3 @@ def latest_snapshots(results: DataFrame, version: int) -> DataFrame:
     return (results.where((F.col("version") == version) & ~F.col("partial"))
             .groupBy("key").agg(F.max_by(F.struct(*rest), F.struct("ts", "result_id")).alias("r"))
             .select("key", "r.*"))
-
-
-def expire(df: DataFrame, ts: str, as_of: str, days: int, protected: str | None = None) -> DataFrame:
-    """Rows not older than `days`; rows of a protected namespace always stay."""
-    since = F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {int(days)} DAYS")
-    keep = F.col(ts) >= since
-    return df.where(keep if protected is None else keep | (F.col("namespace") == protected))
