@@ -261,16 +261,79 @@ def report_footer(t):
     return report.highlight_footer(records(t), t.people, 5)
 
 
-@check("report_json")
+view("b_doc", """
+SELECT t.*, l.label, k.importance, s.w * s.confidence AS wc, s.source AS best_source, s.ord AS best_ord,
+       CASE t.tier WHEN 'primary' THEN 1 ELSE 3 END AS section,
+       (SELECT string_agg('"' || substr(x, 3) || '"', ',' ORDER BY x) FROM (SELECT unnest(string_split(t.roles, ',')) AS x)) AS names
+FROM b_tier t JOIN b_label l USING (person_id, repo) JOIN b_best s USING (person_id, repo) LEFT JOIN b_known k USING (repo)
+WHERE t.tier <> 'dropped'""")
+view("b_shown", """
+SELECT person_id, primary_login, count(d.repo) FILTER (WHERE tier = 'primary') AS p, count(d.repo) FILTER (WHERE tier = 'secondary') AS s
+FROM b_people LEFT JOIN b_doc d USING (person_id) GROUP BY 1, 2""")
+view("b_listed_items", """
+SELECT e.*, d.section, d.score, 'https://example.org/' || (e.ord // 1000000) AS item_url, 'line ' || (e.ord // 100000 % 10) AS detail,
+       row_number() OVER (PARTITION BY e.person_id, e.repo ORDER BY e.w DESC, e.confidence DESC, e.ord, md5(concat_ws('|',
+         e.source, e.role, 'https://example.org/' || (e.ord // 1000000), 'line ' || (e.ord // 100000 % 10), e.qualifier))) AS place
+FROM b_ev e JOIN b_doc d USING (person_id, repo)""")
+
+
+def _json(value: str) -> str:
+    return f"coalesce(to_json({value})::VARCHAR, 'null')"
+
+
+_OBJECT = lambda **fields: "'{' || " + " || ',' || ".join(f"""'"{k}":' || {v}""" for k, v in fields.items())
+_PROJECT = _OBJECT(project=_json("repo"), url=_json("url"), role=_json("role"), roles="'[' || names || ']'",
+                   confidence=_json("round(confidence, 2)"), stars="stars", forks="forks", importance=_json("importance"), score=_json("round(score, 3)"))
+_ITEM = _OBJECT(source=_json("source"), role=_json("role"), url=_json("item_url"), confidence=_json("round(confidence, 2)"),
+                detail=_json("detail"), qualifier=_json("qualifier"))
+
+
+def _ordered(parts: list[str]) -> str:
+    """Lines (person_id, section, score, repo, part, place, line) with their position in the report."""
+    return f"""SELECT person_id, line, row_number() OVER (
+  ORDER BY person_id, section, score DESC NULLS LAST, repo NULLS FIRST, part, place) AS position FROM ({" UNION ALL ".join(parts)})"""
+
+
+@check("report_json", _ordered([
+    f"""SELECT person_id, 0 AS section, NULL::DOUBLE AS score, NULL AS repo, 0 AS part, 0 AS place,
+      {_OBJECT(user=_json("primary_login"), count="p")} || ',"projects":[' AS line FROM b_shown""",
+    f"""SELECT person_id, section, score, repo, 0, 0, CASE WHEN row_number() OVER (PARTITION BY person_id, section ORDER BY score DESC, repo) = 1
+      THEN '' ELSE ',' END || {_PROJECT} || ',"evidence":[' FROM b_doc""",
+    f"SELECT person_id, section, score, repo, 1, place, CASE place WHEN 1 THEN '' ELSE ',' END || {_ITEM} || '}}' FROM b_listed_items",
+    "SELECT person_id, section, score, repo, 2, 0, ']}' FROM b_doc",
+    """SELECT person_id, 2, NULL, NULL, 0, 0, '],"secondary_count":' || s || ',"secondary":[' FROM b_shown""",
+    "SELECT person_id, 4, NULL, NULL, 0, 0, ']}' FROM b_shown"]))
 def report_json(t):
+    """The lines of all documents, with their place in the whole report."""
     ev = cut(evidence(t))
-    return report.report_json(records(t, ev), ev, t.people)
-
-
-@check("report_markdown")
+    return report.numbered(report.report_json(records(t, ev), ev, t.people)).select("person_id", "line", "position")
+
+
+_LINK = "'[' || repo || '](' || url || ')'"
+_TWO = "printf('%.2f', confidence)"
+
+
+@check("report_markdown", _ordered([
+    """SELECT person_id, 0 AS section, NULL::DOUBLE AS score, NULL AS repo, 0 AS part, 0 AS place,
+      '# Elevated-role record for `' || primary_login || '`' || chr(10) || chr(10) || p || ' project(s) where this user holds an elevated role (maintainer / code owner / steering council / standards author / core contributor)'
+      || CASE WHEN s > 0 THEN ', plus **' || s || '** less-popular but widely-used and maintained project(s) with an elevated role.' ELSE '.' END || chr(10)
+      || CASE WHEN p = 0 AND s = 0 THEN chr(10) || '_No elevated roles found._' ELSE '' END AS line FROM b_shown""",
+    "SELECT person_id, 1, NULL, NULL, 0, 0, '| Project | Role | Stars | Confidence | Evidence |' || chr(10) || '|---|---|---:|---:|---|' FROM b_shown WHERE p > 0",
+    f"""SELECT person_id, 2, score, repo, 0, 0, '| ' || {_LINK} || coalesce(' ·' || importance, '') || ' | ' || label || ' | ' || stars || ' | ' || {_TWO}
+      || ' | [' || best_source || '](https://example.org/' || (best_ord // 1000000) || ') |' FROM b_doc WHERE section = 1""",
+    "SELECT person_id, 3, NULL, NULL, 0, 0, chr(10) || '## Details' || chr(10) FROM b_shown WHERE p > 0",
+    f"""SELECT person_id, 4, score, repo, 0, 0, '### ' || {_LINK} || ' — ' || label || chr(10) || 'Stars: ' || stars || ' · Forks: ' || forks || ' · Confidence: '
+      || {_TWO} || coalesce(' · Importance: ' || importance, '') || chr(10) FROM b_doc WHERE section = 1""",
+    f"""SELECT person_id, 4, score, repo, 1, place, '- **' || {_L} || '** (' || {_TWO} || ', via `' || source || '`): ' || detail || ' — [evidence]('
+      || item_url || ')' FROM b_listed_items WHERE section = 1""",
+    "SELECT person_id, 4, score, repo, 2, 0, '' FROM b_doc WHERE section = 1",
+    """SELECT person_id, 5, NULL, NULL, 0, 0, '## Less-popular but widely-used & maintained (' || s || ')' || chr(10) || chr(10)
+      || 'Below the adoption bar (stars), but actively maintained with real developer engagement (forks); the user holds an elevated role.' || chr(10) || chr(10)
+      || '| Project | Role | Stars | Forks | Confidence |' || chr(10) || '|---|---|---:|---:|---:|' FROM b_shown WHERE s > 0""",
+    f"SELECT person_id, 6, score, repo, 0, 0, '| ' || {_LINK} || ' | ' || label || ' | ' || stars || ' | ' || forks || ' | ' || {_TWO} || ' |' FROM b_doc WHERE section = 3"]))
 def report_markdown(t):
     ev = cut(evidence(t))
-    return report.report_markdown(records(t, ev), ev, t.people)
+    return report.numbered(report.report_markdown(records(t, ev), ev, t.people)).select("person_id", "line", "position")
 
 
 @check("contributor_suffix", f"""

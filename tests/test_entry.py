@@ -54,4 +54,4 @@ def test_query_matches_sql(spark, duck, name):
 
 def test_sql_covers_the_queries():
     rows_only = set(BASE) - set(entry.oracle_sql())
-    assert rows_only == {"identity_closure", "report_json", "report_markdown", "attribution_run"}
+    assert rows_only == {"attribution_run"}

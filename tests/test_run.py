@@ -1,5 +1,7 @@
 """The whole run on a hand-made snapshot with one case per kind of evidence."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,22 +127,43 @@ def test_records(out):
     assert {x.tier for x in r.values()} <= {"primary", "secondary", "dropped"}
 
 
+def written(lines):
+    """The report of each person as text."""
+    text = {}
+    for r in report.in_report_order(lines).collect():
+        text.setdefault(r.person_id, []).append(r.line)
+    return {k: "\n".join(v) for k, v in text.items()}
+
+
 def test_reports(out):
     o, inputs = out
-    lines = report.in_report_order(report.report_json(o.records, o.evidence, inputs.people)).collect()
-    mine = [x.json for x in lines if x.person_id == 1]
-    assert mine[0].startswith('{"user":"ann","count":') and '"project":' in mine[1]
-    scores = [x.score for x in lines if x.person_id == 1 and x.section == 1]
-    assert scores == sorted(scores, reverse=True)
-    md = report.report_markdown(o.records, o.evidence, inputs.people)
-    title = md.where("section = 0 AND person_id = 3").first().line
-    assert "_No elevated roles found._" in title
+    docs = {k: json.loads(v) for k, v in written(report.report_json(o.records, o.evidence, inputs.people)).items()}
+    mine = docs[1]
+    assert list(mine) == ["user", "count", "projects", "secondary_count", "secondary"]
+    assert (mine["user"], mine["count"], mine["secondary_count"]) == ("ann", len(mine["projects"]), len(mine["secondary"]))
+    scores = [p["score"] for p in mine["projects"]]
+    assert scores == sorted(scores, reverse=True) and {p["project"] for p in mine["projects"]} >= {"big/commits", "up/stream"}
+    commits = next(p for p in mine["projects"] if p["project"] == "big/commits")
+    assert [e["source"] for e in commits["evidence"]] == ["manifests", "manifests", "contributors"]
+    assert docs[3] == {"user": "carol", "count": 0, "projects": [], "secondary_count": 0, "secondary": []}
+    md = written(report.report_markdown(o.records, o.evidence, inputs.people))
+    assert "_No elevated roles found._" in md[3] and "### [big/commits](" in md[1] and "- **Author** (0.80, via `manifests`): author name in setup.py" in md[1]
     top = {x.line for x in report.highlights(o.records, o.evidence, 30).collect()}
     assert "- big/rel (5k★) — Release manager (5/5)" in top
     assert "- up/stream (60★) — Core contributor (#1/2)" in top
     assert "- big/credit (5k★) — Author (f2py)" in top
 
 
+def test_a_long_record_is_many_lines(spark, out):
+    o, inputs = out
+    one = o.evidence.where("person_id = 1 AND repo = 'big/commits'").limit(1)
+    many = o.evidence.unionByName(one.drop("ord").join(spark.range(5000).withColumnRenamed("id", "ord")).select(o.evidence.columns)).unionByName(one)
+    lines = report.numbered(report.report_json(o.records, many, inputs.people)).collect()
+    assert sorted(x.position for x in lines) == list(range(1, len(lines) + 1))
+    text = "".join(x.line for x in sorted(lines, key=lambda x: x.position) if x.person_id == 1)
+    assert sum(len(p["evidence"]) for p in json.loads(text)["projects"] if p["project"] == "big/commits") == 5004
+
+
 def test_registered_operators():
     from rolecall.fixed import EVIDENCE_ORDER
     assert list(ev.operators()) == EVIDENCE_ORDER
