@@ -13,12 +13,12 @@ from ..config import Config
 from ..functions.text import lines
 from ..schemas import Inputs
 from ..sources import hosts
-from .base import view
+from .base import VIEWS, view
 
 CFG = Config()
 
-#: Candidates by session and folder.
-_CANDIDATES: dict[tuple[str, str], DataFrame] = {}
+#: Candidates by session, folder and binding.
+_CANDIDATES: dict[tuple[str, str, str], DataFrame] = {}
 
 
 class Tables:
@@ -152,11 +152,19 @@ class Tables:
     def known(self) -> DataFrame:
         k = F.col("partkey")
         null = F.lit(None)
-        return self.part_names.where("partkey % 97 = 0").select(
+        return self.curated_parts.select(
             "repo", F.when(k % 2 == 0, "critical").otherwise("high").alias("importance"),
             null.cast("bigint").alias("stars"), null.cast("bigint").alias("forks"),
             F.when(k % 5 == 0, k + 300).cast("bigint").alias("contributors"),
-            (k % 3 == 0).alias("min_stars_override"), null.cast("string").alias("wikipedia"))
+            (k % 3 == 0).alias("min_stars_override"), self.title.alias("wikipedia"))
+
+    @property
+    def curated_parts(self) -> DataFrame:
+        """The curated projects: a registry holds few of all."""
+        return self.part_names.where("partkey % 97 = 0")
+
+    #: The curated article title of a project.
+    title = property(lambda self: F.lit(None).cast("string"))
 
     @cached_property
     def manual(self) -> DataFrame:
@@ -188,7 +196,7 @@ class Tables:
         known = self.known.select("repo").join(self.roster, "repo").join(self.handles, "login")
         hits = known.select("person_id", "forge", "repo").distinct()
         # Written once a session: every evidence operator of every check reads it.
-        made = (self.spark.sparkContext.applicationId, self.dir)
+        made = (self.spark.sparkContext.applicationId, self.dir, type(self).__name__)
         if made not in _CANDIDATES:
             _CANDIDATES[made] = cut(discovery.discover(inp, self.keys, pkgs, hits, CFG, Postings.empty(self.spark)))
         return _CANDIDATES[made]
@@ -202,17 +210,30 @@ class Tables:
     def document_files(self, path: Column, line, blank: str = " ") -> DataFrame:
         """(forge, repo, path, text) with each line of a document rewritten.
 
-        `line(letters, i, doc_id)` gives the new line from the letters of the old,
-        everything between letters being one `blank`.
+        `line(letters, i, doc_id, raw)` gives the new line from the letters of the old,
+        everything between letters being one `blank`, or from the old line as it is.
         """
         letters = lambda x: F.regexp_replace(F.lower(x), "[^a-z]+", blank)
         text = F.array_join(F.transform(lines(F.col("text")), lambda x, i: line(
-            letters(x), i.cast("bigint"), F.col("doc_id"))), "\n")
+            letters(x), i.cast("bigint"), F.col("doc_id"), x)), "\n")
         repo = self.part_names.select(F.col("partkey").alias("doc_id"), "repo")
         docs = self.spread("documents").select("doc_id", path.alias("path"), text.alias("text"))
         return docs.join(repo, "doc_id").select(F.lit("github").alias("forge"), "repo", "path", "text")
 
 
+class AllCurated(Tables):
+    """The same tables with every project curated, every second one with an article of its own."""
+
+    @property
+    def curated_parts(self) -> DataFrame:
+        return self.part_names
+
+    @property
+    def title(self) -> Column:
+        k = F.col("partkey")
+        return F.when(k % 2 == 0, F.concat(F.lit("Part "), k.cast("string"), F.lit(" (book)")))
+
+
 # --- the same tables in SQL -------------------------------------------------
 view("b_acc", """
 SELECT s_suppkey AS k, s_suppkey % ((SELECT count(*) FROM supplier) // 2) AS person_id,
@@ -247,6 +268,7 @@ view("b_known", """
 SELECT repo, CASE WHEN partkey % 2 = 0 THEN 'critical' ELSE 'high' END AS importance,
        CASE WHEN partkey % 5 = 0 THEN partkey + 300 END AS snapshot, partkey % 3 = 0 AS override
 FROM b_repos WHERE partkey % 97 = 0""")
+ALL_CURATED = {"b_known": VIEWS["b_known"].replace("partkey % 97 = 0", "TRUE")}
 view("b_manual", """
 SELECT DISTINCT person_id, repo FROM b_items WHERE l_partkey % 41 = 0 AND l_linenumber = 1""")
 view("b_listed", """

@@ -26,18 +26,26 @@ def posted(t, files):
 
 
 view("b_lines", r"""
-SELECT r.repo, doc_id AS d, CAST(i - 1 AS BIGINT) AS i, regexp_replace(lower(x), '[^a-z]+', '_', 'g') AS w
+SELECT r.repo, doc_id AS d, CAST(i - 1 AS BIGINT) AS i, regexp_replace(lower(x), '[^a-z]+', '_', 'g') AS w, x AS raw
 FROM (SELECT doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS x FROM (
         SELECT doc_id, string_split(regexp_replace(text,
           '\r\n?|[\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]', chr(10), 'g'), chr(10)) AS ls
         FROM documents)) JOIN b_repos r ON r.partkey = doc_id""")
 
-view("b_wlines", "SELECT repo, d, i, replace(w, '_', ' ') AS w FROM b_lines")
+view("b_wlines", "SELECT repo, d, i, replace(w, '_', ' ') AS w, raw FROM b_lines")
+
+
+def stripped(value: str) -> str:
+    """SQL that takes all Unicode blanks off both ends."""
+    blanks = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+    return f"regexp_replace({value}, '^{blanks}|{blanks}$', '', 'g')"
+
 
 # --- CODEOWNERS ------------------------------------------------------------
 view("b_co_lines", """
 SELECT repo, i, prio, CASE
-  WHEN i % 6 = 0 THEN '# ' || w
+  WHEN i % 6 = 0 THEN '# ' || raw
+  WHEN i % 11 = 7 THEN 'docs/Codeowners/ @s' || ((d + i) % (SELECT count(*) FROM supplier))
   WHEN i % 6 = 4 AND (d + i) % 2 = 0 THEN ''
   WHEN i % 7 = 3 THEN '* @s' || ((d + i) % (SELECT count(*) FROM supplier))
   WHEN i % 6 = 5 THEN '/' || w || '/ s' || ((d * 3 + i) % (SELECT count(*) FROM supplier))
@@ -46,10 +54,10 @@ SELECT repo, i, prio, CASE
   END AS txt
 FROM (SELECT *, d % 3 AS prio FROM b_lines
       UNION ALL SELECT *, 2 FROM b_lines WHERE d % 4 = 0 AND d % 3 <> 2)""")
-view("b_co_rules", r"""
+view("b_co_rules", rf"""
 SELECT repo, prio, i, string_split(rule, ' ')[1] AS pattern, string_split(rule, ' ')[2:] AS owners, section
 FROM (SELECT repo, prio, i, txt, trim(split_part(txt, '#', 1)) AS rule, nullif(last_value(
-          CASE WHEN trim(txt) = '' THEN '' WHEN txt LIKE '#%' THEN trim(ltrim(txt, '#')) END IGNORE NULLS)
+          CASE WHEN trim(txt) = '' THEN '' WHEN txt LIKE '#%' THEN {stripped("ltrim(txt, '#')")} END IGNORE NULLS)
           OVER (PARTITION BY repo, prio ORDER BY i), '') AS section FROM b_co_lines)
 WHERE txt NOT LIKE '#%' AND rule LIKE '% %'""")
 view("b_teams", """
@@ -62,8 +70,9 @@ def codeowners_files(t) -> DataFrame:
     paths = F.lit(fixed.CODEOWNERS_PATHS)
 
     def line(prio):
-        return lambda w, i, d: (
-            F.when(i % 6 == 0, cat("# ", w))
+        return lambda w, i, d, x: (
+            F.when(i % 6 == 0, cat("# ", x))
+             .when(i % 11 == 7, cat("docs/Codeowners/ @", t.login(t.someone(d + i))))
              .when((i % 6 == 4) & ((d + i) % 2 == 0), "")
              .when(i % 7 == 3, cat("* @", t.login(t.someone(d + i))))
              .when(i % 6 == 5, cat("/", w, "/ ", t.login(t.someone(d * 3 + i)), "@example.com # note"))
@@ -102,7 +111,7 @@ SELECT o.repo, {_CO_PATH} AS path, o.scope, o.i, o.pos, a.person_id, CASE
     ELSE 'listed by email in ' || {_CO_PATH} END AS detail
 FROM (SELECT repo, prio, i, coalesce(section, nullif(pattern, '*')) AS scope,
              generate_subscripts(owners, 1) AS pos, unnest(owners) AS owner
-      FROM b_co_rules JOIN b_co_first USING (repo, prio)) o
+      FROM b_co_rules JOIN b_co_first USING (repo, prio) WHERE pattern <> 'docs/Codeowners/') o
 LEFT JOIN b_teams g ON o.owner = '@brands/' || g.team
 JOIN b_acc a ON a.email = o.owner OR o.owner = '@' || a.login OR a.login = g.login""")
 
@@ -122,8 +131,8 @@ def codeowners_evidence(t):
 # --- OWNERS and MAINTAINERS ------------------------------------------------
 view("b_owners_lines", """
 SELECT repo, i, CASE WHEN i % 8 = 0 THEN 'approvers:' WHEN i % 8 = 4 THEN 'reviewers:'
-  WHEN i % 8 = 7 THEN '# ' || w ELSE '  - s' || ((d + i) % (SELECT count(*) FROM supplier)) END AS txt
-FROM b_wlines WHERE d % 2 = 0""")
+  WHEN i % 8 = 7 THEN '# ' || raw ELSE '  - s' || ((d + i) % (SELECT count(*) FROM supplier)) END AS txt
+FROM b_wlines""")
 view("b_owners", """
 SELECT DISTINCT repo, key, login FROM (
   SELECT repo, txt, key, blk, max(blk) OVER (PARTITION BY repo, key) AS last, regexp_extract(txt, 's[0-9]+') AS login
@@ -136,7 +145,7 @@ SELECT o.person_id, o.repo, CASE WHEN o.approver THEN 'maintainer' ELSE 'code_ow
 FROM (SELECT a.person_id, w.repo, bool_or(w.key = 'approvers:') AS approver
       FROM b_owners w JOIN b_acc a USING (login) GROUP BY a.person_id, w.repo) o
 JOIN b_cand c USING (person_id, repo)""")
-view("b_maint0", "SELECT *, (SELECT count(*) FROM supplier) AS n FROM b_wlines WHERE d % 3 < 2")
+view("b_maint0", "SELECT *, (SELECT count(*) FROM supplier) AS n FROM b_wlines")
 view("b_maint", """
 SELECT repo, i, 'handle' AS kind, 's' || ((d + i) % n) AS key FROM b_maint0 WHERE i % 5 IN (1, 3)
 UNION ALL SELECT repo, i, 'name', 'supplier no' || ((d * 3 + i) % n) FROM b_maint0 WHERE i % 5 IN (1, 2)
@@ -144,20 +153,19 @@ UNION ALL SELECT repo, i, 'email', 's' || ((d * 3 + i) % n) || '@example.com' FR
 
 
 def owners_files(t) -> DataFrame:
-    return t.document_files(F.when(F.col("doc_id") % 2 == 0, "OWNERS"), lambda w, i, d: (
+    return t.document_files(F.lit("OWNERS"), lambda w, i, d, x: (
         F.when(i % 8 == 0, "approvers:").when(i % 8 == 4, "reviewers:")
-         .when(i % 8 == 7, cat("# ", w)).otherwise(cat("  - ", t.login(t.someone(d + i)))))) \
-        .where("path IS NOT NULL")
+         .when(i % 8 == 7, cat("# ", x)).otherwise(cat("  - ", t.login(t.someone(d + i))))))
 
 
 def maintainers_files(t) -> DataFrame:
     other = lambda d, i: text(t.someone(d * 3 + i))
-    return t.document_files(F.when(F.col("doc_id") % 3 < 2, "docs/MAINTAINERS.md"), lambda w, i, d: (
-        F.when(i % 5 == 0, cat("# ", w))
+    return t.document_files(F.lit("docs/MAINTAINERS.md"), lambda w, i, d, x: (
+        F.when(i % 5 == 0, cat("# ", x))
          .when(i % 5 == 1, cat("- Supplier No", other(d, i), " (@", t.login(t.someone(d + i)), ")"))
          .when(i % 5 == 2, cat("Supplier No", other(d, i), " <s", other(d, i), "@example.com>"))
          .when(i % 5 == 3, cat("* ", w, " @", t.login(t.someone(d + i))))
-         .otherwise(cat("| ", w, " |")))).where("path IS NOT NULL")
+         .otherwise(cat("| ", w, " |"))))
 
 
 @check("maintainers_evidence", """
@@ -182,23 +190,22 @@ def maintainers_evidence(t):
 
 # --- governance ------------------------------------------------------------
 view("b_gov_lines", """
-SELECT repo, i, CASE WHEN i % 9 = 0 THEN 'Steering Council' WHEN i % 9 = 3 THEN 'Maintainers ' || w
+SELECT repo, i, CASE WHEN i % 9 = 0 THEN 'Steering Council' WHEN i % 9 = 3 THEN 'Maintainers ' || raw
   WHEN i % 9 IN (1, 4) THEN '- @s' || ((d + i) % (SELECT count(*) FROM supplier))
-  WHEN i % 9 = 6 THEN 'Supplier No' || ((d * 5 + i) % (SELECT count(*) FROM supplier)) || ' ' || w
-  ELSE w END AS txt FROM b_wlines""")
-view("b_gov_windows", r"""
+  WHEN i % 9 = 6 THEN 'Supplier No' || ((d * 5 + i) % (SELECT count(*) FROM supplier)) || ' ' || raw
+  ELSE raw END AS txt FROM b_wlines""")
+view("b_gov_windows", rf"""
 SELECT repo, i, w, regexp_matches(w, '(?i)steering council|steering committee|technical (?:steering )?committee|\btsc\b|core team|council member|governing board|bdfl|project lead') AS council,
        regexp_matches(w, '(?i)maintainer|core developer|core contributor|lead') AS maint
-FROM (SELECT repo, i, trim(txt || coalesce(' ' || lead(txt, 1) OVER o, '')
-                           || coalesce(' ' || lead(txt, 2) OVER o, '')) AS w
+FROM (SELECT repo, i, {stripped("(txt || coalesce(' ' || lead(txt, 1) OVER o, '') || coalesce(' ' || lead(txt, 2) OVER o, ''))")} AS w
       FROM b_gov_lines WINDOW o AS (PARTITION BY repo ORDER BY i)) WHERE w <> ''""")
 
 
 def governance_files(t) -> DataFrame:
-    return t.document_files(F.lit("docs/GOVERNANCE.md"), lambda w, i, d: (
-        F.when(i % 9 == 0, "Steering Council").when(i % 9 == 3, cat("Maintainers ", w))
+    return t.document_files(F.lit("docs/GOVERNANCE.md"), lambda w, i, d, x: (
+        F.when(i % 9 == 0, "Steering Council").when(i % 9 == 3, cat("Maintainers ", x))
          .when((i % 9).isin(1, 4), cat("- @", t.login(t.someone(d + i))))
-         .when(i % 9 == 6, cat("Supplier No", text(t.someone(d * 5 + i)), " ", w)).otherwise(w)))
+         .when(i % 9 == 6, cat("Supplier No", text(t.someone(d * 5 + i)), " ", x)).otherwise(x)))
 
 
 @check("governance_windows", """
@@ -318,22 +325,22 @@ def proposal_authorship(t):
 
 
 # --- credits ---------------------------------------------------------------
-view("b_credit_lines", """
-SELECT repo, i, CASE d % 3 WHEN 0 THEN 1 WHEN 1 THEN 6 ELSE 11 END AS prio, CASE
-  WHEN i % 8 = 0 THEN '* Supplier No' || ((d + i) % n) || ' for core ' || w
-  WHEN i % 8 = 4 THEN '* Supplier No' || ((d * 3 + i) % n) || ' ' || w
-  WHEN i % 4 = 1 THEN '@s' || ((d * 5 + i) % n) || ' for core, ' || w ELSE w END AS txt
-FROM (SELECT *, (SELECT count(*) FROM supplier) AS n FROM b_wlines)""")
+view("b_credit_lines", f"""
+SELECT repo, i, prio, {stripped("txt")} AS txt FROM (SELECT repo, i, CASE d % 3 WHEN 0 THEN 1 WHEN 1 THEN 6 ELSE 11 END AS prio, CASE
+  WHEN i % 8 = 0 THEN '* Supplier No' || ((d + i) % n) || ' for core ' || raw
+  WHEN i % 8 = 4 THEN '* Supplier No' || ((d * 3 + i) % n) || ' ' || raw
+  WHEN i % 4 = 1 THEN '@s' || ((d * 5 + i) % n) || ' for core, ' || raw ELSE raw END AS txt
+FROM (SELECT *, (SELECT count(*) FROM supplier) AS n FROM b_wlines))""")
 
 
 def credit_files(t) -> DataFrame:
     d_ = F.col("doc_id") % 3
     path = F.when(d_ == 0, "AUTHORS").when(d_ == 1, "THANKS.txt").otherwise("CONTRIBUTORS.md")
     who = lambda v: text(t.someone(v))
-    return t.document_files(path, lambda w, i, d: (
-        F.when(i % 8 == 0, cat("* Supplier No", who(d + i), " for core ", w))
-         .when(i % 8 == 4, cat("* Supplier No", who(d * 3 + i), " ", w))
-         .when(i % 4 == 1, cat("@s", who(d * 5 + i), " for core, ", w)).otherwise(w)))
+    return t.document_files(path, lambda w, i, d, x: (
+        F.when(i % 8 == 0, cat("* Supplier No", who(d + i), " for core ", x))
+         .when(i % 8 == 4, cat("* Supplier No", who(d * 3 + i), " ", x))
+         .when(i % 4 == 1, cat("@s", who(d * 5 + i), " for core, ", x)).otherwise(x)))
 
 
 view("b_credit", r"""
@@ -354,13 +361,13 @@ WHERE n = 1 AND (strong OR trusted)""")
 SELECT person_id, repo, 'core_contributor' AS role, CAST(CASE WHEN strong THEN 0.7 ELSE 0.5 END AS DOUBLE)
          AS confidence, NULL AS qualifier, 'credited in ' || (['AUTHORS', 'THANKS.txt', 'CONTRIBUTORS.md'])[prio // 5 + 1]
        || ': “' || q || '”' AS detail
-FROM (SELECT *, CASE WHEN length(trim(txt)) > 60 THEN left(trim(txt), 60) || '…' ELSE trim(txt) END AS q
+FROM (SELECT *, CASE WHEN length(txt) > 60 THEN left(txt, 60) || '…' ELSE txt END AS q
       FROM b_credit) WHERE commits >= 10
 UNION ALL
 SELECT person_id, repo, 'author', CAST(CASE WHEN strong THEN 0.8 ELSE 0.65 END AS DOUBLE), 'Core',
        'credited for Core in ' || (['AUTHORS', 'THANKS.txt', 'CONTRIBUTORS.md'])[prio // 5 + 1] || ': “' || q || '”'
-FROM (SELECT *, CASE WHEN length(trim(txt)) > 60 THEN left(trim(txt), 60) || '…' ELSE trim(txt) END AS q
-      FROM b_credit) WHERE known AND regexp_matches(lower(txt), '(^|[^\w.])core($|[^\w.])')""")
+FROM (SELECT *, CASE WHEN length(txt) > 60 THEN left(txt, 60) || '…' ELSE txt END AS q
+      FROM b_credit) WHERE known AND regexp_matches(lower(txt), '(^|[^\p{L}\p{N}_.])core($|[^\p{L}\p{N}_.])')""")
 def credit_evidence(t):
     parts = t.known.select("repo", F.lit(0).alias("pos"), F.lit("core").alias("path"),
                            F.lit("author").alias("role"), F.lit("Core").alias("label"))

@@ -6,6 +6,7 @@ from ..functions import markup
 from ..operators.evidence import feeds as ev, pages as pg
 from ..sources import claims as src, hosts, packages as pkg
 from .base import check, view
+from .bindings import ALL_CURATED
 from .documents import cat, text
 from .rosters import context
 
@@ -30,8 +31,7 @@ view("b_page_text", f"SELECT page_id, url, {_sql_text('html')} AS txt FROM b_pag
 view("b_rs", """
 SELECT k.repo, p.url, CASE p.page_id % 3 WHEN 0 THEN 'maintainer' WHEN 1 THEN 'steering_council'
        ELSE 'code_owner' END AS role, CASE WHEN p.page_id % 2 = 0 THEN 'Team page' END AS label
-FROM (SELECT repo, partkey // 97 AS i FROM b_repos WHERE partkey % 97 = 0) k
-JOIN b_pages p ON p.page_id % (SELECT count(*) FROM b_known) = k.i""")
+FROM b_repos k JOIN b_pages p ON p.page_id % (SELECT count(*) FROM part) = k.partkey""")
 
 
 def pages(t):
@@ -43,11 +43,9 @@ def pages(t):
 
 
 def role_sources(t):
-    i = F.floor(F.col("partkey") / 97).cast("bigint")
-    n = t.part_names.where("partkey % 97 = 0").agg(F.count(F.lit(1)).alias("n")).scalar()
-    known = t.part_names.where("partkey % 97 = 0").select("repo", i.alias("i"))
+    n = t.part.agg(F.count(F.lit(1)).alias("n")).scalar()
     m = F.col("page_id") % 3
-    return pages(t).withColumn("i", F.pmod("page_id", n)).join(known, "i").select(
+    return pages(t).withColumn("partkey", F.pmod("page_id", n)).join(t.part_names.select("partkey", "repo"), "partkey").select(
         "repo", F.col("page_id").cast("int").alias("pos"), "url",
         F.when(m == 0, "maintainer").when(m == 1, "steering_council").otherwise("code_owner").alias("role"),
         F.when(F.col("page_id") % 2 == 0, "Team page").alias("label"))
@@ -78,23 +76,27 @@ FROM (SELECT c.person_id, c.repo, s.url, s.role, s.label, bool_or(lower(p.html)
 
 
 @check("page_roles", _page_sql(
-    "0.9", "0.75", "", "SELECT repo, url, role, coalesce(label, 'project role page') AS label FROM b_rs", "TRUE"))
+    "0.9", "0.75", "", "SELECT repo, url, role, coalesce(label, 'project role page') AS label FROM b_rs", "TRUE"), "AllCurated", ALL_CURATED)
 def page_roles(t):
     ctx = context(t, pages=pages(t).drop("page_id"), role_sources=role_sources(t))
     return pg.web_roles(ctx).select("person_id", "repo", "url", "role", "confidence", "detail")
 
 
+def discovered_sources(t):
+    p = pages(t)
+    return t.part_names.select("repo", F.floor(F.col("partkey") / 8).cast("bigint").alias("page_id")).join(
+        p, "page_id").select("repo", F.col("page_id").cast("int").alias("pos"), "url", F.when(
+            F.col("page_id") % 4 == 0, "Steering group").otherwise("Core team").alias("role"),
+        F.lit(None).cast("string").alias("label"))
+
+
 @check("discovered_page_roles", _page_sql(
     "0.85", "0.6", " (web-search discovered)",
     "SELECT r.repo, p.url, CASE WHEN p.page_id % 4 = 0 THEN 'steering_council' ELSE 'maintainer' END AS role, "
     "'discovered role page' AS label FROM b_repos r JOIN b_pages p ON p.page_id = r.partkey // 8 "
-    "WHERE r.repo NOT IN (SELECT repo FROM b_rs)", "c.notable"))
+    "WHERE r.repo NOT IN (SELECT repo FROM b_rs JOIN b_known USING (repo))", "c.notable"))
 def discovered_page_roles(t):
-    p = pages(t)
-    found = t.part_names.select("repo", F.floor(F.col("partkey") / 8).cast("bigint").alias("page_id")).join(
-        p, "page_id").select("repo", F.col("page_id").cast("int").alias("pos"), "url", F.when(
-            F.col("page_id") % 4 == 0, "Steering group").otherwise("Core team").alias("role"),
-        F.lit(None).cast("string").alias("label"))
+    p, found = pages(t), discovered_sources(t)
     ctx = context(t, pages=p.drop("page_id"), role_sources=role_sources(t), discovered_sources=found)
     return pg.web_roles_auto(ctx).select("person_id", "repo", "url", "role", "confidence", "detail")
 
@@ -206,7 +208,7 @@ def articles(t):
                    "]]<ref name=a>r, s</ref><br/>The Dev Team\n| genre = x\n}}\n'''Part''' was initially created by ",
                    who(7), " in 2001; later re-founded by Supplier Q. No", text(t.someone(k * 11)), " again. ",
                    F.coalesce("text", F.lit("")))
-    docs = t.spread("documents").select(F.col("doc_id").alias("partkey"), F.regexp_replace("text", "[A-Z]", "x").alias("text"))
+    docs = t.spread("documents").select(F.col("doc_id").alias("partkey"), "text")
     return t.part_names.join(docs, "partkey", "left").select(
         "repo", cat("Part ", text(k), " (software)").alias("title"), wikitext.alias("wikitext"))
 
@@ -251,28 +253,34 @@ SELECT person_id, repo, CAST(CASE WHEN o % 2 = 1 THEN 0.6 ELSE 0.75 END AS DOUBL
   JOIN b_acc a ON a.login = f.login OR a.name = f.name
   JOIN b_cand c ON c.person_id = a.person_id AND c.repo = f.repo AND c.notable GROUP BY 1, 2)""")
 def founder_evidence(t):
+    return ev.founders(context(t, founder_claims=src.founder_claims(founder_docs(t)))).select(
+        "person_id", "repo", "confidence")
+
+
+def founder_docs(t):
     k = F.col("partkey")
     claim = lambda pos, handle, name: F.struct(
         F.lit(pos).alias("pos"), handle.alias("handle"), name.alias("name"))
     null = F.lit(None).cast("string")
-    raw = t.part_names.select("repo", F.explode(F.array(
+    return t.part_names.select("repo", F.explode(F.array(
         claim(0, cat("@S", text(t.someone(k * 3))), cat("Supplier No", text(t.someone(k * 5)))),
         claim(1, cat("s", text(t.someone(k * 9))), null))).alias("c")).select(
         "repo", "c.handle", "c.name", null.alias("url"), "c.pos")
-    return ev.founders(context(t, founder_claims=src.founder_claims(raw))).select(
-        "person_id", "repo", "confidence")
 
 
 @check("curated_evidence", """
 SELECT c.person_id, c.repo, 'author' AS role, CAST(0.95 AS DOUBLE) AS confidence, 'curated: author' AS detail
 FROM b_cand c JOIN b_repos r USING (repo) JOIN b_acc a ON a.person_id = c.person_id
- AND a.k = r.partkey * 3 % (SELECT count(*) FROM supplier) WHERE r.partkey % 97 = 0""")
+ AND a.k = r.partkey * 3 % (SELECT count(*) FROM supplier)""", "AllCurated", ALL_CURATED)
 def curated_evidence(t):
+    return ev.curated(context(t, curated_roles=curated_roles(t))).select("person_id", "repo", "role", "confidence", "detail")
+
+
+def curated_roles(t):
     k = F.col("partkey")
-    rows = t.part_names.where("partkey % 97 = 0").select(
+    return t.part_names.select(
         "repo", F.lit(0).alias("pos"), cat("@S", text(t.someone(k * 3))).alias("login"),
         F.lit("author").alias("role"), F.lit("").alias("url"), F.lit(None).cast("string").alias("label"))
-    return ev.curated(context(t, curated_roles=rows)).select("person_id", "repo", "role", "confidence", "detail")
 
 
 # --- host payloads -----------------------------------------------------------

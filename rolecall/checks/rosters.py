@@ -92,7 +92,7 @@ def contributor_total(t):
     brand = F.regexp_extract("repo", "[0-9]+", 0).cast("bigint")
     fetched = roster.ranked_roster(brand_roster(t), 2).groupBy("forge", "repo").agg(
         F.max("n_fetched").alias("n_fetched"))
-    total = roster.true_totals(brand_commits(t).where("brand % 3 <> 0"))
+    total = roster.true_totals(brand_commits(t)).withColumn("true_total", F.when(brand % 3 != 0, F.col("true_total")))
     df = fetched.join(total, ["forge", "repo"], "left").withColumn(
         "snapshot", F.when(brand % 5 == 0, brand + 400))
     return roster.contributor_total(df, 2).select("repo", "n_contributors", "capped", "approx")

@@ -148,17 +148,19 @@ def registry_aliases(t):
 
 
 @check("popularity_upsert", """
-SELECT coalesce(k.repo, r.repo) AS repo, coalesce(r.stars, 0) AS stars, r.forks,
+SELECT r.repo, CASE WHEN r.partkey % 2 = 0 THEN r.stars END AS stars, CASE WHEN r.partkey % 3 <> 0 THEN r.forks END AS forks,
        CASE WHEN r.partkey % 4 <> 0 THEN r.partkey + 1 ELSE k.snapshot END AS contributors
-FROM (SELECT * FROM b_repos WHERE partkey % 2 = 0) r FULL JOIN b_known k USING (repo)
-WHERE r.repo IS NOT NULL
-UNION ALL SELECT k.repo, NULL, NULL, k.snapshot FROM b_known k JOIN b_repos p USING (repo) WHERE p.partkey % 2 = 1""")
+FROM b_repos r LEFT JOIN b_known k USING (repo)
+UNION ALL SELECT 'gone/' || partkey, NULL, NULL, partkey FROM b_repos""")
 def popularity_upsert(t):
-    seen = t.part_names.where("partkey % 2 = 0").select(
-        "repo", "stars", "forks", (F.col("partkey") % 4 == 0).alias("capped"),
-        (F.col("partkey") + 1).alias("n_contributors"))
+    k = F.col("partkey")
+    seen = t.part_names.select(
+        "repo", F.when(k % 2 == 0, F.col("stars")).alias("stars"), F.when(k % 3 != 0, F.col("forks")).alias("forks"),
+        (k % 4 == 0).alias("capped"), (k + 1).alias("n_contributors"))
+    # Curated projects that no record observed keep what was known of them.
+    unseen = t.part_names.select(cat("gone/", text(k)).alias("repo"), k.alias("contributors"))
     aliases = t.known.select("repo", F.lower("repo").alias("alias"))
-    return rg.upsert_popularity(t.known, aliases, seen).select("repo", "stars", "forks", "contributors")
+    return rg.upsert_popularity(t.known.unionByName(unseen, allowMissingColumns=True), aliases, seen).select("repo", "stars", "forks", "contributors")
 
 
 @check("role_source_merge", """

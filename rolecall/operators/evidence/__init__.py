@@ -1,5 +1,5 @@
 """Evidence operators: one function per way a project records roles."""
 
-from .base import Context, check_schema, emit, operators, register
+from .base import Context, check_schema, emit, operators, register, registered
 
-__all__ = ["Context", "check_schema", "emit", "operators", "register"]
+__all__ = ["Context", "check_schema", "emit", "operators", "register", "registered"]

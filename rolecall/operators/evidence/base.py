@@ -5,6 +5,7 @@ rows.  `register` adds one; user code may register its own.
 """
 
 from collections.abc import Callable
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -46,6 +47,18 @@ def register(name: str) -> Callable[[Operator], Operator]:
     return add
 
 
+@contextmanager
+def registered(name: str, fn: Operator):
+    """`fn` registered for as long as the block runs."""
+    before = dict(_OPERATORS)
+    register(name)(fn)
+    try:
+        yield
+    finally:
+        _OPERATORS.clear()
+        _OPERATORS.update(before)
+
+
 def operators() -> dict[str, Operator]:
     """All registered operators, built-in ones in tie-break order first."""
     from . import credits, documents, feeds, pages, proposals, rosters, manifests  # noqa: F401

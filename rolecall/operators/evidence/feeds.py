@@ -10,6 +10,15 @@ from .base import REPO, Context, emit, register
 
 
 # --- packages --------------------------------------------------------------
+def package_index(packages: DataFrame) -> DataFrame:
+    """(person_id, repo, packages): a person's packages by the project they name as source.
+
+    The list holds the packages of one person from one project.
+    """
+    return packages.where("repo IS NOT NULL").groupBy("person_id", "repo").agg(
+        F.array_sort(F.collect_list(F.struct("registry", "name", "url", "author_match"))).alias("packages"))
+
+
 def index_matches(packages: DataFrame, candidates: DataFrame) -> DataFrame:
     """Packages of a person that name a candidate of that person as their source."""
     refs = packages.where("repo IS NOT NULL").select(

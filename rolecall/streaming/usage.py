@@ -37,7 +37,7 @@ def read_latest(spark: SparkSession, path: str) -> DataFrame:
 def counts_table(spark: SparkSession, path: str) -> MergedTable:
     """(start, scans, users): scans and a mergeable sketch of users of each window."""
     fold = lambda rows: rows.groupBy("start").agg(F.sum("scans").alias("scans"), F.hll_union_agg("users").alias("users"))
-    return MergedTable(spark, path, "start TIMESTAMP, scans BIGINT, users BINARY", ("start",), fold)
+    return MergedTable(spark, path, "start TIMESTAMP, scans BIGINT, users BINARY", ("start",), fold, buckets=2)
 
 
 def fold_counts(scans: DataFrame, width: str, path: str, checkpoint: str) -> StreamingQuery:
@@ -70,7 +70,7 @@ def read_counts(spark: SparkSession, path: str, since: str | None = None) -> Dat
 def sketch_table(spark: SparkSession, path: str) -> MergedTable:
     """(day, people, repos, orgs): mergeable sketches of each day."""
     union = lambda rows: rows.groupBy("day").agg(*[F.hll_union_agg(c).alias(c) for c in ("people", "repos", "orgs")])
-    return MergedTable(spark, path, "day DATE, people BINARY, repos BINARY, orgs BINARY", ("day",), union)
+    return MergedTable(spark, path, "day DATE, people BINARY, repos BINARY, orgs BINARY", ("day",), union, buckets=2)
 
 
 def fold_sketches(scans: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -113,7 +113,7 @@ def _newest(columns: list[str], keys: list[str]):
 
 
 def window_table(spark: SparkSession, path: str) -> MergedTable:
-    return MergedTable(spark, path, "start TIMESTAMP, scans BIGINT, users BIGINT", ("start",), _newest(["scans", "users"], ["start"]))
+    return MergedTable(spark, path, "start TIMESTAMP, scans BIGINT, users BIGINT", ("start",), _newest(["scans", "users"], ["start"]), buckets=2)
 
 
 def user_table(spark: SparkSession, path: str) -> MergedTable:
