@@ -15,6 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from rolecall.llm import chat, contamination, jaccard, language, lattice, licences, pieces, toxicity, urls, winnowing
+from rolecall.llm import arrow_text
 from rolecall.llm.arrow_text import NOT_SPACE, Words, chunks, shingle_sets
 from rolecall.llm import queries
 from rolecall.llm.queries import PIECES
@@ -112,6 +113,87 @@ def test_toxicity_finds_words_and_their_forms(spark, odd, none):
     assert "toxic" in toxicity.score(docs.select("doc_id", "text"), model).columns  # without a language
 
 
+# the same models, forward in plain Python
+
+M64 = 2**64 - 1
+
+
+def plain_mix(x, salt=0):
+    x = (x + salt * 0xD1342543DE82EF95 + 0x9E3779B97F4A7C15) & M64
+    x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & M64
+    x = ((x ^ x >> 27) * 0x94D049BB133111EB) & M64
+    return x ^ x >> 31
+
+
+def plain_hash(data, salt=0):
+    total, power = 0, 1
+    for b in data:
+        total, power = (total + int(arrow_text._BYTE[b]) * power) & M64, power * 0x9E3779B97F4A7C15 & M64
+    return plain_mix(total, salt)
+
+
+TEXTS = ["", "A badworda in the garden!", "x", "über-schöne Häuser, 123 houses", "badwordq badwordq", "one\nline. And another line", "日本語 text", "1234 !!", None]
+
+
+def test_toxicity_score_matches_a_plain_forward_pass(spark):
+    own = toxicity.ToxicitySettings()
+    rng = np.random.default_rng(1)
+    samples = [(k % 2, "en", 1.0, *(np.asarray(x, "<i4").tobytes() for x in toxicity.word_ids(*chunk(t), own)[1:]))
+               for k, t in enumerate([" ".join(rng.choice(["house", "tree", "river"], 9)) + (" badworda now" if k % 2 else "") for k in range(120)])]
+    model = toxicity.train(samples, own)
+
+    def plain(text):
+        words = [w.encode() for w in re.findall(r"[a-z\x80-\U0010ffff]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))]
+        x = [model.words[plain_hash(w) % own.buckets] + model.prefixes[plain_hash(w[: own.prefix], 1) % own.buckets] for w in words]
+        best = []
+        for kernel in model.kernels:
+            for f in range(kernel.shape[2]):
+                at = [sum(float(x[i + j] @ kernel[j][:, f]) for j in range(len(kernel)) if i + j < len(x)) for i in range(len(x))]
+                best.append(max(at, default=0.0))
+        z = sum(max(b + c, 0) * w for b, c, w in zip(best, model.bias.tolist(), model.weight.tolist())) + model.offset
+        return 1 / (1 + math.exp(-(model.slope * z + model.shift)))
+
+    got = toxicity.score(spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string"), model).collect()
+    assert {r.doc_id: pytest.approx(r.toxicity, abs=1e-5) for r in got} == {i: plain(t) for i, t in enumerate(TEXTS)}
+    few = toxicity.train(samples[:30], own)  # too few for a held part: the general threshold alone
+    assert few.thresholds == {} and model.thresholds.keys() <= {"en"}
+
+
+def chunk(text):
+    return next((data, offsets) for _, _, data, offsets in chunks(pa.array([text], pa.string())))
+
+
+def test_language_matches_a_plain_forward_pass(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(rng.choice(words, 20)), lang, None, 1) for i, (lang, words) in enumerate([("en", ["the", "house", "weather"]), ("de", ["über", "schnee", "häuser"])] * 30)]
+    model, own = language.fit(spark.createDataFrame(rows, DOCS), F.lit(True)), language.LanguageSettings()
+
+    def plain(text):
+        data = (text or "").lower().encode()
+        letter = lambda i: 0 <= i < len(data) and (97 <= data[i] <= 122 or data[i] >= 128)
+        kept = [data[i] if letter(i) else 32 for i in range(len(data)) if letter(i - 1) or letter(i) or letter(i + 1)]
+        grams = []
+        for size in (2, 3, 4):
+            for i in range(len(kept) - size + 1):
+                part = kept[i : i + size]
+                if 32 in part[1:-1] or size == 2 and part == [32, 32]:
+                    continue
+                value = size * 0x9E3779B1 % 2**32
+                for b in part:
+                    value = (value ^ b) * 0x01000193 % 2**32
+                    value ^= value >> 15
+                value = value * 0x85EBCA6B % 2**32
+                grams.append((value ^ value >> 13) % own.buckets)
+        z = [(sum(float(model.table[g, k]) for g in grams) / max(1, len(grams)) + float(model.bias[k])) / model.temperature for k in range(len(model.languages))]
+        p = [math.exp(x - max(z)) for x in z]
+        if not re.search(r"[^\W\d_]", text or ""):
+            return "und", 0.0
+        return model.languages[p.index(max(p))], max(p) / sum(p)
+
+    got = language.identify(spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string"), model).collect()
+    assert {r.doc_id: (r.lang_pred, pytest.approx(r.lang_score, abs=1e-5)) for r in got} == {i: plain(t) for i, t in enumerate(TEXTS)}
+
+
 # near copies
 
 def brute_components(rows, width, num, den):
@@ -575,13 +657,42 @@ def test_url_parts_and_rules(spark):
     assert urls.judge(pages.limit(0), rules, model).isEmpty()
 
 
-def test_url_model_tells_hosts_apart():
-    model, own = urls.train(urls.small_table()), urls.UrlSettings()
+def plain_chance(url, model, own=urls.UrlSettings()):
+    """The logistic regression in plain Python: grams of characters of host and of path, each at unit length."""
+    total = model.bias
+    for space, text in zip((1, 2), urls.split_url(url)):
+        marked, grams = f"^{text}$", []
+        for size in own.sizes:
+            for i in range(len(marked) - size + 1):
+                value = (space * 0x9E3779B1 + size * 0x85EBCA6B) % 2**32
+                for c in marked[i : i + size]:
+                    value = (value ^ ord(c)) * 0x01000193 % 2**32
+                    value ^= value >> 15
+                grams.append(value % own.buckets)
+        total += sum(model.weight[g] for g in grams) / math.sqrt(len(grams)) if grams else 0
+    return 1 / (1 + math.exp(-total))
 
-    def score(url):
-        i, s = urls.features(*urls.split_url(url), own)
-        return 1 / (1 + math.exp(-(model.weight[i] @ s + model.bias)))
 
-    assert min(score(u) for u in ("http://best-casino.example.org/en/3", "http://www.cheap-pills.example.com/de/9")) > own.threshold
-    assert max(score(u) for u in ("http://weather-station.example.org/en/3", "http://blog.shonthe.example.com/de/9", "")) < own.threshold
-    assert urls.train([]).bias < 0
+def test_url_model_tells_hosts_apart():
+    model = urls.train(urls.small_table())
+    assert model.recall > 0.6 and 0 < model.threshold < 0.5
+    assert min(plain_chance(u, model) for u in ("http://best-casino.example.org/en/3", "http://www.cheap-pills.example.com/de/9")) > model.threshold
+    assert max(plain_chance(u, model) for u in ("http://weather-station.example.org/en/3", "http://blog.shonthe.example.com/de/9", "")) < model.threshold
+    assert urls.train([]).bias < 0 and urls.train([("http://a.b/", 0)]).bias < 0
+
+
+def test_url_query_matches_brute_force(spark, tmp_path):
+    given_ = ["http://WWW.Example.org/en/12?x=/es/#t", "https://m.casino-win.example.com/en/" + "x" * 50_000, None, "", "http://日本.example.net/straße", "no url", "https://therer.example.net/",
+              "https://example.com/fr/", "http://x.example.com/de/1"]
+    spark.createDataFrame([(i, u, "clash") for i, u in enumerate(given_)] + [(None, given_[1], "clash")], "page_id long, url string, verdict string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: r for r in queries.QUERIES["op1_url_filter"](spark, str(tmp_path)).collect()}
+    assert set(got) == {None, *range(len(given_))}
+    model = urls.train(urls.small_table())
+    for i, u in enumerate(given_):
+        host, path = urls.split_url(u)
+        fits = [(len(r), r, v) for r, v in queries.URL_RULES
+                if (host == r.partition("/")[0] or host.endswith("." + r.partition("/")[0])) and path.startswith("/" + r.partition("/")[2])]
+        rule, verdict = max(fits)[1:] if fits else (None, "block" if plain_chance(u, model) >= model.threshold else "allow")
+        assert (got[i].host, got[i].path, got[i].rule, got[i].verdict) == (host, path, rule, verdict)
+        assert got[i].block_score == pytest.approx(plain_chance(u, model), abs=1e-6)
+    assert got[None].verdict == got[1].verdict == "block"
