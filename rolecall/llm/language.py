@@ -3,7 +3,8 @@
 Subwords are the 2- to 4-byte grams of each word between its boundary marks, hashed into `buckets` embeddings.
 A text is the average of its embeddings; a linear softmax over it is trained by stochastic gradient descent in
 numpy on a bounded sample of labelled rows (`per_language` expected rows of each of the `max_languages` most
-frequent labels, chosen by a hash of the id). A temperature fitted on a held part of the sample calibrates the
+frequent labels, chosen by a hash of the id). A temperature fitted on a held part of the sample (on the sample itself
+below `least_sample` rows) calibrates the
 probabilities; the rejection threshold is the largest that rejects at most `false_rejects` of the held rows the
 model gets right, and never above `most_rejected`.
 """
@@ -18,8 +19,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_text import LETTER, chunks
+from .stages import text_batches
 
 _SIZES = (2, 3, 4)
+_RUN = 1 << 18  # bytes of text in one run: a byte takes about a hundred here
 
 
 @dataclass(frozen=True)
@@ -33,6 +36,7 @@ class LanguageSettings:
     batch: int = 32
     false_rejects: float = 0.001
     most_rejected: float = 0.5
+    least_sample: int = 20
     seed: int = 7
 
 
@@ -84,7 +88,7 @@ def _features(buckets: int):
         for batch in batches:
             out = {"label": [], "ids": [], "counts": []}
             labels = batch.column("label").to_pylist()
-            for first, last, data, offsets in chunks(batch.column("text")):
+            for first, last, data, offsets in chunks(batch.column("text"), _RUN):
                 row, ids = grams(data, offsets, buckets)
                 order = np.argsort(row, kind="stable")
                 row, ids = row[order], ids[order]
@@ -115,7 +119,7 @@ def train(samples: list[tuple[str, bytes, bytes]], settings: LanguageSettings) -
     ids = [np.frombuffer(s[1], "<u4") for s in samples]
     shares = [np.frombuffer(s[2], "<f4") for s in samples]
     truth = np.array([languages.index(s[0]) for s in samples])
-    held = max(1, len(samples) // 5) if len(samples) >= 20 else 0
+    held = max(1, len(samples) // 5) if len(samples) >= settings.least_sample else 0
     embed = rng.normal(0, 0.1, (settings.buckets, settings.dimensions)).astype(np.float32)
     weight = rng.normal(0, 0.1, (settings.dimensions, len(languages))).astype(np.float32)
     bias = np.zeros(len(languages), np.float32)
@@ -157,6 +161,7 @@ def train(samples: list[tuple[str, bytes, bytes]], settings: LanguageSettings) -
 def fit(docs: DataFrame, learn: Column, settings: LanguageSettings = LanguageSettings()) -> LanguageModel | None:
     """The model of the rows of `docs` (doc_id, text, lang) for which `learn` holds; null texts and labels teach nothing."""
     rows = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    text_batches(docs.sparkSession)
     found = (rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(settings.max_languages)).collect()
     if not found:
         return None
@@ -175,7 +180,7 @@ def _predicted(model: LanguageModel, buckets: int):
     def run(text: pa.Array, lettered: pa.Array) -> pa.Array:
         n = len(text)
         best, score = np.zeros(n, np.int64), np.zeros(n)
-        for first, last, data, offsets in chunks(text):
+        for first, last, data, offsets in chunks(text, _RUN):
             row, ids = grams(data, offsets, buckets)
             total = np.maximum(np.bincount(row, minlength=last - first), 1)
             z = np.stack([np.bincount(row, model.table[:, k][ids], last - first) / total + model.bias[k]
@@ -197,6 +202,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, settings: LanguageSet
     kept = docs.drop("lang_pred", "lang_score", "lang_rejected")
     if model is None:
         return kept.withColumns({"lang_pred": F.lit("und"), "lang_score": F.lit(0.0), "lang_rejected": F.lit(True)})
+    text_batches(docs.sparkSession)
     # only the text travels to Python, the row waits in the JVM
     guess = F.arrow_udf(_predicted(model, settings.buckets), "lang string, score double, rejected boolean")
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))

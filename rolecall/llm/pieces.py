@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding on the tokenizers library.
 
 The model's protobuf is read field by field; normaliser, white-space marker, scores or merges and byte fallback are
-rebuilt, and parity with the original library is verified on probe strings wherever a model is loaded.
+rebuilt, and parity with the original library is verified on probe strings by the driver, before a job starts.
 
 Encoding works on units: a text is cut before each run of spaces and around each run of newlines, wherever the
 vocabulary shows that no piece can reach across the cut. Then a unit's ids do not depend on its neighbours, so each
@@ -15,7 +15,7 @@ import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_text import _BYTE, _powers, chunks, mix
+from .stages import text_batches
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE_PIECE = 1, 2, 3, 4, 6
 _RUN = 1 << 20  # bytes of text in one run
-_KEPT = 120_000  # units whose ids a worker remembers
+_KEPT = 8 << 20  # bytes of ids that a task remembers
 
 #: Strings on which a rebuilt model must agree with the original library.
 PROBES = ("", " ", "  ", "a", " a", "a ", "Hello world", "  two  spaces   and more ", "line\nbreak\n\n\tand tab", "\n", " \n ",
@@ -78,7 +79,6 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         at += length
 
 
-@lru_cache(maxsize=4)
 def parse(data: bytes) -> Model:
     """The parts of a SentencePiece model file that encoding and decoding need."""
     pieces: list[tuple[str, float, int]] = []
@@ -155,18 +155,26 @@ def cuts(model: Model) -> tuple[bool, bool]:
 
 
 class Codec:
-    """Encoder and decoder of one model in one worker."""
+    """Encoder and decoder of one model, as long as a task lives."""
 
     def __init__(self, data: bytes):
         self.model = parse(data)
-        self.whole, self.units = build(self.model), build(self.model, whole=False)
         self.spaces, self.lines = cuts(self.model)
         self.keys = np.zeros(0, np.uint64)
         self.kept: list[np.ndarray] = []
+        self.room = _KEPT
         self.wrong: set[int] = set()  # keys of units that do not decode to themselves
-        self.verify(data)
+
+    @cached_property
+    def whole(self):
+        return build(self.model)
+
+    @cached_property
+    def units(self):
+        return build(self.model, whole=False)
 
     def verify(self, data: bytes) -> None:
+        """Raise where the rebuilt model and the original library differ on a probe."""
         import sentencepiece
 
         original = sentencepiece.SentencePieceProcessor(model_proto=data)
@@ -253,38 +261,39 @@ class Codec:
         return result, same
 
     def _remember(self, keys: np.ndarray, ids: list[np.ndarray]) -> None:
-        room = _KEPT - len(self.keys)
-        if room > 0 and len(keys):
-            both = np.concatenate([self.keys, keys[:room]])
+        cost = np.cumsum([x.nbytes + 128 for x in ids])
+        n = int(np.searchsorted(cost, self.room, side="right"))
+        if n:
+            self.room -= int(cost[n - 1])
+            both = np.concatenate([self.keys, keys[:n]])
             order = np.argsort(both)
-            merged = self.kept + ids[:room]
+            merged = self.kept + ids[:n]
             self.keys, self.kept = both[order], [merged[i] for i in order]
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
         return self.whole.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
 
 
-_CODECS: dict[int, Codec] = {}
-
-
-def codec(data: bytes) -> Codec:
-    """The worker's codec of a model, built and verified once."""
-    if (key := hash(data)) not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = Codec(data)
-    return _CODECS[key]
+def read_model(path: str) -> bytes:
+    """The bytes of a model file, read and verified against the original library on the driver."""
+    with open(path, "rb") as file:
+        data = file.read()
+    Codec(data).verify(data)
+    return data
 
 
 _TOKENS = pa.struct([("token_ids", pa.list_(pa.int32())), ("n_tokens", pa.int64()), ("round_trip", pa.bool_())])
 
 
 def _encoded(data: bytes):
-    def run(text: pa.Array) -> pa.Array:
-        ids, same = codec(data).encode(text)
-        places = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-        flat = np.concatenate([*ids, np.zeros(0, np.int32)]).astype(np.int32)
-        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(places), pa.array(flat)), pa.array(np.diff(places).astype(np.int64)),
-                                           pa.array(same, pa.bool_())], fields=list(_TOKENS))
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = Codec(data)
+        for text in texts:
+            ids, same = own.encode(text)
+            places = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+            flat = np.concatenate([*ids, np.zeros(0, np.int32)]).astype(np.int32)
+            yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(places), pa.array(flat)), pa.array(np.diff(places).astype(np.int64)),
+                                              pa.array(same, pa.bool_())], fields=list(_TOKENS))
     return run
 
 
@@ -294,9 +303,8 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
     Null and empty texts have no tokens. Columns of these names are replaced, all others kept. `model_path` is read
     by the driver; executors get its bytes.
     """
-    with open(model_path, "rb") as file:
-        data = file.read()
-    parse(data)
+    data = read_model(model_path)
+    text_batches(docs.sparkSession)
     kept = docs.drop("token_ids", "n_tokens", "round_trip")
     # only the text travels to Python, the row waits in the JVM
     rows = kept.withColumn("_tokens", F.arrow_udf(_encoded(data), "token_ids array<int>, n_tokens long, round_trip boolean")(F.col("text")))
@@ -305,7 +313,7 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
 
 def _decoded(data: bytes, names: list[str]):
     def run(batches):
-        own = codec(data)
+        own = Codec(data)
         for batch in batches:
             ids = [np.array(x or [], np.int32) for x in batch.column("token_ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(own.decode(ids), pa.string())], [*names, "decoded"])
@@ -314,8 +322,7 @@ def _decoded(data: bytes, names: list[str]):
 
 def decode(tokens: DataFrame, model_path: str) -> DataFrame:
     """`tokens` (token_ids: array of int) with the text they stand for as `decoded`; null ids stand for none."""
-    with open(model_path, "rb") as file:
-        data = file.read()
+    data = read_model(model_path)
     kept = tokens.drop("decoded")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
     return kept.mapInArrow(_decoded(data, kept.columns), f"{fields}, decoded string")
