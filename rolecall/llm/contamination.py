@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stages import let, small, stage
+from .stages import finished, let, small, stage
 
 _SPACE = " \t\n\x0b\x0c\r"
 
@@ -177,7 +177,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, settings: ContaminationS
 
 def clean(docs: DataFrame, benchmark: DataFrame, settings: ContaminationSettings = ContaminationSettings(), name: str = "leaks") -> DataFrame:
     """The rows of `docs` that hold no item of `benchmark`, with all their columns."""
-    found = stage(leaks(docs, benchmark, settings, name).select("text_1", "text_2").distinct(), f"{name}-found")
+    found = finished(lambda: leaks(docs, benchmark, settings, name).select("text_1", "text_2").distinct(), f"{name}-found")
     keyed = docs.withColumns({"_text_1": F.xxhash64("text", F.lit(1)), "_text_2": F.xxhash64("text", F.lit(2))})
     other = small(found.toDF("_text_1", "_text_2"), settings.broadcast_rows)
     return keyed.join(other, ["_text_1", "_text_2"], "left_anti").select(*docs.columns)

@@ -9,6 +9,9 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Paths of the stage tables written since each open `finished` began.
+_written: list[list[str]] = []
+
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -40,11 +43,27 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     files of the job. A lost executor later costs a reread, not the stage."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stage-{name}-{uuid.uuid4().hex}"
+    if _written:
+        _written[-1].append(path)
     with _shuffle_files_end_with_the_job(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def finished(work, name: str) -> DataFrame:
+    """The stage table of what `work()` returns; all other stage tables it wrote are deleted when that one stands."""
+    _written.append([])
+    try:
+        df = work()
+    finally:
+        others = _written.pop()
+    out = stage(df, name)
+    for path in others:
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+    return out
+
+
 def text_batches(spark: SparkSession, limit: str = "4m") -> None:
     """From now on Arrow batches of the session end at `limit` bytes, so that long texts do not travel by thousands.
 
