@@ -55,7 +55,7 @@ def small_table() -> list[tuple[str, int]]:
 class UrlSettings:
     buckets: int = 1 << 14
     sizes: tuple[int, ...] = (3, 4, 5)
-    steps: int = 1500
+    steps: int = 4000
     rate: float = 3.0
     penalty: float = 1e-4
     prior: float = 0.2  # of urls to block, whatever the table holds
