@@ -1,11 +1,12 @@
 """The whole run on a hand-made snapshot with one case per kind of evidence."""
 
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
 
-from rolecall import Config, Inputs
+from rolecall import Config, Inputs, fixed
 from rolecall.operators import evidence as ev, report, scoring
 from rolecall.plans import run as plan
 from rolecall.schemas import INPUT_DDL
@@ -186,6 +187,15 @@ def scored(spark, rows):
     return scoring.score_evidence(e).collect()
 
 
+def test_scores_equal_on_paper_order_as_in_sql(spark):
+    """log10(1414) x .80 x .7 and x .70 x .8: the last bit decides the order, so it has to be the C library's."""
+    rows = [(n, r, c) for n in range(2100) for r, c in (("code_owner", .7), ("core_contributor", .8), ("author", None))]
+    df = spark.createDataFrame(rows, "pop bigint, role string, confidence double")
+    got = df.withColumn("score", scoring.record_score(F.col("pop"), F.col("role"), F.col("confidence"))).collect()
+    assert [x.score for x in got] == [None if x.confidence is None else math.log10(x.pop + 10) * fixed.ROLE_WEIGHT[x.role] * x.confidence
+                                      for x in got]
+
+
 def test_scoring_rules(spark):
     assert scored(spark, [("a", "contributor", .9), ("b", "org_member", .9)]) == []
     r = scored(spark, [("setup", "maintainer", .45), ("ownership", "author", .9)])[0]
