@@ -70,3 +70,17 @@ def test_extra_columns_are_kept(spark):
     tdf = spark.createDataFrame([(1, "ann lee", "Ann Lee")], "id bigint, text string, raw string")
     ndf = spark.createDataFrame([("ann lee",)], "name string")
     assert [tuple(r) for r in contains_join(tdf, ndf, ["id"], keep=["raw"]).collect()] == [(1, "ann lee", "Ann Lee")]
+
+
+def test_long_texts_are_read_in_windows(spark):
+    """Names of any length, wherever windows meet, across lines and beside wide characters; no posting holds a whole text."""
+    rnd = random.Random(11)
+    texts = [(0, i, "".join(rnd.choice(["ab", "cde", "f", "ghijklmno", "é", "\U0001f600", " ", " ", "\n"]) for _ in range(2000))) for i in range(6)]
+    names = {(0, t[at:at + rnd.randrange(6, 300)].strip(" ")) for _, _, t in texts for at in range(0, len(t), 37)}
+    names |= {(0, n[:-1] + "#") for _, n in list(names)[:40]}
+    tdf = spark.createDataFrame(texts, "k bigint, id bigint, text string")
+    got = contains_join(tdf, spark.createDataFrame(sorted(names), "k bigint, name string"), ["id"]).collect()
+    assert len(got) == len(set(got)) and {(0, r.id, r.name) for r in got} == brute(texts, names, 6)
+    wanted = spark.createDataFrame([("cde ab",)], "name string").select(F.explode(name_grams(F.col("name"), 6, [])).alias("g")).select("g.key")
+    around = postings(tdf, wanted, ["id"], "text", 6, [], 20).collect()
+    assert around and all("cde ab" in r._window and len(r._window) < 600 for r in around)
