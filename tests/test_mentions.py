@@ -30,3 +30,18 @@ def test_names_that_differ_late_have_grams_of_their_own(spark):
     assert keys.distinct().count() == 10
     texts = spark.createDataFrame([(0, "by supplier no12345 and supplier no123456")], "id int, text string")
     assert {r.name for r in contains_join(texts, names, ["id"]).collect()} == {"supplier no12345"}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
+def test_only_rosters_of_named_projects_are_ranked(spark, monkeypatch):
+    """What projects that no pair names have is dropped before it is ranked."""
+    from rolecall.operators import discovery
+    t = Tables(spark, SF)
+    seen = []
+    ranked = discovery.roster.standings
+    monkeypatch.setattr(discovery.roster, "standings", lambda roster, *a: seen.append(roster) or ranked(roster, *a))
+    named = t.part_names.where("partkey % 50 = 0").select(F.lower("repo").alias("key"))
+    t.candidates_among(named.crossJoin(t.people.select("person_id")))
+    got = seen[0].select(F.lower("repo").alias("key")).distinct()
+    assert named.join(t.roster.select(F.lower("repo").alias("key")), "key", "left_semi").distinct().exceptAll(got).isEmpty()
+    assert got.count() <= named.count() + 2
