@@ -20,3 +20,11 @@ def test_the_standing_of_a_project_serves_all_persons(spark):
     _, records = made(spark)
     assert sorted((r.person_id, r.repo, r.popularity) for r in records.collect()) == [
         (p, f"o/r{r}", 90 * r) for p in (1, 2) for r in (1, 2, 3)]
+
+
+def test_highlights_drop_other_evidence_where_it_is_read(spark):
+    ev, records = made(spark)
+    top = report.highlights(records, ev, 2)
+    assert sorted((r.person_id, r.position, r.line) for r in top.collect()) == [
+        (p, i, f"- o/r{r} ({90 * r}★) — Maintainer") for p in (1, 2) for i, r in ((1, 3), (2, 2))]
+    assert "getbit" in top._jdf.queryExecution().optimizedPlan().toString().lower()
