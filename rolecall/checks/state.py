@@ -281,11 +281,15 @@ def scratch(t) -> str:
 
 
 def batches(t, *parts):
-    """A stream whose batches are these tables, one after the other."""
+    """A stream for each of these tables, in their order, whose next batch is that table.
+
+    A table is written by as many tasks as it is read by. All files that are new make one batch, so a
+    query is started once a table, with one checkpoint.
+    """
     out = scratch(t)
     for part in parts:
-        part.coalesce(1).write.mode("append").parquet(out)
-    return t.spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(out)
+        part.write.mode("append").parquet(out)
+        yield t.spark.readStream.schema(part.schema).parquet(out)
 
 
 def dealt(df, key: str, n: int = 5):
@@ -313,10 +317,11 @@ def hourly_scans(t):
 SELECT DISTINCT 's' || l_suppkey AS login, 'part' || l_partkey AS repo FROM lineitem WHERE l_quantity >= 15""")
 def index_stream(t):
     out = scratch(t)
-    rows = batches(t, *dealt(t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity"), "l_orderkey")).select(
-        F.lit("github").alias("forge"), cat("part", text(F.col("l_partkey"))).alias("repo"),
-        cat("S", text(F.col("l_suppkey"))).alias("login"), F.col("l_quantity").cast("bigint").alias("commits"))
-    sx.fold_rosters(rows, f"{out}/table", f"{out}/ckpt", CFG.min_index_commits).awaitTermination()
+    for items in batches(t, *dealt(t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity"), "l_orderkey")):
+        rows = items.select(
+            F.lit("github").alias("forge"), cat("part", text(F.col("l_partkey"))).alias("repo"),
+            cat("S", text(F.col("l_suppkey"))).alias("login"), F.col("l_quantity").cast("bigint").alias("commits"))
+        sx.fold_rosters(rows, f"{out}/table", f"{out}/ckpt", CFG.min_index_commits).awaitTermination()
     return sx.read_index(t.spark, f"{out}/table").select("login", "repo")
 
 
@@ -326,11 +331,12 @@ SELECT 'u' || user_id AS target, max(event_id) AS repos, strftime(min(ts), '%Y-%
 def refresh_log_stream(t):
     out = scratch(t)
     ts = F.col("ts").cast("timestamp")
-    rows = batches(t, *dealt(t.events.select("event_id", "user_id", "ts"), "event_id")).select(
-        F.lit("github").alias("forge"), F.lit("org").alias("kind"), cat("u", text(F.col("user_id"))).alias("target"),
-        F.col("event_id").alias("repos"), F.lit(0).cast("bigint").alias("contributors"),
-        ts.alias("created"), ts.alias("updated"))
-    sx.fold_runs(rows, f"{out}/table", f"{out}/ckpt").awaitTermination()
+    for events in batches(t, *dealt(t.events.select("event_id", "user_id", "ts"), "event_id")):
+        rows = events.select(
+            F.lit("github").alias("forge"), F.lit("org").alias("kind"), cat("u", text(F.col("user_id"))).alias("target"),
+            F.col("event_id").alias("repos"), F.lit(0).cast("bigint").alias("contributors"),
+            ts.alias("created"), ts.alias("updated"))
+        sx.fold_runs(rows, f"{out}/table", f"{out}/ckpt").awaitTermination()
     return sx.read_log(t.spark, f"{out}/table").select("target", "repos", _day("created"), _day("updated"))
 
 
@@ -366,7 +372,8 @@ def _with_late(t):
 def window_state_stream(t):
     """Windows from a state that expires: rows of closed windows come too late to count."""
     out = scratch(t)
-    su.count_windows(_with_late(t), "1 hour", f"{out}/table", f"{out}/ckpt").awaitTermination()
+    for rows in _with_late(t):
+        su.count_windows(rows, "1 hour", f"{out}/table", f"{out}/ckpt").awaitTermination()
     return su.window_table(t.spark, f"{out}/table").read().select(F.date_format("start", "yyyy-MM-dd-HH").alias("bucket"), "scans")
 
 
@@ -375,6 +382,7 @@ SELECT event_type || ':u' || user_id AS user_key, strftime(max(ts), '%Y-%m-%d %H
 def user_state_stream(t):
     """The newest scan of each user from a state that expires; users of late rows only are unknown."""
     out = scratch(t)
-    su.track_users(_with_late(t), "1 day", f"{out}/table", f"{out}/ckpt").awaitTermination()
+    for rows in _with_late(t):
+        su.track_users(rows, "1 day", f"{out}/table", f"{out}/ckpt").awaitTermination()
     return su.user_table(t.spark, f"{out}/table").read().select(
         "user_key", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("latest"))

@@ -145,3 +145,14 @@ def test_expiry_drops_whole_days(spark, tmp_path):
     assert su.expire_days(spark, path, "2024-01-06 00:00:00", None, "result") == ["namespace=scan/day=2024-01-05"]
     assert [p.parent.name for p in (tmp_path / "r").glob("namespace=*/day=*")] == ["namespace=result"]
     assert su.expire_days(spark, str(tmp_path / "nothing"), "2024-01-06 00:00:00", 3) == []
+
+
+def test_a_table_is_one_batch_however_many_tasks_write_it(spark, tmp_path, monkeypatch):
+    from types import SimpleNamespace
+    from rolecall.checks import state
+    monkeypatch.setattr(state, "scratch", lambda t: str(tmp_path / "parts"))
+    seen, t = [], SimpleNamespace(spark=spark)
+    for rows in state.batches(t, spark.range(0, 100, 1, 4), spark.range(100, 250, 1, 6)):
+        (rows.writeStream.foreachBatch(lambda df, i: seen.append((i, df.count(), df.select(F.input_file_name()).distinct().count())))
+         .option("checkpointLocation", str(tmp_path / "ckpt")).trigger(availableNow=True).start().awaitTermination())
+    assert seen == [(0, 100, 4), (1, 150, 6)]
