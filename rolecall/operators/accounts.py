@@ -68,58 +68,56 @@ def closure_round(confirmed: DataFrame, edges: DataFrame, sites: DataFrame, list
     direct = out.join(into.select(mine).distinct(), mine, "left_semi")
 
     linked = active.join(sites, ACCOUNT).select("person_id", "url").distinct()
-    on_site = linked.join(listed, "url").select("person_id", "url", *ACCOUNT)
-    own = on_site.join(active, mine, "left_semi").select("person_id", "url").distinct()
-    on_own = on_site.join(own, ["person_id", "url"], "left_semi").select(mine).distinct()
-    profile_names = accounts.select("forge", F.lower("login").alias("login"),
-                                    tx.fold(F.col("name")).alias("name")).where("name IS NOT NULL")
-    same_login = on_own.join(active.select("person_id", "login").distinct(),
-                             ["person_id", "login"], "left_semi").select(mine)
-    my_names = active.join(profile_names, ACCOUNT).select("person_id", "name").distinct()
-    same_name = (on_own.join(profile_names, ACCOUNT)
-                 .join(my_names, ["person_id", "name"], "left_semi").select(mine))
-    new = direct.unionByName(same_login).unionByName(same_name).distinct()
+    vouching = linked.join(listed.join(active, ACCOUNT).select("person_id", "url"), ["person_id", "url"], "left_semi")
+    names = _profile_names(accounts)
+    agreed = _agreed(_asked(vouching, _own_keys(active, names)), _site_keys(listed, names))
+    new = direct.unionByName(agreed).distinct()
     return new.join(confirmed.select(mine), mine, "left_anti")
 
 
-#: What a confirmed account contributes, and what must meet for a confirmation or a vouching
-#: site: two facts of one person with the same pair and keys, one of each side.
-FACTS = ("pair STRING, side INT, person_id BIGINT, k1 STRING, k2 STRING, forge STRING, login STRING")
-_MEET = ["pair", "person_id", "k1", "k2"]
+def _profile_names(accounts: DataFrame) -> DataFrame:
+    return accounts.select("forge", F.lower("login").alias("login"),
+                           tx.fold(F.col("name")).alias("name")).where("name IS NOT NULL").distinct()
 
 
-def _fact(pair: str, side: int, k1: str, k2=None, forge=None, login=None) -> list:
-    named = lambda c, a: (F.lit(None).cast("string") if c is None else F.col(c)).alias(a)
-    return [F.lit(pair).alias("pair"), F.lit(side).alias("side"), F.col(k1).alias("k1"),
-            (F.lit("") if k2 is None else F.col(k2)).alias("k2"), named(forge, "forge2"), named(login, "login2")]
+def _own_keys(accounts: DataFrame, names: DataFrame) -> DataFrame:
+    """(person_id, kind, key, of_forge, of_login): logins and names of a person, each with one account that has it."""
+    key = lambda kind, c: [F.lit(kind).alias("kind"), F.col(c).alias("key"), F.struct(*ACCOUNT).alias("of")]
+    return (accounts.select("person_id", *key("login", "login"))
+            .unionByName(accounts.join(names, ACCOUNT).select("person_id", *key("name", "name")))
+            .groupBy("person_id", "kind", "key").agg(F.min("of").alias("of"))
+            .select("person_id", "kind", "key", F.col("of.forge").alias("of_forge"), F.col("of.login").alias("of_login")))
 
 
-def _account_facts(edges: DataFrame, sites: DataFrame, listed: DataFrame, names: DataFrame) -> DataFrame:
-    """(forge, login, pair, side, k1, k2, forge2, login2): the facts each account contributes.
+def _site_keys(listed: DataFrame, names: DataFrame) -> DataFrame:
+    """(url, kind, key, forge, login): the accounts a site lists by login and by name."""
+    key = lambda kind, c: [F.lit(kind).alias("kind"), F.col(c).alias("key")]
+    return (listed.select("url", *key("login", "login"), *ACCOUNT)
+            .unionByName(listed.join(names, ACCOUNT).select("url", *key("name", "name"), *ACCOUNT)))
 
-    `out` and `into` meet at an account that is linked and links back, a site's link and
-    listing at a site; own logins and names meet those of accounts on vouching sites.
-    """
-    back = edges.select(F.col("to_forge").alias("forge"), F.col("to_login").alias("login"),
-                        F.col("forge").alias("from_forge"), F.col("login").alias("from_login"))
-    return (edges.select(*ACCOUNT, *_fact("link", 0, "to_forge", "to_login", "to_forge", "to_login"))
-            .unionByName(back.select(*ACCOUNT, *_fact("link", 1, "from_forge", "from_login", "from_forge", "from_login")))
-            .unionByName(sites.select(*ACCOUNT, *_fact("site", 0, "url")))
-            .unionByName(listed.select(*ACCOUNT, *_fact("site", 1, "url")))
-            .unionByName(names.select(*ACCOUNT, *_fact("name", 1, "name"))))
 
+def _asked(vouching: DataFrame, own: DataFrame) -> DataFrame:
+    """(person_id, url, kind, key, of_forge, of_login): what a person asks the sites that vouch."""
+    return vouching.join(own, "person_id").select("person_id", "url", "kind", "key", "of_forge", "of_login")
 
-def _site_facts(listed: DataFrame, names: DataFrame) -> DataFrame:
-    """(url, pair, side, k1, k2, forge2, login2): the facts a vouching site contributes."""
-    return (listed.select("url", *_fact("login", 0, "login", None, "forge", "login"))
-            .unionByName(listed.join(names, ACCOUNT).select("url", *_fact("name", 0, "name", None, "forge", "login"))))
 
+def _agreed(asked: DataFrame, on_site: DataFrame) -> DataFrame:
+    """(person_id, forge, login): accounts on vouching sites that share a login or a name with the person.
+
+    A site is asked for the person's logins and names by key: its other accounts make no rows.
+    """
+    return (asked.join(on_site, ["url", "kind", "key"]).where("forge <> of_forge OR login <> of_login")
+            .select("person_id", *ACCOUNT))
 
-def _meetings(new: DataFrame, all_: DataFrame) -> DataFrame:
-    """Facts of side 0 that met side 1, at least one of the two being new."""
-    first = new.where("side = 0").join(all_.where("side = 1").select(_MEET), _MEET, "left_semi")
-    second = all_.where("side = 0").join(new.where("side = 1").select(_MEET), _MEET, "left_semi")
-    return first.unionByName(second)
+
+def _meetings(new: DataFrame, old: DataFrame, on: list[str]) -> DataFrame:
+    """What side 0 and side 1 both have, one of the two being new.
+
+    Inner joins, so that a round that gained little broadcasts the little.
+    """
+    side = lambda df, n: df.where(F.col("side") == n).select(on)
+    return (side(new, 0).join(side(new, 1), on).unionByName(side(new, 0).join(side(old, 1), on))
+            .unionByName(side(old, 0).join(side(new, 1), on)).distinct())
 
 
 def resolve_accounts(anchors: DataFrame, links: DataFrame, pages: DataFrame, accounts: DataFrame,
@@ -129,9 +127,9 @@ def resolve_accounts(anchors: DataFrame, links: DataFrame, pages: DataFrame, acc
     A round confirms everything the accounts known so far vouch for, whatever the
     order of links, until a round confirms nothing; with `max_accounts`, a person
     who has that many stops growing.  The rows are those of `closure_round` repeated, but
-    a round joins only what the round before confirmed: its accounts contribute facts, a
-    new fact meets all facts, and each round appends its facts and accounts as one part.
-    A lost executor costs one round at most; the facts are deleted at the end.
+    a round joins only what the round before confirmed: its accounts contribute links, sites
+    and keys, what is new meets all there is, and each round appends its own as one part.
+    A lost executor costs one round at most; all but the result is deleted at the end.
     """
     from ..plans.lineage import Growing, cut, kept, scratch
     spark = anchors.sparkSession
@@ -141,27 +139,30 @@ def resolve_accounts(anchors: DataFrame, links: DataFrame, pages: DataFrame, acc
         listed = cut(hubs.join(sites.select("url").distinct(), "url", "left_semi").select(
             "url", F.explode("accounts").alias("a")).select(
             "url", "a.forge", F.lower("a.login").alias("login")).distinct())
-        names = accounts.select("forge", F.lower("login").alias("login"),
-                                tx.fold(F.col("name")).alias("name")).where("name IS NOT NULL").distinct()
-        of_account, of_site = cut(_account_facts(edges, sites, listed, names)), cut(_site_facts(listed, names))
+        names = cut(_profile_names(accounts))
+        on_site = cut(_site_keys(listed, names))
+        back = edges.select(F.col("to_forge").alias("forge"), F.col("to_login").alias("login"),
+                            F.col("forge").alias("to_forge"), F.col("login").alias("to_login"))
+        either = lambda first, second: first.withColumn("side", F.lit(0)).unionByName(second.withColumn("side", F.lit(1)))
         confirmed = Growing(spark, "person_id BIGINT, forge STRING, login STRING, round INT")
-        facts, vouching = Growing(spark, FACTS), Growing(spark, "person_id BIGINT, url STRING")
+        linked = Growing(spark, "side INT, person_id BIGINT, to_forge STRING, to_login STRING")
+        at_site = Growing(spark, "side INT, person_id BIGINT, url STRING")
+        vouching = Growing(spark, "person_id BIGINT, url STRING")
+        own = Growing(spark, "person_id BIGINT, kind STRING, key STRING, of_forge STRING, of_login STRING")
         new = confirmed.append(anchors.select("person_id", "forge", F.lower("login").alias("login"),
                                               F.lit(0).alias("round")).distinct())
-        as_fact = ["pair", "side", "person_id", "k1", "k2", F.col("forge2").alias("forge"), F.col("login2").alias("login")]
         for r in count(1):
-            own = new.select("person_id", *ACCOUNT, *_fact("login", 1, "login"))
-            gained = facts.append(new.select("person_id", *ACCOUNT).join(of_account, ACCOUNT)
-                                  .unionByName(own, allowMissingColumns=True).select(as_fact).distinct())
-            at_site = "pair = 'site'"
-            sites_now = (_meetings(gained.where(at_site), facts.all().where(at_site))
-                         .select("person_id", F.col("k1").alias("url")).distinct())
-            if r > 1:
-                sites_now = sites_now.join(vouching.all(), ["person_id", "url"], "left_anti")
-            on_sites = facts.append(vouching.append(sites_now).join(of_site, "url").select(as_fact).distinct())
-            person = "pair <> 'site'"
-            met = (_meetings(gained.unionByName(on_sites).where(person), facts.all().where(person))
-                   .select("person_id", *ACCOUNT).distinct())
+            mine = new.select("person_id", *ACCOUNT)
+            had_links, had_sites, had_vouching, had_keys = linked.all(), at_site.all(), vouching.all(), own.all()
+            links_now = linked.append(mine.join(either(edges, back), ACCOUNT).select(linked.schema.names).distinct())
+            sites_now = at_site.append(mine.join(either(sites, listed), ACCOUNT).select(at_site.schema.names).distinct())
+            keys_now = own.append(_own_keys(mine, names).join(had_keys, ["person_id", "kind", "key"], "left_anti"))
+            # A site that is found once more is asked once more, which changes nothing.
+            vouching_now = vouching.append(_meetings(sites_now, had_sites, ["person_id", "url"]))
+            asked = cut(_asked(vouching_now, own.all()).unionByName(_asked(had_vouching, keys_now)))
+            direct = _meetings(links_now, had_links, ["person_id", "to_forge", "to_login"]).select(
+                "person_id", F.col("to_forge").alias("forge"), F.col("to_login").alias("login"))
+            met = direct.unionByName(_agreed(asked, on_site)).distinct()
             known = confirmed.all()
             if max_accounts is not None:
                 met = met.join(known.groupBy("person_id").count().where(F.col("count") < max_accounts), "person_id", "left_semi")

@@ -105,3 +105,14 @@ def test_resolve_names(spark, query, login, n):
     q = spark.createDataFrame([(query,)], "query string")
     r = ac.resolve_names(q, a, c).first()
     assert (r.login, r.n_candidates) == (login, n)
+
+
+def test_a_site_is_asked_by_key(spark):
+    """Rows follow a person's keys, not the accounts a site lists beside them."""
+    listed = spark.createDataFrame([("u", "gitlab", "jane"), ("u", "gitlab", "other"), *[("u", "codeberg", f"x{i}") for i in range(50)]],
+                                   "url string, forge string, login string")
+    names = spark.createDataFrame([("github", "jane", "Jane Doe"), ("gitlab", "other", "Jane Doe")], "forge string, login string, name string")
+    mine = spark.createDataFrame([(1, "github", "jane")], "person_id bigint, forge string, login string")
+    asked = ac._asked(spark.createDataFrame([(1, "u")], "person_id bigint, url string"), ac._own_keys(mine, names))
+    assert sorted((r.url, r.kind, r.key) for r in asked.collect()) == [("u", "login", "jane"), ("u", "name", "Jane Doe")]
+    assert sorted(tuple(r) for r in ac._agreed(asked, ac._site_keys(listed, names)).collect()) == [(1, "gitlab", "jane"), (1, "gitlab", "other")]
