@@ -55,3 +55,10 @@ def test_a_run_that_dies_leaves_nothing(spark, tmp_path, monkeypatch):
 def test_no_files(spark):
     empty = ps.index_files(inputs(spark, {("a/a", "README.md"): "x"}))
     assert empty.rows("codeowners").isEmpty() and ps.Postings.empty(spark).rows("owners").isEmpty()
+
+
+def test_postings_of_other_keys_are_dropped(spark):
+    posted = ps.index_files(inputs(spark, FILES))
+    all_ = [r.key for r in posted.rows("words").collect()]
+    ann = [r.key for r in posted.naming(spark.createDataFrame([("ann",)], "key string")).rows("words").collect()]
+    assert "ann" in ann and ann.count("ann") == all_.count("ann") and len(ann) < len(all_)
