@@ -70,3 +70,14 @@ def test_path_commits_count_distinct_commits_below_a_path(spark):
         "forge string, repo string, login string, sha string, path string")
     t = spark.createDataFrame([("o/r", "numpy/f2py")], "repo string, path string")
     assert rows(roster.path_commits(c, t), "path", "login", "n") == [("numpy/f2py", "ann", 2)]
+
+
+def test_path_commits_at_the_depths_of_targets_only(spark):
+    c = spark.createDataFrame([("github", "o/r", "ann", "s1", "a/b/c/d.py"), ("github", "o/r", "ann", "s2", "a/b"), ("github", "o/r", "ann", "s3", "a//b"),
+                               ("github", "o/r", "bob", "s4", "a"), ("github", "o/q", "bob", "s5", "a/b")],
+                              "forge string, repo string, login string, sha string, path string")
+    t = spark.createDataFrame([("o/r", "a"), ("o/r", "a/b"), ("o/r", "a/"), ("o/r", "a/b/c/d.py")], "repo string, path string")
+    n = roster.path_commits(c, t)
+    assert rows(n, "path", "login", "n") == [("a", "ann", 3), ("a", "bob", 1), ("a/", "ann", 1), ("a/b", "ann", 2), ("a/b/c/d.py", "ann", 1)]
+    plan = n._jdf.queryExecution().optimizedPlan().toString()
+    assert "substring_index" in plan and "slice(" not in plan
