@@ -81,3 +81,13 @@ def test_path_commits_at_the_depths_of_targets_only(spark):
     assert rows(n, "path", "login", "n") == [("a", "ann", 3), ("a", "bob", 1), ("a/", "ann", 1), ("a/b", "ann", 2), ("a/b/c/d.py", "ann", 1)]
     plan = n._jdf.queryExecution().optimizedPlan().toString()
     assert "substring_index" in plan and "slice(" not in plan
+
+
+def test_a_registry_is_parsed_on_all_cores(spark, tmp_path, monkeypatch):
+    from rolecall.checks import decisions
+    from rolecall.checks.bindings import Tables
+    spark.createDataFrame([(k, f"Brand#{k % 5}") for k in range(100)], "p_partkey bigint, p_brand string").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    seen, save = [], decisions.reg.save_registry
+    monkeypatch.setattr(decisions.reg, "save_registry", lambda df, path: seen.append(df.rdd.getNumPartitions()) or save(df, path))
+    decisions.registry_tables(Tables(spark, str(tmp_path)))
+    assert seen[0] >= spark.sparkContext.defaultParallelism
