@@ -91,3 +91,15 @@ def test_a_registry_is_parsed_on_all_cores(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(decisions.reg, "save_registry", lambda df, path: seen.append(df.rdd.getNumPartitions()) or save(df, path))
     decisions.registry_tables(Tables(spark, str(tmp_path)))
     assert seen[0] >= spark.sparkContext.defaultParallelism
+
+
+def test_a_large_roster_is_grouped_in_tasks_of_bounded_rows(spark, tmp_path, monkeypatch):
+    from rolecall.checks import bindings
+    spark.range(3000).selectExpr("id % 50 AS l_partkey", "id AS l_suppkey", "1.0D AS l_quantity").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.range(50).selectExpr("id AS p_partkey", "'Brand#1' AS p_brand").write.parquet(str(tmp_path / "part.parquet"))
+    spark.range(3000).selectExpr("id AS s_suppkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    want = bindings.Tables(spark, str(tmp_path)).roster
+    monkeypatch.setattr(bindings, "_TASK_ROWS", 100)
+    t = bindings.Tables(spark, str(tmp_path))
+    assert t.dealt("lineitem", "l_partkey", "l_suppkey").rdd.getNumPartitions() == 30
+    assert t.roster.exceptAll(want).isEmpty() and t.roster.count() == want.count() == 3000
