@@ -62,3 +62,12 @@ def test_postings_of_other_keys_are_dropped(spark):
     all_ = [r.key for r in posted.rows("words").collect()]
     ann = [r.key for r in posted.naming(spark.createDataFrame([("ann",)], "key string")).rows("words").collect()]
     assert "ann" in ann and ann.count("ann") == all_.count("ann") and len(ann) < len(all_)
+
+
+def test_only_the_parsers_asked_for_read_a_file(spark):
+    """A governance file is also searched for logins: who wants its windows need not pay for its words."""
+    files = inputs(spark, {("a/a", "GOVERNANCE.md"): "Steering Council\n- @ann\n", ("a/a", "CODEOWNERS"): "/x @ann\n"})
+    every, some = ps.index_files(files), ps.index_files(files, only=["governance"])
+    assert {r.parser for r in every.posts.collect()} == {"governance", "words", "codeowners"}
+    assert {r.parser for r in some.posts.collect()} == {r.parser for r in some.places.collect()} == {"governance"}
+    assert listed(some, "governance") == listed(every, "governance") and listed(some, "governance")
