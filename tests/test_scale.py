@@ -55,3 +55,26 @@ def test_a_rule_meets_only_the_candidates_of_its_team(spark):
         (2, "docs", "member of @org/team (CODEOWNERS in CODEOWNERS)", 5)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"Join Inner, .*repo#\d+ = repo#\d+.*team#\d+ = team#\d+", plan)
+
+
+def test_names_of_one_gram_are_not_counted(spark, monkeypatch):
+    calls = []
+    made = containment.postings
+    monkeypatch.setattr(containment, "postings", lambda *a, **k: calls.append(k.get("kinds")) or made(*a, **k))
+    lines = ["by ada lovelace", "ada  lovelace", "xada lovelacey", "grace brewster hopper", "grace brewster", "ada\tlovelace", "émile zola", "o'neil é"]
+    texts = spark.createDataFrame(list(enumerate(lines)), "id int, text string")
+    for names, passes in ((["ada lovelace", "émile zola", "no body"], 1), (["ada lovelace", "grace brewster hopper", "émile zola"], 2), (["lovelace", "émile zola"], 2)):
+        calls.clear()
+        df = spark.createDataFrame([(n,) for n in names], "name string")
+        got = {(r.id, r.name) for r in containment.contains_join(texts, df, ["id"], min_len=4).collect()}
+        assert got == {(i, n) for i, x in enumerate(lines) for n in names if n in x}
+        assert len(calls) == passes
+
+
+def test_other_blanks_make_no_rows(spark):
+    """Only blanks between characters that some name has around one are cut out."""
+    assert containment._edge_class(["r", "]", "^", "é"]) == r"[\x{5d}\x{5e}\x{72}\x{e9}]"
+    assert containment._edge_class([]) == containment._edge_class(["a", ""]) == "."
+    texts = spark.createDataFrame([(0, "]a ^b, r] ^x é] ]é")], "id int, text string")
+    names = spark.createDataFrame([("r] ^x",), ("é] ]é",), ("a ^bc",)], "name string")
+    assert {r.name for r in containment.contains_join(texts, names, ["id"], min_len=4).collect()} == {"r] ^x", "é] ]é"}
