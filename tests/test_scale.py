@@ -78,3 +78,21 @@ def test_other_blanks_make_no_rows(spark):
     texts = spark.createDataFrame([(0, "]a ^b, r] ^x é] ]é")], "id int, text string")
     names = spark.createDataFrame([("r] ^x",), ("é] ]é",), ("a ^bc",)], "name string")
     assert {r.name for r in containment.contains_join(texts, names, ["id"], min_len=4).collect()} == {"r] ^x", "é] ]é"}
+
+
+@needs_tables
+def test_evidence_does_not_parse_words(spark):
+    from rolecall.checks.documents import owners_files
+    from rolecall.checks.rosters import context
+    t = Tables(spark, SF)
+    ctx = context(t, files=owners_files(t))
+    assert {r.parser for r in ctx.postings.posts.select("parser").distinct().collect()} == {"owners"}
+    assert "words" not in postings.EVIDENCE_PARSERS and len(postings.EVIDENCE_PARSERS) == len(postings.PARSERS) - 1
+
+
+def test_owners_are_read_from_files_that_have_a_key(spark):
+    files = spark.createDataFrame([("owners", 1, 1, "OWNERS", "approvers:\n  - A\nreviewers:\n- b\n"), ("owners", 2, 2, "CODEOWNERS", "* @c\n"),
+                                   ("owners", 3, 3, "x/OWNERS", "reviewers:\n- d")], "parser string, h1 bigint, h2 bigint, path string, text string")
+    found = postings.PARSERS["owners"](files)
+    assert {(r.h1, r.role, r.key) for r in found.collect()} == {(1, "maintainer", "a"), (1, "code_owner", "b"), (3, "code_owner", "d")}
+    assert "contains(text" in found._jdf.queryExecution().optimizedPlan().toString().lower()
