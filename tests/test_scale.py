@@ -96,3 +96,12 @@ def test_owners_are_read_from_files_that_have_a_key(spark):
     found = postings.PARSERS["owners"](files)
     assert {(r.h1, r.role, r.key) for r in found.collect()} == {(1, "maintainer", "a"), (1, "code_owner", "b"), (3, "code_owner", "d")}
     assert "contains(text" in found._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+@needs_tables
+def test_queries_that_read_candidates_once_do_not_store_them(spark, monkeypatch):
+    from rolecall.checks import decisions, discovery as dc, rosters
+    monkeypatch.setattr(Tables, "candidates", property(lambda self: pytest.fail("all candidates are written")))
+    t = Tables(spark, SF)
+    for query in (dc.keep_candidate, dc.trust_and_notable, dc.speculative_split, decisions.user_operator, rosters.rank_rescue):
+        assert query(t).columns
