@@ -105,3 +105,10 @@ def test_queries_that_read_candidates_once_do_not_store_them(spark, monkeypatch)
     t = Tables(spark, SF)
     for query in (dc.keep_candidate, dc.trust_and_notable, dc.speculative_split, decisions.user_operator, rosters.rank_rescue):
         assert query(t).columns
+
+
+def test_logarithms_are_those_of_the_c_library_without_python(spark):
+    n = 1 << 16
+    df = spark.range(-2, n).select("id", scoring.log10(F.col("id")).alias("l"))
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+    assert all(r.l == (math.log10(r.id) if r.id > 0 else None) for r in df.collect())
